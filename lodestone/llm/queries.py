@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import decontaminate, exact_dedup, url_filter
 
-MODULES = (url_filter,)
+MODULES = (url_filter, exact_dedup, decontaminate)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
