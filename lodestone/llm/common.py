@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -64,19 +63,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; the batch is cut so that at most about 8 MB are worked on at once."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """mapInArrow with a function of one batch, cut so that only a few MB are worked on at once."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                out = fn(part)
-                yield from out if isinstance(out, list) else [out]
+                yield fn(part)
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel in these batches: Spark's default of 10,000 rows is lowered, a setting of the user's own is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "512")
+
+
+def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     if batch.num_rows == 0:
         return
     step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
@@ -86,11 +92,7 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
-    return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
-
-
-def strings(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return [x or "" for x in batch.column(column).to_pylist()]
+    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,13 +106,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id (null-safe) is in kept's only column; columns of docs unchanged."""
-    key = fresh(docs, "kept_key")
-    kept = kept.select(F.col(kept.columns[0]).alias(key)).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[key]), "left_semi")
-
-
-ID_TEXT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])

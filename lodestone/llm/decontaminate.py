@@ -25,20 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, read, slices
+from .common import arrow_map, id_text, materialise, read, texts
+from .words import WORD_BYTES, words_of
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
-#: Bytes of words: digits and letters, A-Z lower-cased, and all bytes of other scripts; the rest are separators.
-WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(WORD_BYTES).split()
-
-
 class Index:
     """The n-gram set of a bounded block of items."""
 
@@ -140,16 +134,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     def scanned(block: list[tuple[str, list[bytes]]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(pickle.dumps(Index(block, window)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = pickle.loads(sent.value)
-            for whole in batches:
-                for b in slices(whole):
-                    docs = [words_of(x) if x else [] for x in b.column("text").cast(pa.binary()).to_pylist()]
-                    found = hits(index, docs)
-                    cols = [b.column("row_id"), b.column("doc_id"), pa.array(map(len, docs), pa.int64()), pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())), pa.array([sorted(x) for _, x in found], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["row_id", "doc_id", "n_words", "positions", "items"])
+        loaded: list[Index] = []
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            if not loaded:
+                loaded.append(pickle.loads(sent.value))
+            docs = [words_of(x) for x in texts(b)]
+            found = hits(loaded[0], docs)
+            cols = [b.column("row_id"), b.column("doc_id"), pa.array(map(len, docs), pa.int64()), pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())), pa.array([sorted(x) for _, x in found], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(cols, names=["row_id", "doc_id", "n_words", "positions", "items"])
 
-        return rows.mapInArrow(run, HITS)
+        return arrow_map(rows, run, HITS)
 
     blocks = benchmark_blocks(benchmark)
     first, second = next(blocks), next(blocks, None)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, id_text, materialise, read, slices
+from .common import arrow_map, fresh, id_text, materialise, read, texts
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 LEAST, MEAN_BITS, MOST = 256, 10, 8192
@@ -70,25 +70,15 @@ def recipes_of(raw: list[bytes]) -> Iterator[tuple[bytes, list[bytes]]]:
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs, written to the shared folder; row_id tells repeated rows apart."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole):
-                raw = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
-                made = list(recipes_of(raw))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("row_id"),
-                        b.column("doc_id"),
-                        pa.array([code_points(x) for x in raw], pa.int64()),
-                        pa.array([len(x) for x, _ in made], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x, _ in made], pa.string()),
-                        pa.array([r for _, r in made], pa.list_(pa.binary())),
-                    ],
-                    names=["row_id", "doc_id", "n_chars", "n_norm_bytes", "text_sha256", "recipe"],
-                )
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw = texts(b)
+        made = [(len(x), hashlib.sha256(x).hexdigest(), r) for x, r in recipes_of(raw)]
+        size, sha, recipe = zip(*made)
+        cols = [b.column("row_id"), b.column("doc_id"), pa.array(map(code_points, raw), pa.int64()), pa.array(size, pa.int64()), pa.array(sha), pa.array(recipe, pa.list_(pa.binary()))]
+        return pa.RecordBatch.from_arrays(cols, names=["row_id", "doc_id", "n_chars", "n_norm_bytes", "text_sha256", "recipe"])
 
     rows = id_text(docs, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id())
-    return materialise(rows.mapInArrow(run, RECIPE), "recipes")
+    return materialise(arrow_map(rows, run, RECIPE), "recipes")
 
 
 _CONTINUATION = bytes(range(0x80, 0xC0))

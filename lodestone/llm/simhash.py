@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, read, slices
+from .common import arrow_map, id_text, materialise, read, texts
 
 RADIUS = 3
 BLOCK = 8192
@@ -72,13 +72,10 @@ def fingerprints(raw: list[bytes]) -> np.ndarray:
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) of every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole):
-                raw = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(raw).view(np.int64))], names=["doc_id", "fp"])
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(texts(b)).view(np.int64))], names=["doc_id", "fp"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return arrow_map(id_text(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
 # -- bit-sliced comparison ------------------------------------------------------------
