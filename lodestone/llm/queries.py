@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, simhash, url_filter
+from . import decontaminate, exact_dedup, licences, pii, simhash, url_filter
 
-MODULES = (url_filter, exact_dedup, decontaminate, simhash)
+MODULES = (pii, url_filter, licences, exact_dedup, decontaminate, simhash)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
