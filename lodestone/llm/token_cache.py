@@ -10,15 +10,29 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterable
 
-import numpy as np
-
-MOST_PIECES = 250_000
+MOST_PIECES = 500_000
 _ODD = re.compile("[\x1c-\x1f]")  # white space to Python, not to the library
 _SPACES = re.compile(r" \s|\s ")
 _PIECES = re.compile(r"\s*\S+|\s+")
 _ENDS = frozenset(".,;:!?")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
+
+
+def _byte_alphabet() -> str:
+    """The vocabularies' letters for bytes 0 to 255: printable Latin-1 bytes are themselves, the others count up from U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return "".join(chr(b) if b in printable else chr(0x100 + others.index(b)) for b in range(256))
+
+
+_ALPHABET = _byte_alphabet()
+
+
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,38 +50,41 @@ class TokenCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.spaces, self.known, self.led = spaces, {}, {}
+        self.marks = dict(zip(sorted(_ENDS), self._encode(sorted(_ENDS))))
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(pieces), 4096) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
+        return [pack(e.ids) for at in range(0, len(pieces), 4096) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
+
+    def _word(self, lead: str, word: str) -> bytes:
+        """A word of Latin letters is one unit to either vocabulary: its merges alone are run, on the byte alphabet."""
+        ids = [t.id for t in self.model.tokenize(lead + (word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)))]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else pack(ids)
 
     def _learn(self, table: dict[str, bytes], missing: Iterable[str], lead: str) -> None:
-        """Encodes what table lacks.  A word and the mark after it are apart in either vocabulary, and a lower-casing one sees both cases of a Latin word alike: such pieces are put together from their parts."""
-        stems: dict[str, tuple[str, str]] = {}
-        wanted: dict[str, None] = {}
+        """Encodes what table lacks.  A word and the mark after it are apart in either vocabulary, and a lower-casing one sees both cases of a word alike: such pieces are put together from their parts."""
+        most, others, lower = "ɏ" if self.spaces else "ÿ", [], not self.spaces
+        glyph, word, get = lead.translate(_ALPHABET), self._word, table.get
         for p in missing:
-            head, tail = (p[:-1], p[-1]) if p[-1:] in _ENDS and p[:-1].isalpha() else (p, "")
-            if not self.spaces and head.isalpha() and max(head) < "Ā":
+            tail = p[-1:]
+            head = p[:-1] if tail in _ENDS else p
+            if not head.isalpha() or not (head.isascii() or max(head) <= most):
+                others.append(p)
+                continue
+            if lower:
                 head = head.lower()
-            stems[p] = head, tail
-            for x, t in ((head, table), (tail, self.known)):
-                if x and x not in t and p != x:
-                    wanted[x] = None
-            if head == p:
-                wanted[p] = None
-        heads = [x for x in wanted if x not in _ENDS or x in stems]
-        for x, ids in zip(heads, self._encode([lead + x for x in heads])):
-            table[x] = ids
-        for x in _ENDS:
-            if x not in self.known:
-                self.known[x] = self._encode([x])[0]
-        for p, (head, tail) in stems.items():
-            if head != p:
-                table[p] = table[head] + (self.known[tail] if tail else b"")
+            ids = get(head)
+            if ids is None:
+                ids = table[head] = word(glyph, head)
+            if tail in _ENDS:
+                ids += self.marks[tail]
+            if p != head:
+                table[p] = ids
+        for p, ids in zip(others, self._encode([lead + p for p in others])):
+            table[p] = ids
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(self.led) > MOST_PIECES:
-            self.known, self.led = {}, {}
         cut: list[tuple[str, list[str]] | bytes] = []
         plain: set[str] = set()
         led: set[str] = set()
@@ -84,9 +101,11 @@ class TokenCache:
                 cut.append((" ", p := t.split(" ")))
                 plain.add(p[0])
                 led.update(p[1:])
+        if len(self.known) + len(self.led) > MOST_PIECES:  # what these texts use stays
+            self.known, self.led = ({p: t[p] for p in seen if p in t} for t, seen in ((self.known, plain), (self.led, led)))
         for table, seen, lead in ((self.known, plain, ""), (self.led, led, " ")):
             if missing := seen.difference(table):
-                self._learn(table, sorted(missing), lead)
+                self._learn(table, missing, lead)
         known, after = self.known.__getitem__, self.led.__getitem__
         return [x if isinstance(x, bytes) else b"".join(map(known, x[1])) if not x[0] else known(x[1][0]) + b"".join(map(after, x[1][1:])) for x in cut]
 
