@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, licences, packing, pii, simhash, token_files, url_filter
+from . import decontaminate, exact_dedup, licences, packing, pii, repeats, simhash, token_files, url_filter
 
-MODULES = (pii, url_filter, licences, packing, exact_dedup, decontaminate, token_files, simhash)
+MODULES = (pii, url_filter, licences, packing, repeats, exact_dedup, decontaminate, token_files, simhash)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
