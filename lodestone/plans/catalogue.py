@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import feedback, search, store
+
+PLANS = (search, feedback, store)
+QUERIES = {name: q for p in PLANS for name, q in p.QUERIES.items()}
+ORACLE = {name: sql for p in PLANS for name, sql in p.ORACLE.items()}
