@@ -177,9 +177,9 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = cached(path, spaces), TaskContext.get().partitionId(), Counter()
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, 4 << 20):
                 rows = []
-                for doc, ids in zip(b.column("doc_id").to_pylist(), encode([x or "" for x in b.column("text").to_pylist()])):
+                for doc, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text"))):
                     ids += end
                     total = len(ids) // 4
                     for at in range(0, total, capacity):

@@ -11,11 +11,17 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-MOST_PIECES = 500_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+MOST_PIECES = 1_000_000
 _ODD = re.compile("[\x1c-\x1f]")  # white space to Python, not to the library
-_SPACES = re.compile(r" \s|\s ")
+#: White space beyond tab, line feed, form feed, carriage return and space: such texts are cut with care.
+_STRANGE = "[\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPACE = r"[\t\n\f\r ]"
 _PIECES = re.compile(r"\s*\S+|\s+")
 _ENDS = frozenset(".,;:!?")
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
@@ -41,8 +47,37 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Table(dict):
+    """Ids of pieces, all with the same lead; a piece that is missing is encoded when it is asked for.
+
+    A word of Latin letters is one unit to either vocabulary, so its merges alone are run, on the byte
+    alphabet; a word and the mark after it are apart; a vocabulary that lower-cases sees both cases alike.
+    Anything else goes through the whole tokenizer."""
+
+    def __init__(self, tokenizer, lead: str, lower: bool):
+        self.tokenizer, self.merge, self.lead, self.lower = tokenizer, tokenizer.model.tokenize, lead, lower
+        self.glyph, self.most = lead.translate(_ALPHABET), "ÿ" if lower else "ɏ"
+        self.marks = {x: pack(tokenizer.encode(x, add_special_tokens=False).ids) for x in _ENDS}
+
+    def __missing__(self, p: str) -> bytes:
+        tail = p[-1:]
+        head = p[:-1] if tail in _ENDS else p
+        if not head.isalpha() or not (head.isascii() or max(head) <= self.most):
+            ids = pack(self.tokenizer.encode(self.lead + p, add_special_tokens=False).ids)
+        else:
+            if self.lower:
+                head = head.lower()
+            if head != p:
+                ids = self[head] + self.marks[tail] if tail in _ENDS else self[head]
+            else:
+                found = [t.id for t in self.merge(self.glyph + (p if p.isascii() else p.encode().decode("latin-1").translate(_ALPHABET)))]
+                ids = _PACK[len(found)](*found) if len(found) < len(_PACK) else pack(found)
+        self[p] = ids
+        return ids
+
+
 class TokenCache:
-    """encode(text) gives the ids' bytes.  spaces: whether the vocabulary keeps white space."""
+    """encode_all(column) gives each text's ids as bytes.  spaces: whether the vocabulary keeps white space."""
 
     def __init__(self, path: str, spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,70 +85,54 @@ class TokenCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
-        self.spaces, self.known, self.led = spaces, {}, {}
-        self.marks = dict(zip(sorted(_ENDS), self._encode(sorted(_ENDS))))
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [pack(e.ids) for at in range(0, len(pieces), 4096) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
-
-    def _word(self, lead: str, word: str) -> bytes:
-        """A word of Latin letters is one unit to either vocabulary: its merges alone are run, on the byte alphabet."""
-        ids = [t.id for t in self.model.tokenize(lead + (word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)))]
-        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else pack(ids)
-
-    def _learn(self, table: dict[str, bytes], missing: Iterable[str], lead: str) -> None:
-        """Encodes what table lacks.  A word and the mark after it are apart in either vocabulary, and a lower-casing one sees both cases of a word alike: such pieces are put together from their parts."""
-        most, others, lower = "ɏ" if self.spaces else "ÿ", [], not self.spaces
-        glyph, word, get = lead.translate(_ALPHABET), self._word, table.get
-        for p in missing:
-            tail = p[-1:]
-            head = p[:-1] if tail in _ENDS else p
-            if not head.isalpha() or not (head.isascii() or max(head) <= most):
-                others.append(p)
-                continue
-            if lower:
-                head = head.lower()
-            ids = get(head)
-            if ids is None:
-                ids = table[head] = word(glyph, head)
-            if tail in _ENDS:
-                ids += self.marks[tail]
-            if p != head:
-                table[p] = ids
-        for p, ids in zip(others, self._encode([lead + p for p in others])):
-            table[p] = ids
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut: list[tuple[str, list[str]] | bytes] = []
-        plain: set[str] = set()
-        led: set[str] = set()
-        for t in texts:
-            if _ODD.search(t):
-                cut.append(self._encode([t])[0])
-            elif not self.spaces:
-                cut.append(("", p := t.split()))
-                plain.update(p)
-            elif _SPACES.search(t):
-                cut.append(("", p := _PIECES.findall(t)))
-                plain.update(p)
-            else:
-                cut.append((" ", p := t.split(" ")))
-                plain.add(p[0])
-                led.update(p[1:])
-        if len(self.known) + len(self.led) > MOST_PIECES:  # what these texts use stays
-            self.known, self.led = ({p: t[p] for p in seen if p in t} for t, seen in ((self.known, plain), (self.led, led)))
-        for table, seen, lead in ((self.known, plain, ""), (self.led, led, " ")):
-            if missing := seen.difference(table):
-                self._learn(table, missing, lead)
-        known, after = self.known.__getitem__, self.led.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(known, x[1])) if not x[0] else known(x[1][0]) + b"".join(map(after, x[1][1:])) for x in cut]
+        self.spaces = spaces
+        self.plain, self.led = _Table(self.tokenizer, "", not spaces), _Table(self.tokenizer, " ", not spaces)
+
+    def encode(self, text: str) -> bytes:
+        """One text, whatever its white space."""
+        if _ODD.search(text):
+            return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        plain = self.plain.__getitem__
+        return b"".join(map(plain, _PIECES.findall(text) if self.spaces else text.split()))
+
+    def encode_all(self, column: pa.Array) -> list[bytes]:
+        """Null is empty.  Pieces are cut, and told apart, by Arrow; each distinct one is looked up once."""
+        column = pc.fill_null(column.cast(pa.string()), "")
+        if len(self.plain) + len(self.led) > MOST_PIECES:
+            self.plain.clear()
+            self.led.clear()
+        strange = pc.match_substring_regex(column, _STRANGE if not self.spaces else f"{_STRANGE}| {_SPACE}|{_SPACE} ").to_numpy(zero_copy_only=False)
+        plain = column.filter(pa.array(~strange)) if strange.any() else column
+        parts = pc.split_pattern(plain, " ") if self.spaces else pc.ascii_split_whitespace(plain)
+        coded = parts.flatten().dictionary_encode()
+        codes, offsets = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+        table = self.led if self.spaces else self.plain
+        ids = list(map(table.__getitem__, coded.dictionary.to_pylist()))
+        if self.spaces:  # a text's first piece has no space before it
+            firsts = offsets[:-1]
+            dictionary = coded.dictionary
+            heads = [dictionary[int(c)].as_py() for c in codes[firsts]]
+            codes = codes.copy()
+            codes[firsts] = np.arange(len(ids), len(ids) + len(heads))
+            ids += map(self.plain.__getitem__, heads)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        blob, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        many = size[codes]
+        ends = np.cumsum(many)
+        out = blob[np.repeat(at[codes] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        cut = (4 * np.r_[0, ends][offsets]).tolist()
+        done = [out[a:b] for a, b in zip(cut, cut[1:])]
+        if strange.any():
+            rest = iter(done)
+            texts = column.to_pylist()
+            done = [self.encode(texts[i]) if odd else next(rest) for i, odd in enumerate(strange.tolist())]
+        return done
 
 
 _caches: dict[tuple[str, bool], TokenCache] = {}
 
 
-def cached(path: str, spaces: bool) -> Callable[[list[str]], list[bytes]]:
+def cached(path: str, spaces: bool) -> Callable[[pa.Array], list[bytes]]:
     """The worker's table for a vocabulary file; kept from task to task."""
     if (path, spaces) not in _caches:
         _caches[path, spaces] = TokenCache(path, spaces)
