@@ -184,7 +184,7 @@ def extract_year(date: Column) -> Column:
 def split_sentences(text: Column) -> Column:
     """White space collapsed, cut after every full stop, exclamation or question mark; pieces trimmed, empty ones dropped."""
     pieces = F.regexp_extract_all(collapse_spaces(text), F.lit(r"[^.!?]*[.!?]|[^.!?]+$"), F.lit(0))
-    return F.filter(F.transform(pieces, F.trim), lambda x: x != "")
+    return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def token_estimate(text: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import feedback, search, store
+from . import feedback, listing, search, store, structure, text
 
-PLANS = (search, feedback, store)
+PLANS = (search, feedback, store, text, listing, structure)
 QUERIES = {name: q for p in PLANS for name, q in p.QUERIES.items()}
 ORACLE = {name: sql for p in PLANS for name, sql in p.ORACLE.items()}
