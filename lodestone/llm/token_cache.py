@@ -103,7 +103,7 @@ class TokenCache:
             self.led.clear()
         strange = pc.match_substring_regex(column, _STRANGE if not self.spaces else f"{_STRANGE}| {_SPACE}|{_SPACE} ").to_numpy(zero_copy_only=False)
         plain = column.filter(pa.array(~strange)) if strange.any() else column
-        parts = pc.split_pattern(plain, " ") if self.spaces else pc.ascii_split_whitespace(plain)
+        parts = pc.split_pattern(plain, " ") if self.spaces else pc.ascii_split_whitespace(pc.ascii_lower(plain))
         coded = parts.flatten().dictionary_encode()
         codes, offsets = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
         table = self.led if self.spaces else self.plain
