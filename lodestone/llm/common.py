@@ -76,10 +76,10 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts travel in these batches: Spark's default of 10,000 rows is lowered, a setting of the user's own is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "512")
+    """Whole texts travel in Arrow batches: Spark's default size is lowered to 4 MB, a smaller setting of the user's is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > 4 << 20:
+        spark.conf.set(key, str(4 << 20))
 
 
 def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ from .common import arrow_map, id_text, materialise, read, slices, small_batches
 WIDTH = 100
 GRAM = 32
 CROWDED = 4000
-PART = 1 << 20
+PART = 1 << 19
 
 _RNG = np.random.default_rng(77_003)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
