@@ -173,9 +173,10 @@ def roll_up(children: DataFrame, parent: str) -> DataFrame:
 def hash_embed(text: Column, dimensions: int = 64) -> Column:
     """A stand-in for a model: each word adds 1 or -1 at a hashed place; the sum is made a unit vector (null without words)."""
     words = F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).alias("at"), F.when(F.xxhash64(w, F.lit("sign")) >= 0, 1.0).otherwise(-1.0).alias("sign")))
-    total = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(places, F.lit(0.0), lambda s, p: s + F.when(p["at"] == i, p["sign"]).otherwise(0.0)))
-    return unit(total)
+    # a word's hash gives its place and, by one more bit, its sign; the sum at a place counts one kind less the other
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dimensions)).cast("int"))
+    count = lambda n: F.size(F.filter(places, lambda p: p == n))
+    return unit(F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (count(2 * i) - count(2 * i + 1)).cast("double")))
 
 
 def to_tall(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:

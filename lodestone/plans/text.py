@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators.matching import match_terms
 from ..sources.tables import table
 
 KEYWORDS = "the des und"
@@ -102,9 +103,8 @@ def extract_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark items stand in which documents.  The benchmark is read by size, and sent out only if small (the planner's limit)."""
-    docs, items = _docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("term"))
-    return docs.join(items, T.contains_term(F.col("text"), F.col("term"))).select("item_id", "doc_id")
+    """Which benchmark items stand in which documents."""
+    return match_terms(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", "text")
 
 
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
