@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as X
 from ..operators import store as S
+from ..sources.scratch import shared_dir
 from ..sources.tables import table
 
 
@@ -62,11 +63,7 @@ def texts_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def descendant_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = _tree(spark, sf_dir)
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not shared.isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    shared_dir(spark)  # the closure's levels are checkpointed there
     return S.closure(tree, tree.where("parent_id is null").select("id"))
 
 

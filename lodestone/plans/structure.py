@@ -110,6 +110,7 @@ ORACLE = {
     "global_text_index": 'SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY role, turn) - 1 AS INT) AS "index" FROM conversations',
     "metadata_reshape": """SELECT doc_id, '{"document_id":' || doc_id || ',"source":"' || source || '","prompt_version":null,"metadata":{"lang":"' || lang || '","n_chars":' || n_chars || ',"doi":null}}' AS record FROM documents""",
     "metadata_overflow": "SELECT doc_id, 'extra,note' AS keys, source AS extra FROM documents",
+    "lenient_json": "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN props END AS value, CASE event_id % 5 WHEN 1 THEN 'json_salvaged_obj' WHEN 2 THEN 'python_literal_dict' WHEN 4 THEN 'unparseable' ELSE 'json_ok' END AS reason FROM events",
     "llm_json_extract": f"SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST({_K} AS VARCHAR) END AS k FROM events",
     "prompt_build": """SELECT doc_id, md5('Extract these fields of the document:' || chr(10) || '- title' || chr(10) || '- year' || chr(10) || 'Answer with JSON only:' || chr(10) || '{"title": null, "year": null}' || chr(10) || 'Text:' || chr(10) || substr(text, 1, 100)) AS prompt_md5 FROM documents""",
 }

@@ -181,6 +181,7 @@ ORACLE = {
     "substring_match": "SELECT item_id, doc_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(trim(b.text))) AND trim(b.text) <> ''",
     "highlight_keywords": "SELECT doc_id, regexp_replace(text, '(?i)\\b(the|des|und)\\b', '<strong>\\1</strong>', 'g') AS marked FROM documents",
     "mark_literal": "SELECT doc_id, regexp_replace(text, '(?i)(an\\. the)', '<mark>\\1</mark>', 'g') AS marked FROM documents",
+    "key_phrase": """SELECT doc_id, trim(substr(text, 1, coalesce(list_filter(range(10, 51), lambda n: n <= length(text) AND (n = length(text) OR regexp_matches(substr(text, n + 1, 1), '[.!?,;\\s]')) AND NOT contains(substr(text, 1, n), chr(10)))[1], 50))) AS phrase FROM documents""",
     "snippet_truncate": """SELECT doc_id, CASE WHEN length(l) > 80 THEN rtrim(substr(l, 1, 77)) || '...' ELSE l END AS line, CASE WHEN length(text) > 200 THEN trim(substr(text, 1, 200)) || '...' ELSE text END AS card,
         CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS hard FROM (SELECT doc_id, text, replace(trim(text), chr(10), ' ') AS l FROM documents)""",
     "authors_et_al": f"""SELECT doc_id, CASE WHEN len(n) = 0 THEN '' WHEN len(n) > 2 THEN array_to_string(n[1:2], ', ') || ' et al.' ELSE array_to_string(n, ', ') END AS two,
