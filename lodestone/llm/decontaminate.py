@@ -29,7 +29,7 @@ from .common import arrow_map, id_text, materialise, read, texts
 from .words import WORD_BYTES, words_of
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 300_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
