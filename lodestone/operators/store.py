@@ -86,17 +86,17 @@ def resolve_kind(ids: DataFrame, tables: Sequence[tuple[str, DataFrame]]) -> Dat
     for place, (kind, table) in enumerate(tables):
         rows = table.select("id", F.lit(place).alias("place"), F.lit(kind).alias("kind"))
         known = rows if known is None else known.unionByName(rows)
-    first = known.groupBy("id").agg(F.min_by("kind", "place").alias("kind"))
+    first = known.join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min_by("kind", "place").alias("kind"))
     return ids.select("id").join(first, "id", "left")
 
 
 def count_consistency(parents: DataFrame, rows: DataFrame, parent: str, child_parent: str, expected: Column, strict: bool = False) -> DataFrame:
-    """Parents whose expected count differs from the joined one.
+    """Parents whose expected count differs from the count of their rows in a left join, taken before the join.
 
-    The joined count is of rows of the left join, so a parent without children counts 1; strict counts 0 there."""
-    joined = parents.join(rows.withColumn("child", F.lit(1)), parents[parent] == rows[child_parent], "left")
-    actual = F.count("child") if strict else F.count("*")
-    counts = joined.groupBy(parents[parent]).agg(F.first(expected, ignorenulls=True).alias("expected"), actual.alias("actual"))
+    The left join gives a parent without children one row, so it counts 1; strict counts 0 there."""
+    counted = rows.groupBy(child_parent).agg(F.count("*").alias("n"))
+    joined = parents.select(parent, expected.alias("expected")).join(counted, F.col(parent) == F.col(child_parent), "left")
+    counts = joined.select(parent, "expected", F.coalesce("n", F.lit(0 if strict else 1)).cast("long").alias("actual"))
     return counts.where("expected is not null and expected <> actual")
 
 

@@ -159,9 +159,10 @@ def orphans(vectors: DataFrame, texts: DataFrame, id_col: str = "vec_id", text_i
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    """The last row of each key: partial maxima are shuffled, not all versions of a key."""
+    others = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("last"))
+    return last.select(key, "last.*")
 
 
 def roll_up(children: DataFrame, parent: str) -> DataFrame:
