@@ -8,8 +8,8 @@ known words, hashes found in the set are verified word by word, and the words in
 verified occurrence are hit.
 
 Only a benchmark index of at most BLOCK_WORDS words is broadcast at a time: a larger
-benchmark is taken in blocks, each against all documents, and the hits are united per
-document.  Null or wordless texts have no words and no hits; a null item, or an empty
+benchmark is taken in blocks, each against all documents (a table that reads the same
+each time), and the hits are united per document.  Null or wordless texts have no words and no hits; a null item, or an empty
 benchmark, has no windows.  Repeated documents each get their row; repeated items each
 count under their own id, and a null item id under the name "null".
 """

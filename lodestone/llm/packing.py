@@ -42,25 +42,26 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The most valuable multiset of lengths within capacity (unbounded knapsack by dynamic programming)."""
-    best = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1)
-    by_length = np.argsort(lengths)
-    sorted_lengths = lengths[by_length]
+    worth = np.full(capacity + 1, -np.inf)  # by length
+    worth[lengths] = values
+    best, take = np.zeros(capacity + 1), [0] * (capacity + 1)
+    behind = best[::-1]  # behind[capacity + 1 - c:] is best before c, nearest first
     for c in range(1, capacity + 1):
-        n = np.searchsorted(sorted_lengths, c, "right")
-        best[c] = best[c - 1]
-        if n:
-            got = best[c - sorted_lengths[:n]] + values[by_length[:n]]
-            k = int(np.argmax(got))
-            if got[k] > best[c] + 1e-12:
-                best[c], take[c] = got[k], by_length[k]
+        got = behind[capacity + 1 - c :] + worth[1 : c + 1]
+        k = int(got.argmax())
+        before = best[c - 1]
+        if got[k] > before + 1e-12:
+            best[c], take[c] = got[k], k + 1
+        else:
+            best[c] = before
+    place = {int(n): i for i, n in enumerate(lengths)}
     pattern, c = np.zeros(len(lengths)), capacity
     while c > 0:
-        if take[c] < 0:
-            c -= 1
+        if take[c]:
+            pattern[place[take[c]]] += 1
+            c -= take[c]
         else:
-            pattern[take[c]] += 1
-            c -= lengths[take[c]]
+            c -= 1
     return float(best[capacity]), pattern
 
 
@@ -72,22 +73,24 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, start: list[np
     fit = capacity // lengths
     basis = [np.eye(m)[i] * fit[i] for i in range(m)]
     inverse, x = np.diag(1.0 / fit), demand / fit
-    floor = float((lengths * demand).sum()) / capacity
-    tried, y = list(start), np.ones(m) @ inverse
-    for _ in range(MOST_COLUMNS + len(start)):
-        if x.sum() <= floor * (1 + GAP):
+    least = float((lengths * demand).sum()) / capacity
+    tried, y = list(start), 1.0 / fit
+    for step in range(MOST_COLUMNS + len(start)):
+        if step % 64 == 0:
+            y = inverse.sum(axis=0)  # against drift of the running prices
+        if x.sum() <= least * (1 + GAP):
             break
         column = None
-        while tried:
+        while tried and column is None:
             column = tried.pop()
-            if y @ column > 1 + 1e-9:
-                break
-            column = None
+            if y @ column <= 1 + 1e-9:
+                column = None
         if column is None:
             worth, column = knapsack(y, lengths, capacity)
             if worth <= 1 + 1e-9:
                 break
-        w = inverse @ column
+        used = np.flatnonzero(column)
+        w = inverse[:, used] @ column[used]
         rows = np.flatnonzero(w > 1e-9)
         if not len(rows):
             break
@@ -98,10 +101,12 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, start: list[np
         x[r] = theta
         x[x < 0] = 0
         row = inverse[r] / w[r]
-        inverse -= np.outer(w, row)
+        changed = np.flatnonzero(np.abs(w) > 1e-12)
+        spots = np.flatnonzero(row)
+        inverse[np.ix_(changed, spots)] -= np.outer(w[changed], row[spots])
         inverse[r] = row
         basis[r] = column
-        y = inverse.sum(axis=0)
+        y -= (y @ column - 1) * row
     return basis, x
 
 
