@@ -153,22 +153,31 @@ QUERIES = {
 }
 
 _SPLIT = "list_filter(list_transform(regexp_extract_all(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[^.!?]*[.!?]|[^.!?]+$'), lambda x: trim(x)), lambda x: x <> '')"
-_CHUNKS = f"""RECURSIVE s AS (SELECT doc_id, {_SPLIT} AS s FROM documents),
-    f AS (SELECT doc_id, s FROM s WHERE len(s) > 0 AND list_max(list_transform(s, lambda x: length(x))) <= 600),
-    w AS (SELECT doc_id, s, 1 AS i, length(s[1]) AS cur, 0 AS chunk FROM f
+
+
+def _chunks_sql(source: str, key: str) -> str:
+    """CTEs up to k(key, chunk, content): the packer as a recursion over sentences; source gives key and s, no sentence over 600."""
+    return f"""RECURSIVE f AS ({source}),
+    w AS (SELECT {key}, s, 1 AS i, length(s[1]) AS cur, 0 AS chunk FROM f
           UNION ALL
-          SELECT doc_id, s, i + 1, CASE WHEN brk THEN length(s[i + 1]) ELSE m END, CASE WHEN brk THEN chunk + 1 ELSE chunk END
+          SELECT {key}, s, i + 1, CASE WHEN brk THEN length(s[i + 1]) ELSE m END, CASE WHEN brk THEN chunk + 1 ELSE chunk END
           FROM (SELECT *, cur + 1 + length(s[i + 1]) AS m, cur + 1 + length(s[i + 1]) > 600 OR (cur >= 400 AND abs(cur + 1 + length(s[i + 1]) - 500) > abs(cur - 500)) AS brk FROM w WHERE i < len(s))),
-    c AS (SELECT doc_id, chunk, string_agg(s[i], ' ' ORDER BY i) AS content FROM w GROUP BY 1, 2),
-    l AS (SELECT *, lead(content) OVER (PARTITION BY doc_id ORDER BY chunk) AS nxt, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk) AS prev, max(chunk) OVER (PARTITION BY doc_id) AS last FROM c),
-    k AS (SELECT doc_id, chunk, CASE WHEN chunk = last - 1 AND length(nxt) < 400 AND length(content) + 1 + length(nxt) <= 600 THEN content || ' ' || nxt ELSE content END AS content
+    c AS (SELECT {key}, chunk, string_agg(s[i], ' ' ORDER BY i) AS content FROM w GROUP BY 1, 2),
+    l AS (SELECT *, lead(content) OVER (PARTITION BY {key} ORDER BY chunk) AS nxt, lag(content) OVER (PARTITION BY {key} ORDER BY chunk) AS prev, max(chunk) OVER (PARTITION BY {key}) AS last FROM c),
+    k AS (SELECT {key}, chunk, CASE WHEN chunk = last - 1 AND length(nxt) < 400 AND length(content) + 1 + length(nxt) <= 600 THEN content || ' ' || nxt ELSE content END AS content
           FROM l WHERE NOT (chunk = last AND chunk > 0 AND length(content) < 400 AND length(prev) + 1 + length(content) <= 600))"""
+
+
+_FIT = "len(s) > 0 AND list_max(list_transform(s, lambda x: length(x))) <= 600"
+_CHUNKS = _chunks_sql(f"SELECT doc_id, s FROM (SELECT doc_id, {_SPLIT} AS s FROM documents) WHERE {_FIT}", "doc_id")
+_TURNS = _chunks_sql(f"SELECT conv_id, s FROM (SELECT conv_id, flatten(list(t ORDER BY turn)) AS s FROM (SELECT conv_id, turn, {_SPLIT} AS t FROM conversations) GROUP BY 1) WHERE {_FIT}", "conv_id")
 _NAMES = "(string_split(substr(text, 1, 60), ' '))[1:doc_id % 5]"
 ORACLE = {
     "sentence_split": f"SELECT doc_id, CAST(i - 1 AS INT) AS sentence_no, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SPLIT} AS s FROM documents))",
     "sentence_counts": f"SELECT doc_id, CAST(len(s) AS INT) AS n_sentences, s[1] AS first_sentence, CAST(coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS INT) AS longest FROM (SELECT doc_id, {_SPLIT} AS s FROM documents)",
     "chunk_text": f"WITH {_CHUNKS} SELECT doc_id, CAST(chunk AS INT) AS chunk_index, content, CAST(length(content) AS INT) AS character_count FROM k",
     "chunk_stats": f"WITH {_CHUNKS} SELECT doc_id, CAST(count(*) AS INT) AS n_chunks, CAST(max(length(content)) AS INT) AS longest, CAST(min(length(content)) AS INT) AS shortest FROM k GROUP BY 1",
+    "chunk_paragraphs": f"WITH {_TURNS} SELECT conv_id, CAST(chunk AS INT) AS chunk_index, content FROM k",
     "normalize_text": "SELECT doc_id, trim(trim(regexp_replace(replace(replace(lower(regexp_replace(text, '\\r\\n|\\r|\\n', ' ', 'g')), '- ', '-'), ' -', '-'), '\\s+', ' ', 'g')), '()[]{}:,.;') AS norm FROM documents",
     "slugify": "SELECT page_id, lower(trim(regexp_replace(CASE WHEN regexp_matches(url, '[^/.]\\.[^./]*$') THEN regexp_replace(url, '\\.[^./]*$', '') ELSE url END, '[^0-9a-zA-Z]+', '-', 'g'), '-')) AS slug FROM pages",
     "base36": "WITH RECURSIVE b AS (SELECT doc_id, doc_id * 7919 + n_chars AS n, '' AS code FROM documents UNION ALL SELECT doc_id, n // 36, substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(n % 36 AS INT) + 1, 1) || code FROM b WHERE n > 0 OR code = '') SELECT doc_id, code FROM b WHERE n = 0 AND code <> ''",
