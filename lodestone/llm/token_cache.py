@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 from collections.abc import Callable
 
@@ -23,7 +24,7 @@ _ODD = re.compile("[\x1c-\x1f]")  # white space to Python, not to the library
 _STRANGE = "[\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _SPACE = r"[\t\n\f\r ]"
 _PIECES = re.compile(r"\s*\S+|\s+")
-_ENDS = frozenset(".,;:!?")
+_MARKS = string.punctuation
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
 
 
@@ -51,27 +52,30 @@ class _Table(dict):
     """Ids of pieces, all with the same lead; a piece that is missing is encoded when it is asked for.
 
     A word of Latin letters is one unit to either vocabulary, so its merges alone are run, on the byte
-    alphabet; a word and the mark after it are apart; a vocabulary that lower-cases sees both cases alike.
-    Anything else goes through the whole tokenizer."""
+    alphabet; a word, the marks after it and a lone line break between two pieces are apart; a vocabulary
+    that lower-cases sees both cases alike.  Anything else goes through the whole tokenizer."""
 
-    def __init__(self, tokenizer, lead: str, lower: bool):
+    def __init__(self, tokenizer, lead: str, lower: bool, plain: _Table | None = None):
         self.tokenizer, self.merge, self.lead, self.lower = tokenizer, tokenizer.model.tokenize, lead, lower
         self.glyph, self.most = lead.translate(_ALPHABET), "ÿ" if lower else "ɏ"
-        self.marks = {x: pack(tokenizer.encode(x, add_special_tokens=False).ids) for x in _ENDS}
+        self.plain = self if plain is None else plain
 
     def __missing__(self, p: str) -> bytes:
-        tail = p[-1:]
-        head = p[:-1] if tail in _ENDS else p
-        if not head.isalpha() or not (head.isascii() or max(head) <= self.most):
-            ids = pack(self.tokenizer.encode(self.lead + p, add_special_tokens=False).ids)
-        else:
+        head = p.rstrip(_MARKS)
+        if head.isalpha() and (head.isascii() or max(head) <= self.most):
             if self.lower:
                 head = head.lower()
-            if head != p:
-                ids = self[head] + self.marks[tail] if tail in _ENDS else self[head]
+            if len(head) < len(p):
+                ids = self[head] + self.plain[p[len(head) :]]
+            elif head != p:
+                ids = self[head]
             else:
                 found = [t.id for t in self.merge(self.glyph + (p if p.isascii() else p.encode().decode("latin-1").translate(_ALPHABET)))]
                 ids = _PACK[len(found)](*found) if len(found) < len(_PACK) else pack(found)
+        elif "\n" in p and (parts := p.split("\n")) == p.split():
+            ids = self[parts[0]] + b"".join(self.plain["\n"] + self.plain[x] for x in parts[1:])
+        else:
+            ids = pack(self.tokenizer.encode(self.lead + p, add_special_tokens=False).ids)
         self[p] = ids
         return ids
 
@@ -86,7 +90,8 @@ class TokenCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaces = spaces
-        self.plain, self.led = _Table(self.tokenizer, "", not spaces), _Table(self.tokenizer, " ", not spaces)
+        self.plain = _Table(self.tokenizer, "", not spaces)
+        self.led = _Table(self.tokenizer, " ", not spaces, self.plain)
 
     def encode(self, text: str) -> bytes:
         """One text, whatever its white space."""
