@@ -3,7 +3,7 @@
 Documents are dealt by doc_id ranges and sorted, tokenised, and gathered into shards of
 about SHARD_TOKENS ids.  Per shard, frequent neighbouring pairs of ids are replaced by
 nonterminals, round after round (in a round all pairs above a count are replaced at once,
-left to right, and none across two documents), until no pair is frequent.  A file row
+left to right, and none across two documents), until no pair is frequent or the symbols run out.  A file row
 holds the rules, the length each rule expands to, the compressed symbols, and for each
 document its id, its number of ids and its number of symbols; so a document, or a range
 in it, is decoded without decoding what stands before it.
@@ -32,52 +32,73 @@ from .token_cache import cached, tokenizer_path
 
 SHARD_TOKENS = 1 << 20
 END_ID = 2
-#: A pair is frequent from this count; rounds; and symbols in all (two bytes each).
-FREQUENT, ROUNDS, SYMBOLS = 24, 2, 1 << 16
+#: A pair is frequent from this count; and symbols in all (two bytes each).
+FREQUENT, SYMBOLS = 24, 1 << 16
 TABLE_BITS = 20
 
 
+def rules_at(key: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each pair its place in keys, or -1.  Looked up in a hashed table; pairs whose slot several of keys share are searched for."""
+    slots = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)
+    table, taken = np.full(1 << TABLE_BITS, -1, np.int32), slots(keys)
+    table[taken] = np.arange(len(keys), dtype=np.int32)
+    rule = table[slots(key)]
+    rule[keys[rule] != key] = -1
+    lost = np.flatnonzero(table[taken] != np.arange(len(keys)))
+    for i in lost.tolist():
+        rule[key == keys[i]] = i
+    return rule
+
+
 def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n x 2), symbols, and each document's number of symbols; ids of documents one after another, each below SYMBOLS.
 
-    Pairs are counted in a hashed table in which each slot stands for one pair; a pair that
-    finds its slot taken by another waits for the next round."""
+    Counts are exact.  A round leaves no occurrence of a pair it has a rule for, and no other
+    pair of older symbols can become frequent, so the next round counts only pairs with a new symbol."""
     first = int(ids.max(initial=0)) + 1
     seq, sizes = ids.astype(np.uint16), lengths.astype(np.int64)
     rules: list[np.ndarray] = [np.empty((0, 2), np.uint16)]
-    made = 0
-    owner, rule_of = np.zeros(1 << TABLE_BITS, np.uint32), np.full(1 << TABLE_BITS, -1, np.int32)
-    for _ in range(ROUNDS):
-        room = SYMBOLS - first - made
-        if len(seq) < 2 or room <= 0:
-            break
+    made, near = 0, None  # near: where pairs with a new symbol stand; None is everywhere
+    while (room := SYMBOLS - first - made) > 0 and len(seq) > 1:
         ends = np.cumsum(sizes) - 1
-        key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)
-        owner[slot] = key
-        mine = owner[slot] == key
-        mine[ends[:-1][ends[:-1] < len(mine)]] = False  # no pair across documents
-        counts = np.bincount(slot[mine], minlength=1 << TABLE_BITS)
-        chosen = np.flatnonzero(counts >= FREQUENT)
-        if not len(chosen):
+        inner = np.ones(len(seq), bool)
+        inner[ends[sizes > 0]] = False  # no pair across documents
+        near = np.flatnonzero(inner) if near is None else near[inner[near]]
+        key = (seq[near].astype(np.uint32) << np.uint32(16)) | seq[near + 1]
+        ordered = np.sort(key)
+        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+        counts = np.diff(np.r_[starts, len(ordered)])
+        often = counts >= FREQUENT
+        keys, counts = ordered[starts[often]], counts[often]
+        if not len(keys):
             break
-        chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:room]]
-        rule_of[chosen] = np.arange(len(chosen), dtype=np.int32)
-        rule = rule_of[slot]
+        cut = len(keys) > room
+        keys = keys[np.argsort(-counts, kind="stable")[:room]]
+        rule = rules_at(key, keys)
         # of overlapping matches every second one, from the left
-        at = np.flatnonzero(mine & (rule >= 0))
+        match = rule >= 0
+        at, rule = near[match], rule[match]
         new_run = np.r_[True, at[1:] != at[:-1] + 1]
         run_start = at[new_run][np.cumsum(new_run) - 1]
-        at = at[(at - run_start) % 2 == 0]
-        keys = owner[chosen]
+        left = (at - run_start) % 2 == 0
+        at, rule = at[left], rule[left]
+        used = np.bincount(rule, minlength=len(keys)) > 0
+        number = np.cumsum(used) - 1
+        keys = keys[used]
         rules.append(np.stack([keys >> np.uint32(16), keys & np.uint32(0xFFFF)], axis=1).astype(np.uint16))
-        seq[at] = (first + made + rule[at]).astype(np.uint16)
-        rule_of[chosen] = -1
-        made += len(chosen)
+        seq[at] = (first + made + number[rule]).astype(np.uint16)
+        made += len(keys)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         sizes = sizes - np.diff(np.searchsorted(at, np.r_[0, ends + 1]))
         seq = seq[keep]
+        if cut:
+            near = None
+        else:
+            new = at - np.arange(len(at))
+            mark = np.zeros(len(seq) + 1, bool)
+            mark[new], mark[new - 1] = True, True  # the first one's -1 is the spare place at the end
+            near = np.flatnonzero(mark[:-1])
     return np.concatenate(rules), seq, sizes
 
 

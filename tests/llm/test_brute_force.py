@@ -298,3 +298,21 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
 
 def test_scratch_is_shared(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
+
+
+def test_re_pair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    text = rng.integers(0, 5000, 700).astype(np.uint32)
+    noise = (rng.zipf(1.2, 200_000) % 5000).astype(np.uint32)
+    for ids, lengths in ((np.tile(text, 1000), [700] * 1000), (np.r_[noise, np.tile(text, 60)], [200_000, *[700] * 60]), (np.zeros(50_000, np.uint32), [50_000])):
+        lengths = np.array(lengths)
+        rules, symbols, sizes = token_files.compress(ids, lengths)
+        first = int(ids.max()) + 1
+        assert (token_files.expand(symbols, rules, first) == ids).all() and len(np.unique(rules, axis=0)) == len(rules)
+        inner = np.ones(len(symbols), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        at = np.flatnonzero(inner)
+        pairs = (symbols[at].astype(np.uint32) << 16) | symbols[at + 1]
+        assert first + len(rules) == token_files.SYMBOLS or np.unique(pairs, return_counts=True)[1].max(initial=0) < token_files.FREQUENT
+    rules, symbols, _ = token_files.compress(np.tile(text, 1000), np.full(1000, 700))
+    assert len(symbols) < 700_000 / 100
