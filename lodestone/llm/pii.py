@@ -12,8 +12,8 @@ and last source character behind it.  Added spans are those that overlap no base
 of their kind; base spans always stay.  A plain text (no trigger of any transducer) is
 not rewritten at all.
 
-Guards for prose: an "at" without brackets counts only before a host that ends in one
-of a few fixed endings; spelled digits only in runs of seven or more.
+Guards for prose: an "at" without brackets counts only before a host with a known ending
+and not after a few words of prose; spelled digits only in runs of seven or more.
 
 Offsets are code points, end exclusive.  Null text is empty and has no spans; repeated
 rows each get their row; an empty table gives an empty result.  All scans are linear:
@@ -142,13 +142,33 @@ _AT_BRACKET = re.compile(rf"(?i){_OPEN}(?:at|@|arroba|chez){_CLOSE}")
 _DOT_BRACKET = re.compile(rf"(?i){_OPEN}(?:dot|punto|punkt|point|\.){_CLOSE}")
 _DOT_WORD = re.compile(r"(?i)(?<=[A-Za-z0-9-])[ \t]+(?:dot)[ \t]+(?=[A-Za-z0-9])")
 _DOTTED_HOST = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-#: Endings that a host after a bare "at" must have, fixed values: none is a common word of prose.
-_ENDINGS = "com|org|net|edu|gov|info|biz|io|dev|app|eu|de|fr|uk|ch|nl|pl|ru|jp|cn|br|ca|au"
+#: Endings that a host after a bare "at" must have, fixed values: common ones, and the countries', which are not of mixed case ("at home.It").
+_COUNTRIES = (
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu "
+    "fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly "
+    "ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz "
+    "tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+).replace(" ", "|")
+_ENDINGS = f"com|org|net|edu|gov|mil|int|info|biz|name|pro|dev|app|xyz|online|site|shop|store|tech|cloud|email|blog|mobi|coop|aero|museum|jobs|travel|cat|asia|(?-i:{_COUNTRIES}|{_COUNTRIES.upper()})"
 _AT_WORD = re.compile(rf"(?i)(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{_ENDINGS})(?![A-Za-z0-9-]))")
+#: Words of prose before "at", fixed values: "look at example.com" names a site.
+_NO_MAILBOX = frozenset("look looks looked looking available hosted located found posted published us me him her them it is are was were be been online here there".split())
+#: Nor does an article start a host of a country: "at the dot in the end".
+_NO_HOST = re.compile(rf"(?i)(?:the|an?|this|that|my|your|our|his|her|its|their|each)\.(?:{_COUNTRIES})(?![A-Za-z0-9.-])")
+_LAST_WORD = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z]+\Z")
 _SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?={_DOTTED_HOST})|(?<=[A-Za-z0-9])@[ \t]+(?={_DOTTED_HOST})")
 _DISGUISE = re.compile(r"(?i)[\[({<][ \t]*(?:at|@|arroba|chez|dot|punto|punkt|point|\.)[ \t]*[\])}>]|[ \t]dot[ \t]|[ \t]@|@[ \t]")
 
 
+def _disguised(text: str) -> bool:
+    return bool(_DISGUISE.search(text) or _AT_WORD.search(text))
+
+
+def _at_word(m: re.Match[str]) -> str | None:
+    word = _LAST_WORD.search(m.string, max(0, m.start() - 12), m.start())
+    return None if word and word[0].lower() in _NO_MAILBOX or _NO_HOST.match(m.string, m.end()) else "@"
+
+
 def _glyph(m: re.Match[str]) -> str:
     return GLYPHS[ord(m[0])]
 
@@ -166,21 +186,21 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only the normalised text shows."""
     glyph = not text.isascii() and bool(_GLYPH.search(text) or _INVISIBLE.search(text))
     spelled = bool(_SPELLED_RUN.search(text))
-    disguised = bool(_DISGUISE.search(text))
+    disguised = _disguised(text)
     if not (glyph or spelled or disguised):
         return {}
     tape, found = Tape(text), {}
     if glyph:
         tape.rewrite(_INVISIBLE, lambda m: "")
         tape.rewrite(_GLYPH, _glyph)
-        spelled, disguised = bool(_SPELLED_RUN.search(tape.text)), bool(_DISGUISE.search(tape.text))
+        spelled, disguised = bool(_SPELLED_RUN.search(tape.text)), _disguised(tape.text)
     if spelled:
         _spelled(tape)
     if disguised:
         tape.rewrite(_AT_BRACKET, lambda m: "@")
         tape.rewrite(_DOT_BRACKET, lambda m: ".")
         tape.rewrite(_DOT_WORD, lambda m: ".")
-        tape.rewrite(_AT_WORD, lambda m: "@")
+        tape.rewrite(_AT_WORD, _at_word)
         tape.rewrite(_SPACED_AT, lambda m: "@")
     if tape.text == text:
         return {}

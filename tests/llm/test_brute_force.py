@@ -316,3 +316,11 @@ def test_re_pair_goes_on_until_no_pair_is_frequent():
         assert first + len(rules) == token_files.SYMBOLS or np.unique(pairs, return_counts=True)[1].max(initial=0) < token_files.FREQUENT
     rules, symbols, _ = token_files.compress(np.tile(text, 1000), np.full(1000, 700))
     assert len(symbols) < 700_000 / 100
+
+
+@pytest.mark.parametrize("found", ["jane at example.com", "jane at mail.example.se", "anna at posta dot it", "ANNA at POSTA.ES", "bob.k at firm.us", "eve at home.me", "raj at mail.co.in"])
+def test_pii_bare_at(found):
+    base, more = pii.spans_of(t := f"write to {found} today")
+    assert not any(base.values()) and [t[a:b] for a, b in more["email"]] == [found]
+    for prose in ("we met at home.It was late", "look at example.com now", "at example.com", "at 3.5 percent", "we arrive at noon.then we left"):
+        assert not pii.spans_of(prose)[1], prose
