@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, materialise, read, slices, small_batches
-from .token_cache import cached, tokenizer_path
+from .token_cache import library_ids, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 0
@@ -180,7 +180,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = cached(path, spaces), TaskContext.get().partitionId(), Counter()
+        encode, part, seen = library_ids(path, spaces), TaskContext.get().partitionId(), Counter()
         for whole in batches:
             for b in slices(whole, 4 << 20):
                 rows = []

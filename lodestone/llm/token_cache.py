@@ -142,3 +142,37 @@ def cached(path: str, spaces: bool) -> Callable[[pa.Array], list[bytes]]:
     if (path, spaces) not in _caches:
         _caches[path, spaces] = TokenCache(path, spaces)
     return _caches[path, spaces].encode_all
+
+
+_special: dict[str, Callable[[str], bytes]] = {}
+
+
+def _whole(path: str) -> Callable[[str], bytes]:
+    """The library as it comes, on whole texts; loaded when a text needs it."""
+    if path not in _special:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        _special[path] = lambda text: pack(tokenizer.encode(text, add_special_tokens=False).ids)
+    return _special[path]
+
+
+def library_ids(path: str, spaces: bool) -> Callable[[pa.Array], list[bytes]]:
+    """As cached, but as the library has it by default: an added token's string in a text is that token.
+
+    Such texts go whole through the library; their number does not matter to the others."""
+    encode = cached(path, spaces)
+    added = re.compile("|".join(re.escape(t.content) for t in _caches[path, spaces].tokenizer.get_added_tokens_decoder().values()))
+
+    def ids(column: pa.Array) -> list[bytes]:
+        column = pc.fill_null(column.cast(pa.string()), "")
+        marked = pc.match_substring_regex(column, added.pattern) if added.pattern else pa.array([False] * len(column))
+        if not pc.any(marked).as_py():
+            return encode(column)
+        done = encode(pc.if_else(marked, "", column))
+        whole = _whole(path)
+        for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
+            done[i] = whole(column[i].as_py())
+        return done
+
+    return ids

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, read, scratch_path, slices, small_batches
-from .token_cache import cached, tokenizer_path
+from .token_cache import library_ids, tokenizer_path
 
 SHARD_TOKENS = 1 << 20
 END_ID = 2
@@ -152,7 +152,7 @@ def shards(docs: DataFrame, path: str, spaces: bool, end_id: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in FILE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, shard = cached(path, spaces), TaskContext.get().partitionId(), 0
+        encode, part, shard = library_ids(path, spaces), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
         for whole in batches:

@@ -324,3 +324,36 @@ def test_pii_bare_at(found):
     assert not any(base.values()) and [t[a:b] for a, b in more["email"]] == [found]
     for prose in ("we met at home.It was late", "look at example.com now", "at example.com", "at 3.5 percent", "we arrive at noon.then we left"):
         assert not pii.spans_of(prose)[1], prose
+
+
+MARKED = ["end of page <|endoftext|> next page", "<|startoftext|>a<|endoftext|>", "<|ENDOFTEXT|> B", "<|endoftext|", "é  <|endoftext|>\n\n x", None, "", "plain text"]
+
+
+@pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_are_as_in_the_library(name, spaces):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_cache.tokenizer_path(name)
+    plain, rng = Tokenizer.from_file(path), random.Random(6)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", "A", "é", " ", "\n", "\xa0", ".", "the"]
+    texts = MARKED + ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(1000)]
+    for t, ids in zip(texts, token_cache.library_ids(path, spaces)(pa.array(texts))):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_operators_keep_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    df = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string").repartition(2)
+    files, at, want = scratch_path(spark, "marked"), 0, {}
+    token_files.write_ids(df, files)
+    words, byte = (Tokenizer.from_file(token_cache.tokenizer_path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    for i, t in enumerate(MARKED):
+        ids = np.array(words.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        want[i] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_back(spark, files).collect()} == want
+    ids = {i: np.array(byte.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for i, t in enumerate(MARKED)}
+    for r in packing.pack(df).collect():
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()))
