@@ -46,9 +46,18 @@ def chunk_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("character_count", F.length("content"))
 
 
-def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stats(chunks: DataFrame) -> DataFrame:
     size = F.transform("chunks", F.length)
-    return _chunks(spark, sf_dir).select("doc_id", F.size("chunks").alias("n_chunks"), F.coalesce(F.array_max(size), F.lit(0)).alias("longest"), F.coalesce(F.array_min(size), F.lit(0)).alias("shortest"))
+    return chunks.select("doc_id", F.size("chunks").alias("n_chunks"), F.coalesce(F.array_max(size), F.lit(0)).alias("longest"), F.coalesce(F.array_min(size), F.lit(0)).alias("shortest"))
+
+
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(_chunks(spark, sf_dir))
+
+
+def chunk_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, as chunk_text_all."""
+    return _stats(_chunks(spark, sf_dir, True))
 
 
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +156,7 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sentence_split, sentence_counts, chunk_text, chunk_text_all, chunk_stats, chunk_overlap, chunk_paragraphs, hard_split, normalize_text, normalise_content, slugify, base36, human_id,
+        sentence_split, sentence_counts, chunk_text, chunk_text_all, chunk_stats, chunk_stats_all, chunk_overlap, chunk_paragraphs, hard_split, normalize_text, normalise_content, slugify, base36, human_id,
         citation_key, extract_year, substring_match, fuzzy_match, highlight_keywords, mark_literal, key_phrase, snippet_truncate, authors_et_al, format_author, token_estimate,
     )
 }
