@@ -11,6 +11,7 @@ from ..sources.tables import table
 from .search import UNIT
 
 POSITIVE, NEGATIVE = "quality = 1 AND toxic = 0 AND doc_id < 200", "toxic = 1 AND doc_id < 200"
+ALL_POSITIVE, ALL_NEGATIVE = "quality = 1 AND toxic = 0", "toxic = 1"
 
 
 def _feedback(spark: SparkSession, sf_dir: str, positive: str, negative: str) -> DataFrame:
@@ -27,6 +28,15 @@ def rocchio_positive_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feedback(spark, sf_dir, POSITIVE, "false")
 
 
+def rocchio_rerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labelled documents."""
+    return _feedback(spark, sf_dir, ALL_POSITIVE, ALL_NEGATIVE)
+
+
+def rocchio_positive_only_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feedback(spark, sf_dir, ALL_POSITIVE, "false")
+
+
 def rocchio_no_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feedback(spark, sf_dir, "false", "false")
 
@@ -56,7 +66,7 @@ def label_command_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.parse_commands(words, "user_id", "position", "word").select("user_id", "position", "word", "label")
 
 
-QUERIES = {f.__name__: f for f in (rocchio_rerank, rocchio_positive_only, rocchio_no_labels, centroid_by_label, label_fold, session_reset, label_command_parse)}
+QUERIES = {f.__name__: f for f in (rocchio_rerank, rocchio_positive_only, rocchio_rerank_all, rocchio_positive_only_all, rocchio_no_labels, centroid_by_label, label_fold, session_reset, label_command_parse)}
 
 
 def _sql(positive: str, negative: str) -> str:

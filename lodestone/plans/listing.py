@@ -47,10 +47,19 @@ def documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.lit(page).alias("page"), X.total_pages(F.col("n"), SIZE).alias("total_pages"), F.lit((page - 1) * SIZE + 1).alias("showing_start"), F.least(F.lit(page * SIZE), "n").cast("int").alias("showing_end"), "doc_id")
 
 
-def pagination_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey <= 400").select(F.col("o_orderkey").cast("int").alias("key"))
+def _strips(orders: DataFrame) -> DataFrame:
+    rows = orders.select(F.col("o_orderkey").alias("key"))
     rows = rows.select("key", (F.col("key") % 12 + 1).alias("total"), ((F.col("key") * 7) % (F.col("key") % 12 + 1) + 1).alias("current"))
-    return rows.select("key", F.array_join(X.pagination_strip(F.col("current"), F.col("total")), " ").alias("strip"))
+    return rows.select("key", F.array_join(X.pagination_strip(F.col("current").cast("int"), F.col("total").cast("int")), " ").alias("strip"))
+
+
+def pagination_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strips(table(spark, sf_dir, "orders").where("o_orderkey <= 400")).withColumn("key", F.col("key").cast("int"))
+
+
+def pagination_strip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders; keys stay as wide as they are."""
+    return _strips(table(spark, sf_dir, "orders"))
 
 
 def upload_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +80,7 @@ def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_requests", (F.col("n_requests") > 2).alias("limited"))
 
 
-QUERIES = {f.__name__: f for f in (documents_list, list_limit, documents_sorted, documents_page, pagination_strip, upload_stats, upload_progress, rate_window)}
+QUERIES = {f.__name__: f for f in (documents_list, list_limit, documents_sorted, documents_page, pagination_strip, pagination_strip_all, upload_stats, upload_progress, rate_window)}
 ORACLE = {
     "documents_list": "SELECT doc_id AS id, substr(text, 1, 40) AS title, source AS authors, CAST(NULL AS INT) AS year, 1 AS page_count, '/data/' || source AS source_path FROM documents",
     "list_limit": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50",

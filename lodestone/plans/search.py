@@ -39,13 +39,22 @@ def vector_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.to_tall(row).select("vec_id", F.col("idx").cast("int").alias("idx"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-def knn_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _batch(spark: SparkSession, sf_dir: str, asked: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    queries = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = vectors.where(asked).select(F.col("vec_id").alias("query_id"), "embedding")
     found = V.knn_batch(vectors, queries, 5)
     return found.select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("score"))
 
 
+def knn_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batch(spark, sf_dir, "vec_id < 20")
+
+
+def knn_topk_batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector asks, so the queries grow with the table."""
+    return _batch(spark, sf_dir, "vec_id % 100 = 0")
+
+
 def search_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").where("lang = 'en'")
     return V.shown(V.hydrate(_hits(spark, sf_dir, 50), texts), "vec_id", "lang", F.substring("text", 1, 60).alias("snippet"))
@@ -104,7 +113,7 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("item_id", V.hash_embed(F.col("text"), 32).alias("v")).select("item_id", F.array_join(F.transform("v", lambda x: F.round(x, 6).cast("string")), " ").alias("embedding"))
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, vector_normalize, vector_list, vector_get, knn_topk_batch, search_hydrated, search_with_document, collapse_by_document, score_band, orphan_vectors, orphan_vector_count, vector_delete, vector_upsert, page_embedding_rollup, hash_embed)}
+QUERIES = {f.__name__: f for f in (knn_topk, vector_normalize, vector_list, vector_get, knn_topk_batch, knn_topk_batch_all, search_hydrated, search_with_document, collapse_by_document, score_band, orphan_vectors, orphan_vector_count, vector_delete, vector_upsert, page_embedding_rollup, hash_embed)}
 ORACLE = {
     "knn_topk": f"WITH {HITS} SELECT rank, vec_id, round(c, 6) AS score, round(sqrt(greatest(0, 2 - 2 * c)), 6) AS distance FROM t WHERE rank <= 10",
     "vector_normalize": f"WITH {UNIT} SELECT vec_id, CAST(i - 1 AS INT) AS pos, round(v[i], 6) AS value FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM u)",

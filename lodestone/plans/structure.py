@@ -32,14 +32,22 @@ def markup_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.col("i").cast("int").alias("paragraph_no"), "text")
 
 
-def parse_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _coords(items: DataFrame) -> DataFrame:
     """Boxes made of line items: some parts are short, some are not numbers."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
     text = F.concat_ws(";", F.concat_ws(",", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string"), F.lit("2"), F.lit("10"), F.lit("5.5")), F.when(F.col("l_orderkey") % 2 == 0, "1,2,3"), F.when(F.col("l_orderkey") % 3 == 0, "x,1,1,1,1"))
     rows = items.select("l_orderkey", "l_linenumber", M.parse_coords(text).alias("b"))
     return rows.select("l_orderkey", "l_linenumber", F.size("b").alias("n_boxes"), M.first_page(F.col("b")).alias("page"), F.col("b")[0]["x2"].alias("x2"), F.col("b")[0]["y2"].alias("y2"))
 
 
+def parse_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coords(table(spark, sf_dir, "lineitem").where("l_linenumber <= 3"))
+
+
+def parse_coords_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items."""
+    return _coords(table(spark, sf_dir, "lineitem"))
+
+
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = M.headings(M.tei(_tei(spark, sf_dir)))
     return h.select("heading_id", "document_id", "section", "title", "index", "page_number")
@@ -95,7 +103,7 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.prompt(["title", "year"], F.substring("text", 1, 100))).alias("prompt_md5"))
 
 
-QUERIES = {f.__name__: f for f in (markup_title, markup_paragraphs, parse_coords, headings, paragraphs_by_page, relationship_edges, snapshot_counts, global_text_index, metadata_reshape, metadata_overflow, lenient_json, llm_json_extract, prompt_build)}
+QUERIES = {f.__name__: f for f in (markup_title, markup_paragraphs, parse_coords, parse_coords_all, headings, paragraphs_by_page, relationship_edges, snapshot_counts, global_text_index, metadata_reshape, metadata_overflow, lenient_json, llm_json_extract, prompt_build)}
 _K = "CAST(json_extract(props, '$.k') AS INT)"
 _P = "list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')))"
 _H = "regexp_replace(trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)), '[<&>]', ' ', 'g')"

@@ -46,3 +46,26 @@ def test_chunks_of_all_documents(spark, small, tmp_path):
     sizes = {r.doc_id: (r.n_chunks, r.longest, r.shortest) for r in catalogue.QUERIES["chunk_stats_all"](spark, str(tmp_path)).collect()}
     assert sizes == {d: (len(c), max(map(len, c), default=0), min(map(len, c), default=0)) for d, c in want.items()}
     assert len(sizes) > catalogue.QUERIES["chunk_stats"](spark, str(tmp_path)).count()
+
+
+@pytest.mark.parametrize(
+    ("name", "cut", "whole"),
+    [
+        ("knn_topk_batch", "q.vec_id < 20", "q.vec_id % 100 = 0"), ("rocchio_rerank", " AND doc_id < 200", ""), ("rocchio_positive_only", " AND doc_id < 200", ""),
+        ("pagination_strip", "WHERE o_orderkey <= 400", ""), ("parse_coords", "WHERE l_linenumber <= 3", ""),
+    ],
+)
+def test_whole_tables(spark, small, name, cut, whole):
+    """The twin of the part, less its cut."""
+    data = small.replace("sf0.001", "sf0.01")  # the smallest tables have no labels beyond the cut
+    con = duckdb.connect()
+    for t in ("embeddings", "labels", "orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    sql = catalogue.ORACLE[name]
+    assert cut in sql
+    relation = con.sql(sql.replace(cut, whole).replace("CAST(o_orderkey AS INT)", "o_orderkey"))
+    plain = lambda v: float(v) if type(v).__name__ == "Decimal" else v
+    df = catalogue.QUERIES[f"{name}_all"](spark, data).select(*relation.columns)
+    got = sorted(repr([plain(v) for v in r]) for r in df.collect())
+    assert got == sorted(repr([plain(v) for v in r]) for r in relation.fetchall())
+    assert got != sorted(repr([plain(v) for v in r]) for r in con.sql(sql).fetchall())
