@@ -22,6 +22,7 @@ Repeated rows each get their row; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
@@ -46,24 +47,45 @@ OWN = {
 TAG = "spdx license identifier"
 #: Licence identifiers, by how freely their text may be reused.
 FREE = "mit apache-2.0 bsd-2-clause bsd-3-clause isc zlib unlicense cc0-1.0 cc-by-4.0 0bsd bsl-1.0".split()
-STRICT = "gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-3.0 lgpl-3.0-only agpl-3.0 agpl-3.0-only mpl-2.0 epl-2.0 cc-by-sa-4.0 cc-by-nc-4.0 cc-by-nc-sa-4.0".split()
+STRICT = [f"{x}{y}" for x in "gpl-1.0 gpl-2.0 gpl-3.0 lgpl-2.0 lgpl-2.1 lgpl-3.0 agpl-1.0 agpl-3.0".split() for y in ("", "-only", "-or-later")] + "mpl-2.0 epl-2.0 cc-by-sa-4.0 cc-by-nc-4.0 cc-by-nc-sa-4.0".split()
 KNOWN = dict.fromkeys(FREE, 2) | dict.fromkeys(STRICT, 0)
 #: Binding strength; WITH binds its exception to one licence.
 STRENGTH = {"or": 1, "and": 2, "with": 3}
-_TAG_TEXT = re.compile(rb"spdx-license-identifier[^\S\n]*:[^\S\n]*([^\n]{0,2000})", re.I)
+_TAG = re.compile(rb"spdx-license-identifier[^\S\n]*+:[^\S\n]*+", re.I)
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+:_-]+)")
+#: What an unknown identifier looks like; in prose ("MIT and see the file") no word does.
+_SHAPE = re.compile(r"(?=.*[A-Za-z])(?:.*[0-9+]|.+-.+|[A-Z]{3,}$)")
+
+
+def tagged_texts(text: bytes) -> Iterator[str]:
+    """What follows each identifier tag, up to the end of its line or the next tag."""
+    tags = [m.span() for m in _TAG.finditer(text)]
+    for (_, a), (b, _) in zip(tags, [*tags[1:], (len(text), 0)]):
+        end = text.find(b"\n", a, b)
+        yield text[a : b if end < 0 else end].decode(errors="replace")
+
+
+def is_operand(expression: str, m: re.Match[str], operator: str | None) -> bool:
+    """Whether an unknown identifier is an operand: one after an operator, or the first one before an operator.
+
+    Operators in capitals take any word, others (prose has them too) only what looks like an identifier."""
+    if operator is None:
+        then = _TOKEN.match(expression, m.end())
+        operator = then[1] if then and then[1].lower() in STRENGTH else None
+    return operator is not None and m[1][0].isalnum() and (operator.isupper() or bool(_SHAPE.match(m[1].rstrip("."))))
 
 
 def parse(expression: str) -> tuple[list[str], int, list[str]] | None:
     """Reverse Polish form, freedom (2 free, 1 loosened, 0 strict) and identifiers; None where it does not parse.
 
-    The longest leading part that is an expression counts, as prose may follow it on the line."""
+    The longest leading part that is an expression counts, as prose may follow it on the line.
+    An unknown identifier is strict; alone it is no expression."""
     output: list[str] = []
     ops: list[str] = []
     want_operand, best, depth = True, None, 0
-    at = 0
+    at, operator, operands, known = 0, None, 0, False
     while m := _TOKEN.match(expression, at):
-        token, at = m[1].lower(), m.end()
+        token, at = m[1].lower().rstrip("."), m.end()
         if token == "(":
             if not want_operand:
                 break
@@ -82,17 +104,21 @@ def parse(expression: str) -> tuple[list[str], int, list[str]] | None:
             while ops and ops[-1] != "(" and STRENGTH[ops[-1]] >= STRENGTH[token]:
                 output.append(ops.pop())
             ops.append(token)
-            want_operand = True
+            want_operand, operator = True, m[1]
             continue
         else:
             exception = bool(ops) and ops[-1] == "with" and want_operand
-            if not want_operand or not (exception or token.rstrip("+") in KNOWN or token.startswith("licenseref-")):
+            named = token.rstrip("+") in KNOWN or token.startswith("licenseref-")
+            if not want_operand or not (exception or named or is_operand(expression, m, operator)):
                 break
             output.append(token)
+            operands += not exception
+            known |= named
             want_operand = False
-        if not want_operand and not depth:
-            best = [*output, *reversed(ops)]
-    return (best, *value(best)) if best else None
+        if not want_operand and not depth and (known or operands > 1):
+            best = len(output), [*reversed(ops)]
+    rpn = output[: best[0]] + best[1] if best else []
+    return (rpn, *value(rpn)) if best else None
 
 
 def value(rpn: list[str]) -> tuple[int, list[str]]:
@@ -132,8 +158,8 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, list[str], list
         else:
             tagged = True
     score = 0.9 if base else 0.6 if labels else 0.0
-    for m in _TAG_TEXT.finditer(text) if tagged else ():
-        parsed = parse(m[1].decode(errors="replace"))
+    for expression in tagged_texts(text) if tagged else ():
+        parsed = parse(expression)
         if parsed is None:
             labels.add("expression:invalid")
             score = max(score, 0.3)

@@ -357,3 +357,23 @@ def test_operators_keep_added_tokens(spark):
     ids = {i: np.array(byte.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for i, t in enumerate(MARKED)}
     for r in packing.pack(df).collect():
         assert (r.doc_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()))
+
+
+@pytest.mark.parametrize(
+    ("expression", "freedom"),
+    [
+        ("MIT AND AGPL-3.0-or-later", 0), ("LGPL-2.1-or-later", 0), ("MIT AND Foo-1.0", 0), ("MIT OR Foo-1.0", 2), ("MIT AND curl", 0), ("Foo-1.0 AND MIT", 0), ("Foo-1.0 OR MIT", 2),
+        ("MIT AND (Foo-1.0 OR ISC)", 2), ("MIT and see the file", 2), ("MIT and for more", 2), ("MIT AND Apache-2.0.", 2), ("MIT */", 2), ("OR ".join(["MIT "] * 2000) + "AND (ISC AND GPL-2.0-only)", 2), (" AND ".join(["MIT"] * 2000) + " AND GPL-2.0-only", 0),
+    ],
+)
+def test_licence_operands_are_kept(expression, freedom):
+    assert licences.parse(expression)[1] == freedom
+    labels = licences.scan(f"x\n# SPDX-License-Identifier: {expression}\nGPL-2.0-only".encode())[5]
+    assert ("expression:permissive" in labels, "expression:restricted" in labels, "expression:invalid" in labels) == (freedom == 2, freedom == 0, False)
+
+
+def test_licence_tags_on_one_line_and_lone_unknowns():
+    labels = licences.scan(b"SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0-only")[5]
+    assert "spdx:mit" in labels and "spdx:gpl-2.0-only" in labels
+    assert licences.parse("Foo-1.0") is None and licences.parse("Foo-1.0 AND") is None and licences.parse("here or there") is None
+    licences.scan(b"SPDX-License-Identifier: " + b"MIT OR " * 100_000 + b"ISC " + b"SPDX-License-Identifier:" * 20_000)
