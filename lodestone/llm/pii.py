@@ -13,7 +13,8 @@ of their kind; base spans always stay.  A plain text (no trigger of any transduc
 not rewritten at all.
 
 Guards for prose: an "at" without brackets counts only before a host with a known ending
-and not after a few words of prose; spelled digits only in runs of seven or more.
+and not after a few words of prose; spelled digits only where the detector accepts what
+they make, with numerals among them or not.
 
 Offsets are code points, end exclusive.  Null text is empty and has no spans; repeated
 rows each get their row; an empty table gives an empty result.  All scans are linear:
@@ -135,8 +136,11 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _GLYPH = re.compile(f"[{re.escape(''.join(map(chr, GLYPHS)))}]")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
 _DIGIT_WORD = "|".join(SPELLED)
-_SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_])(?:(?:{_DIGIT_WORD})(?:[ ,.-]{{1,3}}(?:{_DIGIT_WORD}|[0-9]+)){{6,40}})(?![^\W_])")
-_SPELLED_ONE = re.compile(rf"(?i)({_DIGIT_WORD})")
+_DIGIT_TOKEN = rf"(?:(?:{_DIGIT_WORD})|[0-9]++)(?![^\W_])"
+_BETWEEN = r"[ ,.()-]{1,3}"
+_SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_]){_DIGIT_TOKEN}(?:{_BETWEEN}{_DIGIT_TOKEN})++")
+_SPELLED_PART = re.compile(rf"(?i)({_DIGIT_WORD})|([0-9]+)|([ ,.()-]+)")
+_SPELLED_WORD = re.compile(rf"(?i)(?<![^\W_])(?:{_DIGIT_WORD})(?![^\W_])")
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _AT_BRACKET = re.compile(rf"(?i){_OPEN}(?:at|@|arroba|chez){_CLOSE}")
 _DOT_BRACKET = re.compile(rf"(?i){_OPEN}(?:dot|punto|punkt|point|\.){_CLOSE}")
@@ -173,19 +177,32 @@ def _glyph(m: re.Match[str]) -> str:
     return GLYPHS[ord(m[0])]
 
 
-def _spelled(tape: Tape) -> None:
-    """Each spelled digit of a long enough run becomes its digit; a single separating space stays one."""
-    runs = [m.span() for m in _SPELLED_RUN.finditer(tape.text)]
-    if runs:
-        inside = lambda m: any(a <= m.start() and m.end() <= b for a, b in runs)
-        tape.rewrite(_SPELLED_ONE, lambda m: SPELLED[m[1].lower()] if inside(m) else None)
-        tape.rewrite(re.compile(r"(?<=[0-9]),? +(?=[0-9])"), lambda m: " " if m[0] != " " else None)
+def _spelled_edits(text: str) -> dict[int, str]:
+    """What stands for the words, and the separators between digits, of runs that may hold a hit: by place.
+
+    Enough digits for a phone after a plus or for a card, or dots for an ip, are asked for; the detectors judge the rest."""
+    edits: dict[int, str] = {}
+    for run in _SPELLED_RUN.finditer(text):
+        parts = list(_SPELLED_PART.finditer(run[0]))
+        words = sum(1 for m in parts if m[1])
+        digits = words + sum(len(m[2]) for m in parts if m[2])
+        plus = run.start() > 0 and text[run.start() - 1] == "+"
+        if not words or not (digits >= 13 or digits >= 9 and plus or run[0].count(".") >= 3):
+            continue
+        for i, m in enumerate(parts):
+            if m[1]:
+                edits[run.start() + m.start()] = SPELLED[m[1].lower()]
+            elif m[3] and not set(m[3]) & set("()"):
+                a, b = parts[i - 1], parts[i + 1]
+                digit_by_digit = (a[1] or b[1]) and len(a[2] or "1") == len(b[2] or "1") == 1
+                edits[run.start() + m.start()] = "." if "." in m[3] else "" if digit_by_digit and m[3] in (" ", "-") else "-" if "-" in m[3] else " "
+    return edits
 
 
 def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans that only the normalised text shows."""
+    """Spans that only the normalised text shows: first without, then with spelled digits rewritten."""
     glyph = not text.isascii() and bool(_GLYPH.search(text) or _INVISIBLE.search(text))
-    spelled = bool(_SPELLED_RUN.search(text))
+    spelled = bool(_SPELLED_WORD.search(text))
     disguised = _disguised(text)
     if not (glyph or spelled or disguised):
         return {}
@@ -193,26 +210,31 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     if glyph:
         tape.rewrite(_INVISIBLE, lambda m: "")
         tape.rewrite(_GLYPH, _glyph)
-        spelled, disguised = bool(_SPELLED_RUN.search(tape.text)), _disguised(tape.text)
-    if spelled:
-        _spelled(tape)
+        spelled, disguised = bool(_SPELLED_WORD.search(tape.text)), _disguised(tape.text)
     if disguised:
         tape.rewrite(_AT_BRACKET, lambda m: "@")
         tape.rewrite(_DOT_BRACKET, lambda m: ".")
         tape.rewrite(_DOT_WORD, lambda m: ".")
         tape.rewrite(_AT_WORD, _at_word)
         tape.rewrite(_SPACED_AT, lambda m: "@")
-    if tape.text == text:
-        return {}
+    if tape.text != text:
+        _add(tape, base, found)
+    if spelled and (edits := _spelled_edits(tape.text)):
+        tape.rewrite(_SPELLED_PART, lambda m: edits.get(m.start()))
+        _add(tape, {k: sorted(base[k] + found.get(k, [])) for k in KINDS}, found)
+    return found
+
+
+def _add(tape: Tape, base: dict[str, list[Span]], found: dict[str, list[Span]]) -> None:
+    """Adds the tape's spans that overlap none of base."""
     for kind in KINDS:
         taken, i = base[kind], 0
         for span in DETECT[kind](tape.text):
             a, b = tape.source(span)
             while i < len(taken) and taken[i][1] <= a:
                 i += 1
-            if (i == len(taken) or taken[i][0] >= b) and text[a:b]:
+            if (i == len(taken) or taken[i][0] >= b) and a < b:
                 found.setdefault(kind, []).append((a, b))
-    return found
 
 
 def spans_of(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:

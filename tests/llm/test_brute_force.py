@@ -377,3 +377,20 @@ def test_licence_tags_on_one_line_and_lone_unknowns():
     assert "spdx:mit" in labels and "spdx:gpl-2.0-only" in labels
     assert licences.parse("Foo-1.0") is None and licences.parse("Foo-1.0 AND") is None and licences.parse("here or there") is None
     licences.scan(b"SPDX-License-Identifier: " + b"MIT OR " * 100_000 + b"ISC " + b"SPDX-License-Identifier:" * 20_000)
+
+
+@pytest.mark.parametrize(
+    ("kind", "found"),
+    [
+        ("ip", "one nine two dot one six eight dot zero dot one"), ("ip", "192 dot one six eight dot 0 dot 1"), ("ip", "one.two.three.four"), ("phone", "+44 20 seven nine four six 0958"), ("phone", "+44207946 nine five"),
+        ("phone", "+44 (two zero) 7946 0958"), ("card", "4111 1111 1111 one one one one"),
+    ],
+)
+def test_pii_partly_spelled(kind, found):
+    base, more = pii.spans_of(t := f"it is {found} now")
+    assert not base[kind] and [t[a:b] for a, b in more[kind]] == [found]
+    for prose in ("nine two dot one six eight dot zero", "three nine nine dot one dot one dot one", "one, two, three", "+one two three", "one of 4111 1111 1111 1112, two"):
+        assert not pii.spans_of(prose)[1], prose
+    assert pii.spans_of("\uff14111111111111111 one more")[1]["card"] == [(0, 16)]
+    for t in ("one " * 60_000, "one.1," * 40_000, "1 one-" * 40_000, "one onex " * 30_000):
+        pii.spans_of(t)
