@@ -2,8 +2,8 @@
 
 Each text, less its ASCII white space (``[\\x20\\x09-\\x0D]``), is cut where a rolling hash
 of its last 16 bytes hits a pattern, so equal runs of text give equal chunks wherever
-they stand.  A chunk's identifier is its length and 128 bits of SHA-256: a hit on it is
-verified content, not a bucket to be compared again.  A document becomes its recipe, the
+they stand.  A chunk's identifier is its length and 128 bits of SHA-256, a bare digest:
+equal identifiers are not checked against content.  A document becomes its recipe, the
 ordered list of identifiers; only recipes are shuffled and compared, whole lists at a
 time, so a long document moves as a few hundred bytes and never again.
 
