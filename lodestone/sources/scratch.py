@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; an own folder is set only where neither the setting nor the session has one, as in tests."""
+    """spark.checkpoint.dir; an own folder is set only in local mode, where neither the setting nor the session has one, as in tests."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if path:
@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="lodestone-")
     sc.setCheckpointDir(f"file://{path}")
     return f"file://{path}"
