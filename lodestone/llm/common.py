@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -65,10 +66,16 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 def small_batches(spark: SparkSession) -> None:
     """Whole texts travel in Arrow batches: Spark's default size is lowered to 4 MB, a smaller setting of the user's is kept."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > 4 << 20:
+    if byte_size(spark.conf.get(key)) > 4 << 20:
         spark.conf.set(key, str(4 << 20))
 
 
+def byte_size(setting: str) -> int:
+    """Bytes of a setting as Spark writes them: ``4194304``, ``4194304b``, ``8m``, ``1 gb``."""
+    number, unit = re.fullmatch(r"\s*([0-9]+)\s*([a-z]?)b?\s*", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit if unit not in ("", "b") else " ")
+
+
 def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     if batch.num_rows == 0:
         return
@@ -93,3 +100,34 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: At most so many rows of the smaller side are broadcast for hot keys, whatever the tables' sizes.
+HOT_KEYS = 1000
+#: A list of ids is broadcast up to so many rows (16 bytes each); a longer one is joined by shuffle.
+SHORT_LIST = 1_000_000
+
+
+def join_split(many: DataFrame, one: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """many with the columns of one, a row for each key, joined on key without meeting a hot key in one task.
+
+    size is one's column that tells how many rows of many have the key.  Fewer than HOT_KEYS keys can
+    hold over 1/HOT_KEYS of many's rows: their rows of one are broadcast, all others meet by shuffle.
+    Both sides are read twice, so they should be written tables.  how: inner, or left."""
+    least = many.count() // HOT_KEYS
+    hot = one.where(F.col(size) > least)
+    rest = one.where(F.col(size) <= least)
+    by_key = many.join(F.broadcast(hot), key)
+    others = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how)
+    return by_key.unionByName(others)
+
+
+def listed(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """docs whose id is (left_semi) or is not (left_anti) in ids, one column of distinct longs or null; columns unchanged.
+
+    A list of at most SHORT_LIST rows is broadcast, so docs stay where they are; a longer one is joined by shuffle."""
+    name = fresh(docs, "listed_id")
+    ids = materialise(ids.toDF(name), "ids")
+    if ids.count() <= SHORT_LIST:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(name)), how)
