@@ -7,11 +7,16 @@ benchmark's own vocabulary (any other word: none), a rolling hash runs over ever
 known words, hashes found in the set are verified word by word, and the words inside any
 verified occurrence are hit.
 
-Only a benchmark index of at most BLOCK_WORDS words is broadcast at a time: a larger
-benchmark is taken in blocks, each against all documents (a table that reads the same
-each time), and the hits are united per document.  Null or wordless texts have no words and no hits; a null item, or an empty
-benchmark, has no windows.  Repeated documents each get their row; repeated items each
-count under their own id, and a null item id under the name "null".
+Only a benchmark index of at most BLOCK_WORDS words is broadcast at a time, and one block
+at a time is at the driver; a longer item is taken in parts that overlap by a window less
+a word.  A benchmark of several blocks is taken block by block against the documents,
+written once with their row numbers; from the second block on only hits are written.
+
+Null or wordless texts have no words and no hits; a null item text, or an empty
+benchmark, has no windows.  Texts of any length are scanned whole.  Repeated documents
+each get their row; items with the same id count as one; all items without an id count as
+one item too, which has no name in the list.  Empty tables give empty results.  Columns
+besides id and text are not read, whatever their names; drop_contaminated returns them.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_text, materialise, read, texts
+from .common import arrow_map, id_text, listed, materialise, read, texts
 from .words import WORD_BYTES, words_of
 
 WINDOW = 10
@@ -108,18 +113,24 @@ def hits(index: Index, docs: list[list[bytes]]) -> list[tuple[np.ndarray, set[st
     return [(np.flatnonzero(on[s : s + n]), x) for s, n, x in zip(starts, lengths, items)]
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark's items in blocks of at most BLOCK_WORDS words (or one item); one block at a time is at the driver."""
-    rows = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t is not null")
+#: Stands for the missing id among item names, none of which is empty for it: names start with "=".
+NAMELESS = ""
+
+
+def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The benchmark's items in blocks of at most BLOCK_WORDS words (or one window)."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit(NAMELESS))
     block: list[tuple[str, list[bytes]]] = []
-    size = 0
-    for r in rows.toLocalIterator():
+    size, part = 0, max(BLOCK_WORDS, window)
+    for r in benchmark.select(name.alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t is not null").toLocalIterator():
         words = words_of(r.t.encode())
-        if block and size + len(words) > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((r.i, words))
-        size += len(words)
+        for at in range(0, max(len(words) - window + 1, 1), part - window + 1):
+            piece = words[at : at + part]
+            if block and size + len(piece) > BLOCK_WORDS:
+                yield block
+                block, size = [], 0
+            block.append((r.i, piece))
+            size += len(piece)
     yield block
 
 
@@ -127,7 +138,7 @@ HITS = "row_id long, doc_id long, n_words long, positions array<int>, items arra
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """A row per document: row_id, doc_id, n_words, hit word positions (ascending) and the items found (sorted)."""
+    """A row per document: row_id, doc_id, n_words, hit word positions (ascending), the names of items found (sorted) and whether one without an id was."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col).withColumn("row_id", F.monotonically_increasing_id())
 
@@ -146,27 +157,35 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
         return arrow_map(rows, run, HITS)
 
-    blocks = benchmark_blocks(benchmark)
+    blocks = benchmark_blocks(benchmark, window=window)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        return scanned(first)
-    parts = [materialise(scanned(b), "hits") for b in (first, second)] + [materialise(scanned(b), "hits") for b in blocks]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    # at most a row per block and document, each a list of positions in one document
-    return both.groupBy("row_id", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        return named(scanned(first))
+    rows = materialise(rows, "rows")  # the blocks' hits meet by row number
+    both = materialise(scanned(first), "hits")
+    for block in (b for more in ([second], blocks) for b in more):
+        both = both.unionByName(materialise(scanned(block).where(F.size("positions") > 0), "hits"))
+    # a row for each document and for each block with a hit in it, with positions in one document
+    positions, items = (F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("positions", "items"))
+    return named(both.groupBy("row_id", "doc_id", "n_words").agg(positions, items))
+
+
+def named(found: DataFrame) -> DataFrame:
+    """Items by their names, and nameless: whether an item without an id was found."""
+    names = F.transform(F.filter("items", lambda i: i != NAMELESS), lambda i: F.substr(i, F.lit(2)))
+    return found.withColumns({"items": F.array_sort(names), "nameless": F.array_contains("items", NAMELESS)})
 
 
 def judged(found: DataFrame) -> DataFrame:
     n: Column = F.size("positions").cast("long")
-    return found.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
+    items = F.size("items").cast("long") + F.col("nameless").cast("long")
+    return found.select("doc_id", "n_words", n.alias("n_hit"), items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs less the contaminated ones, columns unchanged; rows that share an id are judged together."""
-    bad = judged(scan(docs, benchmark, id_col, text_col)).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = judged(scan(docs, benchmark, id_col, text_col)).where("contaminated").select("doc_id").distinct()
+    return listed(docs, id_col, bad, "left_anti")
 
 
 def remove_spans(text: bytes, positions: set[int]) -> bytes:
