@@ -14,13 +14,18 @@ the differing bits of 64 fingerprints at once, and words in which all counters h
 passed the radius are left out of the remaining planes.
 
 Equal fingerprints are one node (their smallest doc_id) before anything is compared.
-A bucket of more than BLOCK fingerprints is cut into blocks by a hash, and each pair of
-blocks is a unit of work of its own, so no task holds more than two blocks.  Within a
-unit only enough links are kept to join what is linked (a spanning forest).  Components
-come from alternating large-star and small-star steps over node pairs.
-
-Null text is empty.  Repeated rows each get a row.  A null doc_id gets a fingerprint and
-links like others, and counts as larger than any id.  An empty table gives an empty result.
+A bucket of more than BLOCK fingerprints is filed again: what is left of the bits is cut
+into five blocks once more, and so a third time; then at most 15 bits are left, so no
+bucket can hold over 2^15 fingerprints, and nowhere are all pairs of blocks dealt out.
+Within a bucket only enough links are kept to join what is linked (a spanning forest).
+Components come from alternating large-star and small-star steps over node pairs, until
+they settle.  Rows meet their fingerprint's component, and pairs their node's smallest
+neighbour, by joins that broadcast the few hot keys and shuffle the rest.
+
+Null text is empty.  Texts of any length are read whole, their hashes counted in slices.
+Repeated rows each get a row.  A null doc_id gets a fingerprint and links like others, and
+counts as larger than any id.  An empty table gives an empty result.  Columns besides id
+and text are not read, whatever their names; drop_near returns them as they are.
 """
 
 from __future__ import annotations
@@ -33,12 +38,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_text, materialise, read, texts
+from .common import arrow_map, id_text, join_split, listed, materialise, read, texts
 
 RADIUS = 3
 BLOCK = 8192
-#: (lowest bit, width) of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Widths of the five blocks, lowest first: of a fingerprint, and of what is left of it (at most 39, then 24 bits) where a bucket is crowded.
+WIDTHS = ((13, 13, 13, 13, 12), (8, 8, 8, 8, 7), (5, 5, 5, 5, 4))
 SEED = 42
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 NULL_ID = (1 << 63) - 1
@@ -207,26 +212,50 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterat
 # -- candidate search -----------------------------------------------------------------
 
 
-def bucket_keys(fp: Column) -> Column:
-    block = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in BLOCKS]
-    keys, n = [], 0
-    for i in range(5):
-        for j in range(i + 1, 5):
-            keys.append(F.lit(n << 26) + F.shiftleft(block[i], 13) + block[j])
-            n += 1
-    return F.explode(F.array(*keys))
+def filed(rest: Column, widths: tuple[int, ...]) -> Column:
+    """By each pair of blocks: struct<pair, key: the bits of the two, rest: the bits of the other three>."""
+    block, at = [], 0
+    for w in widths:
+        block.append((F.shiftrightunsigned(rest, at).bitwiseAND(F.lit((1 << w) - 1)), w))
+        at += w
+
+    def joined(blocks: list[tuple[Column, int]]) -> Column:
+        bits, at = F.lit(0).cast("long"), 0
+        for value, w in blocks:
+            bits = bits.bitwiseOR(F.shiftleft(value, at))
+            at += w
+        return bits
+
+    pairs = [(i, j) for i in range(5) for j in range(i + 1, 5)]
+    return F.array(*(F.struct(F.lit(n).alias("pair"), joined([block[i], block[j]]).alias("key"), joined([b for k, b in enumerate(block) if k not in (i, j)]).alias("rest")) for n, (i, j) in enumerate(pairs)))
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Linked pairs (a, b) of nodes(fp, node), distinct fingerprints: a spanning set."""
-    filed = nodes.select(bucket_keys(F.col("fp")).alias("bucket"), "fp", "node")
-    crowded = filed.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("cut"))
-    dealt = filed.join(crowded, "bucket", "left")
-    mine = F.pmod(F.xxhash64("fp"), F.col("cut")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda o: (F.least(mine, o) * F.col("cut") + F.greatest(mine, o)).cast("int"))
-    dealt = dealt.withColumn("unit", F.explode(F.when(F.col("cut").isNull(), F.array(F.lit(0))).otherwise(pairs)))
-    dealt = dealt.select(F.when(F.col("cut").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", "unit").bitwiseOR(F.lit(-(1 << 62)))).alias("bucket"), "fp", "node")
-    spread = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    """Linked pairs (a, b) of nodes(fp, node), distinct fingerprints: a spanning set.
+
+    Bucket numbers are hashes: two buckets that share one are compared together, which adds work and no link."""
+    found, left = [], nodes.select(F.lit(0).cast("long").alias("bucket"), F.col("fp").alias("rest"), "fp", "node")
+    for level, widths in enumerate(WIDTHS):
+        dealt = left.select("bucket", F.explode(filed(F.col("rest"), widths)).alias("f"), "fp", "node")
+        dealt = dealt.select(F.xxhash64("bucket", "f.pair", "f.key").alias("bucket"), "f.rest", "fp", "node")
+        counts = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        crowded = materialise(counts, "crowded") if level + 1 < len(WIDTHS) else None
+        if crowded is None or not crowded.limit(1).count():
+            found.append(compared(dealt))
+            break
+        dealt = materialise(dealt, "buckets")
+        split = join_split(dealt, crowded, "bucket", "n", "left")
+        found.append(compared(split.where("n is null").drop("n")))
+        left = materialise(split.where("n is not null").drop("n"), "crowded-rows")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def compared(dealt: DataFrame) -> DataFrame:
+    """Linked pairs of rows that share a bucket."""
+    spread = dealt.select("bucket", "fp", "node").repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -252,44 +281,45 @@ def links(nodes: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long")
 
 
-def components(pairs: DataFrame, at_most: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) of every node in pairs(a, b), by star contraction.
 
-    Each round's pairs are written to the shared folder; hot nodes meet in joins, which are split where skewed."""
+    Each round's pairs are written to the shared folder; rounds end when the pairs no longer change."""
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     edges = materialise(pairs.where("a <> b").select(low, high).distinct(), "links")
     state = None
-    for _ in range(at_most):
+    while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_split(both, least, "u", "n").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        large = materialise(large, "large")
         # small star: towards the smallest of the smaller neighbours
-        small_least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(small_least, "b")
+        small_least = materialise(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")), "least")
+        small = join_split(large, small_least, "b", "n")
         small = small.select(F.col("m").alias("a"), F.col("b")).unionByName(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
         edges = materialise(small, "links")
         now = edges.agg(F.count("*"), F.countDistinct("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state or now[0] == 0:
-            break
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
         state = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {at_most} rounds")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row of docs."""
     marked = materialise(with_fingerprint(docs, id_col, text_col), "fingerprints")
-    nodes = materialise(marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("node")), "nodes")
+    nodes = materialise(marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("node"), F.count("*").alias("n")), "nodes")
     joined = components(links(nodes))
-    found = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(found, "fp").select("doc_id", "fp", F.when(F.col("component_id") < NULL_ID, F.col("component_id")).alias("component_id"))
+    found = materialise(nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "n"), "found")
+    return join_split(marked, found, "fp", "n").select("doc_id", "fp", F.when(F.col("component_id") < NULL_ID, F.col("component_id")).alias("component_id"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the smallest doc_id of each component only, columns unchanged; rows that share that id all stay."""
-    kept = near_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    found = near_groups(docs, id_col, text_col)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    # an id of several rows stays where one of its rows is its component's first
+    return listed(docs, id_col, gone.join(kept, gone["doc_id"].eqNullSafe(kept["doc_id"]), "left_anti"), "left_anti")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
