@@ -202,9 +202,12 @@ def plain_repeats(rows, width):
     return out
 
 
-@pytest.mark.parametrize("crowded", [40, 4000])
-def test_repeats(spark, documents, monkeypatch, crowded):
+@pytest.mark.parametrize(("crowded", "hot_share", "seen"), [(4000, 2000, 200_000), (40, 2000, 5), (4000, 10**9, 5)])
+def test_repeats(spark, documents, monkeypatch, crowded, hot_share, seen):
+    """As built, with crowded triggers, and with every trigger hot."""
     monkeypatch.setattr(repeats, "CROWDED", crowded)
+    monkeypatch.setattr(repeats, "HOT_SHARE", hot_share)
+    monkeypatch.setattr(repeats, "SEEN", seen)
     rng = random.Random(2)
     base = ["".join(rng.choices("ab é", k=300)) for _ in range(6)]
     rows = []
@@ -224,7 +227,7 @@ def test_repeats(spark, documents, monkeypatch, crowded):
 def test_long_texts_are_parsed_in_parts(monkeypatch):
     monkeypatch.setattr(repeats, "PART", 500)
     text = "".join(random.Random(1).choices("abcdef ", k=3000)).encode()
-    which, start, n, _, _ = repeats.parse([text, b"", text[:99], text[:100]])
+    which, start, n, *_ = repeats.parse([text, b"", text[:99], text[:100]])
     assert sorted(x for a, k, w in zip(start, n, which) if w == 0 for x in range(a, a + k)) == list(range(2901))
     assert [(a, k) for a, k, w in zip(start, n, which) if w == 3] == [(0, 1)]
 
