@@ -3,33 +3,39 @@
 A pattern is written in the usual filter-list form: ``*`` any run, ``^`` a separator or
 the end, a leading ``||`` the start of the host or of one of its labels, a leading or
 trailing ``|`` the start or end of the URL.  Letters match in either case (A-Z only).
+Rules are a table (pattern, action), read from a list of any length, a table or a text
+file (``@@`` before a pattern allows, ``!`` begins a remark).
 
 A literal token of a pattern is a run of ``[a-z0-9]`` that the pattern fixes on both
-sides, so any URL that matches the pattern has it as a whole token.  Each rule is filed
-under the one of its tokens that the fewest URLs of the table have; the tokens of a URL
-fetch the candidate rules, and only those run their regular expression.  A rule without
-such a token is a candidate for every URL.
+sides, so any URL that matches the pattern has it as a whole token.  The index files each
+rule under the one of its tokens that the fewest distinct URLs have; a rule without such a
+token stands under the empty token, which every URL has.  Each distinct URL is judged
+once: its tokens meet the index in an equi-join, and only the rules met run their regular
+expression.  Path rules meet the host and the domains above it in the same way.  All
+joins are equi-joins of tables; Spark broadcasts an index under its size threshold.
 
-Path rules (host suffix and path prefix, longest wins) are decided first and override
-the pattern rules; of the matching pattern rules, an allow overrides all blocks.
+Path rules (host suffix and path prefix, longest wins, then the first by name) are decided
+first and override the pattern rules; of the matching pattern rules, an allow overrides
+all blocks.
 
 Rows: one out per row in, repeated rows too.  A null URL, or one without ``://``, has
-empty host and path; patterns still see its text (null: empty).  An empty table gives an
-empty result.  The rule list is broadcast as literals: it is bounded by MAX_RULES.
+empty host and path; patterns still see its text (null: empty).  Very long URLs are read
+whole.  Rules without a pattern, or with another action than allow or block, are left out;
+repeated rules count once.  An empty table gives an empty result, no rules give allow.  The
+new columns take fresh names where the table has theirs.
 """
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read
+from .common import fresh, join_split, materialise, read
 
-MAX_RULES = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[^a-z0-9_.%-]"
 
@@ -46,10 +52,6 @@ class PathRule:
     path: str
     action: str
 
-    @property
-    def name(self) -> str:
-        return f"{self.host}{self.path}"
-
 
 PATH_RULES = (
     PathRule("org", "/", "allow"),
@@ -73,39 +75,54 @@ PATTERNS = tuple(
 )
 
 
-def regex_of(pattern: str) -> str:
-    """The regular expression, with Java's and RE2's common syntax, of a filter-list pattern; for lower-cased URLs."""
-    body, head, tail = pattern.translate(str.maketrans(UPPER, LOWER)), "", ""
-    if body.startswith("||"):
-        body, head = body[2:], r"^[^:/?#]*://(?:[^/?#]*[.@])?"
-    elif body.startswith("|"):
-        body, head = body[1:], "^"
-    if body.endswith("|"):
-        body, tail = body[:-1], "$"
-    parts = {"*": ".*", "^": f"(?:{SEPARATOR}|$)"}
-    return f"(?s){head}{''.join(parts.get(c) or (c if re.match('[a-z0-9_]', c) else f'[{c}]') for c in body)}{tail}"
+def as_table(spark: SparkSession, rows: Sequence[tuple[str, ...]], columns: Sequence[str]) -> DataFrame:
+    """A list as a table of string columns."""
+    schema = f"array<struct<{','.join(f'{c}: string' for c in columns)}>>"
+    said = F.lit(json.dumps([dict(zip(columns, r)) for r in rows]))
+    return spark.range(1).select(F.inline(F.from_json(said, schema)))
 
 
-def tokens_of(pattern: str) -> list[str]:
-    """Runs of [a-z0-9] that any matching URL has as whole tokens: what bounds them in the pattern is not a letter, digit or *."""
-    body = pattern.translate(str.maketrans(UPPER, LOWER))
-    start, end = body.startswith("|"), body.endswith("|")
-    body = body.strip("|")
-    found = []
-    for m in re.finditer("[a-z0-9]+", body):
-        before = body[m.start() - 1] if m.start() else ("|" if start else "*")
-        after = body[m.end()] if m.end() < len(body) else ("|" if end else "*")
-        if "*" not in before + after:
-            found.append(m[0])
-    return list(dict.fromkeys(found))
+def pattern_table(spark: SparkSession, patterns: Sequence[Pattern] = PATTERNS) -> DataFrame:
+    return as_table(spark, [(p.text, p.action) for p in patterns], ("pattern", "action"))
+
+
+def path_table(spark: SparkSession, rules: Sequence[PathRule] = PATH_RULES) -> DataFrame:
+    return as_table(spark, [(r.host, r.path, r.action) for r in rules], ("host", "path", "action"))
+
+
+def read_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """pattern, action of a filter list, a rule a line."""
+    line = F.trim("value")
+    rules = spark.read.text(path).select(line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("!"))
+    allow = F.col("line").startswith("@@")
+    return rules.select(F.when(allow, F.substr("line", F.lit(3))).otherwise(F.col("line")).alias("pattern"), F.when(allow, "allow").otherwise("block").alias("action"))
+
+
+def lowered(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def url_text(url: Column) -> Column:
-    return F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
+def regex_of(pattern: Column) -> Column:
+    """The regular expression, in Java's and RE2's common syntax, of a filter-list pattern; for lower-cased URLs."""
+    body = lowered(pattern)
+    head = F.when(body.startswith("||"), r"^[^:/?#]*://(?:[^/?#]*[.@])?").when(body.startswith("|"), "^").otherwise("")
+    tail = F.when(F.regexp_replace(body, r"^\|{1,2}", "").endswith("|"), "$").otherwise("")
+    inner = F.regexp_replace(F.regexp_replace(body, r"^\|{1,2}", ""), r"\|$", "")
+    # every ASCII mark but * and ^ stands for itself, then the two get their meaning
+    inner = F.regexp_replace(inner, r"([!-)+-/:-@\[-\]`{-~])", r"\\$1")
+    inner = F.replace(F.replace(inner, F.lit("^"), F.lit(f"(?:{SEPARATOR}|$)")), F.lit("*"), F.lit(".*"))
+    return F.concat(F.lit("(?s)"), head, inner, tail)
 
 
-def url_tokens(url: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(url_text(url), F.lit("[a-z0-9]+"), F.lit(0)))
+def tokens_of(pattern: Column) -> Column:
+    """Runs of [a-z0-9] that any matching URL has as whole tokens: what bounds them in the pattern is not a letter, digit or *."""
+    body = lowered(pattern)
+    bounded = F.concat(F.when(body.startswith("|"), "").otherwise("*"), body, F.when(body.endswith("|"), "").otherwise("*"))
+    return F.array_distinct(F.regexp_extract_all(bounded, F.lit("(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])"), F.lit(0)))
+
+
+def url_tokens(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -113,57 +130,49 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(u, rule, 1), UPPER, LOWER), F.regexp_extract(u, rule, 2)
 
 
-def token_counts(urls: DataFrame, column: str, wanted: Sequence[str]) -> dict[str, int]:
-    """In how many URLs each wanted token occurs; the answer has at most a row for each token of the rules."""
-    if not wanted:
-        return {}
-    hit = F.explode(F.array_intersect(url_tokens(F.col(f"`{column}`")), F.array(*map(F.lit, wanted))))
-    return {r[0]: r[1] for r in urls.select(hit.alias("token")).groupBy("token").count().collect()}
+def build_index(patterns: DataFrame, urls: DataFrame) -> DataFrame:
+    """token, pattern, action, regex: each rule under the token that the fewest of urls(text) have (a longer one first), or under the empty one."""
+    rules = patterns.where(F.col("pattern").isNotNull() & F.col("action").isin("allow", "block")).select("pattern", "action").distinct()
+    filed = materialise(rules.select("pattern", "action", F.explode_outer(tokens_of(F.col("pattern"))).alias("token")), "rules")
+    wanted = filed.where("token is not null").select("token").distinct()
+    counts = urls.select(F.explode(url_tokens(F.col("text"))).alias("token")).join(wanted, "token").groupBy("token").agg(F.count("*").alias("n"))
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("token")).alias("l"), F.col("token").alias("t"))
+    best = filed.join(counts, "token", "left").groupBy("pattern", "action").agg(F.min(F.when(F.col("token").isNotNull(), rank)).alias("best"))
+    return best.select(F.coalesce("best.t", F.lit("")).alias("token"), "pattern", "action", regex_of(F.col("pattern")).alias("regex"))
+
 
+def pattern_hits(urls: DataFrame, index: DataFrame) -> DataFrame:
+    """url, hit: struct<action, pattern> of the deciding pattern (allow sorts before block), for URLs that have one."""
+    tokens = urls.select("url", "text", F.explode(F.concat(url_tokens(F.col("text")), F.array(F.lit("")))).alias("token"))
+    met = tokens.join(index, "token").where(F.regexp(F.col("text"), F.col("regex")))
+    return met.groupBy("url").agg(F.min(F.struct("action", "pattern")).alias("hit"))
 
-def build_index(patterns: Sequence[Pattern], counts: dict[str, int]) -> tuple[dict[str, list[Pattern]], list[Pattern]]:
-    index: dict[str, list[Pattern]] = {}
-    always = []
-    for p in patterns:
-        tokens = tokens_of(p.text)
-        if tokens:
-            index.setdefault(min(tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), []).append(p)
-        else:
-            always.append(p)
-    return index, always
 
+def path_hits(urls: DataFrame, path_rules: DataFrame) -> DataFrame:
+    """url, rule, ruled of the longest path rule that fits, for URLs that have one."""
+    labels = F.split("url_host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = urls.select("url", "url_path", F.explode(above).alias("host")).join(path_rules, "host").where(F.startswith("url_path", "path"))
+    name = F.concat("host", "path")
+    best = met.groupBy("url").agg(F.min(F.struct((-F.length(name)).alias("l"), name.alias("name"), F.col("action").alias("action"))).alias("best"))
+    return best.select("url", F.col("best.name").alias("rule"), F.col("best.action").alias("ruled"))
 
-def filter_urls(pages: DataFrame, url_col: str = "url", patterns: Sequence[Pattern] = PATTERNS, path_rules: Sequence[PathRule] = PATH_RULES) -> DataFrame:
+
+def filter_urls(pages: DataFrame, url_col: str = "url", patterns: Sequence[Pattern] | DataFrame = PATTERNS, path_rules: Sequence[PathRule] | DataFrame = PATH_RULES) -> DataFrame:
     """pages with url_host, url_path, url_rule, url_pattern and url_verdict (names made fresh where taken)."""
-    if len(patterns) > MAX_RULES:
-        raise ValueError(f"{len(patterns)} rules; at most {MAX_RULES} are sent to the executors as literals")
-    url = F.col(f"`{url_col}`")
-    counts = token_counts(pages, url_col, sorted({t for p in patterns for t in tokens_of(p.text)}))
-    index, always = build_index(patterns, counts)
-    text, host, path, toks = (fresh(pages, x) for x in ("url_text", "url_host", "url_path", "url_tokens"))
-    pair = lambda p: F.struct(F.lit(p.action).alias("action"), F.lit(p.text).alias("pattern"), F.lit(regex_of(p.text)).alias("regex"))
-    none = F.filter(F.array(pair(Pattern("", ""))), lambda _: F.lit(False))
-    filed = F.array(*(F.struct(F.lit(t).alias("token"), F.array(*map(pair, ps)).alias("rules")) for t, ps in sorted(index.items()))) if index else None
-    fetched = F.flatten(F.transform(F.filter(filed, lambda e: F.array_contains(F.col(toks), e["token"])), lambda e: e["rules"])) if index else none
-    candidates = F.concat(fetched, F.array(*map(pair, always))) if always else fetched
-    keys = F.array(*map(F.lit, sorted(index)))
-    # most URLs have no token of the index: they skip the look-up altogether
-    candidates = candidates if always or not index else F.when(F.arrays_overlap(F.col(toks), keys), candidates).otherwise(none)
-    hits = F.filter(candidates, lambda r: F.regexp(F.col(text), r["regex"]))
-    best = F.array_min(F.transform(hits, lambda r: F.struct(r["action"].alias("action"), r["pattern"].alias("pattern"))))  # allow sorts before block
-    decided = F.lit(None).cast("string")
-    verdict = F.lit(None).cast("string")
-    for r in sorted(path_rules, key=lambda r: len(r.name)):
-        fits = ((F.col(host) == r.host) | F.col(host).endswith(f".{r.host}")) & F.col(path).startswith(r.path)
-        decided, verdict = F.when(fits, F.lit(r.name)).otherwise(decided), F.when(fits, F.lit(r.action)).otherwise(verdict)
-    h, p = host_path(url)
-    hit, rule, pattern, out = (fresh(pages, x) for x in ("url_hit", "url_rule", "url_pattern", "url_verdict"))
-    return (
-        pages.withColumns({host: h, path: p, text: url_text(url), toks: url_tokens(url)})
-        .withColumns({hit: best, rule: decided, out: verdict})
-        .withColumns({pattern: F.col(hit)["pattern"], out: F.coalesce(F.col(out), F.col(hit)["action"], F.lit("allow"))})
-        .drop(text, toks, hit)
-    )
+    spark, url = pages.sparkSession, F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
+    patterns = patterns if isinstance(patterns, DataFrame) else pattern_table(spark, patterns)
+    path_rules = path_rules if isinstance(path_rules, DataFrame) else path_table(spark, path_rules)
+    urls = materialise(pages.select(url.alias("url")).groupBy("url").agg(F.count("*").alias("n")), "urls")
+    host, path = host_path(F.col("url"))
+    seen = urls.select("url", "n", lowered(F.col("url")).alias("text"), host.alias("url_host"), path.alias("url_path"))
+    ruled, hit = path_hits(seen, path_rules), pattern_hits(seen, build_index(patterns, seen))
+    verdict = F.coalesce("ruled", F.col("hit")["action"], F.lit("allow"))
+    judged = materialise(seen.join(ruled, "url", "left").join(hit, "url", "left").select("url", "n", "url_host", "url_path", F.col("rule").alias("url_rule"), verdict.alias("url_verdict"), F.col("hit")["pattern"].alias("url_pattern")), "judged")
+    key, size = fresh(pages, "url_key"), fresh(pages, "url_count")
+    names = {c: fresh(pages, c) for c in ("url_host", "url_path", "url_rule", "url_verdict", "url_pattern")}
+    one = judged.select(F.col("url").alias(key), F.col("n").alias(size), *(F.col(c).alias(n) for c, n in names.items()))
+    return join_split(pages.withColumn(key, url), one, key, size).select(*(F.col(f"`{c}`") for c in pages.columns), *names.values())
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,14 +180,30 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages).select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"), F.col("url_pattern").alias("pattern"))
 
 
+def plain_regex(pattern: str) -> str:
+    """A pattern's regular expression by Python's means, for the SQL twin and the tests."""
+    import re
+
+    body, head, tail = pattern.translate(str.maketrans(UPPER, LOWER)), "", ""
+    if body.startswith("||"):
+        body, head = body[2:], r"^[^:/?#]*://(?:[^/?#]*[.@])?"
+    elif body.startswith("|"):
+        body, head = body[1:], "^"
+    if body.endswith("|"):
+        body, tail = body[:-1], "$"
+    parts = {"*": ".*", "^": f"(?:{SEPARATOR}|$)"}
+    return f"(?s){head}{''.join(parts.get(c) or re.escape(c) for c in body)}{tail}"
+
+
 def oracle_sql() -> str:
     """The same by trying every rule on every URL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    name = lambda r: f"{r.host}{r.path}"
     fits = lambda r: f"(host = {quote(r.host)} OR ends_with(host, {quote('.' + r.host)})) AND starts_with(path, {quote(r.path)})"
-    rules = sorted(PATH_RULES, key=lambda r: -len(r.name))
-    rule = " ".join(f"WHEN {fits(r)} THEN {quote(r.name)}" for r in rules)
+    rules = sorted(PATH_RULES, key=lambda r: -len(name(r)))
+    rule = " ".join(f"WHEN {fits(r)} THEN {quote(name(r))}" for r in rules)
     verdict = " ".join(f"WHEN {fits(r)} THEN {quote(r.action)}" for r in rules)
-    tried = ", ".join(f"CASE WHEN regexp_matches(u, {quote(regex_of(p.text))}) THEN {quote(('0' if p.action == 'allow' else '1') + p.text)} END" for p in PATTERNS)
+    tried = ", ".join(f"CASE WHEN regexp_matches(u, {quote(plain_regex(p.text))}) THEN {quote(('0' if p.action == 'allow' else '1') + p.text)} END" for p in PATTERNS)
     part = lambda n: f"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', {n})"
     return f"""
         WITH a AS (SELECT page_id, translate({part(1)}, '{UPPER}', '{LOWER}') AS host, {part(2)} AS path, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS u FROM pages),

@@ -149,6 +149,28 @@ def test_url_index_loses_nothing(spark):
     urls = ["http://" + ".".join(rng.choices(words, k=2)) + "/" + "".join(rng.choice(words) + rng.choice("/.-_?=&") for _ in range(4)) for _ in range(400)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     for r in url_filter.filter_urls(pages, path_rules=()).collect():
-        hit = [p for p in url_filter.PATTERNS if re.search(url_filter.regex_of(p.text), r.url.lower())]
+        hit = [p for p in url_filter.PATTERNS if re.search(url_filter.plain_regex(p.text), r.url.lower())]
         want = "allow" if not hit or any(p.action == "allow" for p in hit) else "block"
         assert r.url_verdict == want, r.url
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    """A list of many rules, with an allow, a remark, a rule without a token and one of marks that mean something to regular expressions."""
+    many = [f"||host{i}.example^" for i in range(25_000)]
+    (tmp_path / "list.txt").write_text("\n".join(["! remark", "", "@@||host7.example/ok^", "*x+(y)[z]$*", "/a.b?c={d}|", *many]))
+    rules = url_filter.read_patterns(spark, str(tmp_path / "list.txt"))
+    urls = ["http://host7.example/", "http://host7.example/ok", "http://www.host24999.example:80/x", "http://host25000.example/", "http://q/1x+(y)[z]$2", "http://q/1xx(y)[z]$2", "http://q/a.b?c={d}", "http://q/aXb?c={d}", "http://host1.example", "HTTP://HOST1.EXAMPLE"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.url_verdict for r in url_filter.filter_urls(pages, patterns=rules, path_rules=()).collect()}
+    assert [got[i] for i in range(len(urls))] == ["block", "allow", "block", "allow", "block", "allow", "block", "allow", "block", "block"]
+
+
+def test_native_regex_is_the_plain_one(spark):
+    import re
+
+    texts = [p.text for p in url_filter.PATTERNS] + ["|http://a^b|", "||x", "a|b", "*", "^", "|", "||", "-_.~!$&'()+,;=:@%/?#[]\\{}`\""]
+    rows = url_filter.pattern_table(spark, [url_filter.Pattern(t) for t in texts]).select("pattern", url_filter.regex_of(F.col("pattern")).alias("x")).collect()
+    probes = ["http://a/b", "http://x.y/", "a|b", "-_.~!$&'()+,;=:@%/?#[]\\{}`\"", "", "http://ads.x/y.exe", "http://t.casino.com/"]
+    for r in rows:
+        for u in probes:
+            assert bool(re.search(r.x, u)) == bool(re.search(url_filter.plain_regex(r.pattern), u)), (r.pattern, r.x, u)
