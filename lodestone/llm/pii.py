@@ -5,8 +5,8 @@ Base spans are found in the text as it stands, leftmost and non-overlapping per
 than 13 to 19 digits, a phone of other than 9 to 15 digits) is dropped, not retried.
 
 Then a chain of transducers rewrites what may hide more: homoglyphs (full-width,
-Cyrillic and Greek look-alikes next to ASCII), invisible characters, spelled digits, and
-"at" and "dot" disguises.  Each keeps, for every character of its output, the source
+Cyrillic and Greek look-alikes next to ASCII), invisible characters, digits spelled in
+four languages, "at" and "dot" disguises, and addresses whose letters stand apart.  Each keeps, for every character of its output, the source
 characters it stands for, so a span found in the normalised text maps back to the first
 and last source character behind it.  Added spans are those that overlap no base span
 of their kind; base spans always stay.  A plain text (no trigger of any transducer) is
@@ -16,9 +16,12 @@ Guards for prose: an "at" without brackets counts only before a host with a know
 and not after a few words of prose; spelled digits only where the detector accepts what
 they make, with numerals among them or not.
 
+Beside the spans, secrets (keys and passwords that a text assigns or shows) are listed.
+
 Offsets are code points, end exclusive.  Null text is empty and has no spans; repeated
-rows each get their row; an empty table gives an empty result.  All scans are linear:
-e-mails grow outwards from each "@", digit runs start only at their first digit.
+rows each get their row; an empty table gives an empty result.  Very long texts are scanned
+whole, and all scans are linear: e-mails grow outwards from each "@", digit runs start only
+at their first digit.  Columns besides id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -131,16 +134,22 @@ def _glyphs() -> dict[int, str]:
 
 GLYPHS = _glyphs()
 INVISIBLE = "­​‌‍⁠﻿"
-#: Spelled digits, fixed values.
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Spelled digits from 0, fixed values: English, German, French, Spanish.
+SPELLED = {
+    word: str(i)
+    for words in (
+        "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for i, word in enumerate(words.split())
+} | {"oh": "0", "zwo": "2", "fuenf": "5"}
 _GLYPH = re.compile(f"[{re.escape(''.join(map(chr, GLYPHS)))}]")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
-_DIGIT_WORD = "|".join(SPELLED)
-_DIGIT_TOKEN = rf"(?:(?:{_DIGIT_WORD})|[0-9]++)(?![^\W_])"
+_DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
+_DIGIT_TOKEN = rf"(?:{_DIGIT_WORD}|[0-9])++(?![^\W_])"  # words and numerals may be glued
 _BETWEEN = r"[ ,.()-]{1,3}"
 _SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_]){_DIGIT_TOKEN}(?:{_BETWEEN}{_DIGIT_TOKEN})++")
 _SPELLED_PART = re.compile(rf"(?i)({_DIGIT_WORD})|([0-9]+)|([ ,.()-]+)")
-_SPELLED_WORD = re.compile(rf"(?i)(?<![^\W_])(?:{_DIGIT_WORD})(?![^\W_])")
+_SPELLED_WORD = re.compile(rf"(?i)(?<![^\W\d_])(?:{_DIGIT_WORD})(?![^\W\d_])")
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _AT_BRACKET = re.compile(rf"(?i){_OPEN}(?:at|@|arroba|chez){_CLOSE}")
 _DOT_BRACKET = re.compile(rf"(?i){_OPEN}(?:dot|punto|punkt|point|\.){_CLOSE}")
@@ -160,8 +169,10 @@ _NO_MAILBOX = frozenset("look looks looked looking available hosted located foun
 #: Nor does an article start a host of a country: "at the dot in the end".
 _NO_HOST = re.compile(rf"(?i)(?:the|an?|this|that|my|your|our|his|her|its|their|each)\.(?:{_COUNTRIES})(?![A-Za-z0-9.-])")
 _LAST_WORD = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z]+\Z")
+#: An address whose letters, or the parts of whose host, stand apart; its ending must be a known one.
+_SPACED_MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:(?:[A-Za-z0-9._%+-][ \t]){{2,32}}|[A-Za-z0-9._%+-]+[ \t]?)@[ \t]?[A-Za-z0-9-]+(?:[ \t]?\.[ \t]?[A-Za-z0-9-]+)*[ \t]?\.[ \t]?(?:{_ENDINGS})(?![A-Za-z0-9-])")
 _SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?={_DOTTED_HOST})|(?<=[A-Za-z0-9])@[ \t]+(?={_DOTTED_HOST})")
-_DISGUISE = re.compile(r"(?i)[\[({<][ \t]*(?:at|@|arroba|chez|dot|punto|punkt|point|\.)[ \t]*[\])}>]|[ \t]dot[ \t]|[ \t]@|@[ \t]")
+_DISGUISE = re.compile(r"(?i)[\[({<][ \t]*(?:at|@|arroba|chez|dot|punto|punkt|point|\.)[ \t]*[\])}>]|[ \t]dot[ \t]|[ \t]@|@[ \t]|@[A-Za-z0-9-]+[ \t]\.")
 
 
 def _disguised(text: str) -> bool:
@@ -202,9 +213,9 @@ def _spelled_edits(text: str) -> dict[int, str]:
 def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only the normalised text shows: first without, then with spelled digits rewritten."""
     glyph = not text.isascii() and bool(_GLYPH.search(text) or _INVISIBLE.search(text))
-    spelled = bool(_SPELLED_WORD.search(text))
     disguised = _disguised(text)
-    if not (glyph or spelled or disguised):
+    spelled = bool(_SPELLED_WORD.search(text))
+    if not (glyph or disguised or spelled and _spelled_edits(text)):
         return {}
     tape, found = Tape(text), {}
     if glyph:
@@ -216,6 +227,7 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
         tape.rewrite(_DOT_BRACKET, lambda m: ".")
         tape.rewrite(_DOT_WORD, lambda m: ".")
         tape.rewrite(_AT_WORD, _at_word)
+        tape.rewrite(_SPACED_MAIL, lambda m: m[0].replace(" ", "").replace("\t", "") if " " in m[0] or "\t" in m[0] else None)
         tape.rewrite(_SPACED_AT, lambda m: "@")
     if tape.text != text:
         _add(tape, base, found)
@@ -247,31 +259,44 @@ def digest(spans: dict[str, list[Span]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in sorted(spans.get(k, [])))
 
 
-def scan(text: str) -> tuple[list[int], str, str]:
+#: Secrets: what is assigned to a name of one, fixed values, and well-known shapes of keys.
+_SECRET = re.compile(r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|secret[_-]?key|auth[_-]?token)["']?[ \t]{0,3}[:=][ \t]{0,3}["']?)([A-Za-z0-9_+/=.-]{16,})|\b(AKIA[0-9A-Z]{16})\b|\b(gh[opsu]_[A-Za-z0-9]{36,})|(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)""")
+
+
+def secrets(text: str) -> list[Span]:
+    return [m.span(m.lastindex) for m in _SECRET.finditer(text)]
+
+
+def scan(text: str) -> tuple[list[int], str, str, int, str]:
+    """Counts by kind, base digest, all spans, how many these are, secrets."""
     base, more = spans_of(text)
     both = {k: base[k] + more.get(k, []) for k in KINDS} if more else base
     said = digest(base)
-    return [len(base[k]) for k in KINDS], hashlib.sha256(said.encode()).hexdigest(), digest(both) if more else said
+    kept = secrets(text)
+    return [len(base[k]) for k in KINDS], hashlib.sha256(said.encode()).hexdigest(), digest(both) if more else said, sum(map(len, both.values())), ",".join(f"secret:{a}:{b}" for a, b in kept)
 
 
 def mask(text: str, label: str = "<{}>") -> str:
-    """text with every span, base or added, replaced by its kind."""
+    """text with every span, base or added, and every secret, replaced by its kind."""
     base, more = spans_of(text)
     out, at = [], 0
-    for a, b, k in sorted((a, b, k) for k in KINDS for a, b in base[k] + more.get(k, [])):
+    for a, b, k in sorted([(a, b, k) for k in KINDS for a, b in base[k] + more.get(k, [])] + [(a, b, "secret") for a, b in secrets(text)]):
         if a >= at:
             out += [text[at:a], label.format(k)]
             at = b
     return "".join([*out, text[at:]])
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, secrets string, n_found long"
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts of base spans by kind and their digest, all spans and their number, secrets, and the number of both."""
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        counts, shas, spans = zip(*(scan(x or "") for x in b.column("text").to_pylist()))
-        cols = [b.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*counts)), pa.array(shas), pa.array(spans)]
+        counts, shas, spans, n, keys = zip(*(scan(x or "") for x in b.column("text").to_pylist()))
+        long = lambda x: pa.array(x, pa.int64())
+        cols = [b.column("doc_id"), *map(long, zip(*counts)), pa.array(shas), pa.array(spans), long(n), pa.array(keys), long([a + x.count("secret") for a, x in zip(n, keys)])]
         return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return arrow_map(id_text(docs, id_col, text_col), run, SCHEMA)
