@@ -9,14 +9,17 @@ Features are present or absent: each distinct word, the first five bytes of each
 word (families of words), and binned shape measures of the whole text (capitals, marks,
 repeated words and lines).
 
-Fit: on at most SAMPLE labelled documents, those with the smallest hash of their id, a
-documented bound; a document's grade is the smallest of its label rows, and rows with a
-null or both ratings missing are left out.  Fitting is deterministic.  Every document is
+Fit: on at most SAMPLE labelled rows, those with the smallest hash of their id (of rows
+with the same id, of their features), a documented bound; a document's grade is the
+smallest of its label rows, and rows with a null or both ratings missing are left out.
+Fitting is deterministic.  Every document is
 then scored over its whole text.  Without labels of two grades there is nothing to fit:
 all documents then score the highest grade and are selected.
 
-Null text is empty and scored like any text without words.  Repeated rows each get
-their row.  An empty table gives an empty result.
+Null text is empty and scored like any text without words.  Very long texts are read whole.
+Repeated rows each get their row, with the same score.  An empty table gives an empty
+result.  Columns besides id and text are not read, whatever their names; keep_selected
+returns them as they are.
 """
 
 from __future__ import annotations
@@ -99,6 +102,22 @@ class Model:
         return sigmoid(s[:, None] - self.thresholds[None, :])
 
 
+def likelihood(s: np.ndarray, y: np.ndarray, t: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean weighted negative log-likelihood of grades y at scores s and thresholds t, and its slopes by s and by t.
+
+    P(y) = low - high, the tail probabilities at the thresholds below and above y."""
+    i = np.arange(len(y))
+    tails = np.hstack([np.ones((len(y), 1)), sigmoid(s[:, None] - t[None, :]), np.zeros((len(y), 1))])
+    low, high = tails[i, y], tails[i, y + 1]
+    p = np.maximum(low - high, 1e-12)
+    steep_low, steep_high = low * (1 - low), high * (1 - high)
+    c = weight[y] / len(y)
+    by_t = np.zeros(len(t) + 2)
+    np.add.at(by_t, y, c * steep_low / p)
+    np.add.at(by_t, y + 1, -c * steep_high / p)
+    return float(-(c * np.log(p)).sum()), -c * (steep_low - steep_high) / p, by_t[1:-1]
+
+
 def fit(found: list[np.ndarray], grades: np.ndarray) -> Model | None:
     """Adaptive-gradient descent on the ordinal likelihood; features of fewer than LEAST_DF sampled documents have no weight."""
     if len(set(grades.tolist())) < 2:
@@ -120,24 +139,12 @@ def fit(found: list[np.ndarray], grades: np.ndarray) -> Model | None:
             size = np.array([len(rows[i]) for i in batch])
             flat = np.concatenate([rows[i] for i in batch])
             s = np.bincount(np.repeat(np.arange(len(batch)), size), w[flat], minlength=len(batch))
-            y = grades[batch]
-            # P(y) = low - high, tails at the thresholds around y
-            tails = np.hstack([np.ones((len(batch), 1)), sigmoid(s[:, None] - t[None, :]), np.zeros((len(batch), 1))])
-            i = np.arange(len(batch))
-            low, high = tails[i, y], tails[i, y + 1]
-            p = np.maximum(low - high, 1e-12)
-            dlow, dhigh = low * (1 - low), high * (1 - high)
-            c = weight[y] / len(batch)
-            ds = -c * (dlow - dhigh) / p
-            dt = np.zeros(GRADES + 1)
-            np.add.at(dt, y, c * dlow / p)
-            np.add.at(dt, y + 1, -c * dhigh / p)
-            g = np.bincount(flat, np.repeat(ds, size), minlength=len(kept)) + DECAY * w
+            _, by_s, by_t = likelihood(s, grades[batch], t, weight)
+            g = np.bincount(flat, np.repeat(by_s, size), minlength=len(kept)) + DECAY * w
             gw += g * g
             w -= RATE * g / np.sqrt(gw)
-            g = dt[1:-1]
-            gt += g * g
-            t = np.sort(t - RATE * g / np.sqrt(gt))
+            gt += by_t * by_t
+            t = np.sort(t - RATE * by_t / np.sqrt(gt))
     weights = np.zeros(1 << BITS, np.float32)
     weights[kept] = w
     return Model(weights, t)
@@ -151,14 +158,16 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
-    """Fits on at most sample labelled documents; their features, not their texts, come to the driver."""
+    """Fits on at most sample labelled rows; their features, not their texts, come to the driver."""
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([features(x).astype("<u4").tobytes() for x in texts(b)], pa.binary())], names=["doc_id", "grade", "found"])
 
-    got = sorted(((r.doc_id, bytes(r.found), r.grade) for r in arrow_map(rows, run, "doc_id long, grade int, found binary").toLocalIterator()), key=lambda r: r[:2])[: 2 * sample]
+    # ids may repeat: the limit holds for rows too
+    made = arrow_map(rows, run, "doc_id long, grade int, found binary").orderBy(F.xxhash64("doc_id"), "doc_id", "found").limit(sample)
+    got = sorted((r.doc_id, bytes(r.found), r.grade) for r in made.toLocalIterator())
     return fit([np.frombuffer(f, "<u4").astype(np.int64) for _, f, _ in got], np.array([g for _, _, g in got], np.int64)) if got else None
 
 
