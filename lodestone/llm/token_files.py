@@ -3,7 +3,8 @@
 Documents are dealt by doc_id ranges and sorted, tokenised, and gathered into shards of
 about SHARD_TOKENS ids.  Per shard, frequent neighbouring pairs of ids are replaced by
 nonterminals, round after round (in a round all pairs above a count are replaced at once,
-left to right, and none across two documents), until no pair is frequent or the symbols run out.  A file row
+left to right, and none across two documents), until no pair is frequent or the symbols run
+out: a symbol has two bytes where the shard's ids fit into them, else four.  A file row
 holds the rules, the length each rule expands to, the compressed symbols, and for each
 document its id, its number of ids and its number of symbols; so a document, or a range
 in it, is decoded without decoding what stands before it.
@@ -13,7 +14,8 @@ lost executor's rows are written anew; results come from the files as read back.
 
 Order is ascending doc_id, null ids first; rows that repeat an id stand next to each
 other in no promised order.  Null text is empty: its document is the end id alone.  An
-empty table gives empty files and an empty result.
+empty table gives empty files and an empty result.  Very long texts are encoded whole, each
+within one shard.  Columns besides id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,44 +34,57 @@ from .token_cache import library_ids, tokenizer_path
 
 SHARD_TOKENS = 1 << 20
 END_ID = 2
-#: A pair is frequent from this count; and symbols in all (two bytes each).
-FREQUENT, SYMBOLS = 24, 1 << 16
+#: A pair is frequent from this count; and symbols in all, of two bytes and of four.
+FREQUENT, SYMBOLS, WIDE_SYMBOLS = 24, 1 << 16, 1 << 31
 TABLE_BITS = 20
 
 
 def rules_at(key: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For each pair its place in keys, or -1.  Looked up in a hashed table; pairs whose slot several of keys share are searched for."""
-    slots = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)
+    slots = lambda x: ((x ^ (x >> np.uint64(29))).astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)
     table, taken = np.full(1 << TABLE_BITS, -1, np.int32), slots(keys)
     table[taken] = np.arange(len(keys), dtype=np.int32)
     rule = table[slots(key)]
     rule[keys[rule] != key] = -1
     lost = np.flatnonzero(table[taken] != np.arange(len(keys)))
-    for i in lost.tolist():
-        rule[key == keys[i]] = i
+    if len(lost):
+        order = lost[np.argsort(keys[lost])]
+        rest = np.flatnonzero(rule < 0)
+        at = np.minimum(np.searchsorted(keys[order], key[rest]), len(order) - 1)
+        same = keys[order[at]] == key[rest]
+        rule[rest[same]] = order[at[same]]
     return rule
 
 
+def symbol_type(first: int) -> tuple[type, int]:
+    """The symbols' type, and how many there may be, where ids are below first."""
+    if first > WIDE_SYMBOLS:
+        raise ValueError(f"id {first - 1} does not fit into four bytes with rules beside it")
+    return (np.uint16, SYMBOLS) if first <= SYMBOLS else (np.uint32, WIDE_SYMBOLS)
+
+
 def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (n x 2), symbols, and each document's number of symbols; ids of documents one after another, each below SYMBOLS.
+    """Rules (n x 2), symbols, and each document's number of symbols; ids of documents one after another.
 
     Counts are exact.  A round leaves no occurrence of a pair it has a rule for, and no other
     pair of older symbols can become frequent, so the next round counts only pairs with a new symbol."""
     first = int(ids.max(initial=0)) + 1
-    seq, sizes = ids.astype(np.uint16), lengths.astype(np.int64)
-    rules: list[np.ndarray] = [np.empty((0, 2), np.uint16)]
+    kind, limit = symbol_type(first)
+    shift = np.uint64(8 * np.dtype(kind).itemsize)
+    seq, sizes = ids.astype(kind), lengths.astype(np.int64)
+    rules: list[np.ndarray] = [np.empty((0, 2), kind)]
     made, near = 0, None  # near: where pairs with a new symbol stand; None is everywhere
-    while (room := SYMBOLS - first - made) > 0 and len(seq) > 1:
+    while (room := limit - first - made) > 0 and len(seq) > 1:
         ends = np.cumsum(sizes) - 1
         inner = np.ones(len(seq), bool)
         inner[ends[sizes > 0]] = False  # no pair across documents
         near = np.flatnonzero(inner) if near is None else near[inner[near]]
-        key = (seq[near].astype(np.uint32) << np.uint32(16)) | seq[near + 1]
-        ordered = np.sort(key)
+        key = (seq[near].astype(np.uint64) << shift) | seq[near + 1]
+        ordered = np.sort(key.astype(np.uint32) if kind is np.uint16 else key)
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
         counts = np.diff(np.r_[starts, len(ordered)])
         often = counts >= FREQUENT
-        keys, counts = ordered[starts[often]], counts[often]
+        keys, counts = ordered[starts[often]].astype(np.uint64), counts[often]
         if not len(keys):
             break
         cut = len(keys) > room
@@ -85,8 +100,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         used = np.bincount(rule, minlength=len(keys)) > 0
         number = np.cumsum(used) - 1
         keys = keys[used]
-        rules.append(np.stack([keys >> np.uint32(16), keys & np.uint32(0xFFFF)], axis=1).astype(np.uint16))
-        seq[at] = (first + made + number[rule]).astype(np.uint16)
+        rules.append(np.stack([keys >> shift, keys & ((np.uint64(1) << shift) - np.uint64(1))], axis=1).astype(kind))
+        seq[at] = (first + made + number[rule]).astype(kind)
         made += len(keys)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -116,7 +131,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     while (big := seq >= first).any():
         size = 1 + big
         at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.uint16)
+        out = np.empty(int(size.sum()), seq.dtype)
         out[at] = seq
         pairs = rules[seq[big].astype(np.int64) - first]
         out[at[big]], out[at[big] + 1] = pairs[:, 0], pairs[:, 1]
@@ -135,7 +150,7 @@ def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, fi
     return expand(symbols[a:b], rules, first)[start - skipped : stop - skipped]
 
 
-FILE = "part int, shard int, first_symbol int, n_ids long, doc_ids array<long>, doc_n_ids array<long>, doc_n_symbols array<long>, rules binary, rule_lengths binary, symbols binary"
+FILE = "part int, shard int, first_symbol int, n_ids long, doc_ids array<long>, doc_n_ids array<long>, doc_n_symbols array<long>, symbol_bytes int, rules binary, rule_lengths binary, symbols binary"
 
 
 def shards(docs: DataFrame, path: str, spaces: bool, end_id: int) -> DataFrame:
@@ -147,8 +162,8 @@ def shards(docs: DataFrame, path: str, spaces: bool, end_id: int) -> DataFrame:
         n = np.array([len(x) // 4 for _, x in held], np.int64)
         rules, symbols, sizes = compress(ids, n)
         first = int(ids.max()) + 1
-        values = [part, shard, first, len(ids), [d for d, _ in held], n, sizes, rules.astype("<u2").tobytes(), expansion_lengths(rules, first).astype("<u4").tobytes(), symbols.astype("<u2").tobytes()]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 3]
+        values = [part, shard, first, len(ids), [d for d, _ in held], n, sizes, (width := symbols.dtype.itemsize), rules.astype(f"<u{width}").tobytes(), expansion_lengths(rules, first).astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.int32(), *[pa.binary()] * 3]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in FILE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +198,9 @@ def decoded(files: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1).to_pydict()
                 get = {k: v[0] for k, v in one.items()}
-                rules = np.frombuffer(get["rules"], "<u2").reshape(-1, 2)
-                ids = expand(np.frombuffer(get["symbols"], "<u2"), rules, get["first_symbol"]).astype("<u4").tobytes()
+                kind = f"<u{get['symbol_bytes']}"
+                rules = np.frombuffer(get["rules"], kind).reshape(-1, 2)
+                ids = expand(np.frombuffer(get["symbols"], kind), rules, get["first_symbol"]).astype("<u4").tobytes()
                 n = np.array(get["doc_n_ids"], np.int64)
                 at = np.cumsum(n) - n
                 crc = [zlib.crc32(ids[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), n.tolist())]

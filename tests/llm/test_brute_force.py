@@ -175,6 +175,19 @@ def test_re_pair_round_trip():
     assert len(symbols) < len(ids)
 
 
+def test_ids_beyond_two_bytes(spark, tmp_path):
+    """A shard whose ids need four bytes keeps them; one that fits has two."""
+    rng = np.random.default_rng(8)
+    for top in (65_535, 65_536, 70_000, 3_000_000):
+        ids = np.r_[rng.integers(0, 300, 4000), [top], np.tile(rng.integers(0, top, 40), 60), [top, top]].astype(np.uint32)
+        lengths = np.array([3000, 0, len(ids) - 3000])
+        rules, symbols, sizes = token_files.compress(ids, lengths)
+        assert symbols.dtype == (np.uint16 if top < 65_536 else np.uint32) and (token_files.expand(symbols, rules, top + 1) == ids).all()
+        assert sizes.sum() == len(symbols) and (top == 65_535 or len(symbols) < len(ids))
+    with pytest.raises(ValueError, match="four bytes"):
+        token_files.compress(np.array([1 << 31], np.uint32), np.array([1]))
+
+
 def test_token_files(spark, small, documents, monkeypatch):
     from tokenizers import Tokenizer
 
