@@ -33,3 +33,34 @@ def test_stages(spark, small):
 def test_exact_dedup_keeps_one_of_each(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert exact_dedup.drop_copies(docs).count() == exact_dedup.exact_dedup(docs).where("kept").count()
+
+
+def test_awkward_rows(spark, awkward, nothing, tmp_path):
+    """Null texts and ids, repeated ids and rows, long texts and clashing columns go through all stages."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    for docs, name in ((awkward, "rows"), (nothing, "none")):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    table = spark.read.parquet(f"{tmp_path}/rows/documents.parquet")
+    kept = [table]
+    for name, stage in corpus_pipeline.STAGES:
+        kept.append(materialise(stage(spark, kept[-1], f"{tmp_path}/rows"), "awkward"))
+    assert all(df.columns == table.columns for df in kept[:-1])
+    ids = [sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect()) for df in kept[:-1]]
+    assert len(ids[1]) == len(ids[0]) == 15  # nothing is rejected without labels
+    assert [(d, t) for _, d, t in ids[2] if t.strip() == "" or t.strip() == "a"] == [(4, "   \n\t"), (9, "a ")]
+    first = {r.component_id for r in simhash.near_groups(kept[2]).collect()}
+    assert {None if null else d for null, d, _ in ids[3]} == first and (True, 0, "text without an id") in ids[3]
+    assert [x for x in ids[3] if x[1] != 1] == ids[4]  # only the contaminated one goes
+    pieces = kept[-1].collect()
+    assert {r.doc_id for r in pieces} == {None if null else d for null, d, _ in ids[4]}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_repeated_ids_with_equal_texts_lose_all_but_one(spark):
+    rows = [(1, "same text", "x"), (1, "same  text", "y"), (2, "sametext", "z"), (1, "other", "x"), (1, "same  text", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_sha string").repartition(2)
+    for _ in range(2):
+        assert sorted(map(tuple, exact_dedup.drop_copies(docs).collect())) == [(1, "other", "x"), (1, "same  text", "a")]
