@@ -2,7 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 to the shared folder and reread as the next stage's docs.  All but the last return the
-columns of documents.
+columns of documents, extra ones included whatever their names.
+
+Each stage names the rows that go; where that list is short (common.SHORT_LIST) it is
+broadcast and the texts stay where they are, else rows and list meet by shuffle.
+
+Null texts are empty texts: they are scored, of all empty texts one stays, and that one is
+packed as its end id.  Of equal texts the longest original stays, then the smallest id; of
+near copies the smallest id.  Rows that repeat an id are told apart where texts are
+compared, and share one decision in the stages after.  A null id is an id of its own, and
+the largest.  Very long texts are read whole.  An empty table goes through as an empty
+table; without labels nothing is rejected, without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
