@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,8 @@ PART = 1 << 19
 SAMPLE, HOT_SHARE = 4096, 2000
 #: Entries that a task keeps to see repeats of its own.
 SEEN = 200_000
+#: Rows of phrases or strings that are sent on at once, or a phrase's strings more.
+OUT = 20_000
 
 _RNG = np.random.default_rng(77_003)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -275,31 +278,43 @@ def with_bytes(docs: DataFrame, several: DataFrame, width: int) -> DataFrame:
     dealt = join_split(several, counts, "unit", "n", "left")
     by_string = F.col("n").isNotNull() | (F.col("at").bitwiseAND(F.lit(1)) == 1)
     wanted = dealt.groupBy("doc").agg(F.collect_list(F.struct("at", "unit", by_string.alias("by_string"))).alias("wanted"))
-    seen: dict[bytes, tuple[int, int]] = {}
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple[int, int, int, bytes | None]] = []
-        for doc, text, want in zip(b.column("doc").to_pylist(), _texts(b), b.column("wanted").to_pylist()):
-            for w in want or ():
-                at = w["at"]
-                start, n, place = unpack(at)
-                if not w["by_string"]:
-                    out.append((w["unit"], doc, at, text[start : start + n + width - 1]))
-                    continue
-                for i in range(start, start + n):
-                    x, here = text[i : i + width], (doc, i)
-                    bucket = int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
-                    if seen.get(x, here) < here:
-                        out.append((bucket ^ hash(here), doc, pack(i, 0, 0), None))
-                        continue
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen[x] = here
-                    out.append((bucket, doc, pack(i, 1, start + place - i), x))
+    def rows(out: list[tuple[int, int, int, bytes | None]]) -> pa.RecordBatch:
         cols = list(zip(*out)) if out else [[]] * 4
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["bucket", "doc", "at", "bytes"])
 
-    return arrow_map(docs.join(wanted, "doc").select("doc", "text", "wanted"), run, SUFFIXES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple[int, int]] = {}
+        out: list[tuple[int, int, int, bytes | None]] = []
+        for whole in batches:
+            for b in slices(whole, PART):
+                phrases = b.column("wanted").flatten()
+                ends = np.cumsum(pc.list_value_length(b.column("wanted")).to_numpy(zero_copy_only=False))
+                at = phrases.field("at").to_numpy(zero_copy_only=False)
+                wants = list(zip(*(x.tolist() for x in (*unpack(at), at)), phrases.field("unit").to_pylist(), phrases.field("by_string").to_pylist()))
+                first = 0
+                for doc, text, end in zip(b.column("doc").to_pylist(), _texts(b), ends.tolist()):
+                    for start, n, place, packed, unit, by_string in wants[first:end]:
+                        if len(out) >= OUT:
+                            yield rows(out)
+                            out = []
+                        if not by_string:
+                            out.append((unit, doc, packed, text[start : start + n + width - 1]))
+                            continue
+                        for i in range(start, start + n):
+                            x, here = text[i : i + width], (doc, i)
+                            bucket = int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+                            if seen.get(x, here) < here:
+                                out.append((bucket ^ hash(here), doc, pack(i, 0, 0), None))
+                                continue
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen[x] = here
+                            out.append((bucket, doc, pack(i, 1, start + place - i), x))
+                    first = end
+        yield rows(out)
+
+    return docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(run, SUFFIXES)
 
 
 def suffix_classes(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
