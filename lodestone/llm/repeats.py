@@ -50,7 +50,7 @@ from .common import arrow_map, id_text, join_split, materialise, read, slices, s
 
 WIDTH = 100
 GRAM = 24
-EVERY = 32
+EVERY = 48
 CROWDED = 4000
 PART = 1 << 19
 #: Documents looked at for hot triggers, and how many there can be.
