@@ -165,6 +165,23 @@ def author_year(authors: Column, year: Column) -> Column:
     return F.format_string("%s (%s)", F.coalesce(F.get(authors, F.lit(0)), F.lit("")), F.coalesce(year.cast("string"), F.lit("")))
 
 
+def score_fixed(score: Column, digits: int = 4) -> Column:
+    """The score with so many digits after the point."""
+    return F.format_string(f"%.{digits}f", score.cast("double"))
+
+
+def score_short(score: Column, digits: int = 3) -> Column:
+    """The score to so many significant digits, without trailing zeros; with an exponent of two digits below 0.0001 and from 10^digits."""
+    x = score.cast("double")
+    said = F.format_string(f"%.{digits - 1}e", x)
+    power = F.regexp_extract(said, "e(.*)$", 1).cast("int")
+    bare = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    fixed = F.lit(None).cast("string")
+    for n in range(-4, digits):
+        fixed = F.when(power == n, F.format_string(f"%.{max(digits - 1 - n, 0)}f", x)).otherwise(fixed)
+    return F.coalesce(bare(fixed), F.concat(bare(F.regexp_extract(said, "^(.*)e", 1)), F.regexp_extract(said, "(e.*)$", 1)))
+
+
 def abbreviate(identifier: Column, shown: int = 10) -> Column:
     return F.substring(identifier, 1, shown)
 

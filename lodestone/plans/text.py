@@ -27,12 +27,8 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("s").alias("n_sentences"), F.get("s", F.lit(0)).alias("first_sentence"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).alias("longest"))
 
 
-def _chunks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Chunks of the documents whose sentences all fit a chunk; whole: of all."""
-    rows = _docs(spark, sf_dir).select("doc_id", T.split_sentences(F.col("text")).alias("s"))
-    if not whole:
-        rows = rows.where(F.forall("s", lambda x: F.length(x) <= C.MOST))
-    return rows.select("doc_id", C.pack(F.col("s")).alias("chunks"))
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", C.chunk_text(F.col("text")).alias("chunks"))
 
 
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,29 +36,16 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("i").cast("int").alias("chunk_index"), "content", F.length("content").alias("character_count"))
 
 
-def chunk_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, those with sentences that must be split hard too."""
-    rows = _chunks(spark, sf_dir, True).select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
-    return rows.withColumn("character_count", F.length("content"))
-
-
-def _stats(chunks: DataFrame) -> DataFrame:
-    size = F.transform("chunks", F.length)
-    return chunks.select("doc_id", F.size("chunks").alias("n_chunks"), F.coalesce(F.array_max(size), F.lit(0)).alias("longest"), F.coalesce(F.array_min(size), F.lit(0)).alias("shortest"))
-
-
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(_chunks(spark, sf_dir))
-
-
-def chunk_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, as chunk_text_all."""
-    return _stats(_chunks(spark, sf_dir, True))
+    """Of documents with a chunk."""
+    size = F.transform("chunks", F.length)
+    chunks = _chunks(spark, sf_dir).where(F.size("chunks") > 0)
+    return chunks.select("doc_id", F.size("chunks").alias("n_chunks"), F.array_max(size).alias("longest"), F.array_min(size).alias("shortest"))
 
 
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chunks(spark, sf_dir, True).select("doc_id", F.posexplode(C.with_overlap(F.col("chunks"))).alias("chunk_index", "embedding_content"))
-    return rows
+    rows = _chunks(spark, sf_dir).select("doc_id", F.posexplode(C.with_overlap(F.col("chunks"))).alias("i", "embedding_content"))
+    return rows.select("doc_id", F.col("i").cast("int").alias("chunk_index"), "embedding_content")
 
 
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,12 +56,8 @@ def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, white space collapsed, as one sentence each."""
-
-    @F.pandas_udf("array<string>")
-    def split(rows):
-        return rows.map(lambda s: C.hard_split(s))
-
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(split(T.collapse_spaces(F.col("text")))).alias("part", "content"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(C.hard_split(T.collapse_spaces(F.col("text")))).alias("i", "content"))
+    return rows.select("doc_id", F.col("i").cast("int").alias("part"), "content")
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +96,11 @@ def substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's name against each region's."""
-    terms, texts = table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "region").select("r_name")
-    return terms.crossJoin(texts).select("n_name", "r_name", T.fuzzy_match(F.col("n_name"), F.concat(F.col("r_name"), F.lit(" nation 1 and 2")), 70).alias("matches"))
+    """The first words of each conversation against all its turns."""
+    turns = table(spark, sf_dir, "conversations")
+    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("opening"))
+    terms = first.select("conv_id", F.array_join(F.slice(F.split("opening", " "), 1, 2), " ").alias("term"))
+    return turns.join(terms, "conv_id").select("conv_id", "turn", "term", T.fuzzy_match(F.col("term"), F.col("text"), 70).alias("matches"))
 
 
 def highlight_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +137,7 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sentence_split, sentence_counts, chunk_text, chunk_text_all, chunk_stats, chunk_stats_all, chunk_overlap, chunk_paragraphs, hard_split, normalize_text, normalise_content, slugify, base36, human_id,
+        sentence_split, sentence_counts, chunk_text, chunk_stats, chunk_overlap, chunk_paragraphs, hard_split, normalize_text, normalise_content, slugify, base36, human_id,
         citation_key, extract_year, substring_match, fuzzy_match, highlight_keywords, mark_literal, key_phrase, snippet_truncate, authors_et_al, format_author, token_estimate,
     )
 }
@@ -164,9 +145,14 @@ QUERIES = {
 _SPLIT = "list_filter(list_transform(regexp_extract_all(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[^.!?]*[.!?]|[^.!?]+$'), lambda x: trim(x)), lambda x: x <> '')"
 
 
-def _chunks_sql(source: str, key: str) -> str:
-    """CTEs up to k(key, chunk, content): the packer as a recursion over sentences; source gives key and s, no sentence over 600."""
-    return f"""RECURSIVE f AS ({source}),
+#: Units of a list of sentences s: those over 600 characters in parts.
+_HARD = "list_filter(list_transform(regexp_extract_all({0} || ' ', '(?s) ?(.{{1,600}} $|.{{1,599}} |.{{600}})', 1), lambda p: trim(p)), lambda p: p <> '')"
+_UNITS = f"flatten(list_transform(s, lambda x: CASE WHEN length(x) <= 600 THEN [x] ELSE {_HARD.format('x')} END))"
+
+
+def chunks_sql(source: str, key: str) -> str:
+    """CTEs up to k(key, chunk, content): the packer as a recursion over sentences; source gives key and s."""
+    return f"""RECURSIVE f AS (SELECT {key}, {_UNITS} AS s FROM ({source}) WHERE len(s) > 0),
     w AS (SELECT {key}, s, 1 AS i, length(s[1]) AS cur, 0 AS chunk FROM f
           UNION ALL
           SELECT {key}, s, i + 1, CASE WHEN brk THEN length(s[i + 1]) ELSE m END, CASE WHEN brk THEN chunk + 1 ELSE chunk END
@@ -177,9 +163,12 @@ def _chunks_sql(source: str, key: str) -> str:
           FROM l WHERE NOT (chunk = last AND chunk > 0 AND length(content) < 400 AND length(prev) + 1 + length(content) <= 600))"""
 
 
-_FIT = "len(s) > 0 AND list_max(list_transform(s, lambda x: length(x))) <= 600"
-_CHUNKS = _chunks_sql(f"SELECT doc_id, s FROM (SELECT doc_id, {_SPLIT} AS s FROM documents) WHERE {_FIT}", "doc_id")
-_TURNS = _chunks_sql(f"SELECT conv_id, s FROM (SELECT conv_id, flatten(list(t ORDER BY turn)) AS s FROM (SELECT conv_id, turn, {_SPLIT} AS t FROM conversations) GROUP BY 1) WHERE {_FIT}", "conv_id")
+def split_sql(text: str) -> str:
+    return _SPLIT.replace("trim(regexp_replace(text,", f"trim(regexp_replace({text},")
+
+
+_CHUNKS = chunks_sql(f"SELECT doc_id, {_SPLIT} AS s FROM documents", "doc_id")
+_TURNS = chunks_sql(f"SELECT conv_id, flatten(list(t ORDER BY turn)) AS s FROM (SELECT conv_id, turn, {_SPLIT} AS t FROM conversations) GROUP BY 1", "conv_id")
 _NAMES = "(string_split(substr(text, 1, 60), ' '))[1:doc_id % 5]"
 ORACLE = {
     "sentence_split": f"SELECT doc_id, CAST(i - 1 AS INT) AS sentence_no, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SPLIT} AS s FROM documents))",
@@ -187,6 +176,13 @@ ORACLE = {
     "chunk_text": f"WITH {_CHUNKS} SELECT doc_id, CAST(chunk AS INT) AS chunk_index, content, CAST(length(content) AS INT) AS character_count FROM k",
     "chunk_stats": f"WITH {_CHUNKS} SELECT doc_id, CAST(count(*) AS INT) AS n_chunks, CAST(max(length(content)) AS INT) AS longest, CAST(min(length(content)) AS INT) AS shortest FROM k GROUP BY 1",
     "chunk_paragraphs": f"WITH {_TURNS} SELECT conv_id, CAST(chunk AS INT) AS chunk_index, content FROM k",
+    "chunk_overlap": f"""WITH {_CHUNKS}, t AS (SELECT doc_id, chunk, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, chunk, {split_sql('content')} AS p FROM k)),
+        a AS (SELECT *, coalesce(sum(length(p[i]) + 1) OVER (PARTITION BY doc_id, chunk ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM t),
+        o AS (SELECT doc_id, chunk + 1 AS chunk, string_agg(p[i], ' ' ORDER BY i) AS tail FROM a WHERE after < 100 GROUP BY 1, 2)
+        SELECT doc_id, CAST(chunk AS INT) AS chunk_index, concat_ws(' ', tail, content) AS embedding_content FROM k LEFT JOIN o USING (doc_id, chunk)""",
+    "hard_split": f"SELECT doc_id, CAST(i - 1 AS INT) AS part, p[i] AS content FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, {_HARD.format('trim(regexp_replace(text, $$\\s+$$, chr(32), $$g$$))')} AS p FROM documents))",
+    "normalise_content": """SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(nfc_normalize(text) || ' see Figure 3 and Table 12 [1, 22] hy- phen', chr(10), ' '),
+        '([\\p{L}\\p{N}_])-\\s+([\\p{L}\\p{N}_])', '\\1\\2', 'g'), '\\s{2,}', ' ', 'g'), '\\[\\s*[0-9]+(?:\\s*,\\s*[0-9]+)*\\s*\\]', '', 'g'), 'Figure\\s+[0-9]+', '', 'g'), 'Table\\s+[0-9]+', '', 'g')) AS content FROM documents""",
     "normalize_text": "SELECT doc_id, trim(trim(regexp_replace(replace(replace(lower(regexp_replace(text, '\\r\\n|\\r|\\n', ' ', 'g')), '- ', '-'), ' -', '-'), '\\s+', ' ', 'g')), '()[]{}:,.;') AS norm FROM documents",
     "slugify": "SELECT page_id, lower(trim(regexp_replace(CASE WHEN regexp_matches(url, '[^/.]\\.[^./]*$') THEN regexp_replace(url, '\\.[^./]*$', '') ELSE url END, '[^0-9a-zA-Z]+', '-', 'g'), '-')) AS slug FROM pages",
     "base36": "WITH RECURSIVE b AS (SELECT doc_id, doc_id * 7919 + n_chars AS n, '' AS code FROM documents UNION ALL SELECT doc_id, n // 36, substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(n % 36 AS INT) + 1, 1) || code FROM b WHERE n > 0 OR code = '') SELECT doc_id, code FROM b WHERE n = 0 AND code <> ''",
