@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import exists
+from ..sources.scratch import written
 from .chunking import chunk_text
-from .vectors import hash_embed, roll_up, unit
+from .markup import snapshot
+from .vectors import hash_embed, index_texts, roll_up, unit
 
 Embedder = Callable[[Column], Column]
 
@@ -25,3 +28,33 @@ def ingest_pages(pages: DataFrame, embed: Embedder = hash_embed) -> dict[str, Da
     page_vectors = roll_up(vectors.where("embedding is not null"), "page_id")
     document_vectors = roll_up(page_vectors.join(pages.select("page_id", "document_id"), "page_id"), "document_id")
     return {"text_entity": texts, "vector": vectors.withColumn("embedding_unit", unit(F.col("embedding"))), "page_vector": page_vectors, "document_vector": document_vectors}
+
+
+#: Relations of an ingest, and the key by which a row is there already.
+KEYS = {"term": "id", "document": "id", "heading": "heading_id", "text_entity": "text_id", "relationship": "id", "vector": "text_id"}
+
+
+def ingest_tei(docs: DataFrame, embed: Embedder = hash_embed, id_col: str = "id", xml_col: str = "xml") -> dict[str, DataFrame]:
+    """All relations of TEI documents with their texts' vectors; rejects: documents that do not parse, texts that cannot be embedded."""
+    made = snapshot(docs, id_col, xml_col)
+    vectors = index_texts(made["text_entity"], embed, "text_id", "content")
+    unembedded = vectors.where("embedding is null").select(F.col("text_id").alias("id"), F.lit("no embedding").alias("error"))
+    edge_id = F.md5(F.concat_ws("|", "source_id", "target_id", "type"))
+    return made | {"relationship": made["relationship"].select(edge_id.alias("id"), "*"), "vector": vectors.where("embedding is not null"), "rejects": made["rejects"].unionByName(unembedded)}
+
+
+def persist(made: dict[str, DataFrame], root: str) -> dict[str, int]:
+    """Appends each relation's new rows to ``<root>/<relation>.parquet`` (those without a key, as rejects, replace what is there); returns how many rows were written.
+
+    A relation is written once, so a rerun after a lost driver adds only what is missing."""
+    added = {}
+    for name, rows in made.items():
+        path, spark = f"{root}/{name}.parquet", rows.sparkSession
+        key = KEYS.get(name)
+        if key and exists(spark, path):
+            there = spark.read.parquet(path)
+            rows = rows.join(there.select(key), key, "left_anti").select(*rows.columns)
+        rows = written(rows.dropDuplicates([key]) if key else rows, name)
+        rows.write.mode("append" if key else "overwrite").parquet(path)
+        added[name] = rows.count()
+    return added

@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_spaces, extract_year
-from .chunking import chunk_paragraphs
+from ..sources.scratch import written
+from .chunking import bound, chunk_paragraphs
 from .store import running_index
 
 BOX = "struct<page:int,x1:double,y1:double,x2:double,y2:double>"
-REF = "struct<ref_type:string,target:string,text:string>"
+REF = f"struct<ref_type:string,target:string,text:string,coords:array<{BOX}>>"
 PARAGRAPH = f"struct<text:string,coords:array<{BOX}>,references:array<{REF}>>"
 SECTION = f"struct<id:string,title:string,coords:array<{BOX}>,paragraphs:array<{PARAGRAPH}>>"
 AFFILIATION = "struct<institution:string,settlement:string,country:string>"
-AUTHOR = "struct<first_name:string,middle_names:array<string>,last_name:string,email:string,affiliation_keys:array<string>,org_names:array<string>>"
+AUTHOR = f"struct<first_name:string,middle_names:array<string>,last_name:string,email:string,affiliation_keys:array<string>,org_names:array<string>,affiliations:array<{AFFILIATION}>>"
 HEADER = f"struct<title:string,publisher:string,published_date:string,doi:string,md5:string,abstract:string,keywords:array<string>,authors:array<{AUTHOR}>,affiliations:map<string,{AFFILIATION}>>"
 SURFACE = "struct<page:int,ulx:double,uly:double,lrx:double,lry:double>"
 TEI = f"header {HEADER}, facsimile array<{SURFACE}>, body array<{SECTION}>, error string"
@@ -28,11 +29,11 @@ TEI = f"header {HEADER}, facsimile array<{SURFACE}>, body array<{SECTION}>, erro
 
 
 def parse_coords(text: Column) -> Column:
-    """``page,x,y,w,h;...`` to boxes with corners; parts of under five numbers are skipped, none at all is null."""
+    """``page,x1,y1,x2,y2;...`` to boxes, the numbers as they stand; parts of under five numbers, or with another word in them, are skipped, none at all is null."""
     numbers = F.transform(F.split(text, ";"), lambda p: F.transform(F.split(p, ","), lambda x: F.trim(x).try_cast("double")))
-    good = F.filter(numbers, lambda n: (F.size(n) >= 5) & F.forall(F.slice(n, 1, 5), lambda x: x.isNotNull()))
-    boxes = F.transform(good, lambda n: F.struct(n[0].cast("int").alias("page"), n[1].alias("x1"), n[2].alias("y1"), (n[1] + n[3]).alias("x2"), (n[2] + n[4]).alias("y2")))
-    return F.when(F.size(boxes) > 0, boxes)
+    good = F.filter(numbers, lambda n: (F.size(n) >= 5) & F.forall(n, lambda x: x.isNotNull()))
+    boxes = F.transform(good, lambda n: F.struct(n[0].cast("int").alias("page"), n[1].alias("x1"), n[2].alias("y1"), n[3].alias("x2"), n[4].alias("y2")))
+    return bound(boxes, lambda b: F.when(F.size(b) > 0, b))
 
 
 def first_page(boxes: Column) -> Column:
@@ -56,94 +57,103 @@ def html_heading(html: Column) -> Column:
 # -- full TEI ---------------------------------------------------------------------------
 
 
-def _name(e: ET.Element) -> str:
-    return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
-
-
-def _all(e: ET.Element | None, name: str) -> list[ET.Element]:
-    return [] if e is None else [x for x in e.iter() if _name(x) == name]
-
-
-def _text(e: ET.Element | None) -> str | None:
-    """What stands before the first child element, or None."""
-    return ((e.text or "").strip() or None) if e is not None else None
-
-
-def _first(e: ET.Element | None, name: str) -> ET.Element | None:
-    return next(iter(_all(e, name)), None)
+# What is read from where.  A field is (kind, path) or (kind, path, argument): "own" is the text before an
+# element's first child, "whole" all its text, "attribute" one of its attributes, "number" that as a number
+# (0 if there is none), "boxes" its coords; "owns" and "each" give one for every element on the path, the
+# latter by a table of its own.  Paths are child names from the element at hand; "" is itself, "//" goes down.
+Table = Mapping[str, tuple]
+REFERENCE_FIELDS: Table = {"ref_type": ("attribute", "", "type"), "target": ("attribute", "", "target"), "text": ("whole", ""), "coords": ("boxes", "")}
+PARAGRAPH_FIELDS: Table = {"text": ("whole", ""), "coords": ("boxes", ""), "references": ("each", "ref", REFERENCE_FIELDS)}
+SECTION_FIELDS: Table = {"id": ("attribute", "", "n"), "title": ("own", "head"), "coords": ("boxes", "head"), "paragraphs": ("each", "p", PARAGRAPH_FIELDS)}
+AFFILIATION_FIELDS: Table = {"key": ("attribute", "", "key"), "institution": ("own", "orgName"), "settlement": ("own", "address/settlement"), "country": ("own", "address/country")}
+AUTHOR_FIELDS: Table = {
+    "person": ("whole", "persName"), "forenames": ("owns", "persName/forename"), "last_name": ("own", "persName/surname"), "email": ("own", "email"),
+    "organisations": ("owns", "affiliation/orgName"), "at": ("each", "affiliation", AFFILIATION_FIELDS),
+}
+HEADER_FIELDS: Table = {
+    "title": ("own", "//fileDesc/titleStmt/title"), "publisher": ("own", "//publicationStmt/publisher"), "published_date": ("attribute", "//publicationStmt/date", "when"), "abstract": ("whole", "//abstract//p"),
+    "identifiers": ("each", "//idno", {"type": ("attribute", "", "type"), "value": ("own", "")}), "keywords": ("owns", "//textClass/keywords/term"), "authors": ("each", "//analytic/author", AUTHOR_FIELDS),
+}
+SURFACE_FIELDS: Table = {"page": ("number", "", "n"), **{k: ("number", "", k) for k in ("ulx", "uly", "lrx", "lry")}}
+
+
+def _found(e: ET.Element, path: str) -> list[ET.Element]:
+    """Elements on a path, whatever their namespace."""
+    if not path:
+        return [e]
+    steps = path.split("/")
+    return e.findall("/".join([".", *(f"{{*}}{s}" if s else "" for s in (steps[1:] if path.startswith("/") else steps))]))
 
 
 def _boxes(coords: str | None) -> list[dict] | None:
     out = []
     for part in (coords or "").split(";"):
         try:
-            n = [float(x) for x in part.split(",")]
-            if len(n) >= 5:
-                out.append({"page": int(n[0]), "x1": n[1], "y1": n[2], "x2": n[1] + n[3], "y2": n[2] + n[4]})
-        except ValueError:
+            page, *corners = map(float, part.split(","))
+            if len(corners) >= 4:
+                out.append({"page": int(page), **dict(zip(("x1", "y1", "x2", "y2"), corners))})
+        except (ValueError, OverflowError):
             continue
     return out or None
 
 
-def _author(e: ET.Element) -> dict | None:
-    person = _first(e, "persName")
-    if person is None:
-        return None
-    forenames = [t for t in map(_text, _all(person, "forename")) if t]
-    affiliations = _all(e, "affiliation")
-    return {
-        "first_name": forenames[0] if forenames else None,
-        "middle_names": forenames[1:],
-        "last_name": _text(_first(person, "surname")),
-        "email": _text(_first(e, "email")),
-        "affiliation_keys": [a.get("key") for a in affiliations if a.get("key")],
-        "org_names": [t for a in affiliations for t in map(_text, _all(a, "orgName")) if t],
-    }
+def _own(e: ET.Element) -> str | None:
+    return (e.text or "").strip() or None
+
+
+#: How one element is read, by kind.
+_READ = {
+    "own": lambda e: _own(e),
+    "whole": lambda e: "".join(e.itertext()).strip(),
+    "attribute": lambda e, name: e.get(name),
+    "number": lambda e, name: float(e.get(name) or 0),
+    "boxes": lambda e: _boxes(e.get("coords")),
+}
+
+
+def read_fields(e: ET.Element, table: Table) -> dict:
+    """An element by a table of fields."""
+    out = {}
+    for field, (kind, path, *argument) in table.items():
+        found = _found(e, path)
+        if kind == "each":
+            out[field] = [read_fields(x, *argument) for x in found]
+        elif kind == "owns":
+            out[field] = [_own(x) for x in found]
+        else:
+            out[field] = _READ[kind](found[0], *argument) if found else None
+    return out
+
+
+def _header(head: ET.Element) -> dict:
+    """The header's fields as the relation has them: the last identifier of a type counts, an author without a name is none, and has the affiliations of its keys."""
+    h = read_fields(head, HEADER_FIELDS)
+    plain = lambda a: {k: a[k] for k in ("institution", "settlement", "country")}
+    known = {a["key"]: plain(a) for author in h["authors"] for a in author["at"]}
+    ids = {i["type"]: i["value"] for i in h.pop("identifiers")}
+    authors = []
+    for a in h.pop("authors"):
+        if a["person"] is not None:
+            names, keys = [x for x in a["forenames"] if x], [x["key"] for x in a["at"]]
+            authors.append({"first_name": names[0] if names else None, "middle_names": names[1:], "last_name": a["last_name"], "email": a["email"], "affiliation_keys": keys, "org_names": [x for x in a["organisations"] if x], "affiliations": [known[k] for k in keys]})
+    return h | {"doi": ids.get("DOI"), "md5": ids.get("MD5"), "authors": authors, "affiliations": {k: v for k, v in known.items() if k is not None}}
 
 
 def parse_tei(xml: str | None) -> dict:
     """header, facsimile, body of a TEI document; without a header an error."""
+    nothing = {"header": None, "facsimile": [], "body": []}
     try:
         root = ET.fromstring(xml or "")
     except ET.ParseError as e:
-        return {"header": None, "facsimile": [], "body": [], "error": f"not XML: {e}"}
-    head = _first(root, "teiHeader")
+        return nothing | {"error": f"not XML: {e}"}
+    head = next(iter(_found(root, "//teiHeader")), None)
     if head is None:
-        return {"header": None, "facsimile": [], "body": [], "error": "no teiHeader"}
-    ids = {kind: [_text(e) for e in _all(head, "idno") if (e.get("type") or "").upper() == kind] for kind in ("DOI", "MD5")}
-    abstract = _first(_first(head, "abstract"), "p")
-    affiliations = {}
-    for a in _all(head, "affiliation"):
-        if a.get("key"):
-            affiliations[a.get("key")] = {"institution": _text(_first(a, "orgName")), "settlement": _text(_first(a, "settlement")), "country": _text(_first(a, "country"))}
-    date = next((d.get("when") for d in _all(head, "date") if d.get("when")), None)
-    header = {
-        "title": _text(_first(_first(head, "titleStmt"), "title")),
-        "publisher": _text(_first(head, "publisher")),
-        "published_date": date,
-        "doi": next(reversed(ids["DOI"]), None),
-        "md5": next(reversed(ids["MD5"]), None),
-        "abstract": "".join(abstract.itertext()).strip() if abstract is not None else None,
-        "keywords": [t for k in _all(head, "keywords") for t in map(_text, _all(k, "term")) if t],
-        "authors": [a for a in map(_author, _all(head, "author")) if a],
-        "affiliations": affiliations,
-    }
-    number = lambda e, k: float(e.get(k) or 0)
-    surfaces = [{"page": int(number(s, "n")), **{k: number(s, k) for k in ("ulx", "uly", "lrx", "lry")}} for s in _all(_first(root, "facsimile"), "surface")]
-    sections = []
-    for div in _all(_first(root, "body"), "div"):
-        title = next((c for c in div if _name(c) == "head"), None)
-        paragraphs = [
-            {
-                "text": "".join(p.itertext()).strip(),
-                "coords": _boxes(p.get("coords")),
-                "references": [{"ref_type": r.get("type"), "target": r.get("target"), "text": _text(r)} for r in p if _name(r) == "ref"],
-            }
-            for p in div
-            if _name(p) == "p"
-        ]
-        sections.append({"id": div.get("{http://www.w3.org/XML/1998/namespace}id"), "title": _text(title), "coords": _boxes(title.get("coords")) if title is not None else None, "paragraphs": paragraphs})
-    return {"header": header, "facsimile": surfaces, "body": sections, "error": None}
+        return nothing | {"error": "no teiHeader"}
+    try:
+        surfaces = [s | {"page": int(s["page"])} for f in _found(root, "//facsimile")[:1] for s in (read_fields(x, SURFACE_FIELDS) for x in _found(f, "surface"))]
+    except ValueError as e:
+        return nothing | {"error": f"surface: {e}"}
+    return {"header": _header(head), "facsimile": surfaces, "body": [read_fields(d, SECTION_FIELDS) for b in _found(root, "//body")[:1] for d in _found(b, "//div")], "error": None}
 
 
 def tei(docs: DataFrame, id_col: str = "id", xml_col: str = "xml") -> DataFrame:
@@ -198,9 +208,25 @@ def edges(texts: DataFrame, headings: DataFrame) -> DataFrame:
     return edge(headings, "heading_id", "document_id", "belongs_to").unionByName(edge(under, "text_id", "heading_id", "under_heading")).unionByName(edge(texts, "text_id", "document_id", "belongs_to"))
 
 
+def author_affiliations(parsed: DataFrame) -> DataFrame:
+    """id, author (from 0), place, key, institution, settlement, country: each author's affiliations by key, in the order of the keys."""
+    authors = parsed.where("error is null").select("id", "header.affiliations", F.posexplode("header.authors").alias("author", "a"))
+    keys = authors.select("id", "author", "affiliations", F.posexplode("a.affiliation_keys").alias("place", "key"))
+    return keys.where(F.map_contains_key("affiliations", F.col("key"))).select("id", "author", "place", "key", F.col("affiliations")[F.col("key")].alias("x")).select("id", "author", "place", "key", "x.*")
+
+
+def references(parsed: DataFrame) -> DataFrame:
+    """id, section, paragraph, place, ref_type, target, text, page_number of every reference in a paragraph."""
+    rows = sections(parsed).select("id", "section", F.posexplode("paragraphs").alias("paragraph", "p"))
+    rows = rows.select("id", "section", "paragraph", F.posexplode("p.references").alias("place", "r"))
+    return rows.select("id", "section", "paragraph", "place", "r.ref_type", "r.target", "r.text", first_page(F.col("r.coords")).alias("page_number"))
+
+
 def snapshot(docs: DataFrame, id_col: str = "id", xml_col: str = "xml") -> dict[str, DataFrame]:
-    """All relations of a set of TEI documents; the terms' is empty, rejects hold what could not be parsed."""
-    parsed = tei(docs, id_col, xml_col)
-    h, t = headings(parsed), texts(parsed)
+    """All relations of a set of TEI documents; the terms' is empty, rejects hold what could not be parsed.
+
+    The markup is parsed once, into a table in the shared folder, and so are the texts' chunks."""
+    parsed = written(tei(docs, id_col, xml_col), "tei")
+    h, t = headings(parsed), written(texts(parsed), "texts")
     terms = docs.sparkSession.createDataFrame([], "id string, canonical_name string")
     return {"document": documents(parsed), "heading": h, "text_entity": t, "relationship": edges(t, h), "term": terms, "rejects": parsed.where("error is not null").select("id", "error")}

@@ -2,25 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as X
+from ..functions.text import format_author
+from ..operators import ingest as I
 from ..operators import markup as M
 from ..operators.store import running_index
+from ..operators.vectors import hash_embed
+from ..sources.files import page_file_name, rename_key, reshape_metadata, split_page_name, strip_metadata
+from ..sources.scratch import shared_dir
 from ..sources.tables import table
+from .search import embedded_sql
+from .text import chunks_sql, split_sql
+
+
+def format_name(first: str, middle: str, last: str) -> Column:
+    return format_author(F.col(first), F.col(middle), F.col(last))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+#: Each page as a TEI document: its heading, two authors (and an editor who is none) and its paragraphs, four to a page, with a reference in each.
+_HEAD = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>{title}</title><author><persName><surname>Editor</surname></persName></author></titleStmt>
+<publicationStmt><publisher>Press {id}</publisher><date when="2021-03-04"/></publicationStmt><sourceDesc><biblStruct><analytic>
+<author><persName><forename>Ann</forename><forename>{title}</forename><forename>Bea</forename><surname>Cole {id}</surname></persName><email>c{id}@x.org</email><affiliation key="a0"><orgName>Org {id}</orgName><address><settlement>Town</settlement><country>Land</country></address></affiliation></author>
+<author><persName><surname>Day</surname></persName><affiliation key="a1"><orgName>Lab</orgName></affiliation><affiliation key="a0"/></author><author/>
+</analytic><idno type="DOI">10.0/old</idno><idno type="DOI">10.1/{id}</idno></biblStruct></sourceDesc></fileDesc>
+<profileDesc><textClass><keywords><term>one</term><term/><term>{id}</term></keywords></textClass><abstract><p>All <b>of</b> {id}.</p></abstract></profileDesc></teiHeader>
+<facsimile><surface n="1" lrx="612"/><surface n="2"/></facsimile><text><body><div n="s{id}"><head coords="1,1,2,3,4">{title}</head>"""
+
+
 def _tei(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page as a TEI document: its heading, and its paragraphs dealt over two sections and boxes."""
-    rows = _pages(spark, sf_dir).select("page_id", F.regexp_replace(F.coalesce(M.html_heading(F.col("html")), F.lit("")), "[<&>]", " ").alias("title"), F.transform(M.html_paragraphs(F.col("html")), lambda x: F.regexp_replace(x, "[<&>]", " ")).alias("p"))
-    body = F.array_join(F.transform("p", lambda x, i: F.concat(F.lit('<p coords="'), (i / 4 + 1).cast("int").cast("string"), F.lit(',10,20,30,40">'), x, F.lit("</p>"))), "")
-    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><titleStmt><title>'), "title", F.lit('</title></titleStmt><date when="2021-03-04"/></teiHeader><facsimile><surface n="1" lrx="612"/></facsimile><text><body><div><head coords="1,1,2,3,4">'), "title", F.lit("</head>"), body, F.lit("</div><div><p>untitled</p></div></body></text></TEI>"))
-    return rows.select(F.col("page_id").cast("string").alias("id"), xml.alias("xml"))
+    safe = lambda x: F.regexp_replace(x, "[<&>]", " ")
+    rows = _pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("id"), safe(F.coalesce(M.html_heading(F.col("html")), F.lit(""))).alias("title"), F.transform(M.html_paragraphs(F.col("html")), safe).alias("p"))
+    head = F.replace(F.replace(F.lit(_HEAD), F.lit("{id}"), F.col("id")), F.lit("{title}"), F.col("title"))
+    one = lambda x, i: F.concat(F.lit('<p coords="'), (i / 4 + 1).cast("int").cast("string"), F.lit(',10,20,30,40">'), x, F.lit(' <ref type="bibr" target="#b'), i.cast("string"), F.lit('" coords="'), (i / 4 + 2).cast("int").cast("string"), F.lit(',1,2,3,4">[<hi>'), i.cast("string"), F.lit("</hi>]</ref></p>"))
+    body = F.array_join(F.transform("p", one), "")
+    return rows.select("id", F.concat(head, body, F.lit("</div><div><p>untitled</p></div></body></text></TEI>")).alias("xml"))
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.tei(_tei(spark, sf_dir))
+
+
+def tei_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = M.documents(_parsed(spark, sf_dir))
+    return d.select("id", F.coalesce("title", F.lit("")).alias("title"), "publisher", "publication_date", "year", "doi", "file_hash", "abstract", F.concat_ws("+", F.transform("keywords", lambda k: F.coalesce(k, F.lit("")))).alias("keywords"), F.size("authors").alias("n_authors"), "page_count")
+
+
+def tei_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = M.documents(_parsed(spark, sf_dir)).select("id", F.posexplode("authors").alias("i", "a"))
+    return rows.select("id", F.col("i").cast("int").alias("author"), format_name("a.first_name", "a.middle_names", "a.last_name").alias("name"), "a.email", F.array_join("a.affiliation_keys", "+").alias("keys"), F.array_join("a.org_names", "+").alias("org_names"), F.size("a.affiliations").alias("n_affiliations"))
+
+
+def author_affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.author_affiliations(_parsed(spark, sf_dir)).select("id", F.col("author").cast("int").alias("author"), F.col("place").cast("int").alias("place"), "key", "institution", "settlement", "country")
+
+
+def tei_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = M.references(_parsed(spark, sf_dir))
+    return r.select("id", *(F.col(c).cast("int").alias(c) for c in ("section", "paragraph", "place")), "ref_type", "target", "text", "page_number")
+
+
+def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parsed(spark, sf_dir).select("id", F.explode("facsimile").alias("s"))
+    return rows.select("id", "s.page", "s.ulx", "s.lrx")
 
 
 def markup_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,29 +84,30 @@ def markup_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.col("i").cast("int").alias("paragraph_no"), "text")
 
 
-def _coords(items: DataFrame) -> DataFrame:
-    """Boxes made of line items: some parts are short, some are not numbers."""
-    text = F.concat_ws(";", F.concat_ws(",", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string"), F.lit("2"), F.lit("10"), F.lit("5.5")), F.when(F.col("l_orderkey") % 2 == 0, "1,2,3"), F.when(F.col("l_orderkey") % 3 == 0, "x,1,1,1,1"))
-    rows = items.select("l_orderkey", "l_linenumber", M.parse_coords(text).alias("b"))
-    return rows.select("l_orderkey", "l_linenumber", F.size("b").alias("n_boxes"), M.first_page(F.col("b")).alias("page"), F.col("b")[0]["x2"].alias("x2"), F.col("b")[0]["y2"].alias("y2"))
+def _box_text(c: str) -> Column:
+    """A box of a line item, and for some a part that is short and one that is not numbers."""
+    box = F.concat_ws(",", *(F.col(x).cast("string") for x in ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+    return F.concat_ws(";", box, F.when(F.col(c) % 2 == 0, "1,2,3"), F.when(F.col(c) % 3 == 0, "x,1,1,1,1"))
 
 
 def parse_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coords(table(spark, sf_dir, "lineitem").where("l_linenumber <= 3"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", M.parse_coords(_box_text("l_orderkey")).alias("b"))
+    return rows.select("l_orderkey", "l_linenumber", F.size("b").alias("n_boxes"), M.first_page(F.col("b")).alias("page"), *(F.col("b")[0][k].alias(k) for k in ("x1", "y1", "x2", "y2")))
 
 
-def parse_coords_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All line items."""
-    return _coords(table(spark, sf_dir, "lineitem"))
+def pages_of_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct pages of each order's boxes, ascending."""
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat_ws(";", F.collect_list(F.concat_ws(",", (F.col("l_suppkey") % 7).cast("string"), F.lit("1,1,2,2")))).alias("t"))
+    return orders.select("l_orderkey", F.array_join(M.pages_of(M.parse_coords(F.col("t"))), ",").alias("pages"))
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = M.headings(M.tei(_tei(spark, sf_dir)))
+    h = M.headings(_parsed(spark, sf_dir))
     return h.select("heading_id", "document_id", "section", "title", "index", "page_number")
 
 
 def paragraphs_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = M.paragraphs_by_page(M.tei(_tei(spark, sf_dir)))
+    p = M.paragraphs_by_page(_parsed(spark, sf_dir))
     return p.select("id", "section", "first_pos", F.coalesce("page_number", F.lit(-1)).alias("page_number"), F.md5(F.array_join("paragraphs", "\n")).alias("paragraphs_md5"))
 
 
@@ -62,14 +115,35 @@ def relationship_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.snapshot(_tei(spark, sf_dir))["relationship"]
 
 
-def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _counts(relations: dict[str, DataFrame]) -> DataFrame:
     out = None
-    for name, rows in M.snapshot(_tei(spark, sf_dir)).items():
+    for name, rows in relations.items():
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("relation"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(M.snapshot(_tei(spark, sf_dir)))
+
+
+def ingest_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All TEI documents, and one that is broken, ingested with their vectors and persisted twice: nothing is there twice."""
+    docs = _tei(spark, sf_dir).unionByName(spark.range(1).select(F.lit("broken").alias("id"), F.lit("<TEI>").alias("xml")))
+    root = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex[:12]}"
+    made = I.ingest_tei(docs, lambda text: hash_embed(text, 16))
+    for _ in range(2):
+        I.persist(made, root)
+    return _counts({name: spark.read.parquet(f"{root}/{name}.parquet") for name in made})
+
+
+def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents, turns as pages: the documents' vectors, means of their pages' means of their chunks'."""
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_number"), F.col("text").alias("full_text"))
+    rows = I.ingest_pages(pages, lambda text: hash_embed(text, 32))["document_vector"]
+    return rows.select("document_id", F.posexplode("embedding").alias("pos", "x")).select("document_id", F.col("pos").cast("int").alias("pos"), F.round("x", 6).alias("mean"))
+
+
 def global_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A running index over a role's turns in all conversations of the same length class."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
@@ -77,9 +151,28 @@ def global_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    record = F.struct(F.col("doc_id").alias("document_id"), F.col("source"), F.lit(None).cast("string").alias("prompt_version"), F.struct(F.col("lang"), F.col("n_chars"), F.lit(None).cast("string").alias("doi")).alias("metadata"))
-    return docs.select("doc_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
+    docs = rename_key(table(spark, sf_dir, "documents").withColumn("key", F.col("doc_id")), "key", "document_id")
+    record = reshape_metadata(docs, ["document_id", "source", "prompt_version"], ["lang", "n_chars", "doi"])
+    return record.select(F.col("document_id").alias("doc_id"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def metadata_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_metadata(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source", "unknown"])
+
+
+def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages named by host and number; some names have no number."""
+    name = F.when(F.col("page_id") % 5 == 0, "notes.txt").otherwise(F.concat(F.lit("my_paper_"), (F.col("page_id") % 30).cast("string"), F.lit(".txt")))
+    rows = table(spark, sf_dir, "pages").select("page_id", split_page_name(name).alias("x"), page_file_name(F.col("page_id")).alias("file"))
+    return rows.where("x is not null").select("page_id", "x.paper", "x.page", "file")
+
+
+def metadata_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer laid over the stored document; its unknown keys go to the metadata."""
+    answer = F.concat(F.lit("Here: ```json\n"), F.to_json(F.struct(F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("new "), "source")).alias("title"), F.col("lang").alias("tongue"))), F.lit("\n```"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.lit(None).cast("string").alias("venue"), X.llm_json(answer).alias("found"))
+    new = X.overlay({"title": F.col("title"), "venue": F.col("venue")}, {k: F.col("found")[k] for k in ("title", "venue")})
+    return rows.select("doc_id", *(c.alias(k) for k, c in new.items()), X.overflow(F.col("found"), ["title", "venue"])["tongue"].alias("tongue"))
 
 
 def metadata_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,25 +193,49 @@ def llm_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.prompt(["title", "year"], F.substring("text", 1, 100))).alias("prompt_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.prompt(["title", "year"], F.col("text"))).alias("prompt_md5"))
 
 
-QUERIES = {f.__name__: f for f in (markup_title, markup_paragraphs, parse_coords, parse_coords_all, headings, paragraphs_by_page, relationship_edges, snapshot_counts, global_text_index, metadata_reshape, metadata_overflow, lenient_json, llm_json_extract, prompt_build)}
+QUERIES = {f.__name__: f for f in (markup_title, markup_paragraphs, parse_coords, pages_of_boxes, tei_headers, tei_authors, author_affiliations, tei_references, surfaces, headings, paragraphs_by_page, relationship_edges, snapshot_counts, ingest_persist, ingest_pages, global_text_index, metadata_reshape, metadata_strip, metadata_overlay, page_names, metadata_overflow, lenient_json, llm_json_extract, prompt_build)}
 _K = "CAST(json_extract(props, '$.k') AS INT)"
 _P = "list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')))"
 _H = "regexp_replace(trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)), '[<&>]', ' ', 'g')"
+#: Paragraphs of the TEI documents, and from them headings h(id) and texts x(id, section, n): chunks of each page's paragraphs and of the untitled section.
+_PARAGRAPHS = f"p AS (SELECT page_id, i - 1 AS i, trim(regexp_replace(p[i], '[<&>]', ' ', 'g') || ' [' || (i - 1) || ']') AS t FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, {_P} AS p FROM pages)))"
+_TEXTS = chunks_sql(f"SELECT page_id * 1000000 + g AS key, {split_sql('t')} AS s FROM (SELECT page_id, i // 4 AS g, string_agg(t, chr(10) ORDER BY i) AS t FROM (WITH {_PARAGRAPHS} SELECT * FROM p) GROUP BY 1, 2)", "key") + f""",
+    h AS (SELECT page_id::VARCHAR AS id FROM pages WHERE trim({_H}) <> ''),
+    x AS (SELECT id::VARCHAR AS id, section, row_number() OVER (PARTITION BY id ORDER BY section, g, chunk) - 1 AS n FROM (SELECT key // 1000000 AS id, 0 AS section, key % 1000000 AS g, chunk FROM k UNION ALL SELECT page_id, 1, 0, 0 FROM pages))"""
 ORACLE = {
     "markup_title": "SELECT page_id, nullif(trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)), '') AS title FROM pages",
     "markup_paragraphs": f"SELECT page_id, CAST(i - 1 AS INT) AS paragraph_no, p[i] AS text FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, {_P} AS p FROM pages))",
-    "parse_coords": "SELECT l_orderkey, l_linenumber, 1 AS n_boxes, l_linenumber AS page, l_quantity + 10 AS x2, 7.5::DOUBLE AS y2 FROM lineitem WHERE l_linenumber <= 3",
+    "parse_coords": "SELECT l_orderkey, l_linenumber, 1 AS n_boxes, l_linenumber AS page, l_quantity AS x1, l_extendedprice AS y1, l_discount AS x2, l_tax AS y2 FROM lineitem",
+    "pages_of_boxes": "SELECT l_orderkey, string_agg(p, ',' ORDER BY p) AS pages FROM (SELECT DISTINCT l_orderkey, (l_suppkey % 7)::VARCHAR AS p FROM lineitem) GROUP BY 1",
+    "tei_headers": f"SELECT page_id::VARCHAR AS id, trim({_H}) AS title, 'Press ' || page_id AS publisher, '2021-03-04' AS publication_date, 2021 AS year, '10.1/' || page_id AS doi, CAST(NULL AS VARCHAR) AS file_hash, 'All of ' || page_id || '.' AS abstract, 'one++' || page_id AS keywords, 2 AS n_authors, 2 AS page_count FROM pages",
+    "tei_authors": f"""SELECT page_id::VARCHAR AS id, 0 AS author, concat_ws(' ', 'Cole ' || page_id || ', Ann', CASE WHEN trim({_H}) <> '' THEN substr(trim({_H}), 1, 1) || '.' END, 'B.') AS name, 'c' || page_id || '@x.org' AS email, 'a0' AS keys, 'Org ' || page_id AS org_names, 1 AS n_affiliations FROM pages
+        UNION ALL SELECT page_id::VARCHAR, 1, 'Day', NULL, 'a1+a0', 'Lab', 2 FROM pages""",
+    "author_affiliations": """SELECT page_id::VARCHAR AS id, author, place, key, CASE WHEN key = 'a1' THEN 'Lab' END AS institution, CAST(NULL AS VARCHAR) AS settlement, CAST(NULL AS VARCHAR) AS country
+        FROM pages, (VALUES (0, 0, 'a0'), (1, 0, 'a1'), (1, 1, 'a0')) v(author, place, key)""",
+    "tei_references": f"SELECT page_id::VARCHAR AS id, 0 AS section, CAST(i - 1 AS INT) AS paragraph, 0 AS place, 'bibr' AS ref_type, '#b' || (i - 1) AS target, '[' || (i - 1) || ']' AS text, CAST((i - 1) // 4 + 2 AS INT) AS page_number FROM (SELECT page_id, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, {_P} AS p FROM pages))",
+    "surfaces": "SELECT page_id::VARCHAR AS id, page, 0::DOUBLE AS ulx, lrx::DOUBLE AS lrx FROM pages, (VALUES (1, 612), (2, 0)) v(page, lrx)",
     "headings": f"SELECT md5(page_id || '|heading|0') AS heading_id, page_id::VARCHAR AS document_id, 0 AS section, trim({_H}) AS title, 0 AS \"index\", 1 AS page_number FROM pages WHERE trim({_H}) <> ''",
-    "paragraphs_by_page": f"""WITH p AS (SELECT page_id, i - 1 AS i, trim(regexp_replace(p[i], '[<&>]', ' ', 'g')) AS t FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, {_P} AS p FROM pages)))
-        SELECT page_id::VARCHAR AS id, 0 AS section, CAST(min(i) AS INT) AS first_pos, CAST(i // 4 + 1 AS INT) AS page_number, md5(string_agg(t, chr(10) ORDER BY i)) AS paragraphs_md5 FROM p WHERE t <> '' GROUP BY page_id, i // 4
+    "paragraphs_by_page": f"""WITH {_PARAGRAPHS} SELECT page_id::VARCHAR AS id, 0 AS section, CAST(min(i) AS INT) AS first_pos, CAST(i // 4 + 1 AS INT) AS page_number, md5(string_agg(t, chr(10) ORDER BY i)) AS paragraphs_md5 FROM p GROUP BY page_id, i // 4
         UNION ALL SELECT page_id::VARCHAR, 1, 0, -1, md5('untitled') FROM pages""",
+    "relationship_edges": f"""WITH {_TEXTS} SELECT md5(id || '|heading|0') AS source_id, id AS target_id, 'belongs_to' AS type FROM h
+        UNION ALL SELECT md5(x.id || '|text|' || n), md5(x.id || '|heading|0'), 'under_heading' FROM x JOIN h ON h.id = x.id WHERE section = 0 UNION ALL SELECT md5(id || '|text|' || n), id, 'belongs_to' FROM x""",
+    "snapshot_counts": f"""WITH {_TEXTS} SELECT 'document' AS relation, count(*) AS n FROM pages UNION ALL SELECT 'heading', count(*) FROM h UNION ALL SELECT 'text_entity', count(*) FROM x
+        UNION ALL SELECT 'relationship', (SELECT count(*) FROM h) + (SELECT count(*) FROM x) + (SELECT count(*) FROM x JOIN h ON h.id = x.id WHERE section = 0) UNION ALL SELECT 'term', 0 UNION ALL SELECT 'rejects', 0""",
+    "ingest_persist": f"""WITH {_TEXTS} SELECT 'document' AS relation, count(*) AS n FROM pages UNION ALL SELECT 'heading', count(*) FROM h UNION ALL SELECT 'text_entity', count(*) FROM x UNION ALL SELECT 'vector', count(*) FROM x
+        UNION ALL SELECT 'relationship', (SELECT count(*) FROM h) + (SELECT count(*) FROM x) + (SELECT count(*) FROM x JOIN h ON h.id = x.id WHERE section = 0) UNION ALL SELECT 'term', 0 UNION ALL SELECT 'rejects', 1""",
+    "ingest_pages": f"""WITH {chunks_sql(f"SELECT conv_id * 100000 + turn AS page, {split_sql('text')} AS s FROM conversations", "page")}, {embedded_sql("e", "(SELECT page, chunk, content AS text FROM k)", "page * 10000 + chunk AS key")},
+        d AS (SELECT key // 10000 AS page, i, v[i] AS x FROM (SELECT key, v, unnest(range(1, 33)) AS i FROM e)), m AS (SELECT page, i, avg(x) AS x FROM d GROUP BY 1, 2)
+        SELECT page // 100000 AS document_id, CAST(i - 1 AS INT) AS pos, round(avg(x), 6) AS mean FROM m GROUP BY 1, 2""",
+    "metadata_strip": "SELECT doc_id, lang, source FROM documents",
+    "metadata_overlay": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'new ' || source ELSE source END AS title, CAST(NULL AS VARCHAR) AS venue, lang AS tongue FROM documents",
+    "page_names": "SELECT page_id, 'my_paper' AS paper, printf('%02d', page_id % 30) AS page, printf('p%02d.txt', page_id) AS file FROM pages WHERE page_id % 5 <> 0",
     "global_text_index": 'SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY role, turn) - 1 AS INT) AS "index" FROM conversations',
     "metadata_reshape": """SELECT doc_id, '{"document_id":' || doc_id || ',"source":"' || source || '","prompt_version":null,"metadata":{"lang":"' || lang || '","n_chars":' || n_chars || ',"doi":null}}' AS record FROM documents""",
     "metadata_overflow": "SELECT doc_id, 'extra,note' AS keys, source AS extra FROM documents",
     "lenient_json": "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN props END AS value, CASE event_id % 5 WHEN 1 THEN 'json_salvaged_obj' WHEN 2 THEN 'python_literal_dict' WHEN 4 THEN 'unparseable' ELSE 'json_ok' END AS reason FROM events",
     "llm_json_extract": f"SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST({_K} AS VARCHAR) END AS k FROM events",
-    "prompt_build": """SELECT doc_id, md5('Extract these fields of the document:' || chr(10) || '- title' || chr(10) || '- year' || chr(10) || 'Answer with JSON only:' || chr(10) || '{"title": null, "year": null}' || chr(10) || 'Text:' || chr(10) || substr(text, 1, 100)) AS prompt_md5 FROM documents""",
+    "prompt_build": """SELECT doc_id, md5('Extract these fields of the document:' || chr(10) || '- title' || chr(10) || '- year' || chr(10) || 'Answer with JSON only:' || chr(10) || '{"title": null, "year": null}' || chr(10) || 'Text:' || chr(10) || text) AS prompt_md5 FROM documents""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,8 +50,42 @@ def read_page_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_page_texts(pages: DataFrame, root: str) -> None:
-    """full_text of (paper, page_number, full_text), a folder for each paper; names inside follow Spark's writer."""
-    pages.select("paper", page_file_name(F.col("page_number")).alias("page"), "full_text").write.mode("overwrite").partitionBy("paper", "page").text(root)
+    """full_text of (paper, page_number, full_text) as ``<root>/<paper>/pNN.txt``, a file for each page.
+
+    Spark writes the pages to a folder of their own under root; the files are then renamed, so a task
+    that runs again replaces a page by the same page.  Each file ends in a line break."""
+    rows = pages.select("paper", page_file_name(F.col("page_number")).alias("page"), F.coalesce("full_text", F.lit("")).alias("text"))
+    staged = f"{root}/_pages"
+    rows.write.mode("overwrite").partitionBy("paper", "page").text(staged)  # one file a page, as rows of a page are one
+    jvm, conf = pages.sparkSession._jvm, pages.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(conf)
+    for paper in fs.listStatus(path(staged)):
+        if not paper.isDirectory():
+            continue
+        folder = path(root, jvm.java.net.URLDecoder.decode(paper.getPath().getName().split("=", 1)[1], "UTF-8"))
+        fs.mkdirs(folder)
+        for page in fs.listStatus(paper.getPath()):
+            part = next(x.getPath() for x in fs.listStatus(page.getPath()) if x.getPath().getName().startswith("part-"))
+            target = path(folder, page.getPath().getName().split("=", 1)[1])
+            fs.delete(target, False)
+            fs.rename(part, target)
+    fs.delete(path(staged), True)
+
+
+def reshape_metadata(rows: DataFrame, top: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Rows with the columns of top as they are and those of fields in a struct metadata; what a row lacks is null."""
+    value = lambda c: (F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string")).alias(c)
+    return rows.select(*map(value, top), F.struct(*map(value, fields)).alias("metadata"))
+
+
+def strip_metadata(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """Only the columns of kept, those that are there."""
+    return rows.select(*(F.col(f"`{c}`") for c in kept if c in rows.columns))
+
+
+def rename_key(rows: DataFrame, old: str, new: str) -> DataFrame:
+    return rows.withColumnRenamed(old, new)
 
 
 def read_pdf_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:

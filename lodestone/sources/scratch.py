@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,3 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="lodestone-")
     sc.setCheckpointDir(f"file://{path}")
     return f"file://{path}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: writes df as Parquet into the shared folder and returns the reread table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
