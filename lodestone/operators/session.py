@@ -8,6 +8,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import vectors as V
+
 
 @dataclass(frozen=True)
 class Session:
@@ -54,6 +56,21 @@ class Session:
         return replace(self, results=tuple(hits), offset=offset)
 
 
+def search_session(session: Session, vectors: DataFrame, query: Sequence[float], k: int = 50, id_col: str = "vec_id") -> tuple[Session, DataFrame]:
+    """The plain search of a session and its hits, kept in the session as shown."""
+    hits = V.knn(vectors, query, k, id_col)
+    return session.ranked([(str(r[id_col]), r["cosine"]) for r in hits.collect()]), hits
+
+
+def label_and_rerank(session: Session, vectors: DataFrame, query: Sequence[float], words: Sequence[str], k: int = 20, id_col: str = "vec_id") -> tuple[Session, DataFrame]:
+    """The session after a command's labels, searched anew towards them, and the new hits: later ranks refer to these."""
+    session = session.command(words)
+    kind = vectors.schema[id_col].dataType
+    ids = lambda labelled: vectors.sparkSession.createDataFrame([(i,) for i in sorted(labelled)], "id string").select(F.col("id").cast(kind).alias(id_col))
+    hits = V.rocchio(vectors, query, ids(session.positive), ids(session.negative), k, id_col)
+    return session.ranked([(str(r[id_col]), r["cosine"]) for r in hits.orderBy("rank").collect()]), hits
+
+
 def fold_labels(events: DataFrame, owner: str, label: Column, *order: str) -> DataFrame:
     """owner and label: the last label of each; events without one count for nothing."""
     rows = events.withColumn("label", label).where("label is not null")

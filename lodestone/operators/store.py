@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled
+from ..functions.values import json_or, tristate
 
 
 def get(entities: DataFrame, child: DataFrame, key: object) -> DataFrame:
@@ -43,20 +44,19 @@ def texts_of(texts: DataFrame, pages: DataFrame) -> DataFrame:
     return through.unionByName(direct)
 
 
-def closure(edges: DataFrame, roots: DataFrame, at_most: int = 100) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, at_most: int | None = None) -> DataFrame:
     """root_id, id, depth of all below each root in edges (id, parent_id): level by level, each id once (a cycle ends it).
 
-    Each level's new rows are the only ones joined; levels are checkpointed to the shared folder."""
+    Each level's new rows are the only ones joined; levels are checkpointed to the shared folder.  at_most: levels, all if not given."""
     level = roots.select(F.col("id").alias("root_id"), "id", F.lit(0).alias("depth"))
-    found = level
-    for depth in range(1, at_most + 1):
+    found, depth = level, 0
+    while at_most is None or depth < at_most:
+        depth += 1
         below = level.select("root_id", F.col("id").alias("parent_id")).join(edges.select("id", "parent_id"), "parent_id").select("root_id", "id").distinct()
         level = below.join(found.select("root_id", "id"), ["root_id", "id"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if level.isEmpty():
             break
         found = found.unionByName(level)
-    else:
-        raise RuntimeError(f"the tree is deeper than {at_most}")
     return found.where("depth > 0")
 
 
@@ -70,14 +70,113 @@ def cascade_delete(tables: Mapping[str, DataFrame], doomed: DataFrame) -> dict[s
     return out
 
 
-def insert_missing(base: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """base and those rows whose key it lacks; first wins."""
-    return base.unionByName(rows.dropDuplicates([key]).join(base.select(key), key, "left_anti").select(*base.columns))
+def one_of_each(rows: DataFrame, key: str, order: str | None, last: bool) -> DataFrame:
+    """A row for each key: the first or last by order; without an order the least row, so that the choice does not vary."""
+    others = [c for c in rows.columns if c != key]
+    row = F.struct(*(F.col(f"`{c}`") for c in others))
+    by = F.struct(F.col(f"`{order}`"), F.to_json(row)) if order else F.to_json(row)
+    picked = (F.max_by if last and order else F.min_by)(row, by)
+    return rows.groupBy(key).agg(picked.alias("picked")).select(key, "picked.*")
 
 
-def upsert(base: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """base with rows put in place of those of the same key; last wins."""
-    return base.join(rows.select(key), key, "left_anti").select(*base.columns).unionByName(rows.select(*base.columns))
+def insert_missing(base: DataFrame, rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """base and those rows whose key it lacks; of rows with the same key the first by order (a column of rows)."""
+    return base.unionByName(one_of_each(rows, key, order, False).join(base.select(key), key, "left_anti").select(*base.columns))
+
+
+def upsert(base: DataFrame, rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """base with rows put in place of those of the same key; of rows with the same key the last by order (a column of rows)."""
+    return base.join(rows.select(key), key, "left_anti").select(*base.columns).unionByName(one_of_each(rows, key, order, True).select(*base.columns))
+
+
+def insert_with_child(entities: DataFrame, child: DataFrame, rows: DataFrame, kind: str, needs_parent: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The entity and the child relation with rows added to both, and the rows refused: those without an id, or
+    without a parent_id where the kind needs one (a text's parent may be given as page_id or document_id).  Ids that are there stay as they are."""
+    parents = [F.col(c) for c in ("parent_id", "page_id", "document_id") if c in rows.columns]
+    rows = rows.withColumn("parent_id", F.coalesce(*parents) if parents else F.lit(None).cast("string"))
+    good = F.col("id").isNotNull() & (F.col("parent_id").isNotNull() if needs_parent else F.lit(True))
+    kept = rows.where(good).withColumn("entity_kind", F.lit(kind))
+    made = lambda table: kept.select(*((F.col(c) if c in kept.columns else F.lit(None)).cast(table.schema[c].dataType).alias(c) for c in table.columns))
+    return insert_missing(entities, made(entities)), insert_missing(child, made(child)), rows.where(~good)
+
+
+def stamped(rows: DataFrame, now: str | None = None) -> DataFrame:
+    """rows with created_at (kept where there is one) and modified_at: naive UTC, of now (ISO) or of the query's start."""
+    at = F.lit(now).cast("timestamp_ntz") if now else F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
+    return rows.withColumns({"created_at": F.coalesce("created_at", at) if "created_at" in rows.columns else at, "modified_at": at})
+
+
+def iso(stamp: Column) -> Column:
+    """A naive stamp as ISO text, with a fraction only where there is one."""
+    whole = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.date_format(stamp, "SSSSSS")
+    return F.when(part == "000000", whole).otherwise(F.concat(whole, F.lit("."), part))
+
+
+#: Columns that are stored as JSON text, by relation, with what stands for null, empty or broken text.
+JSON_COLUMNS = {
+    "document": {"authors": "array<string>", "keywords": "array<string>", "reference_list": "array<string>", "citations": "array<string>", "metadata": "map<string,string>"},
+    "page": {"paragraphs": "array<string>", "sections": "array<map<string,string>>", "metadata": "map<string,string>"},
+    "text_entity": {"metadata": "map<string,string>"},
+    "term": {"aliases": "array<string>", "related_terms": "array<string>", "metadata": "map<string,string>"},
+    "heading": {"metadata": "map<string,string>"},
+    "relationship": {"metadata": "map<string,string>"},
+}
+
+
+def typed(rows: DataFrame, relation: str) -> DataFrame:
+    """Rows of a relation with their JSON columns decoded: empty where the text is null, empty or broken.
+
+    A text's type and index are the general ones where its own are missing, empty or 0; a page's flags are true, false or unknown."""
+    for name, kind in JSON_COLUMNS[relation].items():
+        if name in rows.columns and dict(rows.dtypes)[name] == "string":
+            none = F.create_map().cast(kind) if kind.startswith("map") else F.array().cast(kind)
+            rows = rows.withColumn(name, json_or(F.col(name), kind, none))
+    if relation == "text_entity":
+        either = {"text_type": ("type", F.lit("")), "index": ("chunk_index", F.lit(0))}
+        rows = rows.withColumns({c: F.coalesce(F.nullif(F.col(c), zero), F.col(other)) for c, (other, zero) in either.items() if c in rows.columns and other in rows.columns})
+    if relation == "page":
+        rows = rows.withColumns({c: tristate(F.col(c)) for c, t in rows.dtypes if c.startswith(("is_", "has_")) and t != "boolean"})
+    return rows
+
+
+def typed_get(entities: DataFrame, child: DataFrame, key: object, relation: str) -> DataFrame:
+    """As get, decoded as typed."""
+    return typed(get(entities, child, key), relation)
+
+
+def in_list(rows: DataFrame, ids: DataFrame | Sequence[object], column: str = "id") -> DataFrame:
+    """Rows whose id is in a list: a short one as literals, a table by a semi-join."""
+    if isinstance(ids, DataFrame):
+        return rows.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
+    return rows.where(F.col(column).isin(list(ids)))
+
+
+def print_order(pages: DataFrame, headings: DataFrame, texts: DataFrame) -> DataFrame:
+    """A document's parts in the order in which they are printed: document_id, kind, id, and sort keys.
+
+    Pages (document_id, id, page_number) come by number; under a page its texts (document_id, page_id, heading_id, id,
+    text_type, index): those under no heading first, by type and index, then each heading (document_id, id, index)
+    with its texts.  Headings stand under the first page that has a text of theirs; texts without a page come first of all."""
+    number = pages.select("document_id", F.col("id").alias("page_id"), "page_number")
+    placed = texts.join(number, ["document_id", "page_id"], "left").join(headings.select("document_id", F.col("id").alias("heading_id"), F.col("index").alias("heading_index")), ["document_id", "heading_id"], "left")
+    first = placed.where("heading_index is not null").groupBy("document_id", "heading_id", "heading_index").agg(F.min(F.coalesce("page_number", F.lit(-1))).alias("page_number"))
+    row = lambda kind, page, heading, kind_order, text_type, index: F.struct(page.alias("page"), heading.alias("heading"), kind_order.alias("level"), text_type.alias("text_type"), index.alias("place")).alias("key")
+    none = F.lit(-1)
+    p = number.select("document_id", F.lit("page").alias("kind"), F.col("page_id").alias("id"), row("page", F.col("page_number"), F.lit(-2), F.lit(0), F.lit(""), none))
+    h = first.select("document_id", F.lit("heading").alias("kind"), F.col("heading_id").alias("id"), row("heading", F.col("page_number"), F.col("heading_index"), F.lit(0), F.lit(""), none))
+    t = placed.select("document_id", F.lit("text").alias("kind"), "id", row("text", F.coalesce("page_number", none), F.coalesce("heading_index", none), F.lit(1), F.coalesce("text_type", F.lit("")), F.coalesce("index", none)))
+    w = Window.partitionBy("document_id").orderBy("key", "kind", "id")
+    return p.unionByName(h).unionByName(t).select("document_id", F.row_number().over(w).alias("position"), "kind", "id")
+
+
+def owner_of(hits: DataFrame, texts: DataFrame, entities: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """Hits with their text's parent and document: the parent's parent where there is one, else the parent; null where unknown.
+
+    texts have id and parent_id, as have entities."""
+    t = texts.select(F.col("id").alias(id_col), "parent_id")
+    e = entities.select(F.col("id").alias("parent_id"), F.col("parent_id").alias("grandparent_id"))
+    return hits.join(t, id_col, "left").join(e, "parent_id", "left").withColumn("document_id", F.coalesce("grandparent_id", "parent_id"))
 
 
 def resolve_kind(ids: DataFrame, tables: Sequence[tuple[str, DataFrame]]) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunking import bound
+
 ALPHA, BETA, GAMMA = 1.0, 0.75, 0.15
 #: A block of this many query vectors is sent to the executors at a time.
 QUERY_BLOCK = 4096
@@ -28,8 +30,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v over its length; a zero vector has no direction and gives null: it is not searchable."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n))
+    return bound(norm(v), lambda n: F.when(n > 0, F.transform(doubles(v), lambda x: x / n)))
 
 
 def literal(vector: Sequence[float]) -> Column:
@@ -48,7 +49,8 @@ def scored(vectors: DataFrame, query: Sequence[float], id_col: str = "vec_id") -
     if not length:
         raise ValueError("a zero vector has no direction to search in")
     q = literal([x / length for x in query])
-    return vectors.select(id_col, dot(unit(F.col("embedding")), q).alias("cosine")).where("cosine is not null")
+    cosine = bound(norm(F.col("embedding")), lambda n: F.when(n > 0, dot(doubles(F.col("embedding")), q) / n))
+    return vectors.select(id_col, cosine.alias("cosine")).where("cosine is not null")
 
 
 def ranked(hits: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -63,6 +65,26 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int = 10, id_col: str = "
     return ranked(top, id_col).select("rank", id_col, "cosine", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine"))).alias("distance"))
 
 
+def first_hits(hits: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
+    """Each id once, with its best hit, k at most, ranked anew; repeated ids inside the hits leave fewer than k."""
+    best = hits.groupBy(id_col).agg(F.max("cosine").alias("cosine")).orderBy(F.col("cosine").desc(), id_col).limit(k)
+    return ranked(best, id_col).select("rank", id_col, "cosine")
+
+
+def search_text(vectors: DataFrame, text: str, embed: Callable[[Column], Column], k: int = 10, id_col: str = "vec_id") -> DataFrame:
+    """The k nearest to a text: the text is embedded as the vectors were, then searched for.  A text without a vector finds nothing."""
+    row = vectors.sparkSession.range(1).select(doubles(embed(F.lit(text))).alias("v")).first()
+    if row.v is None or not any(row.v):
+        return vectors.select(F.lit(0).alias("rank"), id_col, F.lit(0.0).alias("cosine"), F.lit(0.0).alias("distance")).where("false")
+    return knn(vectors, row.v, k, id_col)
+
+
+def index_texts(texts: DataFrame, embed: Callable[[Column], Column], id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """text id, vector id (the same), embedding, unit vector and metadata (the raw embedding as JSON) of texts; null where a text has no vector."""
+    rows = texts.select(F.col(id_col).alias("text_id"), F.col(id_col).alias("vector_id"), embed(F.col(text_col)).alias("embedding"))
+    return rows.withColumns({"embedding_unit": unit(F.col("embedding")), "metadata": F.to_json(F.struct("embedding"))})
+
+
 def shown(hits: DataFrame, id_col: str = "vec_id", *more: str) -> DataFrame:
     return hits.select("rank", id_col, F.round("cosine", 6).alias("score"), *more)
 
@@ -172,12 +194,13 @@ def roll_up(children: DataFrame, parent: str) -> DataFrame:
 
 
 def hash_embed(text: Column, dimensions: int = 64) -> Column:
-    """A stand-in for a model: each word adds 1 or -1 at a hashed place; the sum is made a unit vector (null without words)."""
+    """A stand-in for a model: each word adds 1 or -1 at a hashed place; the sum is made a unit vector (null without words).
+
+    A word's MD5 gives its place and, by one more bit, its sign; the sum at a place counts one kind less the other."""
     words = F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: w != "")
-    # a word's hash gives its place and, by one more bit, its sign; the sum at a place counts one kind less the other
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dimensions)).cast("int"))
-    count = lambda n: F.size(F.filter(places, lambda p: p == n))
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (count(2 * i) - count(2 * i + 1)).cast("double")))
+    places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(2 * dimensions)).cast("int"))
+    sums = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(p, F.lit(0.0), lambda s, x: F.when(F.shiftright(x, 1) == i, s + 1 - 2 * x.bitwiseAND(F.lit(1))).otherwise(s)))
+    return bound(bound(places, sums), unit)
 
 
 def to_tall(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:

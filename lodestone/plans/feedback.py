@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import session as S
 from ..operators import vectors as V
 from ..sources.tables import table
-from .search import UNIT
+from .search import HITS, UNIT
 
-POSITIVE, NEGATIVE = "quality = 1 AND toxic = 0 AND doc_id < 200", "toxic = 1 AND doc_id < 200"
-ALL_POSITIVE, ALL_NEGATIVE = "quality = 1 AND toxic = 0", "toxic = 1"
+POSITIVE, NEGATIVE = "quality = 1 AND toxic = 0", "toxic = 1"
 
 
 def _feedback(spark: SparkSession, sf_dir: str, positive: str, negative: str) -> DataFrame:
@@ -28,19 +27,20 @@ def rocchio_positive_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feedback(spark, sf_dir, POSITIVE, "false")
 
 
-def rocchio_rerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All labelled documents."""
-    return _feedback(spark, sf_dir, ALL_POSITIVE, ALL_NEGATIVE)
-
-
-def rocchio_positive_only_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _feedback(spark, sf_dir, ALL_POSITIVE, "false")
-
-
 def rocchio_no_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feedback(spark, sf_dir, "false", "false")
 
 
+def rerank_after_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of fifty, whose first two results are labelled good and the third bad; then what is shown after ``1 neg``, by the ranks shown by then."""
+    vectors = table(spark, sf_dir, "embeddings")
+    query = V.fetch(vectors, 0)
+    session, _ = S.search_session(S.Session("vector 0"), vectors, query, 50)
+    session, _ = S.label_and_rerank(session, vectors, query, "1 2 pos 3 neg".split())
+    _, hits = S.label_and_rerank(session, vectors, query, "1 neg".split())
+    return V.shown(hits, "vec_id", "is_positive", "is_negative")
+
+
 def centroid_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.centroids(table(spark, sf_dir, "embeddings")).select("label", F.col("pos").cast("int").alias("pos"), F.round("mean", 6).alias("mean"))
 
@@ -66,23 +66,32 @@ def label_command_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.parse_commands(words, "user_id", "position", "word").select("user_id", "position", "word", "label")
 
 
-QUERIES = {f.__name__: f for f in (rocchio_rerank, rocchio_positive_only, rocchio_rerank_all, rocchio_positive_only_all, rocchio_no_labels, centroid_by_label, label_fold, session_reset, label_command_parse)}
+QUERIES = {f.__name__: f for f in (rocchio_rerank, rocchio_positive_only, rocchio_no_labels, rerank_after_label, centroid_by_label, label_fold, session_reset, label_command_parse)}
 
 
-def _sql(positive: str, negative: str) -> str:
+def _moved(p: str, n: str, mark: str) -> str:
+    """CTEs up to s(vec_id, c): all vectors scored by the query of vector 0, moved by the mean vectors of the ids in p and n."""
     mean = lambda ids, k: f"(SELECT list(m ORDER BY i) FROM (SELECT i, avg(e[i]) * {k} AS m FROM (SELECT e, unnest(range(1, len(e) + 1)) AS i FROM u WHERE vec_id IN {ids}) GROUP BY i))"
+    return f"""m{mark} AS (SELECT (SELECT e FROM u WHERE vec_id = 0) AS q, {mean(p, 0.75)} AS p, {mean(n, 0.15)} AS n),
+        r{mark} AS (SELECT list_transform(range(1, len(q) + 1), lambda i: q[i] + coalesce(p[i], 0) - coalesce(n[i], 0)) AS w FROM m{mark}),
+        s{mark} AS (SELECT vec_id, list_inner_product(v, w) / sqrt(list_inner_product(w, w)) AS c FROM u, r{mark})"""
+
+
+def _sql(positive: str, negative: str) -> str:
     p, n = (f"(SELECT doc_id FROM labels WHERE {w})" for w in (positive, negative))
-    return f"""WITH {UNIT}, m AS (SELECT (SELECT e FROM u WHERE vec_id = 0) AS q, {mean(p, 0.75)} AS p, {mean(n, 0.15)} AS n),
-        r AS (SELECT list_transform(range(1, len(q) + 1), lambda i: q[i] + coalesce(p[i], 0) - coalesce(n[i], 0)) AS w FROM m),
-        s AS (SELECT vec_id, list_inner_product(v, w) / sqrt(list_inner_product(w, w)) AS c FROM u, r)
+    return f"""WITH {UNIT}, {_moved(p, n, "")}
         SELECT CAST(row_number() OVER (ORDER BY c DESC, vec_id) AS INT) AS rank, vec_id, round(c, 6) AS score, vec_id IN {p} AS is_positive, vec_id IN {n} AS is_negative FROM s ORDER BY c DESC, vec_id LIMIT 20"""
 
 
+_GOOD, _BAD, _TOP = "(SELECT vec_id FROM t WHERE rank <= 2)", "(SELECT vec_id FROM t WHERE rank = 3)", "(SELECT vec_id FROM s1 ORDER BY c DESC, vec_id LIMIT 1)"
+_STILL, _WORSE = f"(SELECT vec_id FROM t WHERE rank <= 2 AND vec_id NOT IN {_TOP})", f"(SELECT vec_id FROM t WHERE rank = 3 UNION SELECT vec_id FROM (SELECT vec_id FROM s1 ORDER BY c DESC, vec_id LIMIT 1))"
 _LABEL = "CASE event_type WHEN 'purchase' THEN 'pos' WHEN 'error' THEN 'neg' END"
 ORACLE = {
     "rocchio_rerank": _sql(POSITIVE, NEGATIVE),
     "rocchio_positive_only": _sql(POSITIVE, "false"),
     "rocchio_no_labels": _sql("false", "false"),
+    "rerank_after_label": f"""WITH {HITS}, {_moved(_GOOD, _BAD, "1")}, {_moved(_STILL, _WORSE, "2")}
+        SELECT CAST(row_number() OVER (ORDER BY c DESC, vec_id) AS INT) AS rank, vec_id, round(c, 6) AS score, vec_id IN {_STILL} AS is_positive, vec_id IN {_WORSE} AS is_negative FROM s2 ORDER BY c DESC, vec_id LIMIT 20""",
     "centroid_by_label": "SELECT label, CAST(i - 1 AS INT) AS pos, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2",
     "label_fold": f"SELECT user_id, label FROM (SELECT user_id, {_LABEL} AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('purchase', 'error')) WHERE n = 1",
     "session_reset": """WITH s AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS q, coalesce(max(CASE WHEN turn = 1 THEN text END), max(CASE WHEN turn = 0 THEN text END)) AS x FROM conversations WHERE turn IN (0, 1) GROUP BY 1)

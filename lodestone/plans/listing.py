@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as X
+from ..operators import listing as L
+from ..operators import vectors as V
 from ..sources.tables import table
+from .search import HITS
 
 SIZE = 20
 
 
-def documents_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the listing's columns: the text's start as title, the source and language as authors, a year for most, two pages for long ones."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), F.array_join(F.array("source"), ", ").alias("authors"), F.lit(None).cast("int").alias("year"), F.lit(1).alias("page_count"), F.concat(F.lit("/data/"), "source").alias("source_path"))
+    year, stamp = F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 30 + 1990).cast("int")), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("doc_id") % 50).cast("int"))
+    return docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), F.array("source", "lang").alias("authors"), year.alias("year"), F.when(F.col("n_chars") > 5000, 2).otherwise(1).alias("page_count"), F.concat(F.lit("/data/"), "source").alias("source_path"), stamp.alias("created_at"))
+
+
+def documents_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("id", "title", F.array_join("authors", ", ").alias("authors"), "year", "page_count", "source_path")
 
 
 def list_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,16 +35,18 @@ def _sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A total order of all documents.  Positions come from a range-partitioned sort, not from one task:
-    rows are counted by range, and a range's rows are numbered from what stands before it."""
-    docs = _sorted(spark, sf_dir)
-    ranged = docs.repartitionByRange("sort_key", "doc_id").sortWithinPartitions("sort_key", "doc_id")
-    placed = ranged.withColumn("at", F.monotonically_increasing_id())
-    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = placed.select("doc_id", "sort_key", part.alias("part"), row.alias("row"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    starts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return placed.join(starts, "part").select((F.col("start") + F.col("row") + 1).cast("int").alias("pos"), "doc_id", "sort_key")
+    """All documents by title."""
+    return L.sorted_documents(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def documents_sorted_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by each of the other keys, both ways."""
+    docs, out = _documents(spark, sf_dir), None
+    for key in ("year", "author", "created", "id"):
+        for descending in (False, True):
+            rows = L.sorted_documents(docs, key, descending).select(F.lit(key).alias("key"), F.lit(descending).alias("descending"), "pos", "id")
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,19 +58,17 @@ def documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.lit(page).alias("page"), X.total_pages(F.col("n"), SIZE).alias("total_pages"), F.lit((page - 1) * SIZE + 1).alias("showing_start"), F.least(F.lit(page * SIZE), "n").cast("int").alias("showing_end"), "doc_id")
 
 
-def _strips(orders: DataFrame) -> DataFrame:
-    rows = orders.select(F.col("o_orderkey").alias("key"))
+def pagination_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
     rows = rows.select("key", (F.col("key") % 12 + 1).alias("total"), ((F.col("key") * 7) % (F.col("key") % 12 + 1) + 1).alias("current"))
     return rows.select("key", F.array_join(X.pagination_strip(F.col("current").cast("int"), F.col("total").cast("int")), " ").alias("strip"))
 
 
-def pagination_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _strips(table(spark, sf_dir, "orders").where("o_orderkey <= 400")).withColumn("key", F.col("key").cast("int"))
-
-
-def pagination_strip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders; keys stay as wide as they are."""
-    return _strips(table(spark, sf_dir, "orders"))
+def search_over_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of five results of a search that fetched enough for all of its pages."""
+    vectors = table(spark, sf_dir, "embeddings")
+    hits = V.knn(vectors, V.fetch(vectors, 0), X.over_fetch(X.check_top_k(5)))
+    return V.shown(hits.where("rank between 11 and 15"), "vec_id")
 
 
 def upload_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +89,20 @@ def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_requests", (F.col("n_requests") > 2).alias("limited"))
 
 
-QUERIES = {f.__name__: f for f in (documents_list, list_limit, documents_sorted, documents_page, pagination_strip, pagination_strip_all, upload_stats, upload_progress, rate_window)}
+QUERIES = {f.__name__: f for f in (documents_list, list_limit, documents_sorted, documents_sorted_by, documents_page, pagination_strip, search_over_fetch, upload_stats, upload_progress, rate_window)}
 ORACLE = {
-    "documents_list": "SELECT doc_id AS id, substr(text, 1, 40) AS title, source AS authors, CAST(NULL AS INT) AS year, 1 AS page_count, '/data/' || source AS source_path FROM documents",
+    "documents_list": "SELECT doc_id AS id, substr(text, 1, 40) AS title, source || ', ' || lang AS authors, CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id % 30 + 1990 AS INT) END AS year, CASE WHEN n_chars > 5000 THEN 2 ELSE 1 END AS page_count, '/data/' || source AS source_path FROM documents",
+    "documents_sorted_by": " UNION ALL ".join(
+        f"SELECT '{key}' AS key, {way == 'DESC'} AS descending, CAST(row_number() OVER (ORDER BY {value} {way}, doc_id) AS INT) AS pos, doc_id AS id FROM documents"
+        for key, value in (("year", "CASE WHEN doc_id % 7 <> 0 THEN doc_id % 30 + 1990 ELSE 0 END"), ("author", "lower(source)"), ("created", "doc_id % 50"), ("id", "doc_id"))
+        for way in ("ASC", "DESC")
+    ),
+    "search_over_fetch": f"WITH {HITS} SELECT rank, vec_id, round(c, 6) AS score FROM t WHERE rank BETWEEN 11 AND 15",
     "list_limit": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50",
     "documents_sorted": "SELECT CAST(row_number() OVER (ORDER BY k, doc_id) AS INT) AS pos, doc_id, k AS sort_key FROM (SELECT doc_id, lower(substr(coalesce(text, ''), 1, 40)) AS k FROM documents)",
     "documents_page": "SELECT 2 AS page, CAST(greatest(1, ceil(n / 20.0)) AS INT) AS total_pages, 21 AS showing_start, CAST(least(40, n) AS INT) AS showing_end, doc_id FROM (SELECT doc_id, count(*) OVER () AS n, row_number() OVER (ORDER BY lower(substr(coalesce(text, ''), 1, 40)), doc_id) AS r FROM documents) WHERE r BETWEEN 21 AND 40",
     "pagination_strip": """SELECT key, CASE WHEN t <= 7 THEN array_to_string(range(1, greatest(t, 1) + 1), ' ') WHEN c <= 4 THEN '1 2 3 4 5 ... ' || t WHEN c >= t - 3 THEN '1 ... ' || array_to_string(range(t - 4, t + 1), ' ')
-        ELSE '1 ... ' || array_to_string(range(c - 1, c + 2), ' ') || ' ... ' || t END AS strip FROM (SELECT CAST(o_orderkey AS INT) AS key, o_orderkey % 12 + 1 AS t, (o_orderkey * 7) % (o_orderkey % 12 + 1) + 1 AS c FROM orders WHERE o_orderkey <= 400)""",
+        ELSE '1 ... ' || array_to_string(range(c - 1, c + 2), ' ') || ' ... ' || t END AS strip FROM (SELECT o_orderkey AS key, o_orderkey % 12 + 1 AS t, (o_orderkey * 7) % (o_orderkey % 12 + 1) + 1 AS c FROM orders)""",
     "upload_stats": """SELECT *, CASE WHEN failed = 0 THEN completed || ' completed' WHEN completed = 0 THEN failed || ' failed' ELSE completed || ' completed, ' || failed || ' failed' END AS message
         FROM (SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS completed, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1)""",
     "upload_progress": "SELECT event_id, CAST(floor((event_id % 9 + (event_id * 13 % 101) / 100.0) / 9 * 100 + 0.5) AS INT) AS progress FROM events",

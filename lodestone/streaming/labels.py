@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.store import one_of_each
+from ..sources.files import exists
+
 
 def fold(events: DataFrame, owner: str, label: Column, *order: str) -> DataFrame:
     """The last label of each owner so far: for update or complete output."""
@@ -18,10 +21,15 @@ def rate_windows(events: DataFrame, time: str, owner: str, late: str = "10 minut
 
 
 def ingest_stream(batches: DataFrame, path: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    """Appends each new key once: a batch that is run again writes nothing twice."""
+    """Appends each new key once, whichever batch brings it first: a batch is written to a folder of its own, so running it again
+    writes nothing twice, and less the keys that the batches before it have.  Of rows with the same key the least stays."""
 
     def write(batch: DataFrame, number: int) -> None:
-        out = f"{path}/batch={number}"
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(out)
+        spark = batch.sparkSession
+        before = [f"{path}/batch={n}" for n in range(number) if exists(spark, f"{path}/batch={n}")]
+        new = one_of_each(batch, key, None, False).select(*batch.columns)
+        if before:
+            new = new.join(spark.read.schema(batch.schema).parquet(*before).select(key), key, "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
