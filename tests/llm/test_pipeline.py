@@ -1,10 +1,8 @@
 """The pipeline against plain versions of its stages, each on its own input."""
 
-import pytest
-
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from lodestone.llm import decontaminate, exact_dedup, quality, simhash  # noqa: E402
-from lodestone.llm.common import materialise  # noqa: E402
+import corpus_pipeline
+from lodestone.llm import decontaminate, exact_dedup, quality, simhash
+from lodestone.llm.common import materialise
 
 
 def test_stages(spark, small):
