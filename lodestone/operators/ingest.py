@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.files import exists
-from ..sources.scratch import written
 from .chunking import chunk_text
 from .markup import snapshot
 from .vectors import hash_embed, index_texts, roll_up, unit
@@ -52,9 +51,9 @@ def persist(made: dict[str, DataFrame], root: str) -> dict[str, int]:
         path, spark = f"{root}/{name}.parquet", rows.sparkSession
         key = KEYS.get(name)
         if key and exists(spark, path):
-            there = spark.read.parquet(path)
-            rows = rows.join(there.select(key), key, "left_anti").select(*rows.columns)
-        rows = written(rows.dropDuplicates([key]) if key else rows, name)
+            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti").select(*rows.columns)
+        seen = Observation(name)
+        rows = (rows.dropDuplicates([key]) if key else rows).observe(seen, F.count(F.lit(1)).alias("n"))
         rows.write.mode("append" if key else "overwrite").parquet(path)
-        added[name] = rows.count()
+        added[name] = seen.get["n"]
     return added

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import markup as M
 from ..operators import store as S
 from ..sources.tables import table
+from .structure import _H, tei_pages
 
 
 def text_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,12 @@ def text_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("content_md5"), F.col("source").alias("parent_id"), F.length("text").cast("long").alias("character_count"))
 
 
+def document_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a document's page shows, of every page read as TEI."""
+    d = M.documents(M.tei(tei_pages(spark, sf_dir)))
+    return d.select("id", F.coalesce("title", F.lit("")).alias("title"), F.array_join(F.transform("authors", lambda a: a["last_name"]), "; ").alias("authors"), "year", "abstract", "doi", "page_count")
+
+
 def display_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     human, key = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("h-"), "lang")).otherwise(""), F.when(F.col("doc_id") % 3 == 1, F.col("source"))
@@ -62,9 +70,10 @@ def model_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(limits, F.lower("model") == F.col("name"), "left").select("n_nationkey", F.coalesce("rpm", F.lit(60)).alias("rpm"))
 
 
-QUERIES = {f.__name__: f for f in (text_detail, display_id, page_number, author_year, suffix_filter, blank_queries, headings_in_order, first_and_more, model_limits)}
+QUERIES = {f.__name__: f for f in (text_detail, document_detail, display_id, page_number, author_year, suffix_filter, blank_queries, headings_in_order, first_and_more, model_limits)}
 ORACLE = {
     "text_detail": "SELECT doc_id AS id, md5(text) AS content_md5, source AS parent_id, length(text) AS character_count FROM documents WHERE doc_id = 11",
+    "document_detail": f"SELECT page_id::VARCHAR AS id, trim({_H}) AS title, 'Cole ' || page_id || '; Day' AS authors, 2021 AS year, 'All of ' || page_id || '.' AS abstract, '10.1/' || page_id AS doi, 2 AS page_count FROM pages",
     "display_id": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'h-' || lang WHEN 1 THEN source ELSE doc_id::VARCHAR END AS shown FROM documents",
     "page_number": "SELECT event_id, CAST(coalesce(nullif(event_id % 3, 0), nullif(CAST(json_extract(props, '$.k') AS INT), 0)) AS INT) AS page FROM events",
     "author_year": "SELECT o_orderkey, o_orderpriority || ' (' || CASE WHEN o_orderkey % 5 <> 0 THEN year(o_orderdate)::VARCHAR ELSE '' END || ')' AS shown, substr(md5(o_orderkey::VARCHAR), 1, 10) AS short_id FROM orders",

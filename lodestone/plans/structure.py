@@ -38,7 +38,7 @@ _HEAD = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleS
 <facsimile><surface n="1" lrx="612"/><surface n="2"/></facsimile><text><body><div n="s{id}"><head coords="1,1,2,3,4">{title}</head>"""
 
 
-def _tei(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tei_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     safe = lambda x: F.regexp_replace(x, "[<&>]", " ")
     rows = _pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("id"), safe(F.coalesce(M.html_heading(F.col("html")), F.lit(""))).alias("title"), F.transform(M.html_paragraphs(F.col("html")), safe).alias("p"))
     head = F.replace(F.replace(F.lit(_HEAD), F.lit("{id}"), F.col("id")), F.lit("{title}"), F.col("title"))
@@ -48,7 +48,7 @@ def _tei(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.tei(_tei(spark, sf_dir))
+    return M.tei(tei_pages(spark, sf_dir))
 
 
 def tei_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def paragraphs_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relationship_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.snapshot(_tei(spark, sf_dir))["relationship"]
+    return M.snapshot(tei_pages(spark, sf_dir))["relationship"]
 
 
 def _counts(relations: dict[str, DataFrame]) -> DataFrame:
@@ -124,12 +124,12 @@ def _counts(relations: dict[str, DataFrame]) -> DataFrame:
 
 
 def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(M.snapshot(_tei(spark, sf_dir)))
+    return _counts(M.snapshot(tei_pages(spark, sf_dir)))
 
 
 def ingest_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All TEI documents, and one that is broken, ingested with their vectors and persisted twice: nothing is there twice."""
-    docs = _tei(spark, sf_dir).unionByName(spark.range(1).select(F.lit("broken").alias("id"), F.lit("<TEI>").alias("xml")))
+    docs = tei_pages(spark, sf_dir).unionByName(spark.range(1).select(F.lit("broken").alias("id"), F.lit("<TEI>").alias("xml")))
     root = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex[:12]}"
     made = I.ingest_tei(docs, lambda text: hash_embed(text, 16))
     for _ in range(2):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 S, I, D, B = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
@@ -29,5 +30,14 @@ RELATIONSHIP = _of(id=S, source_id=S, target_id=S, type=S, metadata=META, create
 SESSION = _of(query=S, positive_ids=STRINGS, negative_ids=STRINGS, results=T.ArrayType(_of(id=S, score=D)), offset=I, created_at=S)
 TABLES = {"entity": ENTITY, "document": DOCUMENT, "page": PAGE, "text_entity": TEXT, "term": TERM, "heading": HEADING, "vector": VECTOR, "relationship": RELATIONSHIP}
 
+#: Stored names that differ from the model's, by relation.
+RENAMES = {"document": {"type": "doc_type", "source_uri": "source_url"}}
+
+
+def renamed(rows: DataFrame, relation: str) -> DataFrame:
+    """Rows under the model's names."""
+    return rows.withColumnsRenamed({old: new for old, new in RENAMES.get(relation, {}).items() if old in rows.columns})
+
+
 #: Fields of a document that must have a value, and their types by name, for validation.
 REQUIRED = {"document": ("id", "type"), "text_entity": ("id", "content"), "heading": ("id", "title"), "relationship": ("id", "source_id", "target_id", "type"), "term": ("id", "canonical_name"), "page": ("id", "page_number")}
