@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def runs(chars: Column, n: int) -> Column:
+    """The distinct runs of n characters of an array of characters."""
+    out = chars
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(out, lambda x: x.isNotNull()))
+
+
 def match_terms(texts: DataFrame, terms: DataFrame, text_id: str, term_id: str, text_col: str = "text", term_col: str = "term") -> DataFrame:
     """term id and text id where the trimmed, lower-cased, non-empty term is in the lower-cased text.
 
     A word that has a space on both sides in a term has them in any text that holds it: the longest such
-    word of a term is looked up among the texts' words by an equi-join, and only what that finds is
-    searched for the whole term.  Terms without such a word, short ones, are searched for everywhere."""
+    word of a term is looked up among the texts' words by an equi-join.  A term without such a word, a short
+    one, is looked up by its first three characters (or all it has) among the texts' runs of as many.  Only
+    what a look-up finds is searched for the whole term, so no texts and terms are paired otherwise."""
     t = terms.select(term_id, F.lower(F.trim(F.coalesce(term_col, F.lit("")))).alias("wanted")).where("wanted <> ''")
     pieces = F.split("wanted", " ")
     inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != "")
-    t = t.select(term_id, "wanted", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("key"))
+    t = t.select(term_id, "wanted", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    n = F.when(F.col("word").isNull(), F.least(F.length("wanted"), F.lit(3))).otherwise(0)
+    t = t.select(term_id, "wanted", n.alias("n"), F.coalesce("word", F.substring("wanted", 1, 3)).alias("key"))
     lowered = texts.select(text_id, F.lower(text_col).alias("lowered"))
-    words = lowered.select(text_id, F.explode(F.array_distinct(F.split("lowered", " "))).alias("key"))
-    candidates = words.join(t.where("key is not null").select(term_id, "key"), "key").select(text_id, term_id)
-    long = lowered.join(candidates, text_id).join(t.select(term_id, "wanted"), term_id).where(F.contains("lowered", F.col("wanted")))
-    short = lowered.join(t.where("key is null"), F.contains("lowered", F.col("wanted")))
-    return long.select(term_id, text_id).unionByName(short.select(term_id, text_id))
+    keys = F.array_distinct(F.split("lowered", " "))
+    words = lowered.select(text_id, F.lit(0).alias("n"), F.explode(keys).alias("key"))
+    for size in sorted(r.n for r in t.where("n > 0").select("n").distinct().collect()):  # three at most
+        words = words.unionByName(lowered.select(text_id, F.lit(size).alias("n"), F.explode(runs(F.split("lowered", ""), size)).alias("key")))
+    candidates = words.join(t.select(term_id, "n", "key"), ["n", "key"]).select(text_id, term_id)
+    found = lowered.join(candidates, text_id).join(t.select(term_id, "wanted"), term_id).where(F.contains("lowered", F.col("wanted")))
+    return found.select(term_id, text_id)

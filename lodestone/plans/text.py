@@ -95,6 +95,12 @@ def substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_terms(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", "text")
 
 
+def substring_match_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which nations' names, their first letters, or an ending: terms of one to a few characters."""
+    terms = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("term_id"), F.expr("CASE n_nationkey % 4 WHEN 0 THEN 'ßen' WHEN 1 THEN substr(n_name, 1, 1) WHEN 2 THEN 'ñ ' ELSE n_name END").alias("term"))
+    return match_terms(_docs(spark, sf_dir), terms, "doc_id", "term_id")
+
+
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first words of each conversation against all its turns."""
     turns = table(spark, sf_dir, "conversations")
@@ -138,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sentence_split, sentence_counts, chunk_text, chunk_stats, chunk_overlap, chunk_paragraphs, hard_split, normalize_text, normalise_content, slugify, base36, human_id,
-        citation_key, extract_year, substring_match, fuzzy_match, highlight_keywords, mark_literal, key_phrase, snippet_truncate, authors_et_al, format_author, token_estimate,
+        citation_key, extract_year, substring_match, substring_match_short, fuzzy_match, highlight_keywords, mark_literal, key_phrase, snippet_truncate, authors_et_al, format_author, token_estimate,
     )
 }
 
@@ -193,6 +199,7 @@ ORACLE = {
     "citation_key": "SELECT page_id, regexp_extract(url, '[^/]*$') AS citation_key FROM pages",
     "extract_year": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year FROM orders",
     "substring_match": "SELECT item_id, doc_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(trim(b.text))) AND trim(b.text) <> ''",
+    "substring_match_short": "SELECT n_nationkey AS term_id, doc_id FROM documents, (SELECT n_nationkey, lower(trim(CASE n_nationkey % 4 WHEN 0 THEN 'ßen' WHEN 1 THEN substr(n_name, 1, 1) WHEN 2 THEN 'ñ ' ELSE n_name END)) AS term FROM nation) WHERE contains(lower(text), term)",
     "highlight_keywords": "SELECT doc_id, regexp_replace(text, '(?i)\\b(the|des|und)\\b', '<strong>\\1</strong>', 'g') AS marked FROM documents",
     "mark_literal": "SELECT doc_id, regexp_replace(text, '(?i)(an\\. the)', '<mark>\\1</mark>', 'g') AS marked FROM documents",
     "key_phrase": """SELECT doc_id, trim(substr(text, 1, coalesce(list_filter(range(10, 51), lambda n: n <= length(text) AND (n = length(text) OR regexp_matches(substr(text, n + 1, 1), '[.!?,;\\s]')) AND NOT contains(substr(text, 1, n), chr(10)))[1], 50))) AS phrase FROM documents""",
