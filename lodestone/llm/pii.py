@@ -86,7 +86,20 @@ def phones(text: str) -> list[Span]:
     return [m.span() for m in _PHONE.finditer(text) if 9 <= sum(map(len, _DIGITS.findall(m[0]))) <= 15]
 
 
-DETECT: dict[str, Callable[[str], list[Span]]] = {"email": emails, "ip": ips, "card": cards, "phone": phones}
+_NO_DIGITS = bytes.maketrans(b"", b"")
+
+
+def digits_in(text: str) -> int:
+    """How many ASCII digits a text has."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return len(raw) - len(raw.translate(_NO_DIGITS, b"0123456789"))
+
+
+def base_spans(text: str) -> dict[str, list[Span]]:
+    """The contract's spans by kind; a detector runs only where its marks and enough digits are there."""
+    n = digits_in(text)
+    return {"email": emails(text) if "@" in text else [], "ip": ips(text) if n >= 4 and "." in text else [], "card": cards(text) if n >= 13 else [], "phone": phones(text) if n >= 9 and "+" in text else []}
+
 
 
 # -- transducers ----------------------------------------------------------------------
@@ -149,7 +162,7 @@ _DIGIT_TOKEN = rf"(?:{_DIGIT_WORD}|[0-9])++(?![^\W_])"  # words and numerals may
 _BETWEEN = r"[ ,.()-]{1,3}"
 _SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_]){_DIGIT_TOKEN}(?:{_BETWEEN}{_DIGIT_TOKEN})++")
 _SPELLED_PART = re.compile(rf"(?i)({_DIGIT_WORD})|([0-9]+)|([ ,.()-]+)")
-_SPELLED_WORD = re.compile(rf"(?i)(?<![^\W\d_])(?:{_DIGIT_WORD})(?![^\W\d_])")
+_NUMERALS = frozenset("0123456789")
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _AT_BRACKET = re.compile(rf"(?i){_OPEN}(?:at|@|arroba|chez){_CLOSE}")
 _DOT_BRACKET = re.compile(rf"(?i){_OPEN}(?:dot|punto|punkt|point|\.){_CLOSE}")
@@ -175,8 +188,51 @@ _SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?={_DOTTED_HOST})|(?<=[
 _DISGUISE = re.compile(r"(?i)[\[({<][ \t]*(?:at|@|arroba|chez|dot|punto|punkt|point|\.)[ \t]*[\])}>]|[ \t]dot[ \t]|[ \t]@|@[ \t]|@[A-Za-z0-9-]+[ \t]\.")
 
 
-def _disguised(text: str) -> bool:
-    return bool(_DISGUISE.search(text) or _AT_WORD.search(text))
+_LATIN = [c for c in [*map(chr, GLYPHS), *INVISIBLE] if c <= "ÿ"]
+
+
+def _odd_glyphs(text: str) -> bool:
+    """Whether a character stands for another or for none."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_GLYPH.search(text) or _INVISIBLE.search(text))
+    return any(c in text for c in _LATIN)
+
+
+_AT_TAIL = re.compile(rf" at[ \t]+[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{_ENDINGS})", re.I)
+
+
+def _disguised(text: str, low: str) -> bool:
+    """Whether a transducer of addresses has something to rewrite; what cannot be there is not searched for."""
+    if any(x in low for x in ("[", "(", "{", "<", "@", " dot ", "\tdot", "dot\t")) and _DISGUISE.search(text):
+        return True
+    if "at\t" in low or "\tat" in low:
+        return bool(_AT_WORD.search(text))
+    at = low.find(" at ")
+    while at >= 0:
+        if _AT_TAIL.match(low, at):
+            return bool(_AT_WORD.search(text))
+        at = low.find(" at ", at + 3)
+    return False
+
+
+_MIXED = re.compile(rf"(?i)[0-9](?:{_DIGIT_WORD})|(?:{_DIGIT_WORD})[0-9]")
+
+
+def _may_be_spelled(text: str, low: str) -> bool:
+    """Whether two digits stand side by side, one of them as a word."""
+    words = low
+    for c in ",.()-":
+        words = words.replace(c, " ")
+    words = words.split()
+    at = [i for i, w in enumerate(words) if w in SPELLED]
+    digit = lambda w: w in SPELLED or w[0] in _NUMERALS or w[-1] in _NUMERALS or w[0] == "+"
+    if any((i and digit(words[i - 1])) or (i + 1 < len(words) and digit(words[i + 1])) for i in at):
+        return True
+    return "+" in low and any(w[0] == "+" and w[1:] in SPELLED for w in words) or digits_in(text) >= 3 and any(_MIXED.search(w) for w in words if not (w.isalpha() or w.isdigit()))
 
 
 def _at_word(m: re.Match[str]) -> str | None:
@@ -212,16 +268,17 @@ def _spelled_edits(text: str) -> dict[int, str]:
 
 def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only the normalised text shows: first without, then with spelled digits rewritten."""
-    glyph = not text.isascii() and bool(_GLYPH.search(text) or _INVISIBLE.search(text))
-    disguised = _disguised(text)
-    spelled = bool(_SPELLED_WORD.search(text))
+    glyph = _odd_glyphs(text)
+    low = text.lower()
+    disguised, spelled = _disguised(text, low), _may_be_spelled(text, low)
     if not (glyph or disguised or spelled and _spelled_edits(text)):
         return {}
     tape, found = Tape(text), {}
     if glyph:
         tape.rewrite(_INVISIBLE, lambda m: "")
         tape.rewrite(_GLYPH, _glyph)
-        spelled, disguised = bool(_SPELLED_WORD.search(tape.text)), _disguised(tape.text)
+        low = tape.text.lower()
+        disguised, spelled = _disguised(tape.text, low), _may_be_spelled(tape.text, low)
     if disguised:
         tape.rewrite(_AT_BRACKET, lambda m: "@")
         tape.rewrite(_DOT_BRACKET, lambda m: ".")
@@ -231,7 +288,7 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
         tape.rewrite(_SPACED_AT, lambda m: "@")
     if tape.text != text:
         _add(tape, base, found)
-    if spelled and (edits := _spelled_edits(tape.text)):
+    if (spelled or disguised) and (edits := _spelled_edits(tape.text)):
         tape.rewrite(_SPELLED_PART, lambda m: edits.get(m.start()))
         _add(tape, {k: sorted(base[k] + found.get(k, [])) for k in KINDS}, found)
     return found
@@ -239,9 +296,10 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
 
 def _add(tape: Tape, base: dict[str, list[Span]], found: dict[str, list[Span]]) -> None:
     """Adds the tape's spans that overlap none of base."""
+    found_now = base_spans(tape.text)
     for kind in KINDS:
         taken, i = base[kind], 0
-        for span in DETECT[kind](tape.text):
+        for span in found_now[kind]:
             a, b = tape.source(span)
             while i < len(taken) and taken[i][1] <= a:
                 i += 1
@@ -251,7 +309,7 @@ def _add(tape: Tape, base: dict[str, list[Span]], found: dict[str, list[Span]])
 
 def spans_of(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Base spans and added spans by kind."""
-    base = {k: DETECT[k](text) for k in KINDS}
+    base = base_spans(text)
     return base, added(text, base)
 
 
@@ -263,7 +321,13 @@ def digest(spans: dict[str, list[Span]]) -> str:
 _SECRET = re.compile(r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|secret[_-]?key|auth[_-]?token)["']?[ \t]{0,3}[:=][ \t]{0,3}["']?)([A-Za-z0-9_+/=.-]{16,})|\b(AKIA[0-9A-Z]{16})\b|\b(gh[opsu]_[A-Za-z0-9]{36,})|(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)""")
 
 
+_SECRET_MARKS = ("token", "secret", "passw", "key", "akia", "gho_", "ghp_", "ghs_", "ghu_", "-----begin")
+
+
 def secrets(text: str) -> list[Span]:
+    low = text.lower()
+    if not any(x in low for x in _SECRET_MARKS):
+        return []
     return [m.span(m.lastindex) for m in _SECRET.finditer(text)]
 
 
