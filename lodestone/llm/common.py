@@ -108,12 +108,19 @@ HOT_KEYS = 1000
 SHORT_LIST = 1_000_000
 
 
+#: A table of at most so many rows (up to 100 bytes each) is broadcast whole.
+SMALL_TABLE = 50_000
+
+
 def join_split(many: DataFrame, one: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
     """many with the columns of one, a row for each key, joined on key without meeting a hot key in one task.
 
     size is one's column that tells how many rows of many have the key.  Fewer than HOT_KEYS keys can
     hold over 1/HOT_KEYS of many's rows: their rows of one are broadcast, all others meet by shuffle.
-    Both sides are read twice, so they should be written tables.  how: inner, or left."""
+    If one has at most SMALL_TABLE rows, it is broadcast whole.  Both sides are read twice, so they
+    should be written tables.  how: inner, or left."""
+    if one.count() <= SMALL_TABLE:
+        return many.join(F.broadcast(one), key, how)
     least = many.count() // HOT_KEYS
     hot = one.where(F.col(size) > least)
     rest = one.where(F.col(size) <= least)

@@ -13,8 +13,13 @@ remainder of a length takes the r-th slot of that length: sequence and offset fo
 from the plan by look-up, without a shuffle of the pieces by sequence.
 
 Token ids, ranks and pieces are written once to the shared folder, so a lost executor
-cannot change a rank.  Null text is empty: its document is the end id alone.  Repeated
-rows and ties are documents of their own.  An empty table gives an empty result.
+cannot change a rank.  A piece finds how many of its length stand in the tasks before its
+own by a join on task and length: a task's pieces are bounded by its input, so no key of
+that join grows with the corpus.
+
+Null text is empty: its document is the end id alone.  Very long texts are encoded whole and
+cut.  Repeated rows and ties are documents of their own.  An empty table gives an empty
+result.  Columns besides id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

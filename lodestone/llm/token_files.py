@@ -4,10 +4,10 @@ Documents are dealt by doc_id ranges and sorted, tokenised, and gathered into sh
 about SHARD_TOKENS ids.  Per shard, frequent neighbouring pairs of ids are replaced by
 nonterminals, round after round (in a round all pairs above a count are replaced at once,
 left to right, and none across two documents), until no pair is frequent or the symbols run
-out: a symbol has two bytes where the shard's ids fit into them, else four.  A file row
-holds the rules, the length each rule expands to, the compressed symbols, and for each
-document its id, its number of ids and its number of symbols; so a document, or a range
-in it, is decoded without decoding what stands before it.
+out: a symbol has two bytes where the shard's ids fit into them, else four.  A file row holds
+the rules, the length each rule expands to, the compressed symbols, and for each document its
+id, its number of ids and its number of symbols; so a document, or a range in it, is decoded
+without decoding what stands before it.
 
 The files are Parquet, written to the shared folder by Spark, so any store works and a
 lost executor's rows are written anew; results come from the files as read back.
@@ -41,7 +41,8 @@ TABLE_BITS = 20
 
 def rules_at(key: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For each pair its place in keys, or -1.  Looked up in a hashed table; pairs whose slot several of keys share are searched for."""
-    slots = lambda x: ((x ^ (x >> np.uint64(29))).astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)
+    folded = (lambda x: x) if key.dtype == np.uint32 else lambda x: (x ^ (x >> np.uint64(29))).astype(np.uint32)
+    slots = lambda x: (folded(x) * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)
     table, taken = np.full(1 << TABLE_BITS, -1, np.int32), slots(keys)
     table[taken] = np.arange(len(keys), dtype=np.int32)
     rule = table[slots(key)]
@@ -70,7 +71,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     pair of older symbols can become frequent, so the next round counts only pairs with a new symbol."""
     first = int(ids.max(initial=0)) + 1
     kind, limit = symbol_type(first)
-    shift = np.uint64(8 * np.dtype(kind).itemsize)
+    pair = np.uint32 if kind is np.uint16 else np.uint64
+    shift = pair(8 * np.dtype(kind).itemsize)
     seq, sizes = ids.astype(kind), lengths.astype(np.int64)
     rules: list[np.ndarray] = [np.empty((0, 2), kind)]
     made, near = 0, None  # near: where pairs with a new symbol stand; None is everywhere
@@ -79,12 +81,12 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         inner = np.ones(len(seq), bool)
         inner[ends[sizes > 0]] = False  # no pair across documents
         near = np.flatnonzero(inner) if near is None else near[inner[near]]
-        key = (seq[near].astype(np.uint64) << shift) | seq[near + 1]
-        ordered = np.sort(key.astype(np.uint32) if kind is np.uint16 else key)
+        key = (seq[near].astype(pair) << shift) | seq[near + 1]
+        ordered = np.sort(key)
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
         counts = np.diff(np.r_[starts, len(ordered)])
         often = counts >= FREQUENT
-        keys, counts = ordered[starts[often]].astype(np.uint64), counts[often]
+        keys, counts = ordered[starts[often]], counts[often]
         if not len(keys):
             break
         cut = len(keys) > room
@@ -100,7 +102,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         used = np.bincount(rule, minlength=len(keys)) > 0
         number = np.cumsum(used) - 1
         keys = keys[used]
-        rules.append(np.stack([keys >> shift, keys & ((np.uint64(1) << shift) - np.uint64(1))], axis=1).astype(kind))
+        rules.append(np.stack([keys >> shift, keys & ((pair(1) << shift) - pair(1))], axis=1).astype(kind))
         seq[at] = (first + made + number[rule]).astype(kind)
         made += len(keys)
         keep = np.ones(len(seq), bool)

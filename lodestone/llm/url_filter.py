@@ -133,7 +133,7 @@ def host_path(url: Column) -> tuple[Column, Column]:
 def build_index(patterns: DataFrame, urls: DataFrame) -> DataFrame:
     """token, pattern, action, regex: each rule under the token that the fewest of urls(text) have (a longer one first), or under the empty one."""
     rules = patterns.where(F.col("pattern").isNotNull() & F.col("action").isin("allow", "block")).select("pattern", "action").distinct()
-    filed = materialise(rules.select("pattern", "action", F.explode_outer(tokens_of(F.col("pattern"))).alias("token")), "rules")
+    filed = rules.select("pattern", "action", F.explode_outer(tokens_of(F.col("pattern"))).alias("token"))
     wanted = filed.where("token is not null").select("token").distinct()
     counts = urls.select(F.explode(url_tokens(F.col("text"))).alias("token")).join(wanted, "token").groupBy("token").agg(F.count("*").alias("n"))
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("token")).alias("l"), F.col("token").alias("t"))

@@ -23,9 +23,10 @@ def test_arrow_setting_in_megabytes(spark, awkward):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("hot_keys", [1, 3, 1000])
-def test_join_split_is_a_join(spark, monkeypatch, how, hot_keys):
+@pytest.mark.parametrize(("hot_keys", "small"), [(1, 0), (3, 0), (1000, 0), (1000, 50_000)])
+def test_join_split_is_a_join(spark, monkeypatch, how, hot_keys, small):
     monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+    monkeypatch.setattr(common, "SMALL_TABLE", small)
     many = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 20 + [3, 4, 5] * 2)], "k long, i long")
     one = spark.createDataFrame([(1, "a", 50), (2, "b", 20), (3, "c", 2), (9, "z", 1)], "k long, v string, size long")
     want = many.join(one, "k", how)
@@ -128,3 +129,14 @@ def test_long_items_are_taken_in_parts(spark, monkeypatch):
     assert got[0] == (12, 1) and got[79] == (12, 1) and got[90] == (3, 1) and got[92] == (6 + 95, 2)
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 25)
     assert sorted(map(str, decontaminate.judged(decontaminate.scan(docs, bench)).collect())) == want
+
+
+@pytest.mark.parametrize("small", [0, 50_000])
+def test_results_do_not_depend_on_how_tables_meet(spark, awkward, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_TABLE", small)
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = awkward.unionByName(awkward.selectExpr("doc_id + 100 as doc_id", *[c for c in awkward.columns if c != "doc_id"]))
+    found = [r.text_sha256 for r in exact_dedup.exact_dedup(rows).collect()]
+    assert all(r.group_size == found.count(r.text_sha256) for r in exact_dedup.exact_dedup(rows).collect())
+    assert {r.component_id for r in simhash.near_groups(rows).where("fp = 0").collect()} == {2}
+    assert simhash.near_groups(rows).count() == rows.count()
