@@ -127,18 +127,20 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    seq = symbols
-    while (big := seq >= first).any():
-        size = 1 + big
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), seq.dtype)
-        out[at] = seq
-        pairs = rules[seq[big].astype(np.int64) - first]
-        out[at[big]], out[at[big] + 1] = pairs[:, 0], pairs[:, 1]
-        seq = out
-    return seq
+def expand(symbols: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for.  Every symbol's place in the output follows from the expansion lengths, so each
+    rule's two sides are put where they go, and what is an id by then is done."""
+    lengths = np.r_[np.ones(first, np.int64), expansion_lengths(rules, first) if lengths is None else lengths]
+    size = lengths[symbols]
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, symbols.dtype)
+    at, left = ends - size, symbols
+    while len(left):
+        done = left < first
+        out[at[done]] = left[done]
+        at, pairs = at[~done], rules[left[~done].astype(np.int64) - first]
+        left, at = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([at, at + lengths[pairs[:, 0]]])
+    return out
 
 
 def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int, start: int, stop: int) -> np.ndarray:
@@ -149,7 +151,7 @@ def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, fi
     ends = np.cumsum(size)
     a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
     skipped = int(ends[a - 1]) if a else 0
-    return expand(symbols[a:b], rules, first)[start - skipped : stop - skipped]
+    return expand(symbols[a:b], rules, first, lengths)[start - skipped : stop - skipped]
 
 
 FILE = "part int, shard int, first_symbol int, n_ids long, doc_ids array<long>, doc_n_ids array<long>, doc_n_symbols array<long>, symbol_bytes int, rules binary, rule_lengths binary, symbols binary"
@@ -202,7 +204,7 @@ def decoded(files: DataFrame) -> DataFrame:
                 get = {k: v[0] for k, v in one.items()}
                 kind = f"<u{get['symbol_bytes']}"
                 rules = np.frombuffer(get["rules"], kind).reshape(-1, 2)
-                ids = expand(np.frombuffer(get["symbols"], kind), rules, get["first_symbol"]).astype("<u4").tobytes()
+                ids = expand(np.frombuffer(get["symbols"], kind), rules, get["first_symbol"], np.frombuffer(get["rule_lengths"], "<u4")).astype("<u4").tobytes()
                 n = np.array(get["doc_n_ids"], np.int64)
                 at = np.cumsum(n) - n
                 crc = [zlib.crc32(ids[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), n.tolist())]
