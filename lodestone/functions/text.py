@@ -89,21 +89,34 @@ def indel_length(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
-def partial_ratio(a: str, b: str) -> int:
-    """The best 0..100 similarity of the shorter string with any window of the longer, partial windows at the ends too."""
+def partial_ratio(a: str, b: str, least: int = 0) -> int:
+    """The best 0..100 similarity of the shorter string with any window of the longer, partial windows at the ends too.
+
+    What is under least may come out lower than it is: a window whose letters alone cannot reach it, or the best so far, is not compared."""
     if not a or not b:
         return 0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if short in long:
         return 100
     best, m = 0.0, len(short)
+    floor = least - 0.5  # rounds to least
     for s, t in [(short, long), (long, short)] if len(a) == len(b) else [(short, long)]:
-        letters = set(s)
+        left = dict.fromkeys(s, 0)  # how many of each letter the window lacks, under 0 for too many
+        for c in s:
+            left[c] += 1
+        shared = 0
         for i in range(1 - m, len(t)):
-            window = t[max(i, 0) : i + m]
-            if i + m <= len(t) and window[-1] not in letters and i > 0:
-                continue  # a window that ends on a letter of none is no better than the one before it
-            best = max(best, 200.0 * indel_length(s, window) / (m + len(window)))
+            if i + m <= len(t):
+                c = t[i + m - 1]
+                if c in left:
+                    left[c] -= 1
+                    shared += left[c] >= 0
+            if i > 0 and (c := t[i - 1]) in left:
+                shared -= left[c] >= 0
+                left[c] += 1
+            size = min(i + m, len(t)) - max(i, 0)
+            if 200.0 * shared / (m + size) > max(best, floor - 1e-9):
+                best = max(best, 200.0 * indel_length(s, t[max(i, 0) : i + m]) / (m + size))
     return round(best)
 
 
@@ -113,7 +126,7 @@ def fuzzy_match(term: Column, text: Column, tolerance: int = 80) -> Column:
     @F.pandas_udf("boolean")
     def match(term: pd.Series, text: pd.Series) -> pd.Series:
         pairs = ((("" if a is None else a.lower().strip()), ("" if b is None else b.lower().strip())) for a, b in zip(term, text))
-        return pd.Series([bool(a) and partial_ratio(a, b) >= tolerance for a, b in pairs], dtype="boolean")
+        return pd.Series([bool(a) and partial_ratio(a, b, tolerance) >= tolerance for a, b in pairs], dtype="boolean")
 
     return match(term, text)
 

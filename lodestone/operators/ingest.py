@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.files import exists
+from ..sources.scratch import written
 from .chunking import chunk_text
 from .markup import snapshot
 from .vectors import hash_embed, index_texts, roll_up, unit
@@ -36,7 +37,7 @@ KEYS = {"term": "id", "document": "id", "heading": "heading_id", "text_entity":
 def ingest_tei(docs: DataFrame, embed: Embedder = hash_embed, id_col: str = "id", xml_col: str = "xml") -> dict[str, DataFrame]:
     """All relations of TEI documents with their texts' vectors; rejects: documents that do not parse, texts that cannot be embedded."""
     made = snapshot(docs, id_col, xml_col)
-    vectors = index_texts(made["text_entity"], embed, "text_id", "content")
+    vectors = written(index_texts(made["text_entity"], embed, "text_id", "content"), "vectors")
     unembedded = vectors.where("embedding is null").select(F.col("text_id").alias("id"), F.lit("no embedding").alias("error"))
     edge_id = F.md5(F.concat_ws("|", "source_id", "target_id", "type"))
     return made | {"relationship": made["relationship"].select(edge_id.alias("id"), "*"), "vector": vectors.where("embedding is not null"), "rejects": made["rejects"].unionByName(unembedded)}

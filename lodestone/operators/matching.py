@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: So many short beginnings are sought one by one.
+FEW = 64
+
 
 def runs(chars: Column, n: int) -> Column:
     """The distinct runs of n characters of an array of characters."""
@@ -19,8 +22,9 @@ def match_terms(texts: DataFrame, terms: DataFrame, text_id: str, term_id: str,
 
     A word that has a space on both sides in a term has them in any text that holds it: the longest such
     word of a term is looked up among the texts' words by an equi-join.  A term without such a word, a short
-    one, is looked up by its first three characters (or all it has) among the texts' runs of as many.  Only
-    what a look-up finds is searched for the whole term, so no texts and terms are paired otherwise."""
+    one, is looked up by its first three characters (or all it has) among the texts' runs of as many; up to FEW
+    such beginnings are looked for in each text instead.  Only what a look-up finds is searched for the whole
+    term, so no texts and terms are paired otherwise."""
     t = terms.select(term_id, F.lower(F.trim(F.coalesce(term_col, F.lit("")))).alias("wanted")).where("wanted <> ''")
     pieces = F.split("wanted", " ")
     inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != "")
@@ -30,8 +34,14 @@ def match_terms(texts: DataFrame, terms: DataFrame, text_id: str, term_id: str,
     lowered = texts.select(text_id, F.lower(text_col).alias("lowered"))
     keys = F.array_distinct(F.split("lowered", " "))
     words = lowered.select(text_id, F.lit(0).alias("n"), F.explode(keys).alias("key"))
-    for size in sorted(r.n for r in t.where("n > 0").select("n").distinct().collect()):  # three at most
-        words = words.unionByName(lowered.select(text_id, F.lit(size).alias("n"), F.explode(runs(F.split("lowered", ""), size)).alias("key")))
+    short = t.where("n > 0").select("n", "key").distinct()
+    few = short.limit(FEW + 1).collect()
+    if 0 < len(few) <= FEW:  # each is looked for in each text
+        there = F.filter(F.array(*(F.struct(F.lit(r.n).alias("n"), F.lit(r.key).alias("key")) for r in few)), lambda k: F.contains("lowered", k["key"]))
+        words = words.unionByName(lowered.select(text_id, F.explode(there).alias("k")).select(text_id, "k.n", "k.key"))
+    elif few:
+        for size in (1, 2, 3):
+            words = words.unionByName(lowered.select(text_id, F.lit(size).alias("n"), F.explode(runs(F.split("lowered", ""), size)).alias("key")))
     candidates = words.join(t.select(term_id, "n", "key"), ["n", "key"]).select(text_id, term_id)
     found = lowered.join(candidates, text_id).join(t.select(term_id, "wanted"), term_id).where(F.contains("lowered", F.col("wanted")))
     return found.select(term_id, text_id)

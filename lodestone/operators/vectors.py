@@ -199,7 +199,8 @@ def hash_embed(text: Column, dimensions: int = 64) -> Column:
     A word's MD5 gives its place and, by one more bit, its sign; the sum at a place counts one kind less the other."""
     words = F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(2 * dimensions)).cast("int"))
-    sums = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(p, F.lit(0.0), lambda s, x: F.when(F.shiftright(x, 1) == i, s + 1 - 2 * x.bitwiseAND(F.lit(1))).otherwise(s)))
+    without = lambda p, x: F.size(F.array_remove(p, x))  # noqa: E731  # all less those at x
+    sums = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (without(p, 2 * i + 1) - without(p, 2 * i)).cast("double"))
     return bound(bound(places, sums), unit)
 
 

@@ -12,7 +12,7 @@ from ..library import Library
 from ..operators import vectors as V
 from ..schemas import SESSION, renamed
 from ..sources import files, tables
-from ..sources.scratch import shared_dir
+from ..sources.scratch import shared_dir, written
 from ..sources.tables import table
 
 
@@ -34,7 +34,7 @@ def page_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _folder(spark, "pages")
     files.write_page_texts(pages, root)
     back = files.read_page_texts(spark, root)
-    return back.select(F.replace("paper", F.lit("%20"), F.lit(" ")).alias("paper"), "page_number", F.md5(F.rtrim(F.regexp_replace("full_text", r"\n$", ""))).alias("text_md5"))
+    return back.select(F.replace("paper", F.lit("%20"), F.lit(" ")).alias("paper"), "page_number", F.md5("full_text").alias("text_md5"))
 
 
 def session_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def renamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def failed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth text has no words: it is indexed without a vector, and no search finds it."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "...").otherwise(F.col("text")).alias("content"))
-    rows = V.index_texts(texts, lambda t: V.hash_embed(t, 8))
+    rows = written(V.index_texts(texts, lambda t: V.hash_embed(t, 8)).select("vector_id", "embedding"), "index")
     found = V.scored(rows.select(F.col("vector_id").alias("vec_id"), "embedding"), [1.0] * 8)
     return rows.groupBy((F.col("embedding").isNull()).alias("failed")).agg(F.count("*").alias("n")).unionByName(found.agg(F.count("*").alias("n")).select(F.lit(None).cast("boolean").alias("failed"), "n"))
 
@@ -101,7 +101,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (jsonl_round_trip, page_files_round_trip, session_round_trip, tables_present, tables_created, describe_vectors, renamed_documents, failed_embeddings, library)}
 ORACLE = {
     "jsonl_round_trip": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role END AS role, text FROM conversations",
-    "page_files_round_trip": "SELECT 'paper ' || (page_id // 100) AS paper, CAST(page_id % 100 AS INT) AS page_number, md5(rtrim(html)) AS text_md5 FROM pages",
+    "page_files_round_trip": "SELECT 'paper ' || (page_id // 100) AS paper, CAST(page_id % 100 AS INT) AS page_number, md5(html) AS text_md5 FROM pages",
     "session_round_trip": """SELECT (SELECT text FROM conversations WHERE conv_id = 0 ORDER BY turn LIMIT 1) AS query, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn::VARCHAR) FILTER (role = 'user'), '') AS positive,
         coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn::VARCHAR) FILTER (role = 'assistant'), '') AS negative, CAST(count(*) AS INT) AS n_results, sum(turn / 4.0)::DOUBLE AS total, 5 AS "offset" FROM conversations WHERE conv_id = 0""",
     "tables_present": "SELECT * FROM (VALUES ('documents', true), ('embeddings', true), ('vectors', false), ('orders', true)) t(name, present)",

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.values import score_band as band
 from ..operators import store as S
 from ..operators import vectors as V
+from ..sources.scratch import written
 from ..sources.tables import table
 
 #: Unit vectors and the hits of vector 0, as SQL.
@@ -94,7 +95,7 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query text against all documents: embedded, searched for, hydrated."""
-    vectors = _indexed(spark, sf_dir).select(F.col("vector_id").alias("vec_id"), "embedding")
+    vectors = written(_indexed(spark, sf_dir).select(F.col("vector_id").alias("vec_id"), "embedding"), "index")
     hits = V.search_text(vectors, QUERY_TEXT, _embed, 10)
     return V.shown(V.hydrate(hits, table(spark, sf_dir, "documents")), "vec_id", F.substring("text", 1, 60).alias("snippet"))
 

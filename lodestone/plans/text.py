@@ -37,10 +37,11 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of documents with a chunk."""
-    size = F.transform("chunks", F.length)
-    chunks = _chunks(spark, sf_dir).where(F.size("chunks") > 0)
-    return chunks.select("doc_id", F.size("chunks").alias("n_chunks"), F.array_max(size).alias("longest"), F.array_min(size).alias("shortest"))
+    """Of documents with a chunk: those with more than white space."""
+    size = lambda chunks: F.transform(chunks, F.length)
+    stats = lambda chunks: F.struct(F.size(chunks).alias("n_chunks"), F.array_max(size(chunks)).alias("longest"), F.array_min(size(chunks)).alias("shortest"))
+    rows = _docs(spark, sf_dir).where(F.rlike("text", F.lit(r"(?U)\S")))
+    return rows.select("doc_id", C.bound(C.chunk_text(F.col("text")), stats).alias("s")).select("doc_id", "s.*")
 
 
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,34 +43,35 @@ def split_page_name(name: Column) -> Column:
 
 
 def read_page_texts(spark: SparkSession, root: str) -> DataFrame:
-    """paper, page_number, full_text of ``<root>/<paper>/pNN.txt``."""
+    """paper, page_number, full_text of ``<root>/<paper>/pNN.txt``; a page that is only a line break is empty, files without content are passed over."""
     pages = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "p*.txt").text(root, wholetext=True)
     path = F.input_file_name()
-    return pages.select(F.regexp_extract(path, r"([^/]+)/p[0-9]+\.txt$", 1).alias("paper"), F.regexp_extract(path, r"/p([0-9]+)\.txt$", 1).cast("int").alias("page_number"), F.col("value").alias("full_text"))
+    return pages.select(F.regexp_extract(path, r"([^/]+)/p[0-9]+\.txt$", 1).alias("paper"), F.regexp_extract(path, r"/p([0-9]+)\.txt$", 1).cast("int").alias("page_number"), F.when(F.col("value") == "\n", "").otherwise(F.col("value")).alias("full_text"))
 
 
-def write_page_texts(pages: DataFrame, root: str) -> None:
-    """full_text of (paper, page_number, full_text) as ``<root>/<paper>/pNN.txt``, a file for each page.
+def write_page_texts(pages: DataFrame, root: str) -> int:
+    """full_text of (paper, page_number, full_text) as ``<root>/<paper>/pNN.txt``, a file for each page; returns how many.
+
+    Executors write the files through Arrow's file system of root (a path or a URI that it knows); a task that runs again
+    writes the same pages over.  An empty page is written as a line break, as readers pass over files without content."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        made = set()
+        for f in frames:
+            for paper, page, text in zip(f.paper, f.page, f.text):
+                folder = f"{base.rstrip('/')}/{paper}"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{folder}/{page}") as out:
+                    out.write(text.encode() or b"\n")
+            yield pd.DataFrame({"n": [len(f)]})
 
-    Spark writes the pages to a folder of their own under root; the files are then renamed, so a task
-    that runs again replaces a page by the same page.  Each file ends in a line break."""
     rows = pages.select("paper", page_file_name(F.col("page_number")).alias("page"), F.coalesce("full_text", F.lit("")).alias("text"))
-    staged = f"{root}/_pages"
-    rows.write.mode("overwrite").partitionBy("paper", "page").text(staged)  # one file a page, as rows of a page are one
-    jvm, conf = pages.sparkSession._jvm, pages.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(staged).getFileSystem(conf)
-    for paper in fs.listStatus(path(staged)):
-        if not paper.isDirectory():
-            continue
-        folder = path(root, jvm.java.net.URLDecoder.decode(paper.getPath().getName().split("=", 1)[1], "UTF-8"))
-        fs.mkdirs(folder)
-        for page in fs.listStatus(paper.getPath()):
-            part = next(x.getPath() for x in fs.listStatus(page.getPath()) if x.getPath().getName().startswith("part-"))
-            target = path(folder, page.getPath().getName().split("=", 1)[1])
-            fs.delete(target, False)
-            fs.rename(part, target)
-    fs.delete(path(staged), True)
+    return rows.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def reshape_metadata(rows: DataFrame, top: Sequence[str], fields: Sequence[str]) -> DataFrame:

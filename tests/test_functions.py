@@ -56,6 +56,21 @@ def test_partial_ratio_reaches_both_ends():
     assert T.partial_ratio("foo", "bar baz") < 80 and T.partial_ratio("abcd", "zzabcdzz") == 100 and T.partial_ratio("xab", "ab yyyyy") >= 80
 
 
+def test_partial_ratio_prunes_nothing_that_counts():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abcd ", k=rng.randint(1, n))) for n in (8, 30))
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        sides = [(short, long), (long, short)] if len(a) == len(b) else [(short, long)]
+        windows = [(s, t[max(i, 0) : i + len(s)]) for s, t in sides for i in range(1 - len(s), len(t))]
+        best = 100 if short in long else round(max(200.0 * T.indel_length(s, w) / (len(s) + len(w)) for s, w in windows))
+        assert T.partial_ratio(a, b) == best
+        for least in (50, 70, 80):
+            assert (T.partial_ratio(a, b, least) >= least) == (best >= least)
+
+
 def test_sentences_cut_after_every_mark(spark):
     rows = spark.createDataFrame([("Hello world! How are you? I'm fine.",), ("pi is 3.14... so",), (None,)], "t string").select(T.split_sentences(F.col("t")).alias("s")).collect()
     assert rows[0].s == ["Hello world!", "How are you?", "I'm fine."]
