@@ -54,7 +54,7 @@ EVERY = 48
 CROWDED = 4000
 PART = 1 << 19
 #: Documents looked at for hot triggers, and how many there can be.
-SAMPLE, HOT_SHARE = 4096, 2000
+SAMPLE, HOT_SHARE = 1024, 2000
 #: Entries that a task keeps to see repeats of its own.
 SEEN = 200_000
 #: Rows of phrases or strings that are sent on at once, or a phrase's strings more.
