@@ -26,10 +26,10 @@ def ingest_stream(batches: DataFrame, path: str, checkpoint: str, key: str = "id
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [f"{path}/batch={n}" for n in range(number) if exists(spark, f"{path}/batch={n}")]
         new = one_of_each(batch, key, None, False).select(*batch.columns)
-        if before:
-            new = new.join(spark.read.schema(batch.schema).parquet(*before).select(key), key, "left_anti").select(*batch.columns)
+        if exists(spark, path):
+            there = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, batch int").parquet(path).where(F.col("batch") < number)
+            new = new.join(there.select(key), key, "left_anti").select(*batch.columns)
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
