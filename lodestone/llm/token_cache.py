@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_PIECES = 1_000_000
+MOST_PIECES = 600_000
 _ODD = re.compile("[\x1c-\x1f]")  # white space to Python, not to the library
 #: White space beyond tab, line feed, form feed, carriage return and space: such texts are cut with care.
 _STRANGE = "[\x0b\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -59,8 +59,17 @@ class _Table(dict):
         self.tokenizer, self.merge, self.lead, self.lower = tokenizer, tokenizer.model.tokenize, lead, lower
         self.glyph, self.most = lead.translate(_ALPHABET), "ÿ" if lower else "ɏ"
         self.plain = self if plain is None else plain
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        """What is held becomes the old half, and the old half goes: pieces that are asked for again come back."""
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, p: str) -> bytes:
+        if (ids := self.old.get(p)) is not None:
+            self[p] = ids
+            return ids
         head = p.rstrip(_MARKS)
         if head.isalpha() and (head.isascii() or max(head) <= self.most):
             if self.lower:
@@ -103,9 +112,9 @@ class TokenCache:
     def encode_all(self, column: pa.Array) -> list[bytes]:
         """Null is empty.  Pieces are cut, and told apart, by Arrow; each distinct one is looked up once."""
         column = pc.fill_null(column.cast(pa.string()), "")
-        if len(self.plain) + len(self.led) > MOST_PIECES:
-            self.plain.clear()
-            self.led.clear()
+        if len(self.plain) + len(self.led) > MOST_PIECES // 2:
+            self.plain.age()
+            self.led.age()
         strange = pc.match_substring_regex(column, _STRANGE if not self.spaces else f"{_STRANGE}| {_SPACE}|{_SPACE} ").to_numpy(zero_copy_only=False)
         plain = column.filter(pa.array(~strange)) if strange.any() else column
         parts = pc.split_pattern(plain, " ") if self.spaces else pc.ascii_split_whitespace(pc.ascii_lower(plain))
