@@ -1,6 +1,7 @@
 """A library of documents under one folder: what a user of the engine calls, without a server.
 
-Every method returns a DataFrame (or a Session); relations are Parquet tables ``<root>/<relation>.parquet``."""
+Methods return a DataFrame, a Session or counts; relations are keyed tables ``<root>/<relation>``
+(sources/keyed.py), all in buckets of the document, so a document's rows lie in one bucket of each."""
 
 from __future__ import annotations
 
@@ -14,32 +15,28 @@ from .functions.values import check_top_k
 from .operators import ingest as I
 from .operators import listing as L
 from .operators import session as S
-from .operators import store
 from .operators import vectors as V
 from .sources import files
+from .sources.keyed import BUCKET, BUCKETS, KeyedTable
 from .sources.scratch import written
 
 
 class Library:
-    def __init__(self, spark: SparkSession, root: str, embed: I.Embedder = V.hash_embed):
-        self.spark, self.root, self.embed = spark, root.rstrip("/"), embed
+    def __init__(self, spark: SparkSession, root: str, embed: I.Embedder = V.hash_embed, buckets: int = BUCKETS):
+        self.spark, self.root, self.embed, self.buckets = spark, root.rstrip("/"), embed, buckets
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+    def relation(self, name: str) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/{name}")
 
-    def _replace(self, name: str, rows: DataFrame) -> int:
-        """Writes a relation anew from rows that may be made of it; returns how many rows went."""
-        kept = written(rows, name)
-        gone = self.table(name).count() - kept.count()
-        if gone:
-            kept.write.mode("overwrite").parquet(f"{self.root}/{name}.parquet")
-        return gone
+    def table(self, name: str) -> DataFrame:
+        """All rows of a relation."""
+        return self.relation(name).rows() if name in I.LAID_OUT else self.spark.read.parquet(f"{self.root}/{name}")
 
     # -- documents ----------------------------------------------------------------------
 
     def ingest(self, docs: DataFrame, id_col: str = "id", xml_col: str = "xml") -> dict[str, int]:
         """Adds TEI documents, their texts and vectors; documents that are there stay.  What was refused is in rejects."""
-        return I.persist(I.ingest_tei(docs, self.embed, id_col, xml_col), self.root)
+        return I.persist(I.ingest_tei(docs, self.embed, id_col, xml_col), self.root, self.buckets)
 
     def documents(self, sort: str = "title", descending: bool = False) -> DataFrame:
         rows = self.table("document").withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
@@ -47,34 +44,48 @@ class Library:
         return placed.select("pos", "id").join(self.table("document").select("id", "title", "authors", "year", "page_count"), "id")
 
     def document(self, key: str) -> DataFrame:
-        return self.table("document").where(F.col("id") == key).select("id", "title", "authors", "year", "abstract", "doi", "page_count")
-
-    def text(self, key: str) -> DataFrame:
-        return self.table("text_entity").where(F.col("text_id") == key).select("text_id", "content", "text_type", "page_number", "character_count", F.col("document_id").alias("parent_id"))
-
-    def delete(self, key: str) -> dict[str, int]:
-        """A document goes with its headings, texts, vectors and relationships; returns how many rows of each."""
-        of = lambda name, c: self.table(name).where(F.col("document_id") == key).select(F.col(c).alias("id"))
-        gone = written(of("text_entity", "text_id").unionByName(of("heading", "heading_id")).unionByName(self.spark.createDataFrame([(key,)], "id string")), "gone")
-        keys = {"vector": ["text_id"], "relationship": ["source_id", "target_id"], "text_entity": ["text_id"], "heading": ["heading_id"], "document": ["id"]}
-        out = {}
-        for name, columns in keys.items():
-            rows = self.table(name)
-            for c in columns:
-                rows = rows.join(gone.select(F.col("id").alias(c)), c, "left_anti").select(*rows.columns)
-            out[name] = self._replace(name, rows)
-        return out
+        return self.relation("document").of([key]).select("id", "title", "authors", "year", "abstract", "doi", "page_count")
+
+    def text(self, key: str, document: str | None = None) -> DataFrame:
+        """A text by its id; with its document's id too, one bucket is read."""
+        texts = self.relation("text_entity")
+        found = texts.by_key([key]) if document is None else texts.of([document], [key])
+        return found.select("text_id", "content", "text_type", "page_number", "character_count", F.col("document_id").alias("parent_id"))
+
+    def texts(self, document: str) -> DataFrame:
+        return self.relation("text_entity").of([document]).select("text_id", "content", "text_type", "page_number", "index", "character_count")
+
+    def vector(self, key: str, document: str | None = None) -> DataFrame:
+        vectors = self.relation("vector")
+        return (vectors.by_key([key]) if document is None else vectors.of([document], [key])).select("text_id", "embedding", "embedding_unit")
+
+    def has(self, key: str) -> bool:
+        """Whether a document is there."""
+        return not self.relation("document").of([key]).isEmpty()
+
+    def delete(self, *keys: str) -> dict[str, int]:
+        """Documents go with their headings, texts, vectors and relationships, the document last, so that a broken deletion can be asked for again; returns how many rows of each.
+
+        Each relation's buckets of these documents are written anew, no others."""
+        gone = self.spark.createDataFrame([(k,) for k in keys], "document_id string")
+        order = ("vector", "relationship", "text_entity", "heading", "document")
+        return {name: self.relation(name).delete(gone.select(F.col("document_id").alias(I.LAID_OUT[name][0]))) for name in order}
 
     # -- search -------------------------------------------------------------------------
 
     def _vectors(self) -> DataFrame:
-        return self.table("vector").select(F.col("text_id").alias("vec_id"), "embedding")
+        return self.table("vector").select(F.col("text_id").alias("vec_id"), "document_id", "embedding", "embedding_unit")
 
     def _shown(self, hits: DataFrame, *more: str | Column) -> DataFrame:
-        texts = self.table("text_entity").select(F.col("text_id").alias("vec_id"), "document_id", "page_number", "content")
-        rows = F.broadcast(hits).join(texts, "vec_id").join(self.table("document").select(F.col("id").alias("document_id"), "title"), "document_id", "left")
+        """Hits, a few rows, with their texts and titles: their documents' buckets are read, and in them their keys."""
+        hits = written(hits, "hits")
+        ids = [r[0] for r in hits.select("vec_id").collect()]  # at most as many as were asked for
+        owners = [r[0] for r in self.relation("vector").by_key(ids).select("document_id").distinct().collect()]
+        texts = self.relation("text_entity").of(owners, ids).select(F.col("text_id").alias("vec_id"), "document_id", "page_number", "content")
+        titles = self.relation("document").of(owners).select(F.col("id").alias("document_id"), "title")
+        rows = hits.join(F.broadcast(texts), "vec_id").join(F.broadcast(titles), "document_id", "left")
         shown = rows.select("rank", F.col("vec_id").alias("text_id"), "document_id", "title", "page_number", score_fixed(F.col("cosine")).alias("score"), *more, "content")
-        return written(shown, "hits").orderBy("rank")  # a few rows, which a later change of the library does not alter
+        return written(shown, "shown").orderBy("rank")  # which a later change of the library does not alter
 
     def _query(self, text: str) -> list[float]:
         row = self.spark.range(1).select(V.doubles(self.embed(F.lit(text))).alias("v")).first()
@@ -103,9 +114,11 @@ class Library:
         return self.rerank(session.command(words), k)
 
     def cleanup(self) -> int:
-        """Removes vectors whose text is gone; returns how many."""
-        rows = self.table("vector")
-        return self._replace("vector", rows.join(self.table("text_entity").select("text_id"), "text_id", "left_semi").select(*rows.columns))
+        """Removes vectors whose text is gone; returns how many.  Both relations have the same buckets, so rows meet within them."""
+        vectors, texts = self.relation("vector"), self.relation("text_entity")
+        names = ["document_id", "text_id"]
+        lost = vectors.placed().join(texts.placed().select(BUCKET, *names), [BUCKET, *names], "left_anti")
+        return vectors.delete(written(lost.select(*names), "lost"))
 
     # -- sessions -----------------------------------------------------------------------
 

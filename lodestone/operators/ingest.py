@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import exists
+from ..sources.keyed import BUCKETS, KeyedTable
 from ..sources.scratch import written
 from .chunking import chunk_text
-from .markup import snapshot
+from .markup import edges, snapshot
 from .vectors import hash_embed, index_texts, roll_up, unit
 
 Embedder = Callable[[Column], Column]
@@ -30,31 +30,30 @@ def ingest_pages(pages: DataFrame, embed: Embedder = hash_embed) -> dict[str, Da
     return {"text_entity": texts, "vector": vectors.withColumn("embedding_unit", unit(F.col("embedding"))), "page_vector": page_vectors, "document_vector": document_vectors}
 
 
-#: Relations of an ingest, and the key by which a row is there already.
-KEYS = {"term": "id", "document": "id", "heading": "heading_id", "text_entity": "text_id", "relationship": "id", "vector": "text_id"}
+#: Relations of an ingest: the owner that all rows of a document share, and the key by which a row is there already.
+LAID_OUT = {"term": ("id", "id"), "document": ("id", "id"), "heading": ("document_id", "heading_id"), "text_entity": ("document_id", "text_id"), "relationship": ("document_id", "id"), "vector": ("document_id", "text_id")}
 
 
 def ingest_tei(docs: DataFrame, embed: Embedder = hash_embed, id_col: str = "id", xml_col: str = "xml") -> dict[str, DataFrame]:
     """All relations of TEI documents with their texts' vectors; rejects: documents that do not parse, texts that cannot be embedded."""
     made = snapshot(docs, id_col, xml_col)
-    vectors = written(index_texts(made["text_entity"], embed, "text_id", "content"), "vectors")
+    texts = made["text_entity"]
+    vectors = written(index_texts(texts, embed, "text_id", "content", "document_id"), "vectors")
     unembedded = vectors.where("embedding is null").select(F.col("text_id").alias("id"), F.lit("no embedding").alias("error"))
     edge_id = F.md5(F.concat_ws("|", "source_id", "target_id", "type"))
-    return made | {"relationship": made["relationship"].select(edge_id.alias("id"), "*"), "vector": vectors.where("embedding is not null"), "rejects": made["rejects"].unionByName(unembedded)}
+    relationships = edges(texts, made["heading"], "document_id").select(edge_id.alias("id"), "*")
+    return made | {"relationship": relationships, "vector": vectors.where("embedding is not null"), "rejects": made["rejects"].unionByName(unembedded)}
 
 
-def persist(made: dict[str, DataFrame], root: str) -> dict[str, int]:
-    """Appends each relation's new rows to ``<root>/<relation>.parquet`` (those without a key, as rejects, replace what is there); returns how many rows were written.
+def persist(made: dict[str, DataFrame], root: str, buckets: int = BUCKETS) -> dict[str, int]:
+    """Adds each relation's new rows to the keyed table ``<root>/<relation>`` (rejects, which have no key, replace what is there); returns how many rows were written.
 
-    A relation is written once, so a rerun after a lost driver adds only what is missing."""
+    A relation's files are written once, beside those that are there, and then moved in, so a rerun after a lost driver adds only what is missing."""
     added = {}
     for name, rows in made.items():
-        path, spark = f"{root}/{name}.parquet", rows.sparkSession
-        key = KEYS.get(name)
-        if key and exists(spark, path):
-            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti").select(*rows.columns)
-        seen = Observation(name)
-        rows = (rows.dropDuplicates([key]) if key else rows).observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.write.mode("append" if key else "overwrite").parquet(path)
-        added[name] = seen.get["n"]
+        if name in LAID_OUT:
+            added[name] = KeyedTable.make(rows.sparkSession, f"{root}/{name}", rows.schema, *LAID_OUT[name], buckets).append(rows)
+        else:
+            rows.write.mode("overwrite").parquet(f"{root}/{name}")
+            added[name] = rows.sparkSession.read.schema(rows.schema).parquet(f"{root}/{name}").count()
     return added

@@ -201,9 +201,9 @@ def texts(parsed: DataFrame) -> DataFrame:
     return rows.select(F.md5(F.concat_ws("|", "id", F.lit("text"), "index")).alias("text_id"), F.col("id").alias("document_id"), "section", "page_number", "chunk_index", "index", "content", F.length("content").alias("character_count"), F.lit("paragraph").alias("text_type"))
 
 
-def edges(texts: DataFrame, headings: DataFrame) -> DataFrame:
-    """source_id, target_id, type: heading to document, text to its heading, text to document."""
-    edge = lambda df, a, b, kind: df.select(F.col(a).alias("source_id"), F.col(b).alias("target_id"), F.lit(kind).alias("type"))
+def edges(texts: DataFrame, headings: DataFrame, *more: str) -> DataFrame:
+    """source_id, target_id, type: heading to document, text to its heading, text to document.  more: document_id, if it is wanted too."""
+    edge = lambda df, a, b, kind: df.select(F.col(a).alias("source_id"), F.col(b).alias("target_id"), F.lit(kind).alias("type"), *more)
     under = texts.join(headings.select("document_id", "section", "heading_id"), ["document_id", "section"])
     return edge(headings, "heading_id", "document_id", "belongs_to").unionByName(edge(under, "text_id", "heading_id", "under_heading")).unionByName(edge(texts, "text_id", "document_id", "belongs_to"))
 

@@ -79,9 +79,9 @@ def search_text(vectors: DataFrame, text: str, embed: Callable[[Column], Column]
     return knn(vectors, row.v, k, id_col)
 
 
-def index_texts(texts: DataFrame, embed: Callable[[Column], Column], id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """text id, vector id (the same), embedding, unit vector and metadata (the raw embedding as JSON) of texts; null where a text has no vector."""
-    rows = texts.select(F.col(id_col).alias("text_id"), F.col(id_col).alias("vector_id"), embed(F.col(text_col)).alias("embedding"))
+def index_texts(texts: DataFrame, embed: Callable[[Column], Column], id_col: str = "id", text_col: str = "content", *more: str) -> DataFrame:
+    """text id, vector id (the same), more, embedding, unit vector and metadata (the raw embedding as JSON) of texts; null where a text has no vector."""
+    rows = texts.select(F.col(id_col).alias("text_id"), F.col(id_col).alias("vector_id"), *more, embed(F.col(text_col)).alias("embedding"))
     return rows.withColumns({"embedding_unit": unit(F.col("embedding")), "metadata": F.to_json(F.struct("embedding"))})
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import details, feedback, files, listing, search, store, structure, text
+from . import details, feedback, files, keyed, listing, search, store, structure, text
 
-PLANS = (search, feedback, store, text, listing, structure, details, files)
+PLANS = (search, feedback, store, text, listing, structure, details, files, keyed)
 QUERIES = {name: q for p in PLANS for name, q in p.QUERIES.items()}
 ORACLE = {name: sql for p in PLANS for name, sql in p.ORACLE.items()}

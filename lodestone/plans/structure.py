@@ -14,6 +14,7 @@ from ..operators import markup as M
 from ..operators.store import running_index
 from ..operators.vectors import hash_embed
 from ..sources.files import page_file_name, rename_key, reshape_metadata, split_page_name, strip_metadata
+from ..sources.keyed import KeyedTable
 from ..sources.scratch import shared_dir
 from ..sources.tables import table
 from .search import embedded_sql
@@ -134,7 +135,7 @@ def ingest_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = I.ingest_tei(docs, lambda text: hash_embed(text, 16))
     for _ in range(2):
         I.persist(made, root)
-    return _counts({name: spark.read.parquet(f"{root}/{name}.parquet") for name in made})
+    return _counts({name: KeyedTable(spark, f"{root}/{name}").rows() if name in I.LAID_OUT else spark.read.parquet(f"{root}/{name}") for name in made})
 
 
 def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ New files are written beside the old ones, in ``<root>/_staged/<id>``; a plan of
 written last, and only then are old partitions removed and new ones moved into their place.
 A job that ends before the plan is written leaves the table as it was; one that ends after it
 leaves a switch that ``recover`` finishes, as often as it takes.  Partitions that are not
-replaced are not touched.  Readers skip names that begin with an underscore."""
+replaced are not touched, and files that are added are moved in by the same kind of plan.  One job at a
+time may change a table.  Readers skip names that begin with an underscore."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +55,10 @@ class Folder:
             stream.close()
 
 
-def stage(rows: DataFrame, root: str, by: list[str]) -> str:
+def stage(rows: DataFrame, root: str, by: list[str], options: Mapping[str, str] | None = None) -> str:
     """Writes rows, as they are dealt and sorted, beside the table; returns the stage's name."""
     name = f"{STAGED}/{uuid.uuid4().hex[:12]}"
-    rows.write.option("maxRecordsPerFile", 0).partitionBy(*by).parquet(f"{root.rstrip('/')}/{name}")
+    rows.write.option("maxRecordsPerFile", 0).options(**(options or {})).partitionBy(*by).parquet(f"{root.rstrip('/')}/{name}")
     return name
 
 
@@ -70,12 +71,23 @@ def switch(spark: SparkSession, root: str, staged: str, touched: Iterable[str])
     finish(folder, staged)
 
 
+def add(spark: SparkSession, root: str, staged: str) -> None:
+    """Moves the stage's files into their partitions beside those that are there."""
+    folder = Folder(spark, root)
+    folder.write_text(f"{staged}/{PLAN}", "\n".join(f"add {n}" for n in folder.names(staged) if "=" in n))
+    finish(folder, staged)
+
+
 def finish(folder: Folder, staged: str) -> None:
     """Does what a plan says; what is done already stays done."""
     for line in filter(None, folder.read_text(f"{staged}/{PLAN}").split("\n")):
         what, name = line.split(" ", 1)
         if what == "drop":
             folder.delete(name)
+        elif what == "add":
+            folder.fs.mkdirs(folder.path(name))
+            for file in folder.names(f"{staged}/{name}"):
+                folder.move(f"{staged}/{name}/{file}", f"{name}/{file}")
         elif folder.exists(f"{staged}/{name}"):
             folder.delete(name)
             folder.move(f"{staged}/{name}", name)
@@ -84,15 +96,15 @@ def finish(folder: Folder, staged: str) -> None:
         folder.delete(STAGED)
 
 
-def recover(spark: SparkSession, root: str) -> int:
-    """Finishes switches that were planned and removes stages that were not; returns how many were finished."""
+def recover(spark: SparkSession, root: str, drop: bool = True) -> int:
+    """Finishes switches that were planned and, if drop, removes stages that were not; returns how many were finished."""
     folder, done = Folder(spark, root), 0
     for name in folder.names(STAGED):
         if folder.exists(f"{STAGED}/{name}/{PLAN}"):
             finish(folder, f"{STAGED}/{name}")
             done += 1
-        else:
+        elif drop:
             folder.delete(f"{STAGED}/{name}")
-    if folder.exists(STAGED) and not folder.names(STAGED):
+    if drop and folder.exists(STAGED) and not folder.names(STAGED):
         folder.delete(STAGED)
     return done

@@ -61,6 +61,6 @@ def test_delete_and_cleanup(spark, library):
     gone = library.delete("d")
     assert gone["document"] == 1 and gone["vector"] == 1 and gone["text_entity"] == 1 and gone["heading"] == 1 and gone["relationship"] == 3
     assert library.cleanup() == 0 and library.table("vector").count() == n - 1
-    lost = library.table("text_entity").where(F.col("document_id") == "b")
-    library._replace("text_entity", library.table("text_entity").join(lost.select("text_id"), "text_id", "left_anti").select(*library.table("text_entity").columns))
-    assert library.cleanup() == 1
+    texts = library.relation("text_entity")
+    assert texts.delete(texts.of(["b"]).select("document_id", "text_id")) == 1
+    assert library.cleanup() == 1 and library.cleanup() == 0
