@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import score_fixed
 from .functions.values import check_top_k
+from .operators import embedding as E
 from .operators import ingest as I
 from .operators import listing as L
 from .operators import session as S
@@ -22,7 +23,7 @@ from .sources.scratch import written
 
 
 class Library:
-    def __init__(self, spark: SparkSession, root: str, embed: I.Embedder = V.hash_embed, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, embed: I.Embedder = E.hashed_words(), buckets: int = BUCKETS):
         self.spark, self.root, self.embed, self.buckets = spark, root.rstrip("/"), embed, buckets
 
     def relation(self, name: str) -> KeyedTable:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..sources.keyed import BUCKETS, KeyedTable
 from ..sources.scratch import written
 from .chunking import chunk_text
+from .embedding import hash_embed
 from .markup import edges, snapshot
-from .vectors import hash_embed, index_texts, roll_up, unit
+from .vectors import index_texts, roll_up, unit
 
 Embedder = Callable[[Column], Column]
 
@@ -39,10 +40,10 @@ def ingest_tei(docs: DataFrame, embed: Embedder = hash_embed, id_col: str = "id"
     made = snapshot(docs, id_col, xml_col)
     texts = made["text_entity"]
     vectors = written(index_texts(texts, embed, "text_id", "content", "document_id"), "vectors")
-    unembedded = vectors.where("embedding is null").select(F.col("text_id").alias("id"), F.lit("no embedding").alias("error"))
+    unembedded = vectors.where("embedding is null").select(F.col("text_id").alias("id"), F.concat(F.lit("no embedding: "), "reason").alias("error"))
     edge_id = F.md5(F.concat_ws("|", "source_id", "target_id", "type"))
     relationships = edges(texts, made["heading"], "document_id").select(edge_id.alias("id"), "*")
-    return made | {"relationship": relationships, "vector": vectors.where("embedding is not null"), "rejects": made["rejects"].unionByName(unembedded)}
+    return made | {"relationship": relationships, "vector": vectors.where("embedding is not null").drop("reason"), "rejects": made["rejects"].unionByName(unembedded)}
 
 
 def persist(made: dict[str, DataFrame], root: str, buckets: int = BUCKETS) -> dict[str, int]:

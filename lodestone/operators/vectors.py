@@ -1,4 +1,4 @@
-"""Exact cosine search over unit vectors, centroids, Rocchio feedback and the offline embedder."""
+"""Exact cosine search over unit vectors, centroids and Rocchio feedback."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunking import bound
+from .embedding import outcome
 
 ALPHA, BETA, GAMMA = 1.0, 0.75, 0.15
 #: A block of this many query vectors is sent to the executors at a time.
@@ -49,7 +52,10 @@ def scored(vectors: DataFrame, query: Sequence[float], id_col: str = "vec_id") -
     if not length:
         raise ValueError("a zero vector has no direction to search in")
     q = literal([x / length for x in query])
-    cosine = bound(norm(F.col("embedding")), lambda n: F.when(n > 0, dot(doubles(F.col("embedding")), q) / n))
+    if "embedding_unit" in vectors.columns:  # the index has it
+        cosine = dot(doubles(F.col("embedding_unit")), q)
+    else:
+        cosine = bound(norm(F.col("embedding")), lambda n: F.when(n > 0, dot(doubles(F.col("embedding")), q) / n))
     return vectors.select(id_col, cosine.alias("cosine")).where("cosine is not null")
 
 
@@ -80,8 +86,9 @@ def search_text(vectors: DataFrame, text: str, embed: Callable[[Column], Column]
 
 
 def index_texts(texts: DataFrame, embed: Callable[[Column], Column], id_col: str = "id", text_col: str = "content", *more: str) -> DataFrame:
-    """text id, vector id (the same), more, embedding, unit vector and metadata (the raw embedding as JSON) of texts; null where a text has no vector."""
-    rows = texts.select(F.col(id_col).alias("text_id"), F.col(id_col).alias("vector_id"), *more, embed(F.col(text_col)).alias("embedding"))
+    """text id, vector id (the same), more, embedding, unit vector, metadata (the raw embedding as JSON) and reason of texts: where a text has no vector these are null and reason says why."""
+    rows = texts.select(F.col(id_col).alias("text_id"), F.col(id_col).alias("vector_id"), *more, outcome(embed, F.col(text_col)).alias("made"))
+    rows = rows.select("text_id", "vector_id", *more, "made.embedding", "made.reason")
     return rows.withColumns({"embedding_unit": unit(F.col("embedding")), "metadata": F.to_json(F.struct("embedding"))})
 
 
@@ -133,15 +140,15 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
 
 
 def centroids(labelled: DataFrame, label_col: str = "label") -> DataFrame:
-    """label, pos, mean: element-wise means of the raw vectors; partial sums only are shuffled."""
-    tall = labelled.select(label_col, F.posexplode(doubles(F.col("embedding"))).alias("pos", "x"))
-    return tall.groupBy(label_col, "pos").agg(F.avg("x").alias("mean"))
+    """label, mean: element-wise means of the raw vectors (all of one length); a group is one buffer in the JVM, and buffers are what is shuffled."""
+    vectors = labelled.where("embedding is not null").select(label_col, array_to_vector(doubles(F.col("embedding"))).alias("vector"))
+    return vectors.groupBy(label_col).agg(Summarizer.mean(F.col("vector")).alias("mean")).select(label_col, vector_to_array("mean").alias("mean"))
 
 
 def centroid(vectors: DataFrame) -> list[float] | None:
-    """The mean of all vectors, or None of none: one value for each dimension comes to the driver."""
-    rows = centroids(vectors.withColumn("label", F.lit(0))).orderBy("pos").collect()
-    return [r["mean"] for r in rows] or None
+    """The mean of all vectors, or None of none."""
+    row = centroids(vectors.select(F.lit(0).alias("label"), "embedding")).first()
+    return row and row["mean"]
 
 
 def rocchio_query(query: Sequence[float], positive: Sequence[float] | None, negative: Sequence[float] | None, alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA) -> list[float]:
@@ -189,19 +196,7 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def roll_up(children: DataFrame, parent: str) -> DataFrame:
     """parent, embedding: the mean of the children's raw vectors."""
-    means = centroids(children.where(f"{parent} is not null"), parent)
-    return means.groupBy(parent).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("embedding"))
-
-
-def hash_embed(text: Column, dimensions: int = 64) -> Column:
-    """A stand-in for a model: each word adds 1 or -1 at a hashed place; the sum is made a unit vector (null without words).
-
-    A word's MD5 gives its place and, by one more bit, its sign; the sum at a place counts one kind less the other."""
-    words = F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(2 * dimensions)).cast("int"))
-    without = lambda p, x: F.size(F.array_remove(p, x))  # noqa: E731  # all less those at x
-    sums = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (without(p, 2 * i + 1) - without(p, 2 * i)).cast("double"))
-    return bound(bound(places, sums), unit)
+    return centroids(children.where(F.col(parent).isNotNull()), parent).withColumnRenamed("mean", "embedding")
 
 
 def to_tall(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:

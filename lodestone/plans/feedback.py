@@ -42,7 +42,8 @@ def rerank_after_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def centroid_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.centroids(table(spark, sf_dir, "embeddings")).select("label", F.col("pos").cast("int").alias("pos"), F.round("mean", 6).alias("mean"))
+    means = V.centroids(table(spark, sf_dir, "embeddings")).select("label", F.posexplode("mean").alias("pos", "mean"))
+    return means.select("label", F.col("pos").cast("int").alias("pos"), F.round("mean", 6).alias("mean"))
 
 
 def label_fold(spark: SparkSession, sf_dir: str) -> DataFrame:

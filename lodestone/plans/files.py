@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..library import Library
+from ..operators import embedding as E
 from ..operators import vectors as V
 from ..schemas import SESSION, renamed
 from ..sources import files, tables
@@ -78,7 +79,7 @@ def renamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def failed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth text has no words: it is indexed without a vector, and no search finds it."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "...").otherwise(F.col("text")).alias("content"))
-    rows = written(V.index_texts(texts, lambda t: V.hash_embed(t, 8)).select("vector_id", "embedding"), "index")
+    rows = written(V.index_texts(texts, E.hashed_words(8)).select("vector_id", "embedding"), "index")
     found = V.scored(rows.select(F.col("vector_id").alias("vec_id"), "embedding"), [1.0] * 8)
     return rows.groupBy((F.col("embedding").isNull()).alias("failed")).agg(F.count("*").alias("n")).unionByName(found.agg(F.count("*").alias("n")).select(F.lit(None).cast("boolean").alias("failed"), "n"))
 
@@ -87,7 +88,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages ingested into a library, one of them deleted again, a text of another searched for: how many of each kind are left, and the hit's document."""
     from .structure import tei_pages
 
-    lib = Library(spark, _folder(spark, "library"), lambda t: V.hash_embed(t, 64))
+    lib = Library(spark, _folder(spark, "library"), E.hashed_words(64))
     lib.ingest(tei_pages(spark, sf_dir))
     lib.delete("3")
     said = lib.table("text_entity").where("document_id = '5' and index = 0").first().content

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import score_band as band
+from ..operators import embedding as E
 from ..operators import store as S
 from ..operators import vectors as V
 from ..sources.scratch import written
@@ -85,8 +86,7 @@ def search_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERY_TEXT = "the edition of this text"
 
 
-def _embed(text):
-    return V.hash_embed(text, 32)
+_embed = E.hashed_words(32)
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query text against all documents: embedded, searched for, hydrated."""
-    vectors = written(_indexed(spark, sf_dir).select(F.col("vector_id").alias("vec_id"), "embedding"), "index")
+    vectors = written(_indexed(spark, sf_dir).select(F.col("vector_id").alias("vec_id"), "embedding", "embedding_unit"), "index")
     hits = V.search_text(vectors, QUERY_TEXT, _embed, 10)
     return V.shown(V.hydrate(hits, table(spark, sf_dir, "documents")), "vec_id", F.substring("text", 1, 60).alias("snippet"))
 

@@ -11,8 +11,8 @@ from ..functions import values as X
 from ..functions.text import format_author
 from ..operators import ingest as I
 from ..operators import markup as M
+from ..operators.embedding import hashed_words
 from ..operators.store import running_index
-from ..operators.vectors import hash_embed
 from ..sources.files import page_file_name, rename_key, reshape_metadata, split_page_name, strip_metadata
 from ..sources.keyed import KeyedTable
 from ..sources.scratch import shared_dir
@@ -132,7 +132,7 @@ def ingest_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All TEI documents, and one that is broken, ingested with their vectors and persisted twice: nothing is there twice."""
     docs = tei_pages(spark, sf_dir).unionByName(spark.range(1).select(F.lit("broken").alias("id"), F.lit("<TEI>").alias("xml")))
     root = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex[:12]}"
-    made = I.ingest_tei(docs, lambda text: hash_embed(text, 16))
+    made = I.ingest_tei(docs, hashed_words(16))
     for _ in range(2):
         I.persist(made, root)
     return _counts({name: KeyedTable(spark, f"{root}/{name}").rows() if name in I.LAID_OUT else spark.read.parquet(f"{root}/{name}") for name in made})
@@ -141,7 +141,7 @@ def ingest_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents, turns as pages: the documents' vectors, means of their pages' means of their chunks'."""
     pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_number"), F.col("text").alias("full_text"))
-    rows = I.ingest_pages(pages, lambda text: hash_embed(text, 32))["document_vector"]
+    rows = I.ingest_pages(pages, hashed_words(32))["document_vector"]
     return rows.select("document_id", F.posexplode("embedding").alias("pos", "x")).select("document_id", F.col("pos").cast("int").alias("pos"), F.round("x", 6).alias("mean"))
 
 

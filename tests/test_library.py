@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.library import Library
-from lodestone.operators import vectors as V
+from lodestone.operators import embedding as E
 from lodestone.operators.session import Session
 
 TEI = "<TEI><teiHeader><fileDesc><titleStmt><title>{0}</title></titleStmt></fileDesc></teiHeader><text><body><div><head>{0}</head>{1}</div></body></text></TEI>"
@@ -12,7 +12,7 @@ TEI = "<TEI><teiHeader><fileDesc><titleStmt><title>{0}</title></titleStmt></file
 
 @pytest.fixture(scope="module")
 def library(spark, tmp_path_factory):
-    lib = Library(spark, str(tmp_path_factory.mktemp("library")), lambda t: V.hash_embed(t, 64))
+    lib = Library(spark, str(tmp_path_factory.mktemp("library")), E.hashed_words(64))
     docs = [("a", "Birds", ["The red bird sings at dawn.", "It flies over water."]), ("b", "Rocks", ["A grey rock lies in the field."]), ("c", "Empty", []), ("d", "Fish", ["The blue fish swims under water."])]
     rows = [(i, TEI.format(title, "".join(f'<p coords="{n + 1},0,0,1,1">{p}</p>' for n, p in enumerate(ps)))) for i, title, ps in docs] + [("x", "<broken")]
     lib.ingest(spark.createDataFrame(rows, "id string, xml string"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import embedding as E
 from lodestone.operators import ingest, listing, markup, session, store
 from lodestone.operators import vectors as V
 from lodestone.operators.session import Session
@@ -112,12 +113,12 @@ def test_tei_is_parsed_once(spark):
 
 def test_ingest_and_persist(spark, tmp_path):
     docs = spark.createDataFrame([("d1", TEI), ("d2", "<broken")], "id string, xml string")
-    made = ingest.ingest_tei(docs, lambda c: F.when(c != "Nested.", V.hash_embed(c, 8)))
+    made = ingest.ingest_tei(docs, lambda c: F.when(c != "Nested.", E.hash_embed(c, 8)))
     assert {(r.error.split(":")[0]) for r in made["rejects"].collect()} == {"not XML", "no embedding"}
     first, second = ingest.persist(made, str(tmp_path)), ingest.persist(made, str(tmp_path))
     assert first["document"] == 1 and first["vector"] == 2 and first["text_entity"] == 3 and first["rejects"] == 2
     assert {k: v for k, v in second.items() if k != "rejects"} == {k: 0 for k in first if k != "rejects"}
-    assert spark.read.parquet(f"{tmp_path}/rejects.parquet").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/rejects").count() == 2
 
 
 def test_typed_rows(spark):
@@ -130,10 +131,10 @@ def test_typed_rows(spark):
 
 def test_search_by_text_and_first_hits(spark):
     texts = spark.createDataFrame([(1, "red green blue"), (2, "red apples"), (3, "..."), (4, None)], "id long, content string")
-    indexed = V.index_texts(texts, V.hash_embed)
+    indexed = V.index_texts(texts, E.hash_embed)
     assert {r.text_id: r.embedding is None for r in indexed.collect()} == {1: False, 2: False, 3: True, 4: True}
     v = indexed.select(F.col("vector_id").alias("vec_id"), "embedding")
-    assert V.search_text(v, "blue green red", V.hash_embed, 1).first().vec_id == 1 and V.search_text(v, "...", V.hash_embed, 1).count() == 0
+    assert V.search_text(v, "blue green red", E.hash_embed, 1).first().vec_id == 1 and V.search_text(v, "...", E.hash_embed, 1).count() == 0
     assert [(r["rank"], r.vec_id) for r in V.first_hits(spark.createDataFrame([(1, 0.5), (2, 0.4), (1, 0.9), (3, 0.4)], "vec_id long, cosine double"), 2).collect()] == [(1, 1), (2, 2)]
 
 
