@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.values import score_band as band
 from ..operators import embedding as E
+from ..operators import pivots as P
 from ..operators import store as S
 from ..operators import vectors as V
 from ..sources.scratch import written
@@ -59,7 +60,7 @@ def knn_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth vector asks, so the queries grow with the table."""
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = V.knn_batch(vectors, queries, 5)
+    found = P.knn_batch(vectors, queries, 5)
     return found.select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,9 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared one; it is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc is not None:
+                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may be gone at interpreter exit; the folder is the cluster's scratch
+            pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and returns the reread table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import embedding as E
 from lodestone.operators import ingest, listing, markup, session, store
+from lodestone.operators import pivots as P
 from lodestone.operators import vectors as V
 from lodestone.operators.session import Session
 from lodestone.schemas import TABLES
@@ -33,7 +34,7 @@ def test_no_labels_is_plain_search(spark):
 
 def test_batch_search_equals_single(spark):
     rows = spark.createDataFrame([(i, [float((i * k) % 7 - 3) for k in range(1, 9)]) for i in range(50)], "vec_id long, embedding array<float>").repartition(3)
-    batch = V.knn_batch(rows, rows.where("vec_id in (3, 5)").select(F.col("vec_id").alias("query_id"), "embedding"), 4)
+    batch = P.knn_batch(rows, rows.where("vec_id in (3, 5)").select(F.col("vec_id").alias("query_id"), "embedding"), 4)
     for q in (3, 5):
         single = [(r["rank"], round(r.cosine, 9)) for r in V.knn(rows, V.fetch(rows, q), 4).collect()]
         assert sorted((r["rank"], round(r.cosine, 9)) for r in batch.where(f"query_id = {q}").collect()) == sorted(single)
