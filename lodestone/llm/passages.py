@@ -55,7 +55,7 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 # Rows of the first exchange.  end: ANCHOR (at has company in its task if end2), or link to word end2 of document end.
 LINKS = "unit long, doc long, up long, at long, of long, of_at long"
 ANCHOR, COMPANY = -1, -2
-# Rows of the second: a window at start (end = -1) by its digest, or words start..end to be removed.
+# Rows of the second: by its digest a window at start, again every so many words (end: see times), or words start..end to be removed.
 WINDOWS = "unit long, k1 long, doc long, up long, start long, end long"
 
 
@@ -217,6 +217,21 @@ def runs(at: np.ndarray, of: np.ndarray, of_at: np.ndarray, gram: int, width: in
     return at[new][long], end[long]
 
 
+def times(n: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """How often and how far apart, in one negative number."""
+    return -((step << 32) | n)
+
+
+def progressions(new: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of groups (new: their first rows) as arithmetic progressions of at: first row, count, step of each."""
+    gap = np.diff(at, prepend=at[:1])
+    second = np.r_[False, new[:-1]]  # a group's second row sets the step
+    cut = new | (np.r_[True, gap[1:] != gap[:-1]] & ~second)
+    first = np.flatnonzero(cut)
+    n = np.diff(np.r_[first, len(at)])
+    return first, n, np.where(n > 1, gap[np.minimum(first + 1, len(at) - 1)], 0)
+
+
 def joined(doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows as spans: those of a document that touch are one."""
     order = np.lexsort((start, doc))
@@ -240,7 +255,7 @@ def extended(docs: DataFrame, marked: DataFrame, width: int) -> DataFrame:
     wanted = marked.groupBy("doc").agg(F.collect_list(F.struct("at", "of", "of_at")).alias("wanted"))
 
     def settle(held: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
-        """Of the windows held, those with an earlier document are repeats; of the others go out those of the first document."""
+        """Of the windows held, those with an earlier document are repeats; of the others go out those of the first document, a row for as many as are evenly spaced."""
         key = np.frombuffer(b"".join([h[0] for h in held]), np.int64).reshape(-1, 2)
         doc, up, at = (np.array(c, np.int64) for c in list(zip(*held))[1:])
         order = np.lexsort((at, doc, key[:, 1], key[:, 0]))
@@ -249,8 +264,11 @@ def extended(docs: DataFrame, marked: DataFrame, width: int) -> DataFrame:
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         later = doc[first] < doc - up
         d, s, e = joined(doc[later], at[later], width)
-        out, found = ~later, [spread(d, s).view(np.int64), s, d, np.zeros_like(d), s, e]
-        sent = [key[out, 0], key[out, 1], doc[out], up[out], at[out], np.full(int(out.sum()), -1)]
+        found = [spread(d, s).view(np.int64), s, d, np.zeros_like(d), s, e]
+        key, doc, up, at, new = (c[~later] for c in (key, doc, up, at, new))
+        new |= np.r_[True, doc[1:] != doc[:-1]] if len(doc) else new
+        i, n, step = progressions(new, at)
+        sent = [key[i, 0], key[i, 1], doc[i], up[i], at[i], times(n, step)]
         return rows_of(WINDOWS, [np.concatenate(c) for c in zip(found, sent)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +324,10 @@ def repeated(windows: DataFrame, width: int) -> DataFrame:
                 place = np.maximum.accumulate(np.where(same, -1, np.arange(len(u))))
                 of = np.where(place < 0, first_doc, doc[place])
                 hit = same & (of < doc - up)
-                out.append([doc[hit], start[hit], start[hit] + width])
+                n, step = -end[~done][hit] & 0xFFFFFFFF, -end[~done][hit] >> 32
+                i = np.repeat(np.flatnonzero(hit), n)
+                at = start[i] + (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)) * np.repeat(step, n)
+                out.append(list(joined(doc[i], at, width)))
                 last, first_doc = (u[-1], k1[-1]), int(of[-1])
             yield rows_of(SPANS, [np.concatenate(c) for c in zip(*out)])
 
