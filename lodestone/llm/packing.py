@@ -4,8 +4,9 @@ A document is its token ids and an end id.  It is cut into pieces of CAPACITY to
 a remainder; the remainders' length histogram (at most CAPACITY - 1 bins, whatever the
 corpus) is a cutting-stock problem: a linear program over patterns (multisets of lengths
 that fit a sequence), solved by column generation, in which a knapsack dynamic program
-prices the next pattern.  Patterns are rounded down to what the histogram can fill; what
-is left is filled largest-first, again by the histogram.  So the plan is a list of
+prices the next patterns, from a basis of patterns filled longest first to within GAP of a
+proven bound.  Patterns are rounded down to what the histogram can fill; what is left is
+filled longest first or, if that is better, as full as its pieces allow.  So the plan is a list of
 (pattern, how often) of a size bound by CAPACITY, and every slot of it is taken.
 
 Documents are then ranked within their length (by task and place in it), and the r-th
@@ -39,80 +40,116 @@ from .token_cache import library_ids, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 0
-#: Column generation ends at this share over the least number of sequences, or after so many columns.
-GAP, MOST_COLUMNS = 0.001, 400
+#: Column generation ends at this share over the least number of sequences that is proven.
+GAP = 0.006
+#: Shares of the best bound's prices in those that are tried, one after the other until a pattern gains; patterns that one pricing offers.
+MIXED, COLUMNS = (0.7, 0.3, 0.0), 60
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
-def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of lengths within capacity (unbounded knapsack by dynamic programming)."""
-    worth = np.full(capacity + 1, -np.inf)  # by length
-    worth[lengths] = values
-    best, take = np.zeros(capacity + 1), [0] * (capacity + 1)
-    behind = best[::-1]  # behind[capacity + 1 - c:] is best before c, nearest first
-    for c in range(1, capacity + 1):
-        got = behind[capacity + 1 - c :] + worth[1 : c + 1]
-        k = int(got.argmax())
-        before = best[c - 1]
-        if got[k] > before + 1e-12:
-            best[c], take[c] = got[k], k + 1
-        else:
-            best[c] = before
-    place = {int(n): i for i, n in enumerate(lengths)}
-    pattern, c = np.zeros(len(lengths)), capacity
-    while c > 0:
-        if take[c]:
-            pattern[place[take[c]]] += 1
-            c -= take[c]
+class Knapsack:
+    """The most valuable multisets of lengths within a capacity, by dynamic programming; a price for each length."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray, capacity: int):
+        worth = np.full(capacity + 1, -np.inf)  # by length
+        worth[lengths] = values
+        best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+        behind = best[::-1]  # behind[capacity + 1 - c:] is best before c, nearest first
+        for c in range(1, capacity + 1):
+            got = behind[capacity + 1 - c :] + worth[1 : c + 1]
+            k = int(got.argmax())
+            before = best[c - 1]
+            if got[k] > before + 1e-12:
+                best[c], take[c] = got[k], k + 1
+            else:
+                best[c] = before
+        self.best, self.take, self.capacity = best, take, capacity
+        self.last = np.maximum.accumulate(np.where(take > 0, np.arange(capacity + 1), 0))  # where the next piece is taken
+        self.values, self.lengths = values, lengths
+        self.place = np.full(capacity + 1, -1)
+        self.place[lengths] = np.arange(len(lengths))
+
+    def with_each(self, most: int) -> Iterator[np.ndarray]:
+        """The best pattern of all that hold one given length, for up to most lengths, most valuable first."""
+        value = self.values + self.best[self.capacity - self.lengths]
+        for i in np.argsort(-value, kind="stable")[:most]:
+            pattern, c = np.zeros(len(self.lengths)), self.last[self.capacity - self.lengths[i]]
+            pattern[i] = 1
+            while c:
+                pattern[self.place[self.take[c]]] += 1
+                c = self.last[c - self.take[c]]
+            yield pattern
+
+
+def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """A feasible basis from patterns filled longest first: each is used until one length, its row, is used up, so the matrix is triangular but for the order of rows."""
+    m, left = len(lengths), demand.copy()
+    basis = np.diag((capacity // lengths).astype(float))
+    alive = list(np.argsort(-lengths, kind="stable"))
+    while alive:
+        pattern, room = np.zeros(m), capacity
+        for i in alive:
+            if n := min(room // lengths[i], int(np.ceil(left[i]))):
+                pattern[i] = n
+                room -= n * lengths[i]
+        used = np.flatnonzero(pattern)
+        ratio = left[used] / pattern[used]
+        gone = used[np.argmin(ratio)]
+        left[used] -= ratio.min() * pattern[used]
+        left[gone] = 0
+        left[left < 1e-9] = 0
+        basis[:, gone] = pattern
+        alive = [i for i in alive if left[i] > 0]
+    return basis
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, enough: float = np.inf) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (columns), how often each is used, and a lower bound: the linear program by the revised simplex method.
+
+    Prices are mixed with those of the best bound so far (at first: a length costs its share of a
+    sequence), as prices of a basis alone swing.  Ends within GAP of the bound and at no more than enough,
+    or at the optimum; a bound comes with every pricing."""
+    exact, demand = demand, demand * (1 + 1e-8 * np.random.default_rng(5).random(len(demand)))  # ties of the ratio test are rare so
+    basis = first_basis(lengths, demand, capacity)
+    inverse = np.linalg.inv(basis)
+    x, y = np.maximum(inverse @ demand, 0), inverse.sum(axis=0)
+    centre = lengths / capacity
+    bound, mixing, pivots = float(centre @ demand), 0, 0
+    while x.sum() > max(bound, min(bound * (1 + GAP), enough)) + 1e-9:
+        share = MIXED[mixing]
+        prices = np.maximum(share * centre + (1 - share) * y, 0)
+        priced = Knapsack(prices, lengths, capacity)
+        scale = max(1.0, priced.best[capacity])
+        if prices @ demand / scale > bound:
+            bound, centre = float(prices @ demand / scale), prices / scale
+        before = pivots
+        for column in priced.with_each(COLUMNS):
+            gain = y @ column - 1
+            if gain <= 1e-9:
+                continue
+            w = inverse @ column
+            rows = np.flatnonzero(w > 1e-9)
+            ratios = x[rows] / w[rows]
+            near = rows[ratios <= ratios.min() + 1e-12]
+            r = int(near[np.argmax(w[near])])
+            x = np.maximum(x - ratios.min() * w, 0)
+            x[r] = ratios.min()
+            row = inverse[r] / w[r]
+            inverse -= np.outer(w, row)
+            inverse[r], basis[:, r] = row, column
+            y = y - gain * row
+            pivots += 1
+            if pivots % 256 == 0:  # against drift
+                inverse = np.linalg.inv(basis)
+                x, y = np.maximum(inverse @ demand, 0), inverse.sum(axis=0)
+        if pivots > before:
+            mixing = 0
+        elif mixing + 1 < len(MIXED):
+            mixing += 1
         else:
-            c -= 1
-    return float(best[capacity]), pattern
-
-
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, start: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Columns of the final basis and how often each is used, by the revised simplex method.
-
-    start: patterns to be tried before the knapsack prices new ones."""
-    m = len(lengths)
-    fit = capacity // lengths
-    basis = [np.eye(m)[i] * fit[i] for i in range(m)]
-    inverse, x = np.diag(1.0 / fit), demand / fit
-    least = float((lengths * demand).sum()) / capacity
-    tried, y = list(start), 1.0 / fit
-    for step in range(MOST_COLUMNS + len(start)):
-        if step % 64 == 0:
-            y = inverse.sum(axis=0)  # against drift of the running prices
-        if x.sum() <= least * (1 + GAP):
-            break
-        column = None
-        while tried and column is None:
-            column = tried.pop()
-            if y @ column <= 1 + 1e-9:
-                column = None
-        if column is None:
-            worth, column = knapsack(y, lengths, capacity)
-            if worth <= 1 + 1e-9:
-                break
-        used = np.flatnonzero(column)
-        w = inverse[:, used] @ column[used]
-        rows = np.flatnonzero(w > 1e-9)
-        if not len(rows):
-            break
-        ratios = x[rows] / w[rows]
-        r = int(rows[np.argmin(ratios)])
-        theta = x[r] / w[r]
-        x -= theta * w
-        x[r] = theta
-        x[x < 0] = 0
-        row = inverse[r] / w[r]
-        changed = np.flatnonzero(np.abs(w) > 1e-12)
-        spots = np.flatnonzero(row)
-        inverse[np.ix_(changed, spots)] -= np.outer(w[changed], row[spots])
-        inverse[r] = row
-        basis[r] = column
-        y -= (y @ column - 1) * row
-    return basis, x
+            break  # no pattern is worth more than it costs
+    return basis, np.maximum(np.linalg.solve(basis, exact), 0), bound
 
 
 def fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -133,26 +170,68 @@ def fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.
     return out
 
 
+def fill_fullest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """As fill, but the longest piece's sequence is filled as far as any choice of pieces can: sums within reach are bits of a number."""
+    out, left = [], left.copy()
+    order = [int(i) for i in np.argsort(-lengths)]
+    while left.any():
+        order = [i for i in order if left[i]]
+        room = capacity - int(lengths[order[0]])
+        bits, reach, items = 1, [1], []
+        for i in order:
+            size, n, k = int(lengths[i]), min(int(left[i]) - (i == order[0]), room // int(lengths[i])), 1
+            if n <= 0:
+                continue
+            while n:  # n pieces as 1, 2, 4, ... of them
+                bits |= bits << size * min(k, n) & (1 << room + 1) - 1
+                n -= min(k, n)
+                k *= 2
+            items.append(i)
+            reach.append(bits)
+            if bits >> room & 1:
+                break
+        pattern, sum_ = np.zeros(len(lengths), np.int64), bits.bit_length() - 1
+        pattern[order[0]] = 1
+        for i, before in zip(reversed(items), reversed(reach[:-1])):
+            while not before >> sum_ & 1:
+                sum_ -= int(lengths[i])
+                pattern[i] += 1
+        used = pattern > 0
+        times = int((left[used] // pattern[used]).min())
+        left -= pattern * times
+        out.append((pattern, times))
+    return out
+
+
+def rounded(lengths: np.ndarray, demand: np.ndarray, patterns: np.ndarray, x: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns of the linear program as often as the histogram can fill them, and what is left by the better of two fillings."""
+    left, chosen = demand.copy(), []
+    for i in np.argsort(-x, kind="stable"):
+        p = patterns[:, i].astype(np.int64)
+        used = p > 0
+        times = min(int(x[i] + 1e-6), int((left[used] // p[used]).min()))
+        if times:
+            left -= p * times
+            chosen.append((p, times))
+    return chosen + min((f(lengths, left, capacity) for f in (fill, fill_fullest)), key=sequences)
+
+
+def sequences(planned: list[tuple[object, int]]) -> int:
+    return sum(times for _, times in planned)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """(pattern, how often): together exactly the histogram's pieces."""
     if not histogram:
         return []
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(n)] for n in lengths], np.int64)
-    greedy = fill(lengths, demand, capacity)
-    columns, x = solve(lengths, demand.astype(float), capacity, [p.astype(float) for p, _ in greedy])
-    left, chosen = demand.copy(), []
-    for column, times in sorted(zip(columns, x), key=lambda c: -c[1]):
-        p = column.astype(np.int64)
-        used = p > 0
-        times = min(int(times + 1e-6), int((left[used] // p[used]).min()))
-        if times:
-            left -= p * times
-            chosen.append((p, times))
-    rounded = chosen + fill(lengths, left, capacity)
-    if sum(t for _, t in rounded) > sum(t for _, t in greedy):  # rounding can lose on a few documents
-        rounded = greedy
-    return [(tuple((int(lengths[i]), int(p[i])) for i in np.flatnonzero(p)[::-1]), t) for p, t in rounded]
+    largest_first = fill(lengths, demand, capacity)
+    patterns, x, _ = solve(lengths, demand.astype(float), capacity, sequences(largest_first))
+    chosen = rounded(lengths, demand, patterns, x, capacity)
+    if sequences(chosen) > sequences(largest_first):  # rounding may lose a sequence or two
+        chosen = largest_first
+    return [(tuple((int(lengths[i]), int(p[i])) for i in np.flatnonzero(p)[::-1]), t) for p, t in chosen]
 
 
 def slots(planned: list[tuple[Pattern, int]]) -> dict[int, tuple[np.ndarray, ...]]:
