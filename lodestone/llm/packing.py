@@ -128,7 +128,8 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, enough: float
             gain = y @ column - 1
             if gain <= 1e-9:
                 continue
-            w = inverse @ column
+            used = np.flatnonzero(column)
+            w = (inverse[:, used] * column[used]).sum(axis=1)  # a few columns: not worth a threaded product
             rows = np.flatnonzero(w > 1e-9)
             ratios = x[rows] / w[rows]
             near = rows[ratios <= ratios.min() + 1e-12]
