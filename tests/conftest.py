@@ -1,4 +1,6 @@
 import os
+
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # as Spark does for its Python workers; before numpy is loaded
 import sys
 from pathlib import Path
 
