@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import session as S
 from ..operators import vectors as V
+from ..sources.scratch import scratch
 from ..sources.tables import table
+from ..streaming.sessions import SESSIONS
+from ..streaming.sessions import session_states as session_states_of
 from .search import HITS, UNIT
 
 POSITIVE, NEGATIVE = "quality = 1 AND toxic = 0", "toxic = 1"
@@ -67,7 +72,21 @@ def label_command_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.parse_commands(words, "user_id", "position", "word").select("user_id", "position", "word", "label")
 
 
-QUERIES = {f.__name__: f for f in (rocchio_rerank, rocchio_positive_only, rocchio_no_labels, rerank_after_label, centroid_by_label, label_fold, session_reset, label_command_parse)}
+def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as labels of a stream of sessions, one a user: each session's last state."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "purchase", "pos").when(F.col("event_type") == "error", "neg")
+    said = events.select(F.col("user_id").cast("string").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), (F.col("event_id") % 20).cast("string").alias("text"))
+    out = scratch(spark, "session-states")
+    states = session_states_of(said.where("kind is not null"), idle=dt.timedelta(days=3650))
+    write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch(spark, "session-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{SESSIONS}, batch int").parquet(out)
+    last = rows.groupBy("session_id").agg(F.max_by(F.struct("positive_ids", "negative_ids"), "batch").alias("s"))
+    return last.select("session_id", F.array_join(F.array_sort("s.positive_ids"), ",").alias("positive"), F.array_join(F.array_sort("s.negative_ids"), ",").alias("negative"))
+
+
+QUERIES = {f.__name__: f for f in (rocchio_rerank, rocchio_positive_only, rocchio_no_labels, rerank_after_label, centroid_by_label, label_fold, session_states, session_reset, label_command_parse)}
 
 
 def _moved(p: str, n: str, mark: str) -> str:
@@ -95,6 +114,8 @@ ORACLE = {
         SELECT CAST(row_number() OVER (ORDER BY c DESC, vec_id) AS INT) AS rank, vec_id, round(c, 6) AS score, vec_id IN {_STILL} AS is_positive, vec_id IN {_WORSE} AS is_negative FROM s2 ORDER BY c DESC, vec_id LIMIT 20""",
     "centroid_by_label": "SELECT label, CAST(i - 1 AS INT) AS pos, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2",
     "label_fold": f"SELECT user_id, label FROM (SELECT user_id, {_LABEL} AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('purchase', 'error')) WHERE n = 1",
+    "session_states": f"""WITH l AS (SELECT user_id, (event_id % 20)::VARCHAR AS item, {_LABEL} AS label, row_number() OVER (PARTITION BY user_id, event_id % 20 ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('purchase', 'error'))
+        SELECT user_id::VARCHAR AS session_id, coalesce(string_agg(item, ',' ORDER BY item) FILTER (label = 'pos'), '') AS positive, coalesce(string_agg(item, ',' ORDER BY item) FILTER (label = 'neg'), '') AS negative FROM l WHERE n = 1 GROUP BY 1""",
     "session_reset": """WITH s AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS q, coalesce(max(CASE WHEN turn = 1 THEN text END), max(CASE WHEN turn = 0 THEN text END)) AS x FROM conversations WHERE turn IN (0, 1) GROUP BY 1)
         SELECT conv_id, md5(x) AS query_md5, CASE WHEN q = x THEN 1 ELSE 0 END AS n_positive, CASE WHEN q = x THEN 10 ELSE 0 END AS "offset" FROM s""",
     "label_command_parse": f"""WITH w AS (SELECT user_id, event_id AS position, {_LABEL} AS l, event_id::VARCHAR AS word FROM events),
