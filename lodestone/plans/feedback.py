@@ -74,7 +74,7 @@ def label_command_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as labels of a stream of sessions, one a user: each session's last state."""
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be one file or a folder
     kind = F.when(F.col("event_type") == "purchase", "pos").when(F.col("event_type") == "error", "neg")
     said = events.select(F.col("user_id").cast("string").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), (F.col("event_id") % 20).cast("string").alias("text"))
     out = scratch(spark, "session-states")
