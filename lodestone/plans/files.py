@@ -13,6 +13,7 @@ from ..operators import embedding as E
 from ..operators import vectors as V
 from ..schemas import SESSION, renamed
 from ..sources import files, tables
+from ..sources.page_source import read_pages, write_pages
 from ..sources.scratch import shared_dir, written
 from ..sources.tables import table
 
@@ -33,9 +34,9 @@ def page_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages' HTML as page files, a hundred to a paper, and back."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("paper "), F.floor(F.col("page_id") / 100).cast("string")).alias("paper"), (F.col("page_id") % 100).cast("int").alias("page_number"), F.col("html").alias("full_text"))
     root = _folder(spark, "pages")
-    files.write_page_texts(pages, root)
-    back = files.read_page_texts(spark, root)
-    return back.select(F.replace("paper", F.lit("%20"), F.lit(" ")).alias("paper"), "page_number", F.md5("full_text").alias("text_md5"))
+    write_pages(pages, root)
+    back = read_pages(spark, root)
+    return back.select("paper", "page_number", F.md5("full_text").alias("text_md5"))
 
 
 def session_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
