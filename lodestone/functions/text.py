@@ -89,35 +89,46 @@ def indel_length(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
+def best_window(short: str, text: str, starts: range, least: float = 0.0) -> float:
+    """The best 0..100 similarity of short with text[i : i + len(short)], i in starts; from under 0 and past the end, windows are partial.
+
+    What is under least may come out lower than it is: a window whose letters alone cannot reach it, or the best so far, is not compared."""
+    best, m = 0.0, len(short)
+    first = max(starts.start, 1 - m)
+    left = dict.fromkeys(short, 0)  # how many of each letter the window lacks, under 0 for too many
+    for c in short:
+        left[c] += 1
+    shared = 0
+    for c in text[max(first - 1, 0) : max(first + m - 1, 0)]:  # the window before the first
+        if c in left:
+            left[c] -= 1
+            shared += left[c] >= 0
+    for i in range(first, min(starts.stop, len(text))):
+        if i + m <= len(text):
+            c = text[i + m - 1]
+            if c in left:
+                left[c] -= 1
+                shared += left[c] >= 0
+        if i > 0 and (c := text[i - 1]) in left:
+            shared -= left[c] >= 0
+            left[c] += 1
+        size = min(i + m, len(text)) - max(i, 0)
+        if 200.0 * shared / (m + size) > max(best, least - 1e-9):
+            best = max(best, 200.0 * indel_length(short, text[max(i, 0) : i + m]) / (m + size))
+    return best
+
+
 def partial_ratio(a: str, b: str, least: int = 0) -> int:
     """The best 0..100 similarity of the shorter string with any window of the longer, partial windows at the ends too.
 
-    What is under least may come out lower than it is: a window whose letters alone cannot reach it, or the best so far, is not compared."""
+    What is under least may come out lower than it is."""
     if not a or not b:
         return 0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if short in long:
         return 100
-    best, m = 0.0, len(short)
-    floor = least - 0.5  # rounds to least
-    for s, t in [(short, long), (long, short)] if len(a) == len(b) else [(short, long)]:
-        left = dict.fromkeys(s, 0)  # how many of each letter the window lacks, under 0 for too many
-        for c in s:
-            left[c] += 1
-        shared = 0
-        for i in range(1 - m, len(t)):
-            if i + m <= len(t):
-                c = t[i + m - 1]
-                if c in left:
-                    left[c] -= 1
-                    shared += left[c] >= 0
-            if i > 0 and (c := t[i - 1]) in left:
-                shared -= left[c] >= 0
-                left[c] += 1
-            size = min(i + m, len(t)) - max(i, 0)
-            if 200.0 * shared / (m + size) > max(best, floor - 1e-9):
-                best = max(best, 200.0 * indel_length(s, t[max(i, 0) : i + m]) / (m + size))
-    return round(best)
+    sides = [(short, long), (long, short)] if len(a) == len(b) else [(short, long)]
+    return round(max(best_window(s, t, range(1 - len(s), len(t)), least - 0.5) for s, t in sides))  # half under least rounds to it
 
 
 def fuzzy_match(term: Column, text: Column, tolerance: int = 80) -> Column:

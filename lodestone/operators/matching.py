@@ -1,12 +1,22 @@
-"""Which terms stand in which texts, without comparing all with all."""
+"""Which terms stand in which texts, as they are or nearly, without comparing all with all."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import best_window
+from ..sources.scratch import written
+
 #: So many short beginnings are sought one by one.
 FEW = 64
+#: An index of pieces is broadcast up to so many bytes, measured.
+SMALL_INDEX = 32 << 20
+#: Beyond that, texts' grams that are alike meet in so many tasks.
+SALT = 16
+#: White space that is taken off both ends.
+SPACE = " \t\n\r\x0b\x0c"
 
 
 def runs(chars: Column, n: int) -> Column:
@@ -45,3 +55,85 @@ def match_terms(texts: DataFrame, terms: DataFrame, text_id: str, term_id: str,
     candidates = words.join(t.select(term_id, "n", "key"), ["n", "key"]).select(text_id, term_id)
     found = lowered.join(candidates, text_id).join(t.select(term_id, "wanted"), term_id).where(F.contains("lowered", F.col("wanted")))
     return found.select(term_id, text_id)
+
+
+def _cleaned(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """key and the lower-cased text without white space at its ends, named name; empty ones go."""
+    return rows.select(F.col(key), F.btrim(F.lower(F.col(text)), F.lit(SPACE)).alias(name)).where(F.col(name) != "")
+
+
+def pieces(short: DataFrame, key: str, tolerance: int) -> DataFrame:
+    """key, q, gram, place, edits and least: each string cut into pieces of q characters.
+
+    A window that reaches the tolerance is at most ``edits`` insertions and deletions from the string, each of which
+    harms one piece: at least ``least`` pieces stand in it unharmed.  q is the greatest, up to 8, that leaves an eighth of the pieces."""
+    m = F.length("short")
+    edits = F.floor(m * F.lit(201 - 2 * tolerance) / 100)  # twice the length, less the tolerance, which half a point under rounds to
+    n = lambda q: F.floor(m / q)
+    q = F.coalesce(*(F.when(n(q) - edits >= F.greatest(F.lit(1), F.floor(n(q) / 8)), q) for q in range(8, 1, -1)), F.lit(1))
+    sized = short.select(key, "short", q.alias("q"), edits.cast("int").alias("edits"))
+    sized = sized.withColumn("n", F.floor(m / F.col("q")).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("short"), i * F.col("q") + 1, F.col("q")))
+    return sized.select(key, "q", "edits", (F.col("n") - F.col("edits")).alias("least"), F.posexplode(cut).alias("place", "gram"))
+
+
+def grams(long: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+    """key, q, at and gram: every run of q characters, for each size."""
+    chars = long.select(key, F.split("long", "").alias("chars"))
+    runs_of = lambda q: F.transform(F.sequence(F.lit(0), F.size("chars") - q), lambda i: F.array_join(F.slice("chars", i + 1, q), ""))
+    out = None
+    for q in sizes:
+        rows = chars.where(F.size("chars") >= q).select(key, F.lit(q).alias("q"), F.posexplode(runs_of(q)).alias("at", "gram"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _windows(short: DataFrame, long: DataFrame, short_id: str, long_id: str, tolerance: int) -> DataFrame:
+    """short_id, long_id and score of each stretch of a text where a string no longer than it may stand; what is under the tolerance may be lower than it is."""
+    index = pieces(short, short_id, tolerance)
+    sizes = [r.q for r in index.select("q").distinct().orderBy("q").collect()]  # at most eight
+    if not sizes:
+        return short.join(long, F.lit(False)).select(short_id, long_id, F.lit(0).alias("score"))
+    found = grams(long, long_id, sizes)
+    size = index.agg(F.sum(F.octet_length("gram") + F.octet_length(F.col(short_id).cast("string")) + 64)).first()[0]
+    if size <= SMALL_INDEX:
+        hits = found.join(F.broadcast(index), ["q", "gram"])
+    else:
+        salted = found.withColumn("salt", F.pmod(F.hash(long_id, F.floor(F.col("at") / 1024)), F.lit(SALT)))
+        hits = salted.join(index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["q", "gram", "salt"])
+    # The unharmed pieces' shifts against the text differ by at most edits: two bands of twice that, half overlapping, hold them.
+    step = F.col("edits") + 1
+    band = F.floor((F.col("at") - F.col("place") * F.col("q")) / step).cast("int")
+    hits = hits.select(short_id, long_id, "place", "edits", "least", F.explode(F.array(band - 1, band)).alias("band"))
+    bands = hits.groupBy(short_id, long_id, "band", "edits", "least").agg(F.count_distinct("place").alias("n")).where("n >= least")
+    bands = written(bands, "bands")  # few against the texts; the joins below know their size
+    pairs = bands.join(short, short_id).join(long, long_id).where("length(short) <= length(long)")
+    # A window starts at most edits before or after its band; where one may start with the text, so may those cut off by its start.
+    low, high = F.col("band") * step - F.col("edits"), (F.col("band") + 2) * step + F.col("edits")
+    base = F.greatest(low, F.lit(0))
+    part = F.substring(F.col("long"), base + 1, high - base + F.length("short"))
+    whole = pairs.select(short_id, long_id, "short", part.alias("part"), F.when((low <= 0) & (high > 0), 1 - F.length("short")).otherwise(low - base).alias("low"), (high - base).alias("high")).where("high > 0")
+
+    @F.pandas_udf("int")
+    def score(short: pd.Series, part: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        return pd.Series([round(best_window(s, t, range(a, b), tolerance - 0.5)) for s, t, a, b in zip(short, part, low, high)], dtype="int32")
+
+    return whole.select(short_id, long_id, score("short", "part", "low", "high").alias("score"))
+
+
+def match_fuzzy(texts: DataFrame, terms: DataFrame, text_id: str, term_id: str, text_col: str = "text", term_col: str = "term", tolerance: int = 80) -> DataFrame:
+    """term id, text id and score (0 to 100) where the shorter of term and text is like a window of the longer by at least tolerance.
+
+    Exactly the pairs, and scores, that comparing all with all gives: likeness is twice the longest common subsequence over both
+    lengths, letters lower-cased.  The shorter string's pieces meet the longer one's runs of characters in an equi-join; where too few different
+    pieces stand within a band of shifts, no window there can reach the tolerance.  What is left is compared by bits, a stretch of
+    text at a time.  The lower the tolerance, the shorter the pieces and the more there is to compare; it must be over 50.  Null and empty strings match
+    nothing; of several rows with one id the best counts."""
+    if not 50 < tolerance <= 100:
+        raise ValueError("tolerance must be over 50 and at most 100")
+    t, x = _cleaned(terms, term_id, term_col, "term"), _cleaned(texts, text_id, text_col, "text")
+    longest = t.agg(F.max(F.length("term"))).first()[0] or 0
+    out = _windows(t.withColumnRenamed("term", "short"), x.withColumnRenamed("text", "long"), term_id, text_id, tolerance)
+    brief = x.where(F.length("text") <= longest).withColumnRenamed("text", "short")
+    out = out.unionByName(_windows(brief, t.withColumnRenamed("term", "long"), text_id, term_id, tolerance))
+    return out.groupBy(term_id, text_id).agg(F.max("score").alias("score")).where(F.col("score") >= tolerance)  # after the fold, so that no stretch is compared twice

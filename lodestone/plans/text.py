@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
-from ..operators.matching import match_terms
+from ..operators.matching import match_fuzzy, match_terms
 from ..sources.tables import table
 
 KEYWORDS = "the des und"
@@ -110,6 +110,11 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(terms, "conv_id").select("conv_id", "turn", "term", T.fuzzy_match(F.col("term"), F.col("text"), 70).alias("matches"))
 
 
+def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items against all documents, whole texts: likeness of 95 and more."""
+    return match_fuzzy(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("term")), "doc_id", "item_id", tolerance=95)
+
+
 def highlight_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.highlight(F.col("text"), T.keywords(KEYWORDS)).alias("marked"))
 
@@ -145,7 +150,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sentence_split, sentence_counts, chunk_text, chunk_stats, chunk_overlap, chunk_paragraphs, hard_split, normalize_text, normalise_content, slugify, base36, human_id,
-        citation_key, extract_year, substring_match, substring_match_short, fuzzy_match, highlight_keywords, mark_literal, key_phrase, snippet_truncate, authors_et_al, format_author, token_estimate,
+        citation_key, extract_year, substring_match, substring_match_short, fuzzy_match, fuzzy_terms, highlight_keywords, mark_literal, key_phrase, snippet_truncate, authors_et_al, format_author, token_estimate,
     )
 }
 
