@@ -15,6 +15,8 @@ FEW = 64
 SMALL_INDEX = 32 << 20
 #: Beyond that, texts' grams that are alike meet in so many tasks.
 SALT = 16
+#: Runs of characters are cut out of stretches of so many.
+STRETCH = 256
 #: White space that is taken off both ends.
 SPACE = " \t\n\r\x0b\x0c"
 
@@ -78,12 +80,13 @@ def pieces(short: DataFrame, key: str, tolerance: int) -> DataFrame:
 
 
 def grams(long: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """key, q, at and gram: every run of q characters, for each size."""
-    chars = long.select(key, F.split("long", "").alias("chars"))
-    runs_of = lambda q: F.transform(F.sequence(F.lit(0), F.size("chars") - q), lambda i: F.array_join(F.slice("chars", i + 1, q), ""))
+    """key, q, at and gram: every run of q characters, for each size, by way of overlapping stretches of bounded length."""
     out = None
     for q in sizes:
-        rows = chars.where(F.size("chars") >= q).select(key, F.lit(q).alias("q"), F.posexplode(runs_of(q)).alias("at", "gram"))
+        stretches = F.regexp_extract_all("long", F.lit(f"(?s)(?=(.{{1,{STRETCH + q - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
+        rows = long.select(key, F.posexplode(stretches).alias("stretch", "part")).where(F.length("part") >= q)
+        rows = rows.select(key, "stretch", "part", F.explode(F.sequence(F.lit(0), F.length("part") - q)).alias("i"))
+        rows = rows.select(key, F.lit(q).alias("q"), (F.col("stretch") * STRETCH + F.col("i")).alias("at"), F.substring("part", F.col("i") + 1, F.lit(q)).alias("gram"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

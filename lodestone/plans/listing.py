@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as X
 from ..operators import listing as L
 from ..operators import vectors as V
+from ..sources.paged import PagedOrder
+from ..sources.scratch import shared_dir
 from ..sources.tables import table
 from .search import HITS
 
@@ -58,6 +62,17 @@ def documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.lit(page).alias("page"), X.total_pages(F.col("n"), SIZE).alias("total_pages"), F.lit((page - 1) * SIZE + 1).alias("showing_start"), F.least(F.lit(page * SIZE), "n").cast("int").alias("showing_end"), "doc_id")
 
 
+def documents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written in order of title; the first page, the rows after its last key, and the last page."""
+    paged = PagedOrder.write(_sorted(spark, sf_dir), f"{shared_dir(spark)}/lodestone/pages-{uuid.uuid4().hex[:12]}", ["sort_key", "doc_id"])
+    rows = lambda df, how: df.select(F.lit(how).alias("how"), "pos", "doc_id")
+    first = paged.page(1, SIZE)
+    end = first.agg(F.max(F.struct("pos", "sort_key", "doc_id")).alias("x")).first().x
+    key = None if end is None else {"sort_key": end.sort_key, "doc_id": end.doc_id}
+    out = rows(first, "first").unionByName(rows(paged.page(max(1, -(-paged.total() // SIZE)), SIZE), "last"))
+    return out if key is None else out.unionByName(rows(paged.after(key, SIZE), "after"))
+
+
 def pagination_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
     rows = rows.select("key", (F.col("key") % 12 + 1).alias("total"), ((F.col("key") * 7) % (F.col("key") % 12 + 1) + 1).alias("current"))
@@ -89,7 +104,7 @@ def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_requests", (F.col("n_requests") > 2).alias("limited"))
 
 
-QUERIES = {f.__name__: f for f in (documents_list, list_limit, documents_sorted, documents_sorted_by, documents_page, pagination_strip, search_over_fetch, upload_stats, upload_progress, rate_window)}
+QUERIES = {f.__name__: f for f in (documents_list, list_limit, documents_sorted, documents_sorted_by, documents_page, documents_pages, pagination_strip, search_over_fetch, upload_stats, upload_progress, rate_window)}
 ORACLE = {
     "documents_list": "SELECT doc_id AS id, substr(text, 1, 40) AS title, source || ', ' || lang AS authors, CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id % 30 + 1990 AS INT) END AS year, CASE WHEN n_chars > 5000 THEN 2 ELSE 1 END AS page_count, '/data/' || source AS source_path FROM documents",
     "documents_sorted_by": " UNION ALL ".join(

@@ -62,6 +62,7 @@ def test_is_all_with_all(spark, strings, tolerance):
 
 def test_a_shuffled_index_finds_the_same(spark, strings, monkeypatch):
     monkeypatch.setattr(M, "SMALL_INDEX", 0)
+    monkeypatch.setattr(M, "STRETCH", 7)
     texts, terms = strings
     assert matched(spark, texts, terms, 80) == plain(texts, terms, 80)
 
