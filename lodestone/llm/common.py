@@ -110,6 +110,29 @@ SHORT_LIST = 1_000_000
 
 #: A table of at most so many rows (up to 100 bytes each) is broadcast whole.
 SMALL_TABLE = 50_000
+#: Where rows may be of any length, a table is broadcast up to so many bytes of strings, measured.
+SMALL_BYTES = 8 << 20
+#: A hot key that is not broadcast meets in so many tasks.
+SALTS = 32
+
+
+def join_texts(many: DataFrame, one: DataFrame, key: str, size: str) -> DataFrame:
+    """many with the columns of one, as ``join_split`` joins them, for a key and columns of one that are strings of any length.
+
+    one is broadcast whole only if its rows and its strings' bytes are few; else a hot key's rows of one are
+    copied SALTS times and meet many's rows by shuffle, and what is broadcast is 64 bits each of fewer than HOT_KEYS keys.
+    Both should be scans or written tables, so that a task that runs again deals its rows out as before."""
+    strings = [c for c, kind in one.dtypes if kind == "string"]
+    n, size_of = one.agg(F.count("*"), F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(0)))).first()
+    if n <= SMALL_TABLE and (size_of or 0) <= SMALL_BYTES:
+        return many.join(F.broadcast(one), key)
+    least, mark, salt = many.count() // HOT_KEYS, fresh(many, "hot_key"), fresh(many, "hot_salt")
+    hot = one.where(F.col(size) > least).select(F.xxhash64(key).alias(mark)).distinct()  # two keys of one mark are both salted
+    known = hot.withColumn(salt, F.lit(SALTS))
+    marked = lambda df: df.withColumn(mark, F.xxhash64(key)).join(F.broadcast(known), mark, "left").drop(mark)
+    left = marked(many).withColumn(salt, F.when(F.col(salt).isNull(), 0).otherwise(F.floor(F.rand(7) * SALTS).cast("int")))
+    right = marked(one).withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salt, F.lit(1)) - 1)))
+    return left.join(right.hint("shuffle_hash"), [key, salt]).drop(salt)
 
 
 def join_split(many: DataFrame, one: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:

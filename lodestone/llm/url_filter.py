@@ -34,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, join_split, materialise, read
+from .common import fresh, join_texts, materialise, read
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[^a-z0-9_.%-]"
@@ -172,7 +172,7 @@ def filter_urls(pages: DataFrame, url_col: str = "url", patterns: Sequence[Patte
     key, size = fresh(pages, "url_key"), fresh(pages, "url_count")
     names = {c: fresh(pages, c) for c in ("url_host", "url_path", "url_rule", "url_verdict", "url_pattern")}
     one = judged.select(F.col("url").alias(key), F.col("n").alias(size), *(F.col(c).alias(n) for c, n in names.items()))
-    return join_split(pages.withColumn(key, url), one, key, size).select(*(F.col(f"`{c}`") for c in pages.columns), *names.values())
+    return join_texts(pages.withColumn(key, url), one, key, size).select(*(F.col(f"`{c}`") for c in pages.columns), *names.values())
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
