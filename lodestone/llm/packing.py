@@ -44,6 +44,8 @@ END_ID = 0
 GAP = 0.006
 #: Shares of the best bound's prices in those that are tried, one after the other until a pattern gains; patterns that one pricing offers.
 MIXED, COLUMNS = (0.7, 0.3, 0.0), 60
+#: The least pivot, and after how many the inverse is made anew.
+STRICT = (1e-9, 256), (1e-7, 64), (1e-5, 16)
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -82,9 +84,10 @@ class Knapsack:
             yield pattern
 
 
-def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
-    """A feasible basis from patterns filled longest first: each is used until one length, its row, is used up, so the matrix is triangular but for the order of rows."""
+def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feasible basis from patterns filled longest first, and how often each is used: until one length, its row, is used up, so the matrix is triangular but for the order of rows."""
     m, left = len(lengths), demand.copy()
+    times = np.zeros(m)
     basis = np.diag((capacity // lengths).astype(float))
     alive = list(np.argsort(-lengths, kind="stable"))
     while alive:
@@ -96,12 +99,25 @@ def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> np.nd
         used = np.flatnonzero(pattern)
         ratio = left[used] / pattern[used]
         gone = used[np.argmin(ratio)]
+        times[gone] = ratio.min()
         left[used] -= ratio.min() * pattern[used]
         left[gone] = 0
         left[left < 1e-9] = 0
         basis[:, gone] = pattern
         alive = [i for i in alive if left[i] > 0]
-    return basis
+    return basis, times
+
+
+def inverted(basis: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The inverse and how often each pattern is used; None where the basis is singular, or so nearly that these do not meet the demand."""
+    try:
+        inverse = np.linalg.inv(basis)
+    except np.linalg.LinAlgError:
+        return None
+    x = inverse @ demand
+    if not np.isfinite(inverse).all() or np.abs(basis @ x - demand).max() > 1e-6 * demand.max() or x.min() < -1e-6 * demand.max():
+        return None
+    return inverse, np.maximum(x, 0)
 
 
 def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, enough: float = np.inf) -> tuple[np.ndarray, np.ndarray, float]:
@@ -109,13 +125,23 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, enough: float
 
     Prices are mixed with those of the best bound so far (at first: a length costs its share of a
     sequence), as prices of a basis alone swing.  Ends within GAP of the bound and at no more than enough,
-    or at the optimum; a bound comes with every pricing."""
+    or at the optimum; a bound comes with every pricing.  The inverse is made anew every few pivots, against drift.
+    Where that shows a basis that is all but singular, or no fewer sequences, the last sound one is gone on from
+    with stricter pivots (STRICT); after the strictest it is the answer.  A first basis that is all but singular (many
+    lengths chain) is the answer if it is within GAP, else the start is each length alone."""
     exact, demand = demand, demand * (1 + 1e-8 * np.random.default_rng(5).random(len(demand)))  # ties of the ratio test are rare so
-    basis = first_basis(lengths, demand, capacity)
-    inverse = np.linalg.inv(basis)
-    x, y = np.maximum(inverse @ demand, 0), inverse.sum(axis=0)
+    basis, x = first_basis(lengths, demand, capacity)
     centre = lengths / capacity
-    bound, mixing, pivots = float(centre @ demand), 0, 0
+    bound, mixing, pivots, strict = float(centre @ demand), 0, 0, 0
+    if x.sum() <= max(bound, min(bound * (1 + GAP), enough)) + 1e-9:
+        return basis, x, bound
+    if (made := inverted(basis, demand)) is None:
+        if x.sum() <= bound * (1 + GAP):
+            return basis, x, bound
+        basis = np.diag((capacity // lengths).astype(float))
+        made = inverted(basis, demand)
+    (inverse, x), sound = made, basis.copy()
+    y, fewest = inverse.sum(axis=0), x.sum()
     while x.sum() > max(bound, min(bound * (1 + GAP), enough)) + 1e-9:
         share = MIXED[mixing]
         prices = np.maximum(share * centre + (1 - share) * y, 0)
@@ -123,14 +149,16 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, enough: float
         scale = max(1.0, priced.best[capacity])
         if prices @ demand / scale > bound:
             bound, centre = float(prices @ demand / scale), prices / scale
-        before = pivots
+        before, (least, often) = pivots, STRICT[strict]
         for column in priced.with_each(COLUMNS):
             gain = y @ column - 1
             if gain <= 1e-9:
                 continue
             used = np.flatnonzero(column)
             w = (inverse[:, used] * column[used]).sum(axis=1)  # a few columns: not worth a threaded product
-            rows = np.flatnonzero(w > 1e-9)
+            rows = np.flatnonzero(w > least)
+            if not len(rows):
+                continue
             ratios = x[rows] / w[rows]
             near = rows[ratios <= ratios.min() + 1e-12]
             r = int(near[np.argmax(w[near])])
@@ -141,16 +169,27 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, enough: float
             inverse[r], basis[:, r] = row, column
             y = y - gain * row
             pivots += 1
-            if pivots % 256 == 0:  # against drift
-                inverse = np.linalg.inv(basis)
-                x, y = np.maximum(inverse @ demand, 0), inverse.sum(axis=0)
+            if pivots % often == 0:
+                break
         if pivots > before:
             mixing = 0
         elif mixing + 1 < len(MIXED):
             mixing += 1
         else:
             break  # no pattern is worth more than it costs
-    return basis, np.maximum(np.linalg.solve(basis, exact), 0), bound
+        if pivots > before and pivots % often == 0:
+            made = inverted(basis, demand)
+            if made is None or made[1].sum() > fewest - 1e-9:
+                if strict + 1 == len(STRICT):
+                    break
+                strict, pivots, basis = strict + 1, 0, sound.copy()
+                made = inverted(basis, demand)
+            (inverse, x), sound = made, basis.copy()
+            y, fewest = inverse.sum(axis=0), x.sum()
+    for b in (basis, sound):
+        if (made := inverted(b, demand)) is not None and made[1].sum() <= fewest + 1e-6:
+            break
+    return b, np.maximum(made[0] @ exact, 0), bound
 
 
 def fill(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:

@@ -74,3 +74,27 @@ def test_knapsack_is_the_best_of_all():
         for p in k.with_each(5):
             assert p @ lengths <= capacity
         assert np.isclose(next(k.with_each(1)) @ values, best[capacity])
+
+
+@pytest.mark.parametrize("broken", ["singular", "drifted"])
+@pytest.mark.parametrize("after", [0, 1])
+def test_a_basis_that_cannot_be_inverted_does_not_end_the_plan(monkeypatch, broken, after):
+    drawn = np.clip(np.random.default_rng(2).normal(450, 90, 6000).astype(int), 200, 1023)
+    h = dict(zip(*(x.tolist() for x in np.unique(drawn, return_counts=True))))
+    real, calls = np.linalg.inv, []
+
+    def inv(basis):
+        calls.append(1)
+        if len(calls) == after + 1:
+            if broken == "singular":
+                raise np.linalg.LinAlgError("Singular matrix")
+            return real(basis) * 1.5
+        return real(basis)
+
+    monkeypatch.setattr(P.np.linalg, "inv", inv)
+    planned, used = P.plan(h), {}
+    for pattern, times in planned:
+        for length, n in pattern:
+            used[length] = used.get(length, 0) + n * times
+    lengths, demand = np.array(sorted(h)), np.array([h[n] for n in sorted(h)])
+    assert used == h and len(calls) > after and P.sequences(planned) <= P.sequences(P.fill(lengths, demand, P.CAPACITY))
