@@ -81,10 +81,11 @@ def outcome(embed: Callable[[Column], Column], text: Column) -> Column:
 class HashedWords:
     """The offline model: each word adds 1 or -1 at a hashed place, the sum is made a unit vector; none without words.
 
-    A word's MD5 gives its place and, by one more bit, its sign."""
+    A word's MD5 gives its place and, by one more bit, its sign.  A text whose words cancel has none either, or with
+    always the vector of its words' number at each place, whatever their signs."""
 
-    def __init__(self, dimensions: int):
-        self.dimensions, self.places = dimensions, {}
+    def __init__(self, dimensions: int, always: bool = False):
+        self.dimensions, self.always, self.places = dimensions, always, {}
 
     def place(self, word: str) -> int:
         if (at := self.places.get(word)) is None:
@@ -94,19 +95,22 @@ class HashedWords:
         return at
 
     def __call__(self, texts: Sequence[str]) -> list[np.ndarray | None]:
-        words = [re.findall("[0-9a-z]+", t.lower()) for t in texts]
+        words = [re.findall("[0-9a-z]+", t.replace("\u0130", "i").lower()) for t in texts]  # Python would make two characters of that letter
         n = np.array([len(w) for w in words])
         places = np.fromiter((self.place(w) for ws in words for w in ws), np.int64, n.sum())
         size = 2 * self.dimensions
         counts = np.bincount(np.repeat(np.arange(len(texts)), n) * size + places, minlength=len(texts) * size).reshape(-1, self.dimensions, 2)
         sums = (counts[:, :, 0] - counts[:, :, 1]).astype(float)
+        if self.always:
+            cancelled = ~sums.any(axis=1)
+            sums[cancelled] = counts[cancelled].sum(axis=2)
         length = np.sqrt((sums * sums).sum(axis=1))
         return [s / x if x else None for s, x in zip(sums, length)]
 
 
 @cache
-def hashed_words(dimensions: int = 64) -> BatchEmbedder:
-    return BatchEmbedder(lambda: HashedWords(dimensions), dimensions)
+def hashed_words(dimensions: int = 64, always: bool = False) -> BatchEmbedder:
+    return BatchEmbedder(lambda: HashedWords(dimensions, always), dimensions)
 
 
 def hash_embed(text: Column, dimensions: int = 64) -> Column:

@@ -105,7 +105,7 @@ def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's vector under the text's own id, with the raw embedding in its metadata."""
     rows = _indexed(spark, sf_dir)
     first = F.get_json_object("metadata", "$.embedding[0]").cast("double")
-    return rows.select("text_id", "vector_id", F.size("embedding").alias("n"), F.round(first, 6).alias("first_value"))
+    return rows.select("text_id", "vector_id", F.coalesce(F.size("embedding"), F.lit(-1)).alias("n"), F.round(first, 6).alias("first_value"))
 
 
 def score_formats(spark: SparkSession, sf_dir: str) -> DataFrame:

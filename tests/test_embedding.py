@@ -54,3 +54,50 @@ def test_means_are_one_buffer_a_group(spark):
     assert "Generate" not in means._jdf.queryExecution().toString()
     assert {r.label: r["mean"] for r in means.collect()} == {k: [k + 13.5, 1.0] for k in range(3)}
     assert V.centroid(rows.where("label > 9")) is None and V.centroid(rows.where("label = 1")) == [14.5, 1.0]
+
+
+def test_a_text_whose_words_cancel_has_a_vector_if_asked_for():
+    word = {}
+    for i in range(200):  # two words of one place and opposite signs
+        p = int(hashlib.md5(f"w{i}".encode()).hexdigest()[:8], 16) % 16
+        if (other := word.get(p ^ 1)) is not None:
+            break
+        word[p] = f"w{i}"
+    texts = [f"w{i} {other}", "...", f"w{i}"]
+    plain, always = E.HashedWords(8)(texts), E.HashedWords(8, always=True)(texts)
+    assert plain[0] is None and always[0] is not None and abs(np.linalg.norm(always[0]) - 1) < 1e-12 and always[0][p // 2] == 1
+    assert plain[1] is None and always[1] is None and (plain[2] == always[2]).all()
+
+
+def test_index_text_of_odd_texts_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestone.plans import files, search
+
+    cancelled = next(f"w{i} w{j}" for i in range(60) for j in range(i) if E.HashedWords(32)([f"w{i} w{j}"])[0] is None)
+    eight = next(f"w{i} w{j}" for i in range(60) for j in range(i) if E.HashedWords(8)([f"w{i} w{j}"])[0] is None)
+    rows = [(1, cancelled), (2, "..."), (3, "İstanbul"), (4, "a b"), (5, "a"), (6, eight), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda rows: sorted(tuple(map(repr, r)) for r in rows)
+    for module, name in ((search, "index_text"), (files, "failed_embeddings")):
+        got = module.QUERIES[name](spark, str(tmp_path)).collect()
+        assert key(got) == key(con.sql(module.ORACLE[name]).fetchall()), name
+    assert sum(r.n == -1 for r in search.index_text(spark, str(tmp_path)).collect()) == 3
+
+
+def test_search_by_text_breaks_ties_as_its_sql(spark, tmp_path):
+    """Texts of the query's words in changing numbers are equally near up to the last bits."""
+    import duckdb
+
+    from lodestone.plans import search
+
+    words, rng = search.QUERY_TEXT.split(), np.random.default_rng(2)
+    base = sorted(set(rng.integers(1, 30, 40).tolist()))[:5]
+    rows = [(i, " ".join(w for w, n in zip(words, rng.permutation(base)) for _ in range(int(n)))) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((r["rank"], r.vec_id, r.score, r.snippet) for r in search.search_by_text(spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(search.ORACLE["search_by_text"]).fetchall())
