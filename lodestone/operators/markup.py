@@ -5,9 +5,11 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.text import collapse_spaces, extract_year
 from ..sources.scratch import written
@@ -25,6 +27,10 @@ SURFACE = "struct<page:int,ulx:double,uly:double,lrx:double,lry:double>"
 TEI = f"header {HEADER}, facsimile array<{SURFACE}>, body array<{SECTION}>, error string"
 
 
+#: So many characters of markup are parsed before their rows go out.
+AT_ONCE = 1 << 20
+
+
 # -- native pieces ----------------------------------------------------------------------
 
 
@@ -156,14 +162,32 @@ def parse_tei(xml: str | None) -> dict:
     return {"header": _header(head), "facsimile": surfaces, "body": [read_fields(d, SECTION_FIELDS) for b in _found(root, "//body")[:1] for d in _found(b, "//div")], "error": None}
 
 
-def tei(docs: DataFrame, id_col: str = "id", xml_col: str = "xml") -> DataFrame:
-    """id, header, facsimile, body, error of each TEI string; bad ones keep their row with the error."""
+def tei_rows() -> pa.Schema:
+    return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(f"id string, {TEI}")])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([{"id": i, **parse_tei(x)} for i, x in zip(f["id"], f["xml"])], columns=["id", "header", "facsimile", "body", "error"])
 
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(xml_col).alias("xml")).mapInPandas(run, f"id string, {TEI}")
+def tei_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of id and xml parsed: parsed trees are many times their string's size, so those of AT_ONCE characters (or of one longer string) go out together."""
+    for batch in batches:
+        rows, size = [], 0
+        for i, x in zip(batch.column("id"), batch.column("xml")):
+            xml = x.as_py()
+            row = {"id": i.as_py(), **parse_tei(xml)}
+            if row["header"]:
+                row["header"]["affiliations"] = list(row["header"]["affiliations"].items())  # a map, as Arrow takes it
+            rows.append(row)
+            size += len(xml or "")
+            if size >= AT_ONCE:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def tei(docs: DataFrame, id_col: str = "id", xml_col: str = "xml") -> DataFrame:
+    """id, header, facsimile, body, error of each TEI string; bad ones keep their row with the error."""
+    schema = tei_rows()
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(xml_col).cast("string").alias("xml")).mapInArrow(lambda batches: tei_batches(batches, schema), f"id string, {TEI}")
 
 
 def documents(parsed: DataFrame) -> DataFrame:

@@ -216,3 +216,16 @@ def test_ingest_stream_writes_once(spark, tmp_path):
     spark.createDataFrame([("a", 2), ("c", 3)], "id string, n int").write.mode("append").parquet(str(tmp_path / "in"))
     labels.ingest_stream(spark.readStream.schema("id string, n int").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted((r.id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_tei_goes_out_in_bounded_parts(spark):
+    xml = "<TEI><teiHeader><fileDesc><titleStmt><title>T</title></titleStmt></fileDesc><analytic><author><persName>A</persName><affiliation key='k'><orgName>O</orgName></affiliation></author></analytic></teiHeader><text><body><div><p>x</p></div></body></text></TEI>"
+    long = xml.replace("<p>x</p>", "<p>" + "x" * 300_000 + "</p>")
+    rows = [(str(i), long if i % 2 else xml) for i in range(40)] + [("none", None)]
+    batch = markup.pa.RecordBatch.from_pylist([dict(zip(("id", "xml"), r)) for r in rows])
+    sent = list(markup.tei_batches(iter([batch]), markup.tei_rows()))
+    assert [i for b in sent for i in b.column("id").to_pylist()] == [i for i, _ in rows] and max(b.num_rows for b in sent) <= 8
+    parsed = markup.tei(spark.createDataFrame(rows, "id string, xml string"))
+    assert parsed.where("error is null").count() == 40 and parsed.where("id = 'none'").first().error.startswith("not XML")
+    r = parsed.where("id = '8'").first()
+    assert r.header.title == "T" and r.header.affiliations["k"].institution == "O" and r.body[0].paragraphs[0].text == "x"
