@@ -4,7 +4,7 @@ A session keeps its questions and, for each text, the last label, both by event
 events that come late (within the watermark) or again change nothing that they should not: the state
 depends on which events came, not on their order.  Labels count from when the present question was
 first asked without another in between.  A session that has been quiet for idle ends: a last row
-says so and its state goes."""
+says so and its state goes.  A batch reads a session's state once and writes it once, however many events it has."""
 
 from __future__ import annotations
 
@@ -37,39 +37,49 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.asked = handle.getMapState("asked", "at long, event long", "question string")
-        self.labels = handle.getMapState("labels", "id string", "at long, event long, kind string")
+        self.asked = handle.getListState("asked", "at long, event long, question string")
+        self.labels = handle.getListState("labels", "id string, at long, event long, kind string")
         self.last = handle.getValueState("last", "at long, n long")
 
+    def _read(self) -> tuple[dict[tuple[int, int], str], dict[str, tuple[int, int, str]]]:
+        """A session's questions and labels, in one request each."""
+        return {(r[0], r[1]): r[2] for r in self.asked.get()}, {r[0]: (r[1], r[2], r[3]) for r in self.labels.get()}
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, n = self.last.get() if self.last.exists() else (-(1 << 62), 0)
+        known = self.last.exists()
+        before, n = self.last.get() if known else (-(1 << 62), 0)
+        asked, labels = self._read() if known else ({}, {})
+        last, more_asked, more_labels = before, False, False
         for frame in rows:
             for event, ts, kind, text in zip(frame.event_id, frame.ts, frame.kind, frame.text):
-                at = int(ts.value // 1000)
+                event, at = int(event), int(ts.value // 1000)
                 if kind == "ask":
-                    n += not self.asked.containsKey((at, int(event)))
-                    self.asked.updateValue((at, int(event)), (text,))
-                else:
-                    known = self.labels.getValue((text,)) if self.labels.containsKey((text,)) else None
-                    if known is None or (at, event) > (known[0], known[1]):
-                        n += 1
-                        self.labels.updateValue((text,), (at, int(event), kind))
+                    n += (at, event) not in asked
+                    asked[at, event], more_asked = text, True
+                elif text not in labels or (at, event) > labels[text][:2]:
+                    n += 1
+                    labels[text], more_labels = (at, event, kind), True
                 last = max(last, at)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last // 1000 + self.idle_ms)
+        if more_asked:
+            self.asked.put([(*k, question) for k, question in asked.items()])
+        if more_labels:
+            self.labels.put([(i, *label) for i, label in labels.items()])
+        due = lambda at: at // 1000 + self.idle_ms
+        if not known or due(last) != due(before):
+            if known:
+                self.handle.deleteTimer(due(before))
+            self.handle.registerTimer(due(last))
         self.last.update((last, n))
-        yield self._row(key, n, False)
+        yield self._row(key, asked, labels, n, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        row = self._row(key, self.last.get()[1], True)
+        row = self._row(key, *self._read(), self.last.get()[1], True)
         for state in (self.asked, self.labels, self.last):
             state.clear()
         yield row
 
-    def _row(self, key, n: int, ended: bool) -> pd.DataFrame:
-        asked = [(k[0], k[1], v[0]) for k, v in self.asked.iterator()]
-        query, positive, negative = standing(asked, {k[0]: tuple(v) for k, v in self.labels.iterator()})
+    def _row(self, key, asked: dict, labels: dict, n: int, ended: bool) -> pd.DataFrame:
+        query, positive, negative = standing([(*k, question) for k, question in asked.items()], labels)
         return pd.DataFrame({"session_id": [key[0]], "query": [query], "positive_ids": [positive], "negative_ids": [negative], "n_events": [n], "ended": [ended]})
 
     def close(self) -> None:

@@ -49,3 +49,38 @@ def test_standing_is_the_fold_of_a_session():
     assert S.standing([], {}) == (None, [], [])
     assert S.standing([(1, 1, "q"), (5, 1, "q")], {"x": (3, 1, "pos")}) == ("q", ["x"], [])
     assert S.standing([(1, 1, "q"), (4, 1, "r"), (5, 1, "q")], {"x": (3, 1, "pos"), "y": (5, 2, "neg"), "z": (6, 1, "none")}) == ("q", [], ["y"])
+
+
+def test_a_batch_reads_and_writes_a_session_once():
+    """However many events it has."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.value = name, None
+
+        def __getattr__(self, what):
+            def call(*given):
+                calls.append((self.name, what))
+                if what == "exists":
+                    return self.value is not None
+                if what == "get":
+                    return self.value if self.name == "last" else iter(self.value or ())
+                if what in ("put", "update"):
+                    self.value = given[0]
+            return call
+
+    class Handle:
+        getListState = getValueState = getMapState = lambda self, name, *schema: State(name)
+        listTimers = lambda self: iter(())
+        registerTimer = deleteTimer = lambda self, at: calls.append(("timer", at))
+
+    s = S.Sessions(1000)
+    s.init(Handle())
+    for batch in range(2):
+        calls.clear()
+        rows = pd.DataFrame([(i, pd.Timestamp(T0) + pd.Timedelta(minutes=i), "pos", f"t{i % 9}") for i in range(batch * 500, batch * 500 + 500)], columns=["event_id", "ts", "kind", "text"])
+        (row,) = s.handleInputRows(("a",), iter([rows]), None)
+        assert len(calls) <= 9 and row.n_events[0] == 500 * (batch + 1) and len(row.positive_ids[0]) == 9
