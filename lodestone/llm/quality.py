@@ -38,6 +38,8 @@ from .words import words_of
 
 BITS = 20
 SAMPLE = 12_000
+#: The sample comes to the driver in so many parts, one after the other.
+PARTS = 16
 SELECT, CUT = 2, 0.5
 GRADES = 3
 LEAST_DF = 4
@@ -124,7 +126,7 @@ def fit(found: list[np.ndarray], grades: np.ndarray) -> Model | None:
         return None
     seen = np.bincount(np.concatenate(found), minlength=1 << BITS)
     kept = np.flatnonzero(seen >= min(LEAST_DF, max(1, len(found) // 50)))
-    place = np.full(1 << BITS, -1, np.int64)
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     rows = [p[p >= 0] for p in (place[f] for f in found)]
     w, t = np.zeros(len(kept)), np.linspace(-1.0, 1.0, GRADES - 1) if GRADES > 2 else np.zeros(1)
@@ -166,9 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([features(x).astype("<u4").tobytes() for x in texts(b)], pa.binary())], names=["doc_id", "grade", "found"])
 
     # ids may repeat: the limit holds for rows too
-    made = arrow_map(rows, run, "doc_id long, grade int, found binary").orderBy(F.xxhash64("doc_id"), "doc_id", "found").limit(sample)
+    made = arrow_map(rows, run, "doc_id long, grade int, found binary").orderBy(F.xxhash64("doc_id"), "doc_id", "found").limit(sample).repartition(PARTS)
     got = sorted((r.doc_id, bytes(r.found), r.grade) for r in made.toLocalIterator())
-    return fit([np.frombuffer(f, "<u4").astype(np.int64) for _, f, _ in got], np.array([g for _, _, g in got], np.int64)) if got else None
+    return fit([np.frombuffer(f, "<u4") for _, f, _ in got], np.array([g for _, _, g in got], np.int64)) if got else None
 
 
 SCHEMA = "row_id long, doc_id long, expected_grade double, p_grade_1 double, p_grade_2 double, selected boolean"

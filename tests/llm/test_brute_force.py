@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -293,6 +294,38 @@ def test_bit_slices():
         assert (simhash.near_shifted(planes, len(fp), d) == np.flatnonzero(distance[np.arange(len(fp) - d), np.arange(d, len(fp))] <= 3)).all()
 
 
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    """Chains dealt over several tasks, and trees, against a search; what lies in one task takes no round of stars."""
+    rng, made = random.Random(4), []
+    pairs = [(c * 1000 + i, c * 1000 + i + 1) for c in range(4) for i in range(150)] + [(9000 + i, 9000 + rng.randrange(i)) for i in range(1, 200)]
+    name = list({x for p in pairs for x in p})
+    name = dict(zip(name, rng.sample(range(10**6), len(name))))
+    pairs = [tuple(rng.sample((name[a], name[b]), 2)) for a, b in pairs]
+    rng.shuffle(pairs)
+    above = {x: x for p in pairs for x in p}
+    for _ in range(len(above)):
+        before = dict(above)
+        for a, b in pairs:
+            above[a] = above[b] = min(above[a], above[b])
+        if before == above:
+            break
+    want = {x: y for x, y in above.items() if x != y}
+    kept = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, what: (made.append(what), kept(df, what))[1])
+    for tasks, rounds in ((1, 1), (7, 2)):
+        made.clear()
+        df = spark.createDataFrame(pairs, "a long, b long").repartition(tasks)
+        assert {r.node: r.component for r in simhash.components(df).collect()} == want
+        assert made.count("large") <= rounds
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs[i : i + 50])], names=["a", "b"]) for i in range(0, len(pairs), 50)]
+    whole = [(b, a) for x in simhash.stars(iter(batches)) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())]
+    assert dict(whole) == want and len(whole) == len(want)
+    joined = list(simhash.stars(iter(batches), 40))  # what is held is bounded
+    assert len(joined) > 5 and max(x.num_rows for x in joined) <= 41
+    assert dict((b, a) for x in simhash.stars(iter(joined)) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())) == want
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     """Chains of fingerprints one bit apart, in buckets far over the block size."""
     monkeypatch.setattr(simhash, "BLOCK", 8)
