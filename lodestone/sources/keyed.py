@@ -12,7 +12,7 @@ the table is made and stands in its ``_layout`` file, with owner, key and schema
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ LAYOUT, BUCKET = "_layout", "bucket"
 BUCKETS = 16
 #: Keys named as constants in one look-up; more are joined.
 NAMED = 1000
+#: Bytes of a bucket that one task writes anew.
+SHARE = 8 << 20
 
 
 class KeyedTable:
@@ -79,11 +81,22 @@ class KeyedTable:
 
     # -- writing ------------------------------------------------------------------------
 
-    def _staged(self, rows: DataFrame) -> str:
+    def _dealt(self, rows: DataFrame, touched: Sequence[int] | None = None) -> DataFrame:
+        """rows with their bucket, each bucket in partitions of its own (small ones Spark may put together): two a core over all, of which a bucket that is written anew takes one per SHARE bytes; touched: the only buckets that rows are in."""
+        placed = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket_of(F.col(self.owner)))
+        buckets = range(self.buckets) if touched is None else touched
+        tasks, wanted = int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * self.spark.sparkContext.defaultParallelism // max(1, len(buckets)))
+        if len(buckets) > tasks:
+            return placed.repartitionById(tasks, F.pmod(F.col(BUCKET), F.lit(tasks)))
+        if touched is not None:
+            held = max((self.folder.size(f"{BUCKET}={b}") for b in touched), default=0)
+            wanted = min(wanted, 1 + held // SHARE)
+        number = F.col(BUCKET) if touched is None else F.array_position(F.lit(list(touched)), F.col(BUCKET)).cast("int") - 1
+        return placed.repartitionById(wanted * len(buckets), number * wanted + F.pmod(F.xxhash64(self.key), F.lit(wanted)).cast("int"))
+
+    def _staged(self, rows: DataFrame, touched: Sequence[int] | None = None) -> str:
         recover(self.spark, self.root)
-        dealt = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket_of(F.col(self.owner)))
-        tasks = max(1, min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
-        return stage(dealt.repartition(tasks, BUCKET).sortWithinPartitions(BUCKET, self.key), self.root, [BUCKET], {
+        return stage(self._dealt(rows, touched).sortWithinPartitions(BUCKET, self.key), self.root, [BUCKET], {
             f"parquet.bloom.filter.enabled#{self.key}": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(1 << 20), "parquet.block.size": str(32 << 20)})
 
     def append(self, rows: DataFrame) -> int:
@@ -100,8 +113,8 @@ class KeyedTable:
         found = owners.select(self.bucket_of(F.col(self.owner)).alias(BUCKET)).distinct().collect()  # no more than there are buckets
         return sorted(r[0] for r in found)
 
-    def _rewrite(self, touched: Iterable[int], rows: DataFrame) -> None:
-        switch(self.spark, self.root, self._staged(rows), [f"{BUCKET}={b}" for b in touched])
+    def _rewrite(self, touched: Sequence[int], rows: DataFrame) -> None:
+        switch(self.spark, self.root, self._staged(rows, touched), [f"{BUCKET}={b}" for b in touched])
 
     def upsert(self, rows: DataFrame) -> list[int]:
         """Puts rows (a key once) in place of those with the same owner and key; returns the buckets written."""

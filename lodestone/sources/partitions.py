@@ -33,6 +33,9 @@ class Folder:
     def names(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(name))) if self.exists(name) else []
 
+    def size(self, name: str = "") -> int:
+        return self.fs.getContentSummary(self.path(name)).getLength() if self.exists(name) else 0
+
     def delete(self, name: str = "") -> None:
         self.fs.delete(self.path(name), True)
 

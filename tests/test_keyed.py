@@ -117,3 +117,27 @@ def test_emptied_buckets_and_missing_tables(spark, made, tmp_path):
     assert made.rows().count() == 0 and not listing(tmp_path / "t") and made.of([1]).isEmpty()
     with pytest.raises(FileNotFoundError):
         KeyedTable(spark, str(tmp_path / "none"))
+
+
+def test_a_bucket_has_tasks_of_its_own(spark, tmp_path, monkeypatch):
+    """No task writes rows of two buckets, and a large bucket that is written anew is shared out; the rows stay the same."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    try:
+        shared_out(spark, tmp_path, monkeypatch)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def shared_out(spark, tmp_path, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 500).cast("string").alias("owner"), F.col("id").cast("string").alias("key"))
+    table = KeyedTable.make(spark, f"{tmp_path}/t", rows.schema, "owner", "key", 4)
+    tasks = table._dealt(rows).groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct(keyed.BUCKET).alias("buckets")).collect()
+    assert len(tasks) >= 4 and {r.buckets for r in tasks} == {1}
+    assert table.append(rows) == 3000 and table.append(rows) == 0
+    monkeypatch.setattr(keyed, "SHARE", 1)
+    touched = [r[0] for r in rows.where("owner = '7'").select(table.bucket_of(F.col("owner"))).distinct().collect()]
+    dealt = table._dealt(rows.where(table.bucket_of(F.col("owner")) == touched[0]), touched)
+    assert dealt.select(F.spark_partition_id()).distinct().count() > 1
+    assert table.delete(spark.createDataFrame([("7",)], "owner string")) == 6
+    left = sorted((r.owner, r.key) for r in table.rows().collect())
+    assert left == sorted((r.owner, r.key) for r in rows.where("owner <> '7'").collect())
