@@ -82,10 +82,11 @@ class HashedWords:
     """The offline model: each word adds 1 or -1 at a hashed place, the sum is made a unit vector; none without words.
 
     A word's MD5 gives its place and, by one more bit, its sign.  A text whose words cancel has none either, or with
-    always the vector of its words' number at each place, whatever their signs."""
+    always the vector of its words' number at each place, whatever their signs.  Words are of ASCII letters and digits;
+    with bare a text that has no such word has those between its white space instead, whatever they are of."""
 
-    def __init__(self, dimensions: int, always: bool = False):
-        self.dimensions, self.always, self.places = dimensions, always, {}
+    def __init__(self, dimensions: int, always: bool = False, bare: bool = False):
+        self.dimensions, self.always, self.bare, self.places = dimensions, always, bare, {}
 
     def place(self, word: str) -> int:
         if (at := self.places.get(word)) is None:
@@ -96,6 +97,8 @@ class HashedWords:
 
     def __call__(self, texts: Sequence[str]) -> list[np.ndarray | None]:
         words = [re.findall("[0-9a-z]+", t.replace("\u0130", "i").lower()) for t in texts]  # Python would make two characters of that letter
+        if self.bare:
+            words = [ws or t.split() for ws, t in zip(words, texts)]
         n = np.array([len(w) for w in words])
         places = np.fromiter((self.place(w) for ws in words for w in ws), np.int64, n.sum())
         size = 2 * self.dimensions
@@ -109,8 +112,8 @@ class HashedWords:
 
 
 @cache
-def hashed_words(dimensions: int = 64, always: bool = False) -> BatchEmbedder:
-    return BatchEmbedder(lambda: HashedWords(dimensions, always), dimensions)
+def hashed_words(dimensions: int = 64, always: bool = False, bare: bool = False) -> BatchEmbedder:
+    return BatchEmbedder(lambda: HashedWords(dimensions, always, bare), dimensions)
 
 
 def hash_embed(text: Column, dimensions: int = 64) -> Column:

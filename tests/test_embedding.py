@@ -69,6 +69,28 @@ def test_a_text_whose_words_cancel_has_a_vector_if_asked_for():
     assert plain[1] is None and always[1] is None and (plain[2] == always[2]).all()
 
 
+def test_a_text_without_ascii_words_has_a_vector_if_asked_for():
+    bare = E.HashedWords(8, always=True, bare=True)(["óí. éè óí.", "...", "óí a", " \n"])
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-12 for v in bare[:3]) and bare[3] is None
+    assert (bare[2] == E.HashedWords(8)(["a"])[0]).all() and E.HashedWords(8, always=True)(["óí. éè óí."]) == [None]
+
+
+def test_ingest_persist_of_odd_pages_is_its_sql(spark, tmp_path):
+    """Chunks whose words have no ASCII letter or digit, or cancel, have a vector too."""
+    import duckdb
+
+    from lodestone.plans import structure
+
+    cancelled = next(f"w{i} w{j}" for i in range(60) for j in range(i) if E.HashedWords(16)([f"w{i} w{j}"])[0] is None)
+    odd = ["óí. " * 400, "éè " * 500, "!?" * 700, "漢字。" * 300, f"{cancelled}. " * 120, "plain words. " * 90, ""]
+    rows = [(i, "http://a.org/b", f"<h1>{'Head' if i % 2 else ''}</h1><p>{x}</p><p>more {i}</p>") for i, x in enumerate(odd)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = dict(con.sql(structure.ORACLE["ingest_persist"]).fetchall())
+    assert want["vector"] > 20 and {r.relation: r.n for r in structure.ingest_persist(spark, str(tmp_path)).collect()} == want
+
+
 def test_index_text_of_odd_texts_is_its_sql(spark, tmp_path):
     import duckdb
 
