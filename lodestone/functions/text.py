@@ -74,31 +74,40 @@ def contains_term(text: Column, term: Column) -> Column:
     return (t != "") & F.contains(F.lower(text), t)
 
 
-def indel_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bits."""
-    if not a or not b:
-        return 0
+def places(a: str) -> dict[str, int]:
+    """For each letter the bits of its places."""
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return where
+
+
+def common(where: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of b and the n letters whose places are given, by bits."""
+    full = (1 << n) - 1
     state = full
     for c in b:
-        u = state & where.get(c, 0)
-        state = ((state + u) | (state - u)) & full
-    return len(a) - state.bit_count()
+        if u := state & where.get(c, 0):
+            state = ((state + u) | (state - u)) & full
+    return n - state.bit_count()
+
+
+def indel_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return common(places(a), len(a), b)
 
 
-def best_window(short: str, text: str, starts: range, least: float = 0.0) -> float:
+def best_window(short: str, text: str, starts: range, least: float = 0.0, letters: dict[str, int] | None = None) -> float:
     """The best 0..100 similarity of short with text[i : i + len(short)], i in starts; from under 0 and past the end, windows are partial.
 
-    What is under least may come out lower than it is: a window whose letters alone cannot reach it, or the best so far, is not compared."""
-    best, m = 0.0, len(short)
+    What is under least may come out lower than it is: a window whose letters alone cannot reach it, or the best so far, is not compared,
+    nor one too near to a window that is far below: from one start to the next no more than one letter in common is won.  letters: places(short), if known."""
+    best, m, letters = 0.0, len(short), letters or places(short)
     first = max(starts.start, 1 - m)
     left = dict.fromkeys(short, 0)  # how many of each letter the window lacks, under 0 for too many
     for c in short:
         left[c] += 1
-    shared = 0
+    shared, most = 0, m
     for c in text[max(first - 1, 0) : max(first + m - 1, 0)]:  # the window before the first
         if c in left:
             left[c] -= 1
@@ -112,9 +121,11 @@ def best_window(short: str, text: str, starts: range, least: float = 0.0) -> flo
         if i > 0 and (c := text[i - 1]) in left:
             shared -= left[c] >= 0
             left[c] += 1
+        most += 1
         size = min(i + m, len(text)) - max(i, 0)
-        if 200.0 * shared / (m + size) > max(best, least - 1e-9):
-            best = max(best, 200.0 * indel_length(short, text[max(i, 0) : i + m]) / (m + size))
+        if 200.0 * min(shared, most) / (m + size) > max(best, least - 1e-9):
+            most = common(letters, m, text[max(i, 0) : i + m])
+            best = max(best, 200.0 * most / (m + size))
     return best
 
 

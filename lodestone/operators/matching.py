@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.text import best_window
 from ..sources.scratch import written
+from .piece_index import PieceIndex, stretch_score
 
 #: So many short beginnings are sought one by one.
 FEW = 64
-#: An index of pieces is broadcast up to so many bytes, measured.
+#: Strings are broadcast where their pieces take up to so many bytes, measured.
 SMALL_INDEX = 32 << 20
-#: Beyond that, texts' grams that are alike meet in so many tasks.
+#: So many characters of texts are looked through at once.
+AT_ONCE = 1 << 20
+#: Where both sides are larger, texts' grams that are alike meet in so many tasks.
 SALT = 16
 #: Runs of characters are cut out of stretches of so many.
 STRETCH = 256
@@ -97,13 +103,8 @@ def _windows(short: DataFrame, long: DataFrame, short_id: str, long_id: str, tol
     sizes = [r.q for r in index.select("q").distinct().orderBy("q").collect()]  # at most eight
     if not sizes:
         return short.join(long, F.lit(False)).select(short_id, long_id, F.lit(0).alias("score"))
-    found = grams(long, long_id, sizes)
-    size = index.agg(F.sum(F.octet_length("gram") + F.octet_length(F.col(short_id).cast("string")) + 64)).first()[0]
-    if size <= SMALL_INDEX:
-        hits = found.join(F.broadcast(index), ["q", "gram"])
-    else:
-        salted = found.withColumn("salt", F.pmod(F.hash(long_id, F.floor(F.col("at") / 1024)), F.lit(SALT)))
-        hits = salted.join(index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["q", "gram", "salt"])
+    salted = grams(long, long_id, sizes).withColumn("salt", F.pmod(F.hash(long_id, F.floor(F.col("at") / 1024)), F.lit(SALT)))
+    hits = salted.join(index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["q", "gram", "salt"])
     # The unharmed pieces' shifts against the text differ by at most edits: two bands of twice that, half overlapping, hold them.
     step = F.col("edits") + 1
     band = F.floor((F.col("at") - F.col("place") * F.col("q")) / step).cast("int")
@@ -119,22 +120,89 @@ def _windows(short: DataFrame, long: DataFrame, short_id: str, long_id: str, tol
 
     @F.pandas_udf("int")
     def score(short: pd.Series, part: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-        return pd.Series([round(best_window(s, t, range(a, b), tolerance - 0.5)) for s, t, a, b in zip(short, part, low, high)], dtype="int32")
+        return pd.Series([stretch_score(s, t, a, b, tolerance - 0.5) for s, t, a, b in zip(short, part, low, high)], dtype="int32")
 
     return whole.select(short_id, long_id, score("short", "part", "low", "high").alias("score"))
 
 
+def _small(rows: DataFrame, key: str, text: str) -> bool:
+    """Whether the strings' pieces, at eight characters each with their key, take no more than SMALL_INDEX bytes."""
+    each = F.octet_length(text) + F.ceil(F.length(text) / 8) * (F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + 64)
+    return (rows.agg(F.sum(each)).first()[0] or 0) <= SMALL_INDEX
+
+
+def _near(few: pa.Table, tolerance: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id of few, id and score of what is alike in batches of id and string: few's strings stand in those that are as long, and those that are as short in few's.
+
+    Equal strings are compared once; strings are gathered up to AT_ONCE characters, the short ones apart, so that each way round is done for many of them."""
+    ids, own = few.column(0).combine_chunks(), {}
+    for i, s in enumerate(few.column(1).to_pylist()):
+        own.setdefault(s, []).append(i)
+    strings = list(own)
+    if not strings:
+        return
+    index, longest = PieceIndex(strings, tolerance), max(map(len, strings))
+
+    def said(texts: dict[str, list], found: Iterator[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        names, best = list(texts), {}
+        for s, t, score in found:
+            best[s, t] = max(score, best.get((s, t), 0))
+        rows = [(i, j, score) for (s, t), score in best.items() for i in own[strings[s]] for j in texts[names[t]]]
+        if rows:
+            mine, theirs, scores = zip(*rows)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine)), pa.array(theirs, kind), pa.array(scores, pa.int32())], names=["few", "many", "score"])
+
+    def inside(texts: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        yield from said(texts, ((s, t, score) for t, s, score in index.scores(list(texts))))
+
+    def around(texts: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        yield from said(texts, PieceIndex(list(texts), tolerance).scores(strings))
+
+    gathered, brief, sizes, kind = {}, {}, [0, 0], None
+    for batch in batches:
+        kind = batch.column(0).type
+        for i, s in zip(batch.column(0), batch.column(1)):
+            i, s = i.as_py(), s.as_py()
+            for n, (group, wanted) in enumerate(((gathered, True), (brief, len(s) <= longest))):
+                if wanted:
+                    if s not in group:
+                        sizes[n] += len(s)
+                    group.setdefault(s, []).append(i)
+            if sizes[0] >= AT_ONCE:
+                yield from inside(gathered)
+                gathered, sizes[0] = {}, 0
+            if sizes[1] >= AT_ONCE:
+                yield from around(brief)
+                brief, sizes[1] = {}, 0
+    if gathered:
+        yield from inside(gathered)
+    if brief:
+        yield from around(brief)
+
+
+def _met(many: DataFrame, few: DataFrame, tolerance: int) -> DataFrame:
+    """many's id, few's id and score, by a pass over many with few (id and string each) in every task."""
+    sent = few.sparkSession.sparkContext.broadcast(few.toArrow())
+    fields = [StructField("few", few.schema[0].dataType), StructField("many", many.schema[0].dataType), StructField("score", IntegerType())]
+    return many.mapInArrow(lambda batches: _near(sent.value, tolerance, batches), StructType(fields)).select(F.col("many").alias(many.columns[0]), F.col("few").alias(few.columns[0]), "score")
+
+
 def match_fuzzy(texts: DataFrame, terms: DataFrame, text_id: str, term_id: str, text_col: str = "text", term_col: str = "term", tolerance: int = 80) -> DataFrame:
     """term id, text id and score (0 to 100) where the shorter of term and text is like a window of the longer by at least tolerance.
 
     Exactly the pairs, and scores, that comparing all with all gives: likeness is twice the longest common subsequence over both
-    lengths, letters lower-cased.  The shorter string's pieces meet the longer one's runs of characters in an equi-join; where too few different
+    lengths, letters lower-cased.  The shorter string's pieces meet the longer one's runs of characters; where too few different
     pieces stand within a band of shifts, no window there can reach the tolerance.  What is left is compared by bits, a stretch of
-    text at a time.  The lower the tolerance, the shorter the pieces and the more there is to compare; it must be over 50.  Null and empty strings match
-    nothing; of several rows with one id the best counts."""
+    text at a time.  If one side's strings are small they are sent to every task, and one pass over the other side does it all
+    without a shuffle of texts; else pieces and runs meet in an equi-join.  The lower the tolerance, the shorter the pieces and
+    the more there is to compare; it must be over 50.  Null and empty strings match nothing; of several rows with one id the best counts."""
     if not 50 < tolerance <= 100:
         raise ValueError("tolerance must be over 50 and at most 100")
     t, x = _cleaned(terms, term_id, term_col, "term"), _cleaned(texts, text_id, text_col, "text")
+    for few, many, key, text in ((t, x, term_id, "term"), (x, t, text_id, "text")):
+        if _small(few, key, text):
+            out = _met(many, few, tolerance).select(term_id, text_id, "score")
+            return out.groupBy(term_id, text_id).agg(F.max("score").alias("score"))
     longest = t.agg(F.max(F.length("term"))).first()[0] or 0
     out = _windows(t.withColumnRenamed("term", "short"), x.withColumnRenamed("text", "long"), term_id, text_id, tolerance)
     brief = x.where(F.length("text") <= longest).withColumnRenamed("text", "short")

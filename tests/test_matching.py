@@ -2,11 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import partial_ratio
+from lodestone.functions.text import best_window, indel_length, partial_ratio
 from lodestone.operators import matching as M
+from lodestone.operators.piece_index import PieceIndex, stretch_score
 from lodestone.plans import catalogue
 
 
@@ -67,6 +69,56 @@ def test_a_shuffled_index_finds_the_same(spark, strings, monkeypatch):
     assert matched(spark, texts, terms, 80) == plain(texts, terms, 80)
 
 
+@pytest.mark.parametrize("tolerance", [51, 95])
+def test_small_texts_are_sent_to_the_terms(spark, strings, monkeypatch, tolerance):
+    """The smaller side goes to every task, whichever it is; both small and both large find the same."""
+    texts, terms = strings
+    many = terms + [(200 + i, "zyxw" * 40 + str(i)) for i in range(60)]
+    monkeypatch.setattr(M, "_small", lambda rows, key, text: key == "d")
+    monkeypatch.setattr(M, "AT_ONCE", 100)
+    assert matched(spark, texts, many, tolerance) == plain(texts, many, tolerance)
+
+
+def test_texts_do_not_become_rows(spark, strings):
+    """With few terms no text is shuffled, copied or cut into rows: one pass over the texts does it."""
+    texts, terms = strings
+    a, b = spark.createDataFrame(texts, "d int, text string"), spark.createDataFrame(terms, "t int, term string")
+    plan = M.match_fuzzy(a, b, "d", "t", tolerance=95)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("tolerance", [51, 80, 95, 100])
+def test_pieces_are_alike_in_both_ways(spark, tolerance):
+    lengths = list(range(1, 420, 3))
+    index = PieceIndex(["".join(chr(97 + (i * i + n) % 26) for i in range(n)) for n in lengths], tolerance)
+    rows = M.pieces(spark.createDataFrame([(i, s) for i, s in enumerate(index.strings)], "t int, short string"), "t", tolerance).select("t", "q", "edits", "least").distinct().collect()
+    assert {r.t: (r.q, r.edits, r.least) for r in rows} == dict(enumerate(zip(index.q.tolist(), index.edits.tolist(), index.least.tolist())))
+
+
+def test_windows_that_are_passed_over_are_no_better():
+    rng = random.Random(3)
+    for _ in range(400):
+        short, text = ("".join(rng.choices("abc", k=rng.randrange(1, n))) for n in (12, 40))
+        starts, least = range(rng.randrange(-14, 10), rng.randrange(0, 45)), rng.choice([0, 50, 80])
+        windows = [(i, text[max(i, 0) : i + len(short)]) for i in starts if 1 - len(short) <= i < len(text)]
+        best = max((200 * indel_length(short, w) / (len(short) + len(w)) for i, w in windows), default=0.0)
+        got = best_window(short, text, starts, least)
+        assert got == best or got <= best < least
+        assert stretch_score(short, text, starts.start, starts.stop, least) in ({round(best)} if best >= least else {0, round(got)})
+
+
+def test_many_meetings_in_one_text(spark, monkeypatch):
+    """A text of one letter meets every piece everywhere; runs are looked at a few at a time."""
+    monkeypatch.setattr("lodestone.operators.piece_index.STEP", 7)
+    texts, terms = [(1, "a" * 300), (2, "b" + "ab" * 150), (3, "a" * 40)], [(1, "a" * 60), (2, "ab" * 30 + "c"), (3, "b" * 20)]
+    few = pa.table({"t": pa.array([i for i, _ in terms], pa.int32()), "term": [x for _, x in terms]})
+    for tolerance in (80, 95):
+        got = {}
+        for b in M._near(few, tolerance, [pa.record_batch([pa.array([i for i, _ in texts], pa.int32()), pa.array([x for _, x in texts])], ["d", "text"])]):
+            got.update({(r["few"], r["many"]): max(r["score"], got.get((r["few"], r["many"]), 0)) for r in b.to_pylist()})
+        assert got == plain(texts, terms, tolerance)
+
+
 def test_nothing_to_match(spark, strings):
     texts, terms = strings
     assert matched(spark, [], terms, 80) == {} and matched(spark, texts, [], 80) == {} and matched(spark, [(1, None)], [(1, "")], 80) == {}
