@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .chunking import bound
 from .embedding import outcome
@@ -97,13 +98,13 @@ def search_text(vectors: DataFrame, text: str, embed: Callable[[Column], Column]
     length = float(np.sqrt(np.dot(row.v, row.v)))
     q = row.v if abs(length - 1) <= ROUNDING else [x / length for x in row.v]
 
-    @F.pandas_udf("double")
-    def fused(units: pd.Series) -> pd.Series:
-        return pd.Series([fused_dot(u, q) for u in units], dtype="float64")
+    def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fused_dot(u, q) for u in b.column(1).to_pylist()], pa.float64())], names=[id_col, "cosine"])
 
     of = F.col("embedding_unit") if "embedding_unit" in vectors.columns else unit(F.col("embedding"))
     near = vectors.select(id_col, doubles(of).alias("u")).where(dot(F.col("u"), literal(q)) >= least - CLOSE)
-    top = near.select(id_col, fused("u").alias("cosine"))
+    top = near.mapInArrow(fused, StructType([near.schema[id_col], StructField("cosine", DoubleType())]))  # not a Column function, which Spark does not take out of a plan where u is an embedding model's
     return with_distance(top.orderBy(F.col("cosine").desc(), id_col).limit(k), id_col)
 
 
