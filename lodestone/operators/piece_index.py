@@ -61,6 +61,7 @@ class PieceIndex:
         self.m = np.array([len(s) for s in strings], np.int64)
         self.q, self.edits, self.least = sizes(self.m, tolerance)
         self.letters = [places(s) for s in strings]
+        self.halves = [[s[i : i + q // 2] for i in range(0, len(s) - q // 2 + 1, q // 2)] if q > 3 else [] for s, q in zip(strings, self.q.tolist())]
         codes, start = code_points("".join(strings)), ends(strings)[:-1]
         self.tables = {}
         for q in np.unique(self.q).tolist():
@@ -81,7 +82,7 @@ class PieceIndex:
     def bands(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of text and of string, and band of shifts, where enough different pieces of the string stand in the text; in that order."""
         joined, edge, k = code_points("".join(texts)), ends(texts), len(self.strings)
-        pairs, spots = [], []
+        pairs, spots, held = [], [], 0
         for q, (shift, seen, known, first, count, owner, place) in self.tables.items():
             for a in range(0, len(joined), STEP):
                 hashes = run_hashes(joined[a : a + STEP + q - 1], q)
@@ -101,14 +102,20 @@ class PieceIndex:
                     piece = np.repeat(first[which[here]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
                     string, where = owner[piece], place[piece]
                     band = (np.repeat(at[here], each) - where * q) // (self.edits[string] + 1) + self.before
-                    pair = np.repeat(text[here], each) * k + string
-                    # The unharmed pieces' shifts against the text differ by at most edits: two bands of twice that, half overlapping, hold them.
-                    found = distinct(np.concatenate([pair, pair]), np.concatenate([band - 1, band]) * self.most_places + np.concatenate([where, where]))
-                    pairs.append(found[0])
-                    spots.append(found[1])
+                    pairs.append(np.repeat(text[here], each) * k + string)
+                    spots.append(band * self.most_places + where)
+                    held += len(piece)
+                    if held > 8 * STEP:  # pieces that are alike met in one band of a text count once
+                        pair, spot = distinct(np.concatenate(pairs), np.concatenate(spots))
+                        pairs, spots, held = [pair], [spot], 0
         if not pairs:
             return (np.zeros(0, np.int64),) * 3
-        pair, spot = distinct(np.concatenate(pairs), np.concatenate(spots))
+        pair, spot = np.concatenate(pairs), np.concatenate(spots)
+        if len(texts) * k <= 1 << 24:  # most pairs meet once or twice
+            enough = np.bincount(pair, minlength=1)[pair] >= self.least[pair % k]
+            pair, spot = pair[enough], spot[enough]
+        # The unharmed pieces' shifts against the text differ by at most edits: two bands of twice that, half overlapping, hold them.
+        pair, spot = distinct(np.concatenate([pair, pair]), np.concatenate([spot - self.most_places, spot]))
         band = spot // self.most_places
         new = np.ones(len(pair), bool)
         new[1:] = (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])
@@ -125,22 +132,36 @@ class PieceIndex:
             while i + 1 < len(text) and text[i + 1] == t and string[i + 1] == s and band[i + 1] == band[i] + 1:
                 i += 1
             step, edits = int(self.edits[s]) + 1, int(self.edits[s])
-            low, high = starts(first * step - edits, (band[i] + 2) * step + edits, int(self.m[s]))
-            i += 1
-            if self.m[s] <= len(texts[t]) and high > 0:
+            last, i = i, i + 1
+            low, high = starts(first * step - edits, (band[last] + 2) * step + edits, int(self.m[s]))
+            if self.m[s] <= len(texts[t]) and high > 0 and enough_stand(self.halves[s], texts[t], first * step, (band[last] + 2) * step, edits):
                 score = stretch_score(self.strings[s], texts[t], low, high, self.tolerance - 0.5, self.letters[s])
                 if score >= self.tolerance:
                     yield t, s, score
 
 
+def enough_stand(pieces: Sequence[str], text: str, low: int, high: int, edits: int) -> bool:
+    """Whether all pieces but as many as there may be edits stand in the text at shifts from low to under high: each edit harms one, and the others' shifts lie in the band of the longer ones."""
+    at, left = 0, edits
+    for piece in pieces:
+        if text.find(piece, max(low + at, 0), max(high + at + len(piece) - 1, 0)) < 0:
+            left -= 1
+            if left < 0:
+                return False
+        at += len(piece)
+    return True
+
+
 def starts(low: int, high: int, m: int) -> tuple[int, int]:
     """Where windows may start: where one may start with the text, so may those cut off by its start."""
     return (1 - m if low <= 0 < high else low), high
 
 
 def stretch_score(short: str, text: str, low: int, high: int, least: float, letters: dict[str, int] | None = None) -> int:
-    """best_window of starts from low to under high, rounded; 0 where not even the whole stretch has enough of short's letters in their order."""
+    """best_window of starts (some of them in the text) from low to under high, rounded; 0 where not even the whole stretch has enough of short's letters in their order."""
     m, letters = len(short), letters or places(short)
+    if short in text[max(low, 0) : max(high - 1 + m, 0)]:
+        return 100
     shared = common(letters, m, text[max(low, 0) : max(high - 1 + m, 0)])
     size = shared if low < 0 or high - 1 + m > len(text) else m  # a window that is cut off has no more letters in common than letters
     return 0 if 200.0 * shared < (m + size) * (least - 1e-9) else round(best_window(short, text, range(low, high), least, letters))

@@ -107,6 +107,32 @@ def test_windows_that_are_passed_over_are_no_better():
         assert stretch_score(short, text, starts.start, starts.stop, least) in ({round(best)} if best >= least else {0, round(got)})
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_a_task_finds_what_every_window_says(seed, monkeypatch):
+    """Strings of few letters, damaged up to a little more than the tolerance allows, whole and cut off, against each window of each pair."""
+    rng = random.Random(seed)
+    letters, tolerance = "abcdefgh é😀"[: (2, 4, 11)[seed % 3]], (60, 80, 90, 95)[seed % 4]
+    monkeypatch.setattr("lodestone.operators.piece_index.STEP", (5, 1 << 18)[seed % 2])
+    monkeypatch.setattr(M, "AT_ONCE", (10, 400)[seed // 2 % 2])
+    word = lambda most: "".join(rng.choices(letters, k=rng.randrange(1, most))).strip() or "a"
+    terms, texts = [word(n) for n in (8, 40, 90)], [word(60)]
+    for s in terms:
+        d = damaged(rng, s, rng.randrange(2 + len(s) * (201 - 2 * tolerance) // 100)) or "b"
+        texts += [word(30) + d + word(30), d[len(d) // 8 :] + word(30), word(30) + d[: len(d) - len(d) // 8]]
+    terms, texts = ([(i, x.strip()) for i, x in enumerate(xs) if x.strip()] for xs in (terms, texts))
+
+    def like(a, b):
+        windows = lambda s, t: (t[max(i, 0) : i + len(s)] for i in range(1 - len(s), len(t)))
+        ways = [(s, t) for s, t in ((a, b), (b, a)) if len(s) <= len(t)]
+        return round(max(200 * indel_length(s, w) / (len(s) + len(w)) for s, t in ways for w in windows(s, t)))
+
+    few, many = (pa.record_batch([pa.array([i for i, _ in xs], pa.int32()), pa.array([x for _, x in xs])], ["id", "text"]) for xs in (terms, texts))
+    got = {}
+    for b in M._near(pa.Table.from_batches([few]), tolerance, [many.slice(0, 4), many.slice(4)]):
+        got |= {(r["few"], r["many"]): max(r["score"], got.get((r["few"], r["many"]), 0)) for r in b.to_pylist()}
+    assert got == {(i, j): n for i, a in terms for j, b in texts if (n := like(a, b)) >= tolerance}
+
+
 def test_many_meetings_in_one_text(spark, monkeypatch):
     """A text of one letter meets every piece everywhere; runs are looked at a few at a time."""
     monkeypatch.setattr("lodestone.operators.piece_index.STEP", 7)
